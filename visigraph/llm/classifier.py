@@ -32,7 +32,9 @@ LAGS = range(2, 33)
 DIM = 8
 FILTERS = 32
 HIDDEN = 16
+#: Passes over the sample, more where it is so small that they would be fewer steps than this.
 EPOCHS = 5
+LEAST_STEPS = 500
 THRESHOLD = 0.3
 #: Half chunks that are scored at a time.
 PIECE = 16_384
@@ -81,11 +83,11 @@ class Network:
     def pooled(self, rows: np.ndarray, firsts: np.ndarray) -> np.ndarray:
         """The largest score of each filter, by text; firsts: where the texts begin in rows."""
         p, x = self.p, self.p["E"][rows].reshape(len(rows), -1)
-        chunk = (x @ p["A"])[:-1]
-        chunk += (x @ p["B"])[1:]
-        ends = np.append(firsts[1:], len(rows)) - 1
-        bounds = np.column_stack([firsts, ends]).ravel()
-        return np.maximum.reduceat(chunk, np.minimum(bounds, len(chunk) - 1))[::2] + p["c"] if bounds[-1] >= len(chunk) else np.maximum.reduceat(chunk, bounds)[::2] + p["c"]
+        chunk = x @ p["A"]
+        chunk[:-1] += (x @ p["B"])[1:]
+        # the row that begins at a text's last half is no chunk, and ends its range
+        bounds = np.column_stack([firsts, np.append(firsts[1:], len(rows)) - 1]).ravel()
+        return np.maximum.reduceat(chunk, bounds)[::2] + p["c"]
 
     def head(self, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         hidden = np.maximum(np.tanh(m) @ self.p["H"] + self.p["h"], 0)
@@ -126,6 +128,7 @@ class Network:
         first, second = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
         t = 0
         rows = [halves(np.frombuffer(x, np.uint8)) for x in texts]
+        epochs = max(epochs, -(-LEAST_STEPS * batch // len(rows)))
         total = epochs * -(-len(rows) // batch)
         for _ in range(epochs):
             order = rng.permutation(len(rows))

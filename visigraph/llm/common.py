@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 100_000
 #: Rows of an Arrow batch: long texts must not pile up in a Python worker.
 BATCH_ROWS = 1_000
+#: Most shards that a table is dealt to by ranges; beyond it shards grow, and the driver's cut points don't.
+MOST_SHARDS = 10_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,8 +56,8 @@ def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str, rows:
         return big.join(F.broadcast(small), on, how)
     if salt is None:
         return big.join(small, on, how)
-    spread = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(31))))
-    return big.withColumn("_salt", salt).join(spread, [*on, "_salt"], how).drop("_salt")
+    spread = small.withColumn("_op_salt", F.explode(F.sequence(F.lit(0), F.lit(31))))
+    return big.withColumn("_op_salt", salt).join(spread, [*on, "_op_salt"], how).drop("_op_salt")
 
 
 # Words of an Arrow string array without a Python loop over texts.
@@ -109,6 +111,7 @@ def range_cuts(df: DataFrame, key: str, shards: int) -> list[int]:
     their hash, of about 100 keys a shard, so any run over the same rows gets the same cuts."""
     if shards <= 1:
         return []
+    shards = min(shards, MOST_SHARDS)
     total = df.count()
     keep = max(1, total // (100 * shards))
     picked = df.where(F.col(key).isNotNull() & (F.pmod(F.xxhash64(key), F.lit(keep)) == 0)).select(key).distinct()

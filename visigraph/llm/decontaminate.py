@@ -190,9 +190,9 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, slack: int = 0) ->
     """docs without those that hold a window of the benchmark. A verdict depends on the text alone, so rows are joined by a hash
     of doc_id and text."""
     shared_dir(docs.sparkSession)
-    keyed = docs.drop("_key").withColumn("_key", F.xxhash64("doc_id", F.md5(F.coalesce("text", F.lit("")))))
-    bad = decontaminate(keyed.select(F.col("_key").alias("doc_id"), "text"), benchmark, slack).where("n_hit > 0").select(F.col("doc_id").alias("_key")).distinct().checkpoint()
-    return join_small(keyed, bad, ["_key"], "left_anti", bad.count()).drop("_key")
+    keyed = docs.drop("_op5_key").withColumn("_op5_key", F.xxhash64("doc_id", F.md5(F.coalesce("text", F.lit("")))))
+    bad = decontaminate(keyed.select(F.col("_op5_key").alias("doc_id"), "text"), benchmark, slack).where("n_hit > 0").select(F.col("doc_id").alias("_op5_key")).distinct().checkpoint()
+    return join_small(keyed, bad, ["_op5_key"], "left_anti", bad.count()).drop("_op5_key")
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -60,9 +60,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = MOST_REP
     shared_dir(spark)
     docs = docs.drop(*OWN).withColumn("size", size_of(F.col("text")))
     totals = targets(docs.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap).checkpoint()
-    keyed = totals.select(F.coalesce(F.concat(F.lit("="), "source"), F.lit("null")).alias("_source"), "source_size", "target")
-    docs = docs.withColumn("_source", F.coalesce(F.concat(F.lit("="), "source"), F.lit("null")))
-    docs = join_small(docs, keyed, ["_source"], "inner", totals.count(), F.pmod(F.xxhash64("doc_id"), F.lit(32)).cast("int")).drop("_source")
+    keyed = totals.select(F.coalesce(F.concat(F.lit("="), "source"), F.lit("null")).alias("_op1_source"), "source_size", "target")
+    docs = docs.withColumn("_op1_source", F.coalesce(F.concat(F.lit("="), "source"), F.lit("null")))
+    docs = join_small(docs, keyed, ["_op1_source"], "inner", totals.count(), F.pmod(F.xxhash64("doc_id"), F.lit(32)).cast("int")).drop("_op1_source")
     docs = docs.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
     whole = F.floor("rate")
     more = (chance(F.col("doc_id"), seed) < F.col("rate") - whole).cast("long")

@@ -101,7 +101,7 @@ def context_terms(text: Column, span: Column) -> Column:
 
 def found_rows(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
-    return docs.drop("base", "spans", "_h").withColumn("base", base_spans(text)).withColumn("_h", F.xxhash64(text))
+    return docs.drop("base", "spans", "_op7_h").withColumn("base", base_spans(text)).withColumn("_op7_h", F.xxhash64(text))
 
 
 def disclosing_terms(docs: DataFrame, support: int = SUPPORT, disclosed: float = DISCLOSED, reach: int = CONTEXT) -> DataFrame:
@@ -109,11 +109,11 @@ def disclosing_terms(docs: DataFrame, support: int = SUPPORT, disclosed: float =
 
     Only entities and pairs in `support` different texts go on, so what is gathered follows mentions, not documents times terms."""
     total = docs.count()
-    with_any = docs.where(F.size("base") > 0).select("_h", "text", "base")
+    with_any = docs.where(F.size("base") > 0).select("_op7_h", "text", "base")
     mentions = F.array_distinct(F.transform("base", lambda s: ascii_lower(s["found"])))
-    entities = with_any.select("_h", F.explode(mentions).alias("entity")).groupBy("_h", "entity").agg(F.count("*").alias("rows")).groupBy("entity").agg(F.sum("rows").alias("n_e"), F.count("*").alias("texts")).where(F.col("texts") >= support).drop("texts")
+    entities = with_any.select("_op7_h", F.explode(mentions).alias("entity")).groupBy("_op7_h", "entity").agg(F.count("*").alias("rows")).groupBy("entity").agg(F.sum("rows").alias("n_e"), F.count("*").alias("texts")).where(F.col("texts") >= support).drop("texts")
     near = F.array_distinct(F.flatten(F.transform("base", lambda s: F.transform(context_terms(F.col("text"), s), lambda t: F.struct(ascii_lower(s["found"]).alias("entity"), t.alias("term"))))))
-    pairs = with_any.select("_h", F.explode(near).alias("x")).select("_h", "x.entity", "x.term").groupBy("_h", "entity", "term").agg(F.count("*").alias("rows"))
+    pairs = with_any.select("_op7_h", F.explode(near).alias("x")).select("_op7_h", "x.entity", "x.term").groupBy("_op7_h", "entity", "term").agg(F.count("*").alias("rows"))
     pairs = pairs.join(entities, "entity").groupBy("entity", "term").agg(F.sum("rows").alias("n_et"), F.count("*").alias("texts"), F.first("n_e").alias("n_e")).where(F.col("texts") >= support).drop("texts").checkpoint()
     terms = pairs.select("term").distinct().checkpoint()
     n = terms.count()
@@ -130,13 +130,13 @@ def find(docs: DataFrame, support: int = SUPPORT, disclosed: float = DISCLOSED)
     terms = disclosing_terms(rows, support, disclosed).select("term").distinct().checkpoint()
     n = terms.count()
     if not n:
-        return rows.drop("_h").withColumn("spans", F.col("base"))
+        return rows.drop("_op7_h").withColumn("spans", F.col("base"))
     # documents are joined by a hash of their text; a chance hit only adds terms that the text may hold
-    holders = join_small(rows.select("_h", F.explode(F.array_distinct(words(F.col("text")))).alias("term")), terms, ["term"], "inner", n).groupBy("_h").agg(F.array_sort(F.collect_set("term")).alias("_terms")).checkpoint()
-    rows = join_small(rows, holders, ["_h"], "left", holders.count()).drop("_h")
-    pattern = F.concat(F.lit(f"(?<!{WORD})(?:"), F.array_join("_terms", "|"), F.lit(f")(?!{WORD})"))
+    holders = join_small(rows.select("_op7_h", F.explode(F.array_distinct(words(F.col("text")))).alias("term")), terms, ["term"], "inner", n).groupBy("_op7_h").agg(F.array_sort(F.collect_set("term")).alias("_op7_terms")).checkpoint()
+    rows = join_small(rows, holders, ["_op7_h"], "left", holders.count()).drop("_op7_h")
+    pattern = F.concat(F.lit(f"(?<!{WORD})(?:"), F.array_join("_op7_terms", "|"), F.lit(f")(?!{WORD})"))
     more = F.filter(matches(ascii_lower(F.col("text")), pattern, "term"), lambda t: ~F.exists("base", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
-    return rows.withColumn("_more", F.when(F.col("_terms").isNotNull(), more).otherwise(F.array().cast(NONE))).withColumn("spans", F.array_sort(F.concat("base", "_more"))).drop("_terms", "_more")
+    return rows.withColumn("_op7_more", F.when(F.col("_op7_terms").isNotNull(), more).otherwise(F.array().cast(NONE))).withColumn("spans", F.array_sort(F.concat("base", "_op7_more"))).drop("_op7_terms", "_op7_more")
 
 
 def sanitise(found: DataFrame, remove: bool = False) -> DataFrame:

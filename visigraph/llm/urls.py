@@ -115,17 +115,17 @@ def rule_hits(urls: DataFrame, rules: DataFrame) -> DataFrame:
 def judge(urls: DataFrame, rules: DataFrame, listed: DataFrame, listed_verdict: str = "block", default: str = "allow") -> DataFrame:
     """urls(url, ...) with host, path, rule and verdict. rules(host, path, verdict); listed(key): canonical urls."""
     spark = urls.sparkSession
-    urls = urls.drop("host", "path", "rule", "verdict", "_canonical", "_listed").withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
+    urls = urls.drop("host", "path", "rule", "verdict", "_op9_canonical", "_op9_listed").withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
     keys = listed.select("key").where("key IS NOT NULL").distinct()
     n = keys.count()
-    known = urls.withColumn("_canonical", canonical(F.col("host"), F.col("path")))
+    known = urls.withColumn("_op9_canonical", canonical(F.col("host"), F.col("path")))
     # only what the filter lets through is joined; the exact join decides
-    possible = known.where((F.col("host") != "") & passes(F.col("_canonical"), build(keys, n), spark)).select(F.col("_canonical").alias("key")).distinct()
-    exact = join_small(possible, keys, ["key"], "left_semi", n).select(F.col("key").alias("_canonical"), F.lit(True).alias("_listed"))
+    possible = known.where((F.col("host") != "") & passes(F.col("_op9_canonical"), build(keys, n), spark)).select(F.col("_op9_canonical").alias("key")).distinct()
+    exact = join_small(possible, keys, ["key"], "left_semi", n).select(F.col("key").alias("_op9_canonical"), F.lit(True).alias("_op9_listed"))
     ruled = rule_hits(urls, rules)
-    verdict = F.coalesce("verdict", F.when(F.col("_listed"), listed_verdict), F.lit(default))
-    out = known.join(ruled, ["host", "path"], "left").join(exact, "_canonical", "left")
-    return out.withColumn("verdict", verdict).drop("_canonical", "_listed")
+    verdict = F.coalesce("verdict", F.when(F.col("_op9_listed"), listed_verdict), F.lit(default))
+    out = known.join(ruled, ["host", "path"], "left").join(exact, "_op9_canonical", "left")
+    return out.withColumn("verdict", verdict).drop("_op9_canonical", "_op9_listed")
 
 
 def rules_of(spark: SparkSession, rules: tuple = RULES) -> DataFrame:
