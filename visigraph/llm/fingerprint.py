@@ -114,7 +114,9 @@ def fingerprint_rows(docs: DataFrame) -> DataFrame:
 def near_links(docs: DataFrame, least: float = 0.8, band: int = BAND) -> DataFrame:
     """(doc_id, other, likeness): links of documents to the smallest doc_id that shares a band of samples with them,
     verified by the likeness of the fingerprints. Links are stars, so a group of copies has as many links as members."""
-    prints = fingerprint_rows(docs.where("doc_id IS NOT NULL")).where("fingerprint <> ''").groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id"))
+    rows = fingerprint_rows(docs.where("doc_id IS NOT NULL")).where("fingerprint <> ''")
+    prints = rows.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id"))
+    same = rows.join(prints.withColumnRenamed("doc_id", "other"), "fingerprint").where("doc_id <> other").select("doc_id", "other", F.lit(1.0).alias("likeness"))
     starts = F.sequence(F.lit(1), F.length("fingerprint") - (band - 1), F.lit(band))
     keys = prints.select("doc_id", F.posexplode(F.transform(starts, lambda i: F.col("fingerprint").substr(i, F.lit(band)))).alias("place", "digits")).where(~F.col("digits").rlike("^0*$"))
     heads = keys.groupBy("place", "digits").agg(F.min("doc_id").alias("other"), F.count("*").alias("n")).where("n > 1").drop("n")
@@ -127,7 +129,7 @@ def near_links(docs: DataFrame, least: float = 0.8, band: int = BAND) -> DataFra
 
         return pd.Series([likeness(p, q) for p, q in zip(x, y, strict=True)], dtype=float)
 
-    return pairs.join(a, "doc_id").join(b, "other").select("doc_id", "other", alike("fingerprint", "_other").alias("likeness")).where(F.col("likeness") >= least)
+    return same.unionByName(pairs.join(a, "doc_id").join(b, "other").select("doc_id", "other", alike("fingerprint", "_other").alias("likeness")).where(F.col("likeness") >= least))
 
 
 def edited(text: str, after: str) -> str:

@@ -92,6 +92,7 @@ def words(text: Column) -> Column:
 
 def context_terms(text: Column, span: Column) -> Column:
     """The terms within CONTEXT characters on both sides of a span; a term that the edge may have cut is left out."""
+    text = ascii_lower(text)
     left = F.substring(text, F.greatest(span["start"] + 1 - CONTEXT, F.lit(1)), F.least(span["start"], F.lit(CONTEXT)))
     right = F.substring(text, span["end"] + 1, F.lit(CONTEXT))
     left = F.when(span["start"] > CONTEXT, F.regexp_replace(left, f"^{WORD}+", "")).otherwise(left)
@@ -184,11 +185,11 @@ _SQL_WORDS = "regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'ab
 _SQL_WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]"
 SQL = f"""
 WITH d AS (
-    SELECT row_number() OVER () AS row_id, doc_id, coalesce(text, '') AS text FROM documents
+    SELECT row_number() OVER () AS row_id, doc_id, coalesce(text, '') AS text, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents
 ), b AS ({" UNION ALL ".join(map(_base_sql, PATTERNS))}
 ), c AS (
     SELECT b.row_id, d.text, translate(found, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS entity, start,
-           substr(d.text, CAST(greatest(start + 1 - {CONTEXT}, 1) AS INT), CAST(least(start, {CONTEXT}) AS INT)) AS l, substr(d.text, CAST(stop + 1 AS INT), {CONTEXT}) AS r
+           substr(d.low, CAST(greatest(start + 1 - {CONTEXT}, 1) AS INT), CAST(least(start, {CONTEXT}) AS INT)) AS l, substr(d.low, CAST(stop + 1 AS INT), {CONTEXT}) AS r
     FROM b JOIN d ON b.row_id = d.row_id
 ), near AS (
     SELECT DISTINCT row_id, text, entity, unnest(list_concat({_SQL_WORDS.format("CASE WHEN start > " + str(CONTEXT) + " THEN regexp_replace(l, '^" + _SQL_WORD + "+', '') ELSE l END")},
@@ -206,7 +207,7 @@ WITH d AS (
     SELECT DISTINCT term FROM p JOIN t USING (term), (SELECT CAST(count(*) AS DOUBLE) AS n FROM d)
     WHERE log2(n / n_e) > 0 AND log2(n_et * n / (CAST(n_e AS DOUBLE) * n_t)) >= {DISCLOSED} * log2(n / n_e)
 ), own AS (
-    SELECT d.row_id, unnest({_SQL_WORDS.format("text")}) AS found, unnest(regexp_split_to_array(text, '{_SQL_WORD}+')[1 : len({_SQL_WORDS.format("text")})]) AS gap, unnest(range(len({_SQL_WORDS.format("text")}))) AS i
+    SELECT d.row_id, unnest({_SQL_WORDS.format("text")}) AS found, unnest(regexp_split_to_array(low, '{_SQL_WORD}+')[1 : len({_SQL_WORDS.format("text")})]) AS gap, unnest(range(len({_SQL_WORDS.format("text")}))) AS i
     FROM d WHERE row_id IN (SELECT row_id FROM w WHERE term IN (SELECT term FROM flagged))
 ), place AS (
     SELECT row_id, found, CAST(sum(length(gap)) OVER (PARTITION BY row_id ORDER BY i) + coalesce(sum(length(found)) OVER (PARTITION BY row_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM own
