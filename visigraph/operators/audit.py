@@ -151,7 +151,7 @@ def page_scores(pages: DataFrame, found: DataFrame) -> DataFrame:
 def title_checklist(pages: DataFrame, found: DataFrame) -> DataFrame:
     twice = found.where("category = 'title' AND rule = 'duplicate'").select("page_id").distinct().withColumn("_twice", F.lit(True))
     n = F.length(stripped(F.col("title")))
-    return pages.join(twice, "page_id", "left").select("page_id", (n > 0).alias("present"), (n == 0).__or__(n.between(*TITLE)).alias("length_ok"), F.col("_twice").isNull().alias("not_duplicated"))
+    return pages.join(twice, "page_id", "left").select("page_id", (n > 0).alias("present"), ((n == 0) | n.between(*TITLE)).alias("length_ok"), F.col("_twice").isNull().alias("not_duplicated"))
 
 
 # Provider reports in the same vocabulary.

@@ -308,7 +308,8 @@ _NOW = "(SELECT max(ts) FROM events)"
 @job("time_ago_label", f"SELECT event_id, CASE WHEN s < 60 THEN 'just now' WHEN s < 3600 THEN (s // 60) || 'm ago' WHEN s < 86400 THEN (s // 3600) || 'h ago' ELSE (s // 86400) || 'd ago' END AS label FROM (SELECT event_id, CAST(floor(epoch({_NOW})) - floor(epoch(ts)) AS BIGINT) AS s FROM events)")
 def time_ago_label(s: SparkSession, d: str) -> DataFrame:
     e = s.read.parquet(f"{d}/events.parquet").select("event_id", "ts")
-    return e.crossJoin(F.broadcast(e.agg(F.max("ts").alias("now")))).select("event_id", audit.time_ago(F.col("ts"), F.col("now")).alias("label"))
+    now = e.agg(F.max("ts").cast("string")).first()[0]
+    return e.select("event_id", audit.time_ago(F.col("ts"), F.lit(now).cast("timestamp")).alias("label"))
 
 
 # Extraction from HTML; the twin of the parser is a regular expression, which these pages allow.

@@ -124,8 +124,9 @@ def extract_sitemap_urls(s: SparkSession, d: str) -> DataFrame:
 
 
 def calendar(pulls: DataFrame) -> DataFrame:
-    """Every pull of every project, those without links too."""
-    return pulls.select("project_id").distinct().crossJoin(F.broadcast(pulls.select("pull_no").distinct()))
+    """Every pull of every project, those without links too; there are few pulls."""
+    numbers = sorted(r[0] for r in pulls.select("pull_no").distinct().collect())
+    return pulls.select("project_id").distinct().select("project_id", F.explode(F.array(*map(F.lit, numbers))).alias("pull_no"))
 
 
 _HISTORY = """, years AS (SELECT DISTINCT pull_no FROM backlink_pulls), r AS (SELECT *, dense_rank() OVER (ORDER BY pull_no) AS k FROM years), x AS (SELECT b.*, k, k - lag(k, 1, -1) OVER (PARTITION BY project_id, source_url, target_url ORDER BY k) > 1 AS new FROM backlink_pulls b JOIN r USING (pull_no)),

@@ -255,9 +255,9 @@ def serp_features(s: SparkSession, d: str) -> DataFrame:
 
 def targets(s: SparkSession, d: str) -> DataFrame:
     """For each keyword the site of the project that its number names."""
-    suppliers = s.read.parquet(f"{d}/supplier.parquet").agg(F.count("*").alias("n"))
-    ids = view(s, d, "serp_items").select("keyword_id").distinct().crossJoin(F.broadcast(suppliers))
-    return ids.select("keyword_id", (F.col("keyword_id") % F.col("n") + 1).alias("project_id")).withColumn("domain", F.concat(F.lit("www.D"), text("project_id"), F.lit(".example")))
+    n = s.read.parquet(f"{d}/supplier.parquet").count()
+    ids = view(s, d, "serp_items").select("keyword_id").distinct()
+    return ids.select("keyword_id", (F.col("keyword_id") % n + 1).alias("project_id")).withColumn("domain", F.concat(F.lit("www.D"), text("project_id"), F.lit(".example")))
 
 
 _TARGETS = ", t AS (SELECT keyword_id, keyword_id % (SELECT count(*) FROM supplier) + 1 AS project_id FROM (SELECT DISTINCT keyword_id FROM serp_items)), i AS (SELECT *, regexp_replace(lower(domain), '^www\\.', '') AS dom FROM serp_items)"
