@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, ascii_lower, join_small, table
+from .common import ascii_lower, join_small, table
 
 FILTER_BYTES = 8 << 20
 BITS_PER_KEY = 12
