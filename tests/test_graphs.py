@@ -179,6 +179,36 @@ def test_competitors(spark):
     assert {r.keyword_id: r.cluster for r in competitors.serp_overlap_clusters(items, 0.5).collect()} == {1: 1, 2: 1, 3: 1, 9: 9}
 
 
+def brute_overlaps(sets, least):
+    return {(a, b): len(x & y) for a, x in sets.items() for b, y in sets.items() if a < b and x & y and len(x & y) / len(x | y) >= least}
+
+
+def test_overlaps_of_results_on_many_pages(spark, monkeypatch):
+    """Every result is on more than 200 pages."""
+    import random
+
+    scratch(spark, "x")
+    r = random.Random(5)
+    sets = {k: {f"d{r.randrange(12)}.example" for _ in range(r.choice([1, 1, 2, 3, 4, 6, 9]))} for k in range(1_000)}
+    assert min(sum(f"d{i}.example" in x for x in sets.values()) for i in range(12)) > 200
+    items = spark.createDataFrame([(k, i, "organic", d) for k, ds in sets.items() for i, d in enumerate(ds)] + [(5_000, 1, "paid", "d1.example")], "keyword_id int, pos int, item_type string, domain string")
+    monkeypatch.setattr(competitors, "BLOCK", 7)
+    for least in (0.15, 0.4, 0.7):
+        want, root = brute_overlaps(sets, least), {k: k for k in [*sets, 5_000]}
+        got = [(row.a, row.b, row.shared) for row in competitors.serp_overlap(items, least).collect()]
+        assert sorted(got) == sorted((a, b, n) for (a, b), n in want.items())
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in want:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    assert {row.keyword_id: row.cluster for row in competitors.serp_overlap_clusters(items, 0.7).collect()} == {k: find(k) for k in root}
+
+
 def test_posts(spark):
     pages = spark.createDataFrame([(1, 1, "https://s/a/one/"), (2, 1, "https://s/two?x"), (3, 1, "https://s/"), (4, 1, "https://s/three")], "page_id int, project_id int, url string")
     posts = spark.createDataFrame([(1, "posts", "one", 42), (1, "pages", "two", 7), (1, "posts", "two", 8), (1, "posts", "two", 9), (1, "media", "three", 1), (1, "posts", "", 5)], "project_id int, post_type string, slug string, post_id int")

@@ -362,7 +362,7 @@ def keyword_gap(s: SparkSession, d: str) -> DataFrame:
 @job("serp_overlap_clusters")
 def serp_overlap_clusters(s: SparkSession, d: str) -> DataFrame:
     scratch(s, "clusters")
-    return competitors.serp_overlap_clusters(view(s, d, "serp_items"), 0.4, 200)
+    return competitors.serp_overlap_clusters(view(s, d, "serp_items"), 0.4)
 
 
 # Suggestions.
