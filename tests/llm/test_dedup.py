@@ -48,6 +48,27 @@ def test_one_of_a_group_of_thousands_stays(spark):
     assert {r.class_id for r in got} == {0}
 
 
+def test_links_within_a_family_that_is_not_near(spark):
+    """A thousand texts share a passage and are at 0.778 to each other; a hundred pairs of them are at 0.824."""
+    passage = [f"p{i}" for i in range(404)]
+    own = {i: [f"o{i}x{k}" for k in range(57)] for i in range(1_000)}
+    for i in range(0, 200, 2):
+        own[i + 1][:13] = own[i][:13]
+    names = {}
+    shingles = np.zeros((1_000, 60_000), np.float32)
+    texts = {i: " ".join(passage + w) for i, w in own.items()}
+    for i, t in texts.items():
+        w = t.split()
+        for k in range(len(w) - 4):
+            shingles[i, names.setdefault(tuple(w[k : k + 5]), len(names))] += 1
+    both = shingles @ shingles.T
+    near = both >= 0.8 * (2 * 457 - both)
+    want = {i: int(np.flatnonzero(near[i])[0]) for i in texts}
+    assert sorted(want.values()) == sorted([*range(0, 200, 2)] * 2 + [*range(200, 1_000)])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    assert {r.doc_id: r.class_id for r in dedup.near_duplicates(docs).collect()} == want
+
+
 def test_signatures_estimate_weighted_jaccard():
     r = np.random.default_rng(2)
     a, b = r.integers(0, 12, 300), r.integers(0, 12, 300)

@@ -8,7 +8,8 @@ that run on, so a text costs one hash per shingle and some points per register,
 
 Texts of equal words are one content. Bands of registers are keys; each content is compared with the smallest id of each of its keys,
 by the exact overlap of the multisets. Links are joined into classes. In keys that then hold more than one class,
-contents are compared once more by pairs of bands, which finds links that missed the smallest id.
+contents are compared once more by pairs of bands, which finds most links that missed the smallest id. In keys that still hold several
+classes, every pair of contents of different classes is compared, so no link between contents that share a key is left out.
 
 Defined results: null text is empty; texts without words are copies only where they are equal; texts of fewer than five words have one
 shingle; rows that repeat are of one class; a null doc_id is no class id unless all ids of a content are null, when a negative
@@ -31,6 +32,8 @@ LEAST = 0.8
 REGISTERS = 96
 BAND = 4
 BANDS = REGISTERS // BAND
+#: Contents of a key that are compared in one task; larger keys are dealt to pairs of blocks.
+BLOCK = 64
 #: A time limit of (log(registers) + SLACK) / weight leaves registers empty in about exp(-SLACK) of the texts.
 SLACK = 3.0
 U = np.uint64
@@ -169,31 +172,78 @@ def contents(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.md5(text).alias("same")).mapInArrow(write, ROW)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, named: DataFrame, least: float = LEAST) -> DataFrame:
-    """The pairs (a, b) whose texts are similar enough. named(id, doc_id, same) says which row of docs has the text of an id."""
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+def texts_of(wanted: DataFrame, docs: DataFrame, named: DataFrame) -> DataFrame:
+    """(id, text) of wanted(id). named(id, doc_id, same) says which row of docs has the text of an id."""
     rows = named.join(wanted, "id", "left_semi").select("id", F.col("doc_id").alias("_op6_doc"), "same")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("_same", F.md5("text"))
-    own = texts.join(rows, (F.col("_same") == F.col("same")) & F.col("doc_id").eqNullSafe(F.col("_op6_doc"))).groupBy("id").agg(F.first("text").alias("text"))
+    return texts.join(rows, (F.col("_same") == F.col("same")) & F.col("doc_id").eqNullSafe(F.col("_op6_doc"))).groupBy("id").agg(F.first("text").alias("text"))
+
+
+def bags(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The (sorted shingles, counts) of each text."""
+    text, shingle, count, _, _ = shingles(texts)
+    cuts = np.searchsorted(text, np.arange(len(texts) + 1))
+    out = []
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        order = np.argsort(shingle[a:b])
+        out.append((shingle[a:b][order], count[a:b][order]))
+    return out
+
+
+def verified(pairs: DataFrame, docs: DataFrame, named: DataFrame, least: float = LEAST) -> DataFrame:
+    """The pairs (a, b) whose texts are similar enough."""
+    own = texts_of(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), docs, named)
     both = pairs.join(own.select(F.col("id").alias("a"), F.col("text").alias("_ta")), "a").join(own.select(F.col("id").alias("b"), F.col("text").alias("_tb")), "b")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sides = []
-            for k in (2, 3):
-                text, shingle, count, _, _ = shingles(batch.column(k))
-                cuts = np.searchsorted(text, np.arange(batch.num_rows + 1))
-                bags = []
-                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                    order = np.argsort(shingle[a:b])
-                    bags.append((shingle[a:b][order], count[a:b][order]))
-                sides.append(bags)
-            keep = pa.array([similarity(x, y) >= least for x, y in zip(*sides, strict=True)], pa.bool_())
+            keep = pa.array([similarity(x, y) >= least for x, y in zip(bags(batch.column(2)), bags(batch.column(3)), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
     return both.select("a", "b", "_ta", "_tb").mapInArrow(write, "a long, b long")
 
 
+def remaining(classed: DataFrame, docs: DataFrame, named: DataFrame, least: float = LEAST) -> DataFrame:
+    """The links (a, b) among all pairs of classed(id, key, root) that share a key and differ in root.
+
+    The members of a key's largest class meet blocks of the others only, and the others meet block by block; a text is read
+    once in a cell, and a pair is compared in the first key that it shares."""
+    by = classed.groupBy("key", "root").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "root")).alias("x"), F.sum("m").alias("n")).where("x.m < n")
+    blocks = lambda c: F.ceil(c / BLOCK).cast("int")
+    split = by.select("key", F.col("x.root").alias("top"), blocks(F.col("x.m")).alias("kd"), blocks(F.col("n") - F.col("x.m")).alias("ko"))
+    rows = classed.join(split, "key").withColumn("first", F.col("root") == F.col("top")).withColumn("own", F.pmod(F.xxhash64("id"), F.when(F.col("first"), F.col("kd")).otherwise(F.col("ko"))).cast("int"))
+    upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    cell = lambda mixed, lo, hi: F.struct(F.lit(mixed).alias("mixed"), lo.alias("lo"), hi.alias("hi"))
+    own = F.col("own")
+    firsts = F.transform(upto("ko"), lambda k: cell(True, own, k))
+    others = F.concat(F.transform(upto("kd"), lambda k: cell(True, k, own)), F.transform(upto("ko"), lambda k: cell(False, F.least(own, k), F.greatest(own, k))))
+    cells = rows.select("key", "id", "root", "first", "own", F.explode(F.when(F.col("first"), firsts).otherwise(others)).alias("c")).select("key", "c.*", "id", "root", "first", "own").checkpoint()
+    texts = texts_of(cells.select("id").distinct(), docs, named).join(named.select("id", "bands"), "id")
+    out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def compare(cell: pa.Table) -> pa.Table:
+        key, mixed, lo, hi = (cell.column(n)[0].as_py() for n in ("key", "mixed", "lo", "hi"))
+        ids, root, first, own = (cell.column(n).to_numpy() for n in ("id", "root", "first", "own"))
+        bands = np.array(cell.column("bands").to_pylist(), np.int64)
+        at = int(np.flatnonzero(bands[0] == key)[0])
+        bag = bags(cell.column("text").combine_chunks())
+        weight = np.array([c.sum() for _, c in bag])
+        a, b = [], []
+        for i in range(len(ids)):
+            meets = (ids > ids[i]) & (root != root[i]) & ((first != first[i]) if mixed else ((own != own[i]) | (lo == hi)))
+            # texts whose sizes differ too much are not similar, whatever they share
+            meets &= np.minimum(weight, weight[i]) >= least * np.maximum(weight, weight[i])
+            if at:
+                meets &= ~(bands[:, :at] == bands[i, :at]).any(axis=1)
+            for j in np.flatnonzero(meets):
+                if similarity(bag[i], bag[j]) >= least:
+                    a.append(max(ids[i], ids[j]))
+                    b.append(min(ids[i], ids[j]))
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=out)
+
+    return cells.join(texts, "id").groupBy("key", "mixed", "lo", "hi").applyInArrow(compare, "a long, b long")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, root): the smallest id that each linked id reaches, by alternating large and small stars. Links (a, b) are
     checkpointed each round; the rounds end when their number and sum stay the same."""
@@ -239,7 +289,12 @@ def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
     both = own.select(F.explode(two).alias("key"), "id", "root")
     more = verified(apart(both).join(pairs, ["a", "b"], "left_anti"), docs, named, least).checkpoint()
     if more.limit(1).count():
-        roots = components(links.union(more))
+        links = links.union(more).checkpoint()
+        roots = components(links)
+    classed = named.select("id", F.explode("bands").alias("key")).join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    rest = remaining(classed, docs, named, least).distinct().checkpoint()
+    if rest.limit(1).count():
+        roots = components(links.union(rest))
     rooted = named.select("content", "id", "doc_id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     made = -1 - F.pmod("root", F.lit(1 << 62))
     smallest = rooted.groupBy("root").agg(F.min("doc_id").alias("class_id")).withColumn("class_id", F.coalesce("class_id", made))
