@@ -4,6 +4,7 @@ from collections import Counter
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,6 +91,19 @@ def test_subwords_of_words_taken_together():
         assert list(ids[a:b]) == s.encoding.encode_ordinary(" " + w)
 
 
+def test_every_token_of_every_training_document_trains():
+    texts = ["", "one", "a few words only", *(f"{i} the same words again and again " * (1 + i % 9) for i in range(40))]
+    held = [i % 5 == 4 for i in range(len(texts))]
+    subwords = lm.Subwords()
+    row = lm.segment_rows("s", list(range(len(texts))), held, pa.array(texts, pa.large_string()), subwords)
+    windows = lm.windows_of(row)
+    want = Counter(int(x) for t, h in zip(texts, held, strict=True) if not h for w in t.split() for x in subwords.encode([w.encode()])[0])
+    want[lm.END] = held.count(False)
+    targets = windows[:, lm.WIDE :]
+    assert Counter(targets[targets != lm.NONE].tolist()) == want
+    assert (windows[:, : lm.WIDE] == lm.START).sum(axis=1).max() == 1 and (windows[:, lm.NEW] == lm.START).sum() == held.count(False)
+
+
 def base(texts):
     """Counts and base scores in plain Python."""
     def words(t):

@@ -6,8 +6,8 @@ before it. Subwords are clustered into classes by that; the model predicts the c
 the subwords before it, and the subword within its class follows from counts after that kind of subword, so probabilities
 of all subwords sum to 1.
 
-The model trains on a fixed share of the windows of every training document, by segments in parallel: each segment runs Adam from
-the common weights, Spark averages the weights, and that is done ROUNDS times. Scoring runs over windows of 32 inputs that overlap
+The model trains on all windows of every training document, by segments in parallel: each segment runs Adam from the common
+weights, Spark averages the weights, and that is done ROUNDS times. Scoring runs over windows of 32 inputs that overlap
 by half; each scores the 16 tokens that no other does, so every token is scored once with 16 to 31 tokens before it.
 
 Word tokens are lower-case runs without white space; the model reads " " + word, and an end token after the last.
@@ -33,8 +33,6 @@ from .common import SPACE_BYTES, scratch, small_batches, table, words_of
 
 TOKENIZER = os.environ.get("VISIGRAPH_TOKENIZER", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
 SEGMENT_WORDS = 2_000_000
-#: One of so many windows of each training document trains the attention.
-TRAIN_EVERY = 12
 ROUNDS = 2
 #: Subwords of the tokenizer, then the end token; START and BEFORE only occur as inputs.
 SUBWORDS = 50_256
@@ -50,7 +48,7 @@ SCALE = DIM**-0.5
 #: Counts within a class that a kind of subword before needs to outweigh those of all kinds.
 PRIOR = 200.0
 
-SEGMENTS = "segment string, doc_ids array<long>, held array<boolean>, n_words array<long>, codes binary, words array<binary>, counts array<int>, pieces binary, piece_counts binary, training binary"
+SEGMENTS = "segment string, doc_ids array<long>, held array<boolean>, n_words array<long>, codes binary, words array<binary>, counts array<int>, pieces binary, piece_counts binary"
 
 
 # Subwords.
@@ -129,26 +127,29 @@ def with_ends(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndar
 # Segments.
 
 
-def segment_rows(name: str, ids: list, held: list, texts: pa.Array, subwords: Subwords, every: int) -> dict:
+def segment_rows(name: str, ids: list, held: list, texts: pa.Array, subwords: Subwords) -> dict:
     words, n_words = words_of(texts, SPACE_BYTES)
     n_words, held = np.asarray(n_words, np.int64), np.array(held, bool)
     coded = words.dictionary_encode()
     codes, distinct = np.asarray(coded.indices, np.int32), coded.dictionary
     trained = np.repeat(~held, n_words)
     pieces, counts = subwords.encode([w.replace(b"\xff", b"\0") for w in distinct.to_pylist()])
-    out = {"segment": name, "doc_ids": ids, "held": held, "n_words": n_words, "codes": pack(codes), "words": distinct.cast(pa.binary()), "counts": np.bincount(codes[trained], minlength=len(distinct)).astype(np.int32), "pieces": pack(pieces), "piece_counts": pack(counts.astype(np.uint16))}
-    # windows that train: NEW + 1 rows of context and the targets, of which -1 stands behind the end
-    took = []
-    for tokens, lengths in documents(codes[trained], n_words[~held], pieces, counts):
+    return {"segment": name, "doc_ids": ids, "held": held, "n_words": n_words, "codes": pack(codes), "words": distinct.cast(pa.binary()), "counts": np.bincount(codes[trained], minlength=len(distinct)).astype(np.int32), "pieces": pack(pieces), "piece_counts": pack(counts.astype(np.uint16))}
+
+def windows_of(r: dict) -> np.ndarray:
+    """All windows of the training documents of a stored segment: NEW inputs of context, NEW inputs, and their targets, or NONE behind the end."""
+    held, n_words = np.array(r["held"], bool), np.array(r["n_words"], np.int64)
+    codes = unpack(r["codes"], np.int32)[np.repeat(~held, n_words)]
+    took = [np.zeros((0, WIDE + NEW), np.uint16)]
+    for tokens, lengths in documents(codes, n_words[~held], unpack(r["pieces"], np.uint16), unpack(r["piece_counts"], np.uint16).astype(np.int64)):
         inputs, begins, at = streams(tokens, lengths)
-        targets = np.full(len(inputs), -1, np.int64)
+        targets = np.full(len(inputs), NONE, np.uint16)
         targets[at] = tokens
         window = np.arange(len(inputs) // NEW)
-        first = np.isin(window, begins // NEW)
-        chosen = window[~first & ((window * 2654435761 >> 7) % every == 0)]
-        grid, wanted = inputs.reshape(-1, NEW), targets.reshape(-1, NEW)
-        took.append(np.concatenate([grid[chosen - 1], grid[chosen], np.where(wanted[chosen] < 0, NONE, wanted[chosen])], axis=1).astype(np.uint16))
-    return out | {"training": pack(np.concatenate(took).ravel() if took else np.zeros(0, np.uint16))}
+        chosen = window[~np.isin(window, begins // NEW)]
+        grid = inputs.astype(np.uint16).reshape(-1, NEW)
+        took.append(np.concatenate([grid[chosen - 1], grid[chosen], targets.reshape(-1, NEW)[chosen]], axis=1))
+    return np.concatenate(took)
 
 
 def documents(codes: np.ndarray, n_words: np.ndarray, pieces: np.ndarray, counts: np.ndarray, most: int = 200_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -164,9 +165,9 @@ def documents(codes: np.ndarray, n_words: np.ndarray, pieces: np.ndarray, counts
         a = b
 
 
-def store_segments(docs: DataFrame, out: str, tokenizer: str, segment_words: int, every: int) -> DataFrame:
+def store_segments(docs: DataFrame, out: str, tokenizer: str, segment_words: int) -> DataFrame:
     small_batches(docs.sparkSession)
-    kind = pa.schema([("segment", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("n_words", pa.list_(pa.int64())), ("codes", pa.binary()), ("words", pa.list_(pa.binary())), ("counts", pa.list_(pa.int32())), ("pieces", pa.binary()), ("piece_counts", pa.binary()), ("training", pa.binary())])
+    kind = pa.schema([("segment", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("n_words", pa.list_(pa.int64())), ("codes", pa.binary()), ("words", pa.list_(pa.binary())), ("counts", pa.list_(pa.int32())), ("pieces", pa.binary()), ("piece_counts", pa.binary())])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
@@ -176,7 +177,7 @@ def store_segments(docs: DataFrame, out: str, tokenizer: str, segment_words: int
 
         def row() -> pa.RecordBatch:
             # the name only has to be unique: all that depends on it comes from the stored row
-            s = segment_rows(uuid.uuid4().hex, ids, held, pa.concat_arrays(texts), subwords, every)
+            s = segment_rows(uuid.uuid4().hex, ids, held, pa.concat_arrays(texts), subwords)
             return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(s["words"])], pa.int32()), s["words"]) if f.name == "words" else pa.array([s[f.name]], f.type) for f in kind], schema=kind)
 
         for batch in batches:
@@ -381,8 +382,8 @@ def train(segments: DataFrame, rounds: int = ROUNDS) -> Model:
 
         def fit(batches: Iterator[pa.RecordBatch], i: int = i, sent=sent) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
             for batch in batches:
-                for x in batch.column(0):
-                    windows = unpack(x.as_py(), np.uint16).reshape(-1, WIDE + NEW).astype(np.int32)
+                for k in range(batch.num_rows):
+                    windows = windows_of({n: batch.column(n)[k].as_py() for n in batch.schema.names})
                     if len(windows):
                         local = Model.__new__(Model)
                         local.__dict__ |= sent.value.__dict__ | {"p": {k: v.copy() for k, v in sent.value.p.items()}}
@@ -390,7 +391,7 @@ def train(segments: DataFrame, rounds: int = ROUNDS) -> Model:
                         flat = local.flat()
                         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat.astype(np.float64) * len(windows)), pa.array(np.full(len(flat), len(windows), np.int64))], names=["at", "x", "n"])
 
-        means = segments.select("training").mapInArrow(fit, "at int, x double, n long").groupBy("at").agg(F.sum("x"), F.sum("n")).collect()
+        means = segments.select("held", "n_words", "codes", "pieces", "piece_counts").mapInArrow(fit, "at int, x double, n long").groupBy("at").agg(F.sum("x"), F.sum("n")).collect()
         if not means:
             break
         flat = model.flat()
@@ -419,10 +420,10 @@ def word_counts(segments: DataFrame, out: str) -> DataFrame:
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score_documents(docs: DataFrame, tokenizer: str = TOKENIZER, segment_words: int = SEGMENT_WORDS, every: int = TRAIN_EVERY) -> DataFrame:
+def score_documents(docs: DataFrame, tokenizer: str = TOKENIZER, segment_words: int = SEGMENT_WORDS) -> DataFrame:
     """Base and model scores of docs(doc_id, text), both learned from all rows that are not held out."""
     spark = docs.sparkSession
-    segments = store_segments(docs, scratch(spark, "segments"), tokenizer, segment_words, every)
+    segments = store_segments(docs, scratch(spark, "segments"), tokenizer, segment_words)
     counts = word_counts(segments, scratch(spark, "counts"))
     sums = segments.agg(F.sum(F.size(F.filter("held", lambda h: ~h))), F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, b: a + b))).first()
     ends = sums[0] or 0
