@@ -84,6 +84,14 @@ def test_frontier_and_plan(spark):
     assert plan == {1: ["h", "s1"], 2: ["h", "c"]}
 
 
+def test_frontier_of_a_long_chain(spark):
+    scratch(spark, "x")
+    edges = spark.createDataFrame([(1, f"p{i}", f"p{i + 1}") for i in range(54)], "project_id int, url_from string, url_to string")
+    starts = spark.createDataFrame([(1, "p0")], "project_id int, url string")
+    assert {r.url: r.depth for r in links.crawl_frontier(edges, starts).collect()} == {f"p{i}": i for i in range(55)}
+    assert links.crawl_frontier(edges, starts, 3).count() == 4
+
+
 def test_sitemaps(spark):
     o = "https://a.example"
     rows = [

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -64,12 +66,12 @@ def broken_links(links: DataFrame) -> DataFrame:
     return links.where("is_broken").withColumn("_s", F.coalesce("status_code", F.lit(0))).orderBy(F.desc("_s"), "url_from", "url_to").drop("_s")
 
 
-def crawl_frontier(edges: DataFrame, starts: DataFrame, max_depth: int = 50) -> DataFrame:
+def crawl_frontier(edges: DataFrame, starts: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(project_id, url, depth) reachable from starts(project_id, url) over edges(project_id, url_from, url_to), breadth first. Each
-    level joins the last one with the edges and is checkpointed; it ends with an empty level."""
+    level joins the last one with the edges and is checkpointed; it ends with an empty level, or at max_depth where that is given."""
     edges = edges.select("project_id", F.col("url_from").alias("url"), F.col("url_to").alias("_to")).distinct().checkpoint()
     seen = level = starts.select("project_id", "url", F.lit(0).alias("depth")).distinct().checkpoint()
-    for depth in range(1, max_depth + 1):
+    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         level = level.drop("depth").join(edges, ["project_id", "url"]).select("project_id", F.col("_to").alias("url")).distinct().join(seen, ["project_id", "url"], "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
         if level.isEmpty():
             break
