@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -111,10 +112,23 @@ def test_rows_that_repeat_an_id_with_other_texts(spark):
 
 
 def test_components_of_a_long_path(spark):
-    from visigraph.llm.common import shared_dir
+    from visigraph.llm.common import Work
 
-    shared_dir(spark)
     links = spark.createDataFrame([(i, i + 1) for i in range(12)] + [(100, 101), (5, 5)], "a long, b long")
-    got = {r.id: r.root for r in dedup.components(links).collect()}
+    got = {r.id: r.root for r in dedup.components(links, Work(spark)).collect()}
     assert {got.get(i, i) for i in range(13)} == {0} and got[101] == 100
-    assert dedup.components(links.limit(0)).count() == 0
+    assert dedup.components(links.limit(0), Work(spark)).count() == 0
+
+
+def test_bags_give_the_overlap_of_multisets():
+    r = random.Random(5)
+    texts = [" ".join(r.choices("abcde", k=r.randrange(5, 90))) for _ in range(40)] + ["x y z", "a " * 300]
+    text, shingle, count, _, _ = dedup.shingles(pa.array(texts))
+    sets = [dedup.elements(b) for b in dedup.bags(text, shingle, count, len(texts))]
+    words = [t.split() for t in texts]
+    plain = [Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) for w in words]
+    want = np.array([[sum((a & b).values()) for b in plain] for a in plain])
+    for run in (3, 32):
+        got = dedup.overlaps(sets, run)
+        assert all(got[i, j] == want[i, j] for i in range(len(texts)) for j in range(len(texts)) if i != j)
+    assert [len(s) for s in sets] == list(np.diag(want)) and all((np.diff(s) > 0).all() for s in sets)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -24,13 +25,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset (tests), a new temporary one."""
+    """The folder of spark.checkpoint.dir; where that is unset and Spark runs in one process (tests), a new temporary one."""
     sc = spark.sparkContext
     if base := sc.getConf().get("spark.checkpoint.dir"):
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(base)
         return base.rstrip("/")
     if not sc.getCheckpointDir():
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return sc.getCheckpointDir()
 
@@ -40,6 +43,36 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a path of `scratch`."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+class Work:
+    """Tables that a job writes for itself below the shared folder: they cut lineage, and go once they are spent."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def store(self, df: DataFrame, name: str, partitions: int | None = None) -> DataFrame:
+        """df, written and read again. Spark drops its shuffle files as soon as it is written."""
+        path, cleanup = scratch(self.spark, name), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        before = self.spark.conf.get(cleanup, "false")
+        self.spark.conf.set(cleanup, "true")
+        try:
+            (df.select("*") if partitions is None else df.coalesce(partitions)).write.parquet(path)
+        finally:
+            self.spark.conf.set(cleanup, before)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = (out, path)  # holds out, so that no other frame gets its number
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for t in tables:
+            remove(self.spark, self.paths.pop(id(t))[1])
+
+
 def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 

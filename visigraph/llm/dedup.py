@@ -6,10 +6,10 @@ is at most w. A register keeps its earliest point, so two texts agree on it with
 similarity. Processes run only up to the time at which all registers of a text of that total weight are filled, with few exceptions
 that run on, so a text costs one hash per shingle and some points per register, whatever its length.
 
-Texts of equal words are one content. Bands of registers are keys; each content is compared with the smallest id of each of its keys,
-by the exact overlap of the multisets. Links are joined into classes. In keys that then hold more than one class,
-contents are compared once more by pairs of bands, which finds most links that missed the smallest id. In keys that still hold several
-classes, every pair of contents of different classes is compared, so no link between contents that share a key is left out.
+Texts of equal words are one content, and bands of registers are keys of contents. First each content is compared with the smallest id of
+each of its keys, by the exact overlap of the multisets, and links are joined into classes. Then, in keys whose other members
+still are of several classes, all pairs of members of different classes are compared, so no link between contents that share a key is left out. Both
+steps read packed multisets ("bags") of those contents only that share a key, and deal large groups to blocks of bounded size.
 
 Defined results: null text is empty; texts without words are copies only where they are equal; texts of fewer than five words have one
 shingle; rows that repeat are of one class; a null doc_id is no class id unless all ids of a content are null, when a negative
@@ -22,18 +22,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTES, mixed, scratch, shared_dir, small_batches, table, words_of
+from .common import BATCH_ROWS, WORD_BYTES, Work, join_small, mixed, shared_dir, small_batches, table, words_of
 
 SHINGLE = 5
 LEAST = 0.8
 REGISTERS = 96
 BAND = 4
 BANDS = REGISTERS // BAND
-#: Contents of a key that are compared in one task; larger keys are dealt to pairs of blocks.
-BLOCK = 64
+#: Members of a group that meet its head in one task, and bytes of bags and members of a block where pairs of blocks meet.
+STAR = 1_024
+BLOCK_BYTES = 2 << 20
+BLOCK_ROWS = 512
+#: Most ids of a side that is broadcast: a million of them are 16 MB.
+BROADCAST_IDS = 1_000_000
 #: A time limit of (log(registers) + SLACK) / weight leaves registers empty in about exp(-SLACK) of the texts.
 SLACK = 3.0
 U = np.uint64
@@ -44,7 +48,10 @@ def times(n: int) -> np.uint64:
     return U(n * int(PRIME) & 0xFFFFFFFFFFFFFFFF)
 
 
-ROW = "doc_id long, same string, content string, bands array<long>"
+ROW = "doc_id long, same string, content string, weight int, bands array<long>"
+#: Bytes of a shingle's hash.
+WIDTH = 6
+SHORT = U(64 - 8 * WIDTH)
 
 
 def word_hashes(words: pa.LargeBinaryArray) -> np.ndarray:
@@ -60,7 +67,8 @@ def word_hashes(words: pa.LargeBinaryArray) -> np.ndarray:
 
 
 def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, shingle, count) of all distinct shingles, sorted by text, the words of each text and a hash of their sequence."""
+    """(text, shingle, count) of all distinct shingles, sorted by text and shingle, the words of each text and a hash of their sequence."""
+    assert len(texts) < 1 << 64 - 8 * WIDTH
     words, n = words_of(texts, WORD_BYTES)
     n = np.asarray(n, np.int64)
     h = word_hashes(words)
@@ -79,14 +87,32 @@ def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     cuts = np.concatenate([[0], np.cumsum(n)])
     sums = [np.concatenate([np.zeros(1, U), np.cumsum(mixed(h ^ mixed(inside.astype(U) + U(k))), dtype=U)]) for k in (11, 1_000_003)]
     content = np.column_stack([x[cuts[1:]] - x[cuts[:-1]] for x in sums])
-    key = mixed(s ^ mixed(text.astype(U) + U(77)))
-    order = np.argsort(key)
-    order = order[np.argsort(text[order], kind="stable")] if len(n) > 1 else order
-    key, text, s = key[order], text[order], s[order]
-    first = np.ones(len(key), bool)
-    first[1:] = key[1:] != key[:-1]
-    starts = np.flatnonzero(first)
-    return text[starts], s[starts], np.diff(np.append(starts, len(key))), n, content
+    key = np.sort((text.astype(U) << U(8 * WIDTH)) | (s >> SHORT))
+    starts = np.flatnonzero(np.diff(key, prepend=~key[:1]))
+    text, s = parted(key[starts])
+    return text, s, np.diff(np.append(starts, len(key))), n, content
+
+
+def parted(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return (key >> U(8 * WIDTH)).astype(np.int64), key & U((1 << 8 * WIDTH) - 1)
+
+
+def bags(text: np.ndarray, shingle: np.ndarray, count: np.ndarray, texts: int) -> list[bytes]:
+    """Each text's multiset as a set: the k-th occurrence of a shingle is an element of its own. Elements are sorted, WIDTH bytes each."""
+    again = np.flatnonzero(count > 1)
+    more = np.repeat(again, count[again] - 1)
+    nth = np.arange(len(more)) - np.repeat(np.cumsum(count[again] - 1) - (count[again] - 1), count[again] - 1) + 1
+    own = mixed(shingle[more] + nth.astype(U) * PRIME) >> SHORT
+    text, element = parted(np.sort(np.concatenate([text.astype(U) << U(8 * WIDTH) | shingle, text[more].astype(U) << U(8 * WIDTH) | own])))
+    cuts = np.searchsorted(text, np.arange(texts + 1)) * WIDTH
+    packed = np.ascontiguousarray(element.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WIDTH]).tobytes()
+    return [packed[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def elements(bag: bytes) -> np.ndarray:
+    out = np.zeros((len(bag) // WIDTH, 8), np.uint8)
+    out[:, :WIDTH] = np.frombuffer(bag, np.uint8).reshape(-1, WIDTH)
+    return out.view("<u8")[:, 0]
 
 
 def signatures(text: np.ndarray, shingle: np.ndarray, count: np.ndarray, texts: int, registers: int = REGISTERS) -> np.ndarray:
@@ -148,176 +174,218 @@ def band_keys(signature: np.ndarray, band: int = BAND) -> np.ndarray:
     return out.view(np.int64)
 
 
-def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Weighted Jaccard of two multisets as (sorted shingles, counts)."""
-    common, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    both = int(np.minimum(a[1][i], b[1][j]).sum())
-    return both / max(1, int(a[1].sum() + b[1].sum()) - both)
+def similar(a: int, b: int, both: np.ndarray | int, least: float) -> np.ndarray | bool:
+    """Whether sets of a and b elements with so many in common reach the weighted Jaccard similarity."""
+    return both >= least * (a + b - both)
+
+
+def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    for at in range(0, batch.num_rows, BATCH_ROWS):
+        yield batch.slice(at, BATCH_ROWS)
 
 
 def contents(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) to (doc_id, same, content, bands): same is the text's md5, content names its words, and bands are empty without words."""
+    """docs(doc_id, text) to (doc_id, same, content, weight, bands): same is the text's md5, content names its words, weight counts its
+    shingles, and bands are empty without words."""
     small_batches(docs.sparkSession)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (p for b in batches for p in pieces(b)):
             text, shingle, count, n, content = shingles(batch.column(1))
             keys = band_keys(signatures(text, shingle, count, batch.num_rows))
             names = [f"{a:016x}{b:016x}{w}" if w else f"={t}" for (a, b), w, t in zip(content, n, batch.column(2).to_pylist(), strict=True)]
             sizes = np.where(n > 0, BANDS, 0)
             bands = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(keys[n > 0].ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(names, pa.string()), bands], names=["doc_id", "same", "content", "bands"])
+            weight = pa.array(np.bincount(text, count, batch.num_rows).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(names, pa.string()), weight, bands], names=["doc_id", "same", "content", "weight", "bands"])
 
-    text = F.coalesce("text", F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.md5(text).alias("same")).mapInArrow(write, ROW)
+    return texts_of(docs).select("doc_id", "text", "same").mapInArrow(write, ROW)
 
 
-def texts_of(wanted: DataFrame, docs: DataFrame, named: DataFrame) -> DataFrame:
-    """(id, text) of wanted(id). named(id, doc_id, same) says which row of docs has the text of an id."""
-    rows = named.join(wanted, "id", "left_semi").select("id", F.col("doc_id").alias("_op6_doc"), "same")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("_same", F.md5("text"))
-    return texts.join(rows, (F.col("_same") == F.col("same")) & F.col("doc_id").eqNullSafe(F.col("_op6_doc"))).groupBy("id").agg(F.first("text").alias("text"))
+def texts_of(docs: DataFrame) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.md5(text).alias("same"))
 
 
-def bags(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The (sorted shingles, counts) of each text."""
-    text, shingle, count, _, _ = shingles(texts)
-    cuts = np.searchsorted(text, np.arange(len(texts) + 1))
-    out = []
-    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        order = np.argsort(shingle[a:b])
-        out.append((shingle[a:b][order], count[a:b][order]))
-    return out
+def row_key(doc_id: str = "doc_id", same: str = "same") -> Column:
+    """One string that names a row by its id and text."""
+    return F.concat_ws(":", F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), same)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, named: DataFrame, least: float = LEAST) -> DataFrame:
-    """The pairs (a, b) whose texts are similar enough."""
-    own = texts_of(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), docs, named)
-    both = pairs.join(own.select(F.col("id").alias("a"), F.col("text").alias("_ta")), "a").join(own.select(F.col("id").alias("b"), F.col("text").alias("_tb")), "b")
+def bags_of(wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id, bag) of wanted(id, doc_id, same), whose doc_id and same name the row of docs with the text of an id."""
+    rows = wanted.select("id", row_key().alias("_op6_row"))
+    texts = join_small(texts_of(docs).withColumn("_op6_row", row_key()), rows, ["_op6_row"], "inner", rows.count()).select("id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = pa.array([similarity(x, y) >= least for x, y in zip(bags(batch.column(2)), bags(batch.column(3)), strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+        for batch in (p for b in batches for p in pieces(b)):
+            text, shingle, count, _, _ = shingles(batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bags(text, shingle, count, batch.num_rows), pa.binary())], names=["id", "bag"])
 
-    return both.select("a", "b", "_ta", "_tb").mapInArrow(write, "a long, b long")
+    return texts.mapInArrow(write, "id long, bag binary").dropDuplicates(["id"])  # rows may repeat
 
 
-def remaining(classed: DataFrame, docs: DataFrame, named: DataFrame, least: float = LEAST) -> DataFrame:
-    """The links (a, b) among all pairs of classed(id, key, root) that share a key and differ in root.
+def star_links(pairs: DataFrame, bag: DataFrame, least: float) -> DataFrame:
+    """The links among pairs(a, b, n): b is a head of up to n members. Groups are dealt to cells of about STAR members that each get
+    the head's bag, and a task compares a cell in one pass, the head first."""
+    dealt = pairs.withColumn("salts", F.ceil(F.col("n") / STAR).cast("int")).withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int"))
+    heads = dealt.select("b", "salts", "salt").distinct().withColumn("id", F.col("b"))
+    rows = heads.unionByName(dealt.select("b", "salts", "salt", F.col("a").alias("id"))).join(bag, "id")
+    cells = rows.repartition("b", "salts", "salt").sortWithinPartitions("b", "salts", "salt", F.col("id") != F.col("b"))
 
-    The members of a key's largest class meet blocks of the others only, and the others meet block by block; a text is read
-    once in a cell, and a pair is compared in the first key that it shares."""
-    by = classed.groupBy("key", "root").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "root")).alias("x"), F.sum("m").alias("n")).where("x.m < n")
-    blocks = lambda c: F.ceil(c / BLOCK).cast("int")
-    split = by.select("key", F.col("x.root").alias("top"), blocks(F.col("x.m")).alias("kd"), blocks(F.col("n") - F.col("x.m")).alias("ko"))
-    rows = classed.join(split, "key").withColumn("first", F.col("root") == F.col("top")).withColumn("own", F.pmod(F.xxhash64("id"), F.when(F.col("first"), F.col("kd")).otherwise(F.col("ko"))).cast("int"))
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, head = None, None
+        for batch in batches:
+            a, b = [], []
+            for i, top, bag in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if i == top:
+                    if top != at:
+                        at, head = top, elements(bag.as_py())
+                    continue
+                own = elements(bag.as_py())
+                if min(len(own), len(head)) >= least * max(len(own), len(head)):
+                    place = np.searchsorted(head, own)
+                    both = np.count_nonzero(head[np.minimum(place, len(head) - 1)] == own)
+                    if similar(len(own), len(head), both, least):
+                        a.append(i)
+                        b.append(top)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return cells.select("id", "b", "bag").mapInArrow(compare, "a long, b long")
+
+
+def overlaps(sets: list[np.ndarray], run: int = 32) -> np.ndarray:
+    """The number of common elements of any two sets. Elements of few sets are counted pair by pair, those of many as columns of a matrix."""
+    n = len(sets)
+    element = np.concatenate(sets)
+    owner = np.repeat(np.arange(n), [len(x) for x in sets])
+    order = np.argsort(element, kind="stable")
+    element, owner = element[order], owner[order]
+    starts = np.flatnonzero(np.diff(element, prepend=~element[:1]))
+    length = np.diff(np.append(starts, len(element)))
+    both = np.zeros(n * n, np.float32)
+    few = np.repeat((length > 1) & (length <= run), length)
+    e, o = element[few], owner[few]
+    for lag in range(1, run):
+        same = np.flatnonzero(e[lag:] == e[:-lag])
+        if not len(same):
+            break
+        both += np.bincount(o[same] * n + o[same + lag], minlength=n * n)
+    both = both.reshape(n, n)
+    both += both.T
+    many = np.flatnonzero(length > run)
+    for at in range(0, len(many), 4_096):
+        part = many[at : at + 4_096]
+        column = np.repeat(np.arange(len(part)), length[part])
+        row = owner[np.repeat(starts[part] - (np.cumsum(length[part]) - length[part]), length[part]) + np.arange(length[part].sum())]
+        grid = np.zeros((n, len(part)), np.float32)
+        grid[row, column] = 1
+        both += grid @ grid.T
+    return both
+
+
+def rest_links(members: DataFrame, roots: DataFrame, bag: DataFrame, least: float, work: Work) -> DataFrame:
+    """The links (a, b) among all pairs of members(key, id, weight) that share a key and differ in their root.
+
+    The members of a key's largest class meet blocks of the others only, and the others meet block by block."""
+    classed = members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    by = classed.groupBy("key", "root").agg(F.count("*").alias("m"), F.sum("weight").alias("w")).groupBy("key").agg(F.max(F.struct("m", "w", "root")).alias("x"), F.sum("m").alias("n"), F.sum("w").alias("w")).where("x.m < n")
+    blocks = lambda rows, weight: F.ceil(F.greatest(rows / BLOCK_ROWS, weight * (WIDTH / BLOCK_BYTES))).cast("int")
+    split = work.store(by.select("key", F.col("x.root").alias("top"), blocks(F.col("x.m"), F.col("x.w")).alias("kd"), blocks(F.col("n") - F.col("x.m"), F.col("w") - F.col("x.w")).alias("ko")), "split")
+    found = split.count()
+    if not found:
+        return split.select(F.col("top").alias("a"), F.col("top").alias("b"))
+    rows = join_small(classed, split, ["key"], "inner", found).withColumn("first", F.col("root") == F.col("top"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.when(F.col("first"), F.col("kd")).otherwise(F.col("ko"))).cast("int"))
     upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
     cell = lambda mixed, lo, hi: F.struct(F.lit(mixed).alias("mixed"), lo.alias("lo"), hi.alias("hi"))
     own = F.col("own")
     firsts = F.transform(upto("ko"), lambda k: cell(True, own, k))
     others = F.concat(F.transform(upto("kd"), lambda k: cell(True, k, own)), F.transform(upto("ko"), lambda k: cell(False, F.least(own, k), F.greatest(own, k))))
-    cells = rows.select("key", "id", "root", "first", "own", F.explode(F.when(F.col("first"), firsts).otherwise(others)).alias("c")).select("key", "c.*", "id", "root", "first", "own").checkpoint()
-    texts = texts_of(cells.select("id").distinct(), docs, named).join(named.select("id", "bands"), "id")
+    cells = rows.select("key", "id", "root", "first", "own", F.explode(F.when(F.col("first"), firsts).otherwise(others)).alias("c")).select("key", "c.*", "id", "root", "first", "own")
     out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def compare(cell: pa.Table) -> pa.Table:
-        key, mixed, lo, hi = (cell.column(n)[0].as_py() for n in ("key", "mixed", "lo", "hi"))
+        mixed, lo, hi = (cell.column(n)[0].as_py() for n in ("mixed", "lo", "hi"))
         ids, root, first, own = (cell.column(n).to_numpy() for n in ("id", "root", "first", "own"))
-        bands = np.array(cell.column("bands").to_pylist(), np.int64)
-        at = int(np.flatnonzero(bands[0] == key)[0])
-        bag = bags(cell.column("text").combine_chunks())
-        weight = np.array([c.sum() for _, c in bag])
-        a, b = [], []
-        for i in range(len(ids)):
-            meets = (ids > ids[i]) & (root != root[i]) & ((first != first[i]) if mixed else ((own != own[i]) | (lo == hi)))
-            # texts whose sizes differ too much are not similar, whatever they share
-            meets &= np.minimum(weight, weight[i]) >= least * np.maximum(weight, weight[i])
-            if at:
-                meets &= ~(bands[:, :at] == bands[i, :at]).any(axis=1)
-            for j in np.flatnonzero(meets):
-                if similarity(bag[i], bag[j]) >= least:
-                    a.append(max(ids[i], ids[j]))
-                    b.append(min(ids[i], ids[j]))
-        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=out)
-
-    return cells.join(texts, "id").groupBy("key", "mixed", "lo", "hi").applyInArrow(compare, "a long, b long")
-
-
-def components(links: DataFrame) -> DataFrame:
+        sets = [elements(x.as_py()) for x in cell.column("bag")]
+        size = np.array([len(x) for x in sets])
+        meets = (ids[:, None] > ids) & (root[:, None] != root) & ((first[:, None] != first) if mixed else ((own[:, None] != own) | (lo == hi)))
+        a, b = np.nonzero(meets & similar(size[:, None], size, overlaps(sets), least))
+        return pa.table([pa.array(ids[a]), pa.array(ids[b])], schema=out)
+
+    return cells.join(bag, "id").groupBy("key", "mixed", "lo", "hi").applyInArrow(compare, "a long, b long").distinct()
+
+
+def components(links: DataFrame, work: Work) -> DataFrame:
     """(id, root): the smallest id that each linked id reaches, by alternating large and small stars. Links (a, b) are
-    checkpointed each round; the rounds end when their number and sum stay the same."""
-    links = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct().checkpoint()
+    stored each round; the rounds end when their number and sum stay the same."""
+    links = work.store(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
     before = None
     while True:
+        now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
+        if now == before or not now[0]:
+            out = work.store(links.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("root")), "roots")
+            work.drop(links)
+            return out
+        before = now
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        # stored, so that a join may split the rows of a hot end
+        least = work.store(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         own = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(own, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(own.select("a", F.col("m").alias("b")))
-        links = small.distinct().checkpoint()
-        now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if now == before:
-            return links.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("root"))
-        before = now
-
-
-def stars(keys: DataFrame) -> DataFrame:
-    """keys(key, id) to pairs (a, b) of each id with the smallest of its key."""
-    heads = keys.groupBy("key").agg(F.min("id").alias("b"), F.max("id").alias("_last")).where("b < _last").drop("_last")
-    return keys.join(heads, "key").where("id <> b").select(F.col("id").alias("a"), "b").distinct()
+        after = work.store(small.distinct(), "links")
+        work.drop(links, least)
+        links = after
+
+
+def classes(named: DataFrame, docs: DataFrame, least: float, work: Work) -> DataFrame:
+    """(id, root) of the contents that are near another one. named(id, doc_id, same, weight, bands)."""
+    keys = named.select("id", "weight", F.explode("bands").alias("key"))
+    heads = work.store(keys.groupBy("key").agg(F.min("id").alias("b"), F.count("*").alias("n")).where("n > 1"), "heads")
+    members = work.store(join_small(keys, heads, ["key"], "inner", heads.count(), limit=BROADCAST_IDS).where("id <> b"), "members")
+    pairs = work.store(members.groupBy(F.col("id").alias("a"), "b").agg(F.max("n").alias("n")), "pairs")
+    active = work.store(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "active")
+    bag = work.store(bags_of(join_small(named, active, ["id"], "left_semi", active.count(), limit=BROADCAST_IDS), docs), "bags")
+    links = work.store(star_links(pairs, bag, least), "stars")
+    roots = components(links, work)
+    rest = work.store(rest_links(members.select("key", "id", "weight"), roots, bag, least, work), "rest")
+    if rest.limit(1).count():
+        stars = roots.select(F.col("id").alias("a"), F.col("root").alias("b"))
+        roots = components(stars.union(rest), work)
+    return roots
 
 
 def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """(doc_id, same, content, root, class_id) of each row of docs(doc_id, text): class_id is the smallest doc_id of the class, and root
     a number that is the class's alone where rows repeat a doc_id with other texts."""
-    spark = docs.sparkSession
-    shared_dir(spark)
-    contents(docs).write.parquet(out := scratch(spark, "contents"))
-    rows = spark.read.parquet(out)
-    named = rows.groupBy("content").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "same")).alias("r"), F.first("bands").alias("bands"))
-    named.select("content", F.xxhash64("content").alias("id"), "r.doc_id", "r.same", "bands").write.parquet(out := scratch(spark, "named"))
-    named = spark.read.parquet(out)
-    pairs = stars(named.select(F.explode("bands").alias("key"), "id")).checkpoint()
-    links = verified(pairs, docs, named, least).distinct().checkpoint()
-    roots = components(links)
-    # keys of more than one class: once more by pairs of them. Contents of different classes that share two bands share two such keys
-    classed = named.select("id", F.explode("bands").alias("key")).join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    split = classed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
-    own = classed.join(split, "key").groupBy("id", "root").agg(F.array_sort(F.collect_list("key")).alias("k")).where(F.size("k") > 1)  # a content has BANDS keys at most
-    two = F.flatten(F.transform("k", lambda x, i: F.transform(F.slice("k", i + 2, BANDS), lambda y: F.xxhash64(x, y))))
-    both = own.select(F.explode(two).alias("key"), "id", "root")
-    more = verified(apart(both).join(pairs, ["a", "b"], "left_anti"), docs, named, least).checkpoint()
-    if more.limit(1).count():
-        links = links.union(more).checkpoint()
-        roots = components(links)
-    classed = named.select("id", F.explode("bands").alias("key")).join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    rest = remaining(classed, docs, named, least).distinct().checkpoint()
-    if rest.limit(1).count():
-        roots = components(links.union(rest))
+    work = Work(docs.sparkSession)
+    rows = work.store(contents(docs).withColumn("row", F.monotonically_increasing_id()), "contents")
+    # a stored row's number is its own, so the number of its first row is a content's id
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "same", "row")).alias("r")
+    named = work.store(rows.groupBy("content").agg(first, F.first("weight").alias("weight"), F.first("bands").alias("bands")).select("content", F.col("r.row").alias("id"), "r.doc_id", "r.same", "weight", "bands"), "named")
+    roots = classes(named, docs, least, work)
     rooted = named.select("content", "id", "doc_id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    made = -1 - F.pmod("root", F.lit(1 << 62))
-    smallest = rooted.groupBy("root").agg(F.min("doc_id").alias("class_id")).withColumn("class_id", F.coalesce("class_id", made))
-    ids = rooted.join(smallest, "root").select("content", "root", "class_id")
-    return rows.select("doc_id", "same", "content").join(ids, "content")
-
-
-def apart(keys: DataFrame) -> DataFrame:
-    """Pairs (a, b) within keys(key, id, root) whose classes differ: each class's smallest id with that of the smallest class,
-    and the members of other classes with it."""
-    heads = keys.groupBy("key").agg(F.min(F.struct("root", "id")).alias("h"), F.max("root").alias("y")).where("h.root < y").select("key", F.col("h.root").alias("_root"), F.col("h.id").alias("b"))
-    return keys.join(heads, "key").where("root <> _root").select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct()
+    smallest = rooted.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.min("content").alias("c")).withColumn("class_id", F.coalesce("class_id", -1 - F.pmod(F.xxhash64("c"), F.lit(1 << 62)))).drop("c")
+    ids = work.store(rooted.select("content", "root").join(work.store(smallest, "smallest"), "root"), "ids")
+    out = work.store(rows.select("doc_id", "same", "content").join(ids, "content"), "classes")
+    work.drop(*(t for t, _ in [*work.paths.values()] if t is not out))
+    return out
 
 
 def keep_one(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """docs without near-duplicates: of each class one row with the smallest doc_id stays."""
-    rows = near_duplicates(docs, least).select("doc_id", "same", "root").checkpoint()
-    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "same")).alias("r"))
-    kept = first.select(F.col("r.doc_id").alias("_op6_doc"), F.col("r.same").alias("_op6_kept"))
-    same = (F.md5(F.coalesce("text", F.lit(""))) == F.col("_op6_kept")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_op6_doc"))
-    out = docs.join(kept, same, "left_semi")
-    repeats = rows.groupBy("doc_id", "same").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
-    return out.dropDuplicates(["doc_id", "text"]) if repeats else out
+    work = Work(docs.sparkSession)
+    rows = near_duplicates(docs, least).select(row_key().alias("_op6_row"), "doc_id", "same", "root")
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "same")).alias("r"))
+    first = work.store(first.select("root", row_key("r.doc_id", "r.same").alias("_op6_kept")), "kept")
+    out = work.store(rows.join(first, "root").where("_op6_row <> _op6_kept").select("_op6_row").distinct(), "dropped")
+    own = {"_op6_row": row_key("doc_id", "_op6_same")}
+    keyed = docs.withColumn("_op6_same", F.md5(F.coalesce("text", F.lit("")))).withColumns(own)
+    kept = join_small(keyed, out, ["_op6_row"], "left_anti", out.count()).drop("_op6_row", "_op6_same")
+    repeats = rows.groupBy("_op6_row").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
+    return kept.dropDuplicates(["doc_id", "text"]) if repeats else kept
 
 
 def op6_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
