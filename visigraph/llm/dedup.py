@@ -33,7 +33,7 @@ REGISTERS = 96
 BAND = 4
 BANDS = REGISTERS // BAND
 #: Members of a group that meet its head in one task, and bytes of bags and members of a block where pairs of blocks meet.
-STAR = 1_024
+STAR = 128
 BLOCK_BYTES = 2 << 20
 BLOCK_ROWS = 512
 #: Most ids of a side that is broadcast: a million of them are 16 MB.
@@ -284,8 +284,24 @@ def overlaps(sets: list[np.ndarray], run: int = 32) -> np.ndarray:
     return both
 
 
+def forest(root: np.ndarray, linked: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """What linked, a matrix of rows, joins of their roots: each root once, with the first root that it reaches."""
+    roots, own = np.unique(root, return_inverse=True)
+    near = np.zeros((len(roots), len(roots)), bool)
+    a, b = np.nonzero(linked)
+    near[own[a], own[b]] = near[own[b], own[a]] = True
+    top = np.full(len(roots), -1)
+    for start in range(len(roots)):
+        new = np.array([start]) if top[start] < 0 else ()
+        while len(new):
+            top[new] = start
+            new = np.flatnonzero(near[new].any(axis=0) & (top < 0))
+    more = np.flatnonzero(top != np.arange(len(roots)))
+    return pa.array(roots[more]), pa.array(roots[top[more]])
+
+
 def rest_links(members: DataFrame, roots: DataFrame, bag: DataFrame, least: float, work: Work) -> DataFrame:
-    """The links (a, b) among all pairs of members(key, id, weight) that share a key and differ in their root.
+    """The classes (a, b) that the links among all pairs of members(key, id, weight) join that share a key and differ in their root.
 
     The members of a key's largest class meet blocks of the others only, and the others meet block by block."""
     classed = members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
@@ -311,8 +327,7 @@ def rest_links(members: DataFrame, roots: DataFrame, bag: DataFrame, least: floa
         sets = [elements(x.as_py()) for x in cell.column("bag")]
         size = np.array([len(x) for x in sets])
         meets = (ids[:, None] > ids) & (root[:, None] != root) & ((first[:, None] != first) if mixed else ((own[:, None] != own) | (lo == hi)))
-        a, b = np.nonzero(meets & similar(size[:, None], size, overlaps(sets), least))
-        return pa.table([pa.array(ids[a]), pa.array(ids[b])], schema=out)
+        return pa.table(list(forest(root, meets & similar(size[:, None], size, overlaps(sets), least))), schema=out)
 
     return cells.join(bag, "id").groupBy("key", "mixed", "lo", "hi").applyInArrow(compare, "a long, b long").distinct()
 
