@@ -39,47 +39,68 @@ def test_no_token_sees_what_comes_after_and_windows_agree():
     assert np.allclose(many[:75], x, atol=1e-5) and np.allclose(many[78:], x, atol=1e-5)
 
 
+def stream(tokens, lengths):
+    inputs, _, at = lm.streams(tokens, lengths)
+    targets = np.full(len(inputs), lm.NONE)
+    targets[at] = tokens
+    return inputs.reshape(-1, lm.NEW), targets.reshape(-1, lm.NEW)
+
+
+def test_attention_one_token_at_a_time():
+    """The class scores of a text, by a plain loop over its tokens and those before each."""
+    model = small_model(6)
+    p = {k: v.astype(np.float64) for k, v in model.p.items()}
+    p["R"] = np.random.default_rng(1).normal(0, 1, p["R"].shape)
+    model.p["R"][:] = p["R"]
+    tokens = np.random.default_rng(2).integers(0, 300, 70).astype(np.int32)
+    inputs = [lm.START, *map(int, tokens[:-1])]
+    got, kinds = model.score(tokens, np.array([70])), lm.kinds_before(tokens, np.array([70]))
+    for i, token in enumerate(tokens):
+        first = i // lm.NEW * lm.NEW - lm.NEW  # of the window; what is before the text is BEFORE
+        seen = [inputs[j] if j >= 0 else lm.BEFORE for j in range(first, i + 1)]
+        x = p["E"][model.row_of[seen]]
+        weight = np.exp([x[-1] @ p["Q"] * lm.SCALE @ (p["K"].T @ y) + p["R"][i % lm.NEW, j] for j, y in enumerate(x)])
+        context = (weight[:, None] * (x @ p["V"])).sum(0) / weight.sum()
+        logits = np.maximum(np.concatenate([context, x[-1]]) @ p["H"] + p["h"], 0) @ p["O"] + p["o"]
+        share = np.exp(logits) * model.has
+        assert got[i] == pytest.approx(np.log(share[model.class_of[token]] / share.sum()) + model.log_in[token, kinds[i]], abs=1e-3)
+
+
 def test_loss_is_that_of_scoring():
     model = small_model(2)
     tokens, lengths = np.arange(40, dtype=np.int32), np.array([40])
-    inputs, begins, at = lm.streams(tokens, lengths)
-    targets = np.full(len(inputs), lm.NONE)
-    targets[at] = tokens
-    grid, wanted = inputs.reshape(-1, lm.NEW), targets.reshape(-1, lm.NEW)
-    windows = np.concatenate([grid[:-1], grid[1:], wanted[1:]], axis=1)
+    inputs, targets = stream(tokens, lengths)
     within = model.log_in[tokens, lm.kinds_before(tokens, lengths)]
-    assert model.loss(windows)[0] == pytest.approx(-(model.score(tokens, lengths) - within).mean(), abs=1e-4)
+    assert model.loss(inputs[None], targets[None, 1:])[0] == pytest.approx(-(model.score(tokens, lengths) - within).mean(), abs=1e-4)
 
 
 def test_gradients():
     model = small_model(3)
     model.p = {k: v.astype(np.float64) for k, v in model.p.items()}
     r = np.random.default_rng(5)
-    windows = np.concatenate([r.integers(0, 300, (4, lm.WIDE)), np.where(r.random((4, lm.NEW)) < 0.2, lm.NONE, r.integers(0, 300, (4, lm.NEW)))], axis=1)
-    _, g = model.loss(windows)
+    inputs = r.integers(0, 300, (2, 4, lm.NEW))
+    targets = np.where(r.random((2, 3, lm.NEW)) < 0.2, lm.NONE, r.integers(0, 300, (2, 3, lm.NEW)))
+    _, g = model.loss(inputs, targets)
     for k in model.p:
         flat = model.p[k].reshape(-1)
         i = int(np.abs(g[k].reshape(-1)).argmax())
-        kept, step = flat[i], 1e-5
+        kept, step = flat[i], 1e-4
         flat[i] = kept + step
-        up = model.loss(windows)[0]
+        up = model.loss(inputs, targets)[0]
         flat[i] = kept - step
-        down = model.loss(windows)[0]
+        down = model.loss(inputs, targets)[0]
         flat[i] = kept
-        assert (up - down) / (2 * step) == pytest.approx(g[k].reshape(-1)[i], rel=1e-3, abs=1e-7), k
+        assert (up - down) / (2 * step) == pytest.approx(g[k].reshape(-1)[i], rel=2e-3, abs=1e-6), k
 
 
 def test_training_lowers_the_loss():
     model = small_model(4)
-    stream = np.tile(np.arange(7, dtype=np.int32), 800)
-    inputs, begins, at = lm.streams(stream, np.array([len(stream)]))
-    targets = np.full(len(inputs), lm.NONE)
-    targets[at] = stream
-    windows = np.concatenate([inputs.reshape(-1, lm.NEW)[:-1], inputs.reshape(-1, lm.NEW)[1:], targets.reshape(-1, lm.NEW)[1:]], axis=1)
-    before = model.loss(windows)[0]
+    tokens = np.tile(np.arange(7, dtype=np.int32), 800)
+    inputs, targets = stream(tokens, np.array([len(tokens)]))
+    before = model.loss(inputs[None], targets[None, 1:])[0]
     for _ in range(6):
-        model.fit(windows, 0.01)
-    assert model.loss(windows)[0] < 0.3 * before
+        windows, _ = model.fit(inputs, targets, 0.01)
+    assert windows >= len(inputs) - 1 and model.loss(inputs[None], targets[None, 1:])[0] < 0.3 * before
 
 
 def test_subwords_of_words_taken_together():
@@ -95,13 +116,24 @@ def test_every_token_of_every_training_document_trains():
     texts = ["", "one", "a few words only", *(f"{i} the same words again and again " * (1 + i % 9) for i in range(40))]
     held = [i % 5 == 4 for i in range(len(texts))]
     subwords = lm.Subwords()
-    row = lm.segment_rows("s", list(range(len(texts))), held, pa.array(texts, pa.large_string()), subwords)
-    windows = lm.windows_of(row)
+    row = lm.segment_row(0, list(range(len(texts))), held, pa.array(texts, pa.large_string()), subwords)
+    inputs, targets = lm.training_stream(row)
     want = Counter(int(x) for t, h in zip(texts, held, strict=True) if not h for w in t.split() for x in subwords.encode([w.encode()])[0])
     want[lm.END] = held.count(False)
-    targets = windows[:, lm.WIDE :]
-    assert Counter(targets[targets != lm.NONE].tolist()) == want
-    assert (windows[:, : lm.WIDE] == lm.START).sum(axis=1).max() == 1 and (windows[:, lm.NEW] == lm.START).sum() == held.count(False)
+    assert Counter(targets[targets != lm.NONE].tolist()) == want and (targets[0] == lm.NONE).all()
+    assert (inputs == lm.START).sum() == held.count(False)
+    model, seen = small_model(7), Counter()
+    plain = model.loss
+    model.loss = lambda i, t: (seen.update(t[t != lm.NONE].tolist()), plain(i, t))[1]
+    model.fit(inputs, targets, 0.01)
+    assert seen == want
+
+
+def test_scores_do_not_depend_on_the_layout(spark):
+    docs = documents(spark, [(100 + i, f"word{i % 5} Word{i % 3} the {i} " * (1 + i % 4)) for i in range(80)], repeat=False)
+    one = {r.doc_id: r.score for r in lm.score_documents(docs.coalesce(1), segment_bytes=2_000).collect()}
+    many = {r.doc_id: r.score for r in lm.score_documents(docs.repartition(8), segment_bytes=2_000).collect()}
+    assert one.keys() == many.keys() and all(one[i] == pytest.approx(many[i], rel=1e-5) for i in one)
 
 
 def base(texts):
@@ -119,10 +151,10 @@ def base(texts):
     return out
 
 
-@pytest.mark.parametrize("segment_words", [2_000_000, 50])
-def test_base_columns_by_brute_force(spark, segment_words):
+@pytest.mark.parametrize("segment_bytes", [12 << 20, 2_000])
+def test_base_columns_by_brute_force(spark, segment_bytes):
     docs = documents(spark, [(100 + i, f"word{i % 5} Word{i % 3} the {i}") for i in range(60)], repeat=False)
-    got = lm.score_documents(docs.repartition(3), segment_words=segment_words).collect()
+    got = lm.score_documents(docs.repartition(3), segment_bytes=segment_bytes).collect()
     want = base({r.doc_id: r.text for r in docs.collect()})
     assert len(got) == len(want)
     for r in got:

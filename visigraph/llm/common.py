@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 100_000
 #: Rows of an Arrow batch: long texts must not pile up in a Python worker.
 BATCH_ROWS = 1_000
+#: And its bytes, for rows that are themselves large.
+BATCH_BYTES = 32 << 20
 #: Most shards that a table is dealt to by ranges; beyond it shards grow, and the driver's cut points don't.
 MOST_SHARDS = 10_000
 
@@ -75,6 +77,7 @@ class Work:
 
 def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def ascii_lower(c: Column | str) -> Column:

@@ -1,13 +1,15 @@
 """Operator 10: language-model scoring with a causal self-attention model over subword ids, in numpy.
 
-Documents are dealt to segments of whole documents, where each distinct word is kept once with its subword ids. From
-all training documents Spark gathers word counts (for the base score), and for each subword its count and what stands
-before it. Subwords are clustered into classes by that; the model predicts the class of the next subword by attention over
-the subwords before it, and the subword within its class follows from counts after that kind of subword, so probabilities
-of all subwords sum to 1.
+Documents are dealt to segments by a hash of doc_id and text and sorted there, so scores don't depend on how the table is laid out, up
+to rounding. In a segment each distinct word is kept once with its subword ids and a 64-bit hash. From
+all training documents Spark gathers word counts (for the base score; words are told apart by that hash), and for each subword
+its count and what stands before it. Subwords are clustered into classes by that; the model predicts the class of the next
+subword by attention over the subwords before it, and the subword within its class follows from counts after that kind of
+subword, so probabilities of all subwords sum to 1.
 
 The model trains on all windows of every training document, by segments in parallel: each segment runs Adam from the common
-weights, Spark averages the weights, and that is done ROUNDS times. Scoring runs over windows of 32 inputs that overlap
+weights, and Spark averages the weights, summed up in a tree. That is done twice: first briefly, over every WARM-th run of windows, so that the
+segments set out from common weights that fit, then over all windows. Scoring runs over windows of 32 inputs that overlap
 by half; each scores the 16 tokens that no other does, so every token is scored once with 16 to 31 tokens before it.
 
 Word tokens are lower-case runs without white space; the model reads " " + word, and an end token after the last.
@@ -21,19 +23,26 @@ from __future__ import annotations
 
 import base64
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .classifier import held_out
-from .common import SPACE_BYTES, scratch, small_batches, table, words_of
+from .common import MOST_SHARDS, SPACE_BYTES, Work, small_batches, table, words_of
 
 TOKENIZER = os.environ.get("VISIGRAPH_TOKENIZER", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
-SEGMENT_WORDS = 2_000_000
-ROUNDS = 2
+#: Bytes of text that a segment is planned for.
+SEGMENT_BYTES = 12 << 20
+#: The first round takes one run of windows in so many, the second one all.
+WARM = 16
+#: Learning rates of the two rounds.
+RATES = (0.01, 0.004)
+#: Rows of the tree's nodes.
+FAN = 32
 #: Subwords of the tokenizer, then the end token; START and BEFORE only occur as inputs.
 SUBWORDS = 50_256
 END = SUBWORDS
@@ -41,14 +50,17 @@ START, BEFORE = SUBWORDS + 1, SUBWORDS + 2
 NONE = 0xFFFF
 VOCAB = SUBWORDS + 1
 NEW, WIDE = 16, 32
-DIM, HIDDEN, CLASSES, OWN_ROWS, LEFT = 16, 32, 64, 1_536, 64
-BATCH = 512
+DIM, HIDDEN, CLASSES, OWN_ROWS, LEFT = 16, 32, 32, 1_536, 128
+#: Windows scored at a time; windows of a run, which lie side by side and share their inputs, and runs of a training step.
+BATCH = 128
+RUN = 16
+RUNS = 16
 #: A Python float keeps arrays in single precision.
 SCALE = DIM**-0.5
 #: Counts within a class that a kind of subword before needs to outweigh those of all kinds.
 PRIOR = 200.0
 
-SEGMENTS = "segment string, doc_ids array<long>, held array<boolean>, n_words array<long>, codes binary, words array<binary>, counts array<int>, pieces binary, piece_counts binary"
+SEGMENTS = "segment int, doc_ids array<long>, held array<boolean>, n_words array<long>, codes binary, hashes array<long>, counts array<int>, pieces binary, piece_counts binary"
 
 
 # Subwords.
@@ -127,29 +139,38 @@ def with_ends(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndar
 # Segments.
 
 
-def segment_rows(name: str, ids: list, held: list, texts: pa.Array, subwords: Subwords) -> dict:
+def segment_row(segment: int, ids: list, held: list, texts: pa.Array, subwords: Subwords) -> dict:
     words, n_words = words_of(texts, SPACE_BYTES)
     n_words, held = np.asarray(n_words, np.int64), np.array(held, bool)
     coded = words.dictionary_encode()
-    codes, distinct = np.asarray(coded.indices, np.int32), coded.dictionary
+    codes, distinct = np.asarray(coded.indices, np.int32), coded.dictionary.to_pylist()
+    if b"\xff" in words.buffers()[2].to_pybytes():
+        distinct = [w.replace(b"\xff", b"\0") for w in distinct]
     trained = np.repeat(~held, n_words)
-    pieces, counts = subwords.encode([w.replace(b"\xff", b"\0") for w in distinct.to_pylist()])
-    return {"segment": name, "doc_ids": ids, "held": held, "n_words": n_words, "codes": pack(codes), "words": distinct.cast(pa.binary()), "counts": np.bincount(codes[trained], minlength=len(distinct)).astype(np.int32), "pieces": pack(pieces), "piece_counts": pack(counts.astype(np.uint16))}
-
-def windows_of(r: dict) -> np.ndarray:
-    """All windows of the training documents of a stored segment: NEW inputs of context, NEW inputs, and their targets, or NONE behind the end."""
-    held, n_words = np.array(r["held"], bool), np.array(r["n_words"], np.int64)
-    codes = unpack(r["codes"], np.int32)[np.repeat(~held, n_words)]
-    took = [np.zeros((0, WIDE + NEW), np.uint16)]
-    for tokens, lengths in documents(codes, n_words[~held], unpack(r["pieces"], np.uint16), unpack(r["piece_counts"], np.uint16).astype(np.int64)):
-        inputs, begins, at = streams(tokens, lengths)
-        targets = np.full(len(inputs), NONE, np.uint16)
-        targets[at] = tokens
-        window = np.arange(len(inputs) // NEW)
-        chosen = window[~np.isin(window, begins // NEW)]
-        grid = inputs.astype(np.uint16).reshape(-1, NEW)
-        took.append(np.concatenate([grid[chosen - 1], grid[chosen], targets.reshape(-1, NEW)[chosen]], axis=1))
-    return np.concatenate(took)
+    pieces, counts = subwords.encode(distinct)
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), np.uint64, len(distinct)).view(np.int64)
+    return {"segment": segment, "doc_ids": ids, "held": held, "n_words": n_words, "codes": pack(codes), "hashes": hashes, "counts": np.bincount(codes[trained], minlength=len(distinct)).astype(np.int32), "pieces": pack(pieces), "piece_counts": pack(counts.astype(np.uint16))}
+
+
+def tokens_of(r: dict, held: bool | None = False, most: int = 200_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Tokens and lengths of a segment's documents, of those that train (held: False) or all (None)."""
+    codes, n_words, out = unpack(r["codes"], np.int32), np.asarray(r["n_words"], np.int64), np.asarray(r["held"], bool)
+    if held is not None:
+        codes, n_words = codes[np.repeat(out == held, n_words)], n_words[out == held]
+    return documents(codes, n_words, unpack(r["pieces"], np.uint16), unpack(r["piece_counts"], np.uint16).astype(np.int64), most)
+
+
+def training_stream(r: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Inputs and targets (NONE where there is none) of all training documents of a segment, in rows of NEW. A window is two
+    neighbouring rows of inputs and the targets of the second."""
+    inputs, targets = [np.zeros((0, NEW), np.uint16)], [np.zeros((0, NEW), np.uint16)]
+    for tokens, lengths in tokens_of(r):
+        own, _, at = streams(tokens, lengths)
+        wanted = np.full(len(own), NONE, np.uint16)
+        wanted[at] = tokens
+        inputs.append(own.astype(np.uint16).reshape(-1, NEW))
+        targets.append(wanted.reshape(-1, NEW))
+    return np.concatenate(inputs), np.concatenate(targets)
 
 
 def documents(codes: np.ndarray, n_words: np.ndarray, pieces: np.ndarray, counts: np.ndarray, most: int = 200_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -165,35 +186,38 @@ def documents(codes: np.ndarray, n_words: np.ndarray, pieces: np.ndarray, counts
         a = b
 
 
-def store_segments(docs: DataFrame, out: str, tokenizer: str, segment_words: int) -> DataFrame:
+def segments_of(docs: DataFrame, tokenizer: str, segment_bytes: int) -> DataFrame:
     small_batches(docs.sparkSession)
-    kind = pa.schema([("segment", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("n_words", pa.list_(pa.int64())), ("codes", pa.binary()), ("words", pa.list_(pa.binary())), ("counts", pa.list_(pa.int32())), ("pieces", pa.binary()), ("piece_counts", pa.binary())])
+    kind = pa.schema([("segment", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("n_words", pa.list_(pa.int64())), ("codes", pa.binary()), ("hashes", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("pieces", pa.binary()), ("piece_counts", pa.binary())])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import uuid
-
-        subwords = Subwords(tokenizer)
-        ids, held, texts, size = [], [], [], 0
+        subwords, now = Subwords(tokenizer), None
+        ids, held, texts = [], [], []
 
         def row() -> pa.RecordBatch:
-            # the name only has to be unique: all that depends on it comes from the stored row
-            s = segment_rows(uuid.uuid4().hex, ids, held, pa.concat_arrays(texts), subwords)
-            return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(s["words"])], pa.int32()), s["words"]) if f.name == "words" else pa.array([s[f.name]], f.type) for f in kind], schema=kind)
+            s = segment_row(now, ids, held, pa.concat_arrays(texts), subwords)
+            return pa.RecordBatch.from_arrays([pa.array([s[f.name]], f.type) for f in kind], schema=kind)
 
         for batch in batches:
-            text = batch.column(2).cast(pa.large_string())
-            ids += batch.column(0).to_pylist()
-            held += batch.column(1).to_pylist()
-            texts.append(text)
-            size += (len(text.buffers()[2]) if text.buffers()[2] else 0) // 6
-            if size >= segment_words:
-                yield row()
-                ids, held, texts, size = [], [], [], 0
+            own = batch.column(0).to_numpy()
+            cuts = np.flatnonzero(np.diff(own, prepend=own[:1] - 1))
+            for a, b in zip(cuts, np.append(cuts[1:], len(own)), strict=True):
+                if ids and own[a] != now:
+                    yield row()
+                    ids, held, texts = [], [], []
+                now = int(own[a])
+                ids += batch.column(1)[a:b].to_pylist()
+                held += batch.column(2)[a:b].to_pylist()
+                texts.append(batch.column(3)[a:b].cast(pa.large_string()))
         if ids:
             yield row()
 
-    docs.select(F.col("doc_id").cast("long"), held_out(F.col("doc_id"), 7, 2).alias("held"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(write, SEGMENTS).write.option("compression", "zstd").parquet(out)
-    return docs.sparkSession.read.parquet(out)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id"), 7, 2).alias("held"), F.coalesce("text", F.lit("")).alias("text"))
+    n = -(-(rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 1) // segment_bytes)
+    own = F.xxhash64("doc_id", "text")
+    dealt = rows.withColumn("segment", F.pmod(own, F.lit(n)).cast("int")).withColumn("_own", own)
+    dealt = dealt.repartitionById(min(n, MOST_SHARDS), F.pmod("segment", F.lit(min(n, MOST_SHARDS)))).sortWithinPartitions("segment", "doc_id", "_own")
+    return dealt.select("segment", "doc_id", "held", "text").mapInArrow(write, SEGMENTS)
 
 
 # The model.
@@ -222,20 +246,25 @@ class Model:
         self.p = {"E": normal(OWN_ROWS + CLASSES + 2, DIM, by=0.3), "Q": normal(DIM, DIM, by=0.25), "K": normal(DIM, DIM, by=0.25), "V": normal(DIM, DIM, by=0.25), "R": np.zeros((NEW, WIDE)), "H": normal(2 * DIM, HIDDEN, by=0.2), "h": np.zeros(HIDDEN), "O": normal(HIDDEN, CLASSES, by=0.1)}
         share = np.log(np.maximum(size, 1e-3) / size.sum())
         self.p["o"] = share - share.mean()
-        self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
+        self.shapes = {k: v.shape for k, v in self.p.items()}
+        self.take(np.concatenate([v.ravel() for v in self.p.values()]))
         ahead = np.arange(WIDE)[None] > NEW + np.arange(NEW)[:, None]
         self.mask = np.where(ahead, 0, 1).astype(np.float32)
 
-    def flat(self) -> np.ndarray:
-        return np.concatenate([v.ravel() for v in self.p.values()])
-
     def take(self, flat: np.ndarray) -> Model:
-        at = 0
-        for k, v in self.p.items():
-            self.p[k] = flat[at : at + v.size].reshape(v.shape).astype(np.float32)
-            at += v.size
+        """The weights, as views of one array."""
+        self.flat, at = flat.astype(np.float32), 0
+        for k, shape in self.shapes.items():
+            size = int(np.prod(shape))
+            self.p[k] = self.flat[at : at + size].reshape(shape)
+            at += size
         return self
 
+    def copy(self) -> Model:
+        out = Model.__new__(Model)
+        out.__dict__ |= self.__dict__ | {"p": {}}
+        return out.take(self.flat)
+
     def score(self, tokens: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Natural-log probabilities of the tokens of documents that lie end to end."""
         p = self.p
@@ -252,17 +281,17 @@ class Model:
         for s in range(1, last, BATCH):
             e = min(last, s + BATCH)
             own = rows[(s - 1) * NEW : e * NEW]
-            k, v = keys[own], values[own]
+            k, v = keys.take(own, axis=0), values.take(own, axis=0)
             n = e - s
             wide = lambda x: np.lib.stride_tricks.as_strided(x, (n, WIDE, x.shape[1]), (NEW * x.strides[0], *x.strides))  # noqa: B023, E731
-            a = queries[own[NEW:]].reshape(n, NEW, DIM) @ wide(k).transpose(0, 2, 1)
+            a = queries.take(own[NEW:], axis=0).reshape(n, NEW, DIM) @ wide(k).transpose(0, 2, 1)
             a += bias
             np.clip(a, -20, 20, out=a)
             np.exp(a, out=a)
             a *= self.mask
             c = (a @ wide(v)).reshape(n * NEW, DIM + 1)
             hidden = (c[:, :DIM] / c[:, DIM:]) @ p["H"][:DIM]
-            hidden += direct[own[NEW:]]
+            hidden += direct.take(own[NEW:], axis=0)
             np.maximum(hidden, 0, out=hidden)
             logits = hidden @ p["O"]
             logits += p["o"]
@@ -272,60 +301,89 @@ class Model:
             out[s * NEW : e * NEW] = picked - np.log((logits @ ones)[:, 0])
         return out[at] + self.log_in[tokens, kinds_before(tokens, lengths)]
 
-    def loss(self, windows: np.ndarray) -> tuple[float, dict]:
-        """Mean loss over the classes of windows (WIDE inputs, then NEW targets or NONE), and its gradient."""
-        p, n = self.p, len(windows)
-        rows = self.row_of[windows[:, :WIDE]]
-        wanted = windows[:, WIDE:].ravel()
+    def loss(self, inputs: np.ndarray, targets: np.ndarray) -> tuple[float, dict]:
+        """Mean loss over the classes of runs of windows, and its gradient. inputs: (runs, windows + 1, NEW), as neighbouring windows
+        share a row; targets: (runs, windows, NEW), or NONE."""
+        p = self.p
+        runs, n = targets.shape[:2]
+        rows = self.row_of[inputs]
+        wanted = targets.ravel()
         live = (wanted != NONE).astype(np.float32)
         target = self.class_of[np.where(wanted == NONE, 0, wanted)]
-        x = p["E"][rows]
-        xq = x[:, NEW:]
-        q, k, v = xq @ p["Q"] * SCALE, x @ p["K"], x @ p["V"]
-        a = np.exp(np.clip(q @ k.transpose(0, 2, 1) + p["R"], -20, 20)) * self.mask
-        a /= a.sum(-1, keepdims=True)
-        c = a @ v
-        z = np.concatenate([c, xq], axis=2).reshape(n * NEW, 2 * DIM)
-        hidden = np.maximum(z @ p["H"] + p["h"], 0)
-        prob = np.exp(np.clip(hidden @ p["O"] + p["o"], -20, 20)) * self.has
-        prob /= prob.sum(-1, keepdims=True)
+        every, one = np.arange(len(wanted)), np.ones((1, len(wanted)), np.float32)
+        x = p["E"].take(rows.ravel(), axis=0)
+        sides, asked = np.concatenate([p["K"], p["V"]], axis=1), p["Q"] * SCALE
+        both = (x @ sides).reshape(runs, (n + 1) * NEW, 2 * DIM)
+        xq = x.reshape(runs, n + 1, NEW * DIM)[:, 1:].reshape(-1, DIM)
+        wide = lambda t: np.lib.stride_tricks.as_strided(t, (runs, n, WIDE, DIM), (t.strides[0], NEW * t.strides[1], *t.strides[1:]))
+        k, v = wide(both[:, :, :DIM]), wide(both[:, :, DIM:])
+        q = (xq @ asked).reshape(runs, n, NEW, DIM)
+        a = q @ k.swapaxes(2, 3)
+        a += p["R"]
+        np.clip(a, -20, 20, out=a)
+        np.exp(a, out=a)
+        a *= self.mask
+        a /= (a.reshape(-1, WIDE) @ np.ones((WIDE, 1), np.float32)).reshape(runs, n, NEW, 1)
+        z = np.concatenate([(a @ v).reshape(-1, DIM), xq], axis=1)
+        hidden = z @ p["H"]
+        hidden += p["h"]
+        np.maximum(hidden, 0, out=hidden)
+        d = hidden @ p["O"]
+        d += p["o"]
+        np.clip(d, -20, 20, out=d)
+        np.exp(d, out=d)
+        d *= self.has
         total = max(1.0, float(live.sum()))
-        loss = -float((np.log(prob[np.arange(n * NEW), target]) * live).sum()) / total
-        d = prob
-        d[np.arange(n * NEW), target] -= 1
-        d *= (live / total)[:, None]
-        g = {"O": hidden.T @ d, "o": d.sum(0)}
-        dh = (d @ p["O"].T) * (hidden > 0)
-        g["H"], g["h"] = z.T @ dh, dh.sum(0)
-        dz = (dh @ p["H"].T).reshape(n, NEW, 2 * DIM)
-        dc, dxq = dz[:, :, :DIM], dz[:, :, DIM:]
-        da = dc @ v.transpose(0, 2, 1)
-        dv = a.transpose(0, 2, 1) @ dc
-        ds = a * (da - (da * a).sum(-1, keepdims=True))
-        g["R"] = ds.sum(0)
-        dq, dk = ds @ k * SCALE, ds.transpose(0, 2, 1) @ q
-        two = lambda t: t.reshape(-1, DIM)
-        g["Q"], g["K"], g["V"] = two(xq).T @ two(dq), two(x).T @ two(dk), two(x).T @ two(dv)
-        dx = dk @ p["K"].T + dv @ p["V"].T
-        dx[:, NEW:] += dxq + dq @ p["Q"].T
+        sums = (d @ np.ones((CLASSES, 1), np.float32))[:, 0]
+        loss = -float((np.log(d[every, target] / sums) * live).sum()) / total
+        d *= (live / (total * sums))[:, None]
+        d[every, target] -= live / total
+        g = {"O": hidden.T @ d, "o": (one @ d)[0]}
+        dh = d @ p["O"].T
+        dh *= hidden > 0
+        g["H"], g["h"] = z.T @ dh, (one @ dh)[0]
+        dz = dh @ p["H"].T
+        dc = dz.reshape(runs, n, NEW, 2 * DIM)[..., :DIM]
+        ds = dc @ v.swapaxes(2, 3)
+        dv = a.swapaxes(2, 3) @ dc
+        ds -= np.einsum("rnij,rnij->rni", ds, a)[..., None]
+        ds *= a
+        g["R"] = (one[:, : runs * n] @ ds.reshape(runs * n, -1)).reshape(NEW, WIDE)
+        dq = (ds @ k).reshape(-1, DIM)
+        dk = ds.swapaxes(2, 3) @ q
+        folded = np.empty((2, runs, n + 1, NEW, DIM), dz.dtype)  # a row of inputs is in two windows
+        for part, own in ((dk, folded[0]), (dv, folded[1])):
+            own[:, 0], own[:, -1] = part[:, 0, :NEW], part[:, -1, NEW:]
+            np.add(part[:, 1:, :NEW], part[:, :-1, NEW:], out=own[:, 1:-1])
+        dk, dv = folded.reshape(2, -1, DIM)
+        g["Q"], g["K"], g["V"] = xq.T @ dq * SCALE, x.T @ dk, x.T @ dv
+        dx = dk @ p["K"].T
+        dx += dv @ p["V"].T
+        dx = dx.reshape(runs, n + 1, NEW, DIM)
+        dx[:, 1:] += (dz[:, DIM:] + dq @ asked.T).reshape(runs, n, NEW, DIM)
         flat, key = dx.reshape(-1, DIM), rows.ravel()
-        g["E"] = np.stack([np.bincount(key, flat[:, i], len(p["E"])) for i in range(DIM)], axis=1).astype(np.float32)
+        g["E"] = np.stack([np.bincount(key, flat[:, i], len(p["E"])) for i in range(DIM)], axis=1)
         return loss, g
 
-    def fit(self, windows: np.ndarray, rate: float, batch: int = 64, seed: int = 3) -> float:
-        """One pass of Adam; the loss of its last batches."""
-        order = np.random.default_rng(seed).permutation(len(windows))
-        first, second = ({k: np.zeros_like(v) for k, v in self.p.items()} for _ in range(2))
-        losses = []
-        steps = -(-len(order) // batch)
+    def fit(self, inputs: np.ndarray, targets: np.ndarray, rate: float, every: int = 1, seed: int = 3) -> tuple[int, float]:
+        """One pass of Adam over every so many-th run of the stream: the windows taken, and the loss of the last steps."""
+        n = -(-max(0, len(inputs) - 1) // RUN)
+        fill = ((0, n * RUN + 1 - len(inputs)), (0, 0)) if n else ((0, 0), (0, 0))
+        inputs, targets = np.pad(inputs, fill, constant_values=BEFORE), np.pad(targets, fill, constant_values=NONE)
+        rng = np.random.default_rng(seed)
+        order = rng.permutation(n)[: -(-n // every)]
+        size = int(np.clip(len(order) // 200, 1, RUNS))
+        first, second = np.zeros_like(self.flat), np.zeros_like(self.flat)
+        losses, steps = [], -(-len(order) // size)
         for t in range(1, steps + 1):
-            loss, g = self.loss(windows[order[(t - 1) * batch : t * batch]])
+            at = order[(t - 1) * size : t * size, None] * RUN + np.arange(RUN + 1)
+            loss, g = self.loss(inputs[at], targets[at[:, 1:]])
             losses.append(loss)
-            for k, v in g.items():
-                first[k] = 0.9 * first[k] + 0.1 * v
-                second[k] = 0.99 * second[k] + 0.01 * v * v
-                self.p[k] -= (rate * (1 - 0.8 * t / steps) * (first[k] / (1 - 0.9**t)) / (np.sqrt(second[k] / (1 - 0.99**t)) + 1e-7)).astype(np.float32)
-        return float(np.mean(losses[-20:])) if losses else 0.0
+            flat = np.concatenate([g[k].ravel() for k in self.shapes]).astype(np.float32)
+            first += 0.1 * (flat - first)
+            second += 0.01 * (flat * flat - second)
+            self.flat -= (rate * (1 - 0.8 * t / steps) / (1 - 0.9**t)) * first / (np.sqrt(second / (1 - 0.99**t)) + 1e-7)
+        return len(order) * RUN, float(np.mean(losses[-20:])) if losses else 0.0
 
 
 def classes_of(counts: np.ndarray, left: np.ndarray, rounds: int = 8) -> np.ndarray:
@@ -350,106 +408,134 @@ def kinds_before(tokens: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return kinds
 
 
-def gather(segments: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Of each subword in all training documents its count and how often each of LEFT kinds of subword stands before it. The result's
-    size is that of the vocabulary."""
+def tree_sum(segments: DataFrame, each: Callable[[dict], np.ndarray | None], kind: type, work: Work) -> np.ndarray | None:
+    """The sum of each(segment) over all segments, None where there is none. Arrays of one size are summed in a tree of nodes with up to
+    FAN arrays, in the order of the segments; only the sum comes to the driver."""
+    rows = "node long, data binary"
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                r = {n: batch.column(n)[i].as_py() for n in batch.schema.names}
-                held, n_words = np.array(r["held"], bool), np.array(r["n_words"], np.int64)
-                total = np.zeros((VOCAB, LEFT), np.int64)
-                codes = unpack(r["codes"], np.int32)[np.repeat(~held, n_words)]
-                for tokens, lengths in documents(codes, n_words[~held], unpack(r["pieces"], np.uint16), unpack(r["piece_counts"], np.uint16).astype(np.int64)):
-                    total += np.bincount(tokens.astype(np.int64) * LEFT + kinds_before(tokens, lengths), minlength=VOCAB * LEFT).reshape(VOCAB, LEFT)
-                seen = np.flatnonzero(total.sum(1))
-                yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), *(pa.array(total[seen, k]) for k in range(LEFT))], names=["id", *(f"n{k}" for k in range(LEFT))])
-
-    rows = segments.select("held", "n_words", "codes", "pieces", "piece_counts").mapInArrow(count, "id int, " + ", ".join(f"n{k} long" for k in range(LEFT)))
-    left = np.zeros((VOCAB, LEFT), np.float64)
-    sums = rows.groupBy("id").agg(*(F.sum(f"n{k}").alias(f"n{k}") for k in range(LEFT))).toArrow()
-    for k in range(LEFT):
-        left[np.asarray(sums["id"]), k] = np.asarray(sums[f"n{k}"])
+                got = each({n: batch.column(n)[i].as_py() for n in batch.schema.names})
+                if got is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array([batch.column("segment")[i].as_py()], pa.int64()), pa.array([pack(got.astype(kind))], pa.binary())], names=["node", "data"])
+
+    def sum_of(nodes: pa.Table) -> pa.Table:
+        total = None
+        for i in np.argsort(nodes.column("node").to_numpy()):
+            own = unpack(nodes.column("data")[int(i)].as_py(), kind)
+            total = own.copy() if total is None else np.add(total, own, out=total)
+        return pa.table([pa.array([nodes.column("node")[0].as_py() // FAN], pa.int64()), pa.array([pack(total)], pa.binary())], names=["node", "data"])
+
+    columns = [c for c in ("segment", "held", "n_words", "codes", "pieces", "piece_counts")]
+    now = work.store(segments.select(*columns).mapInArrow(first, rows), "sums")
+    while True:
+        n = now.agg(F.count("*"), F.max("node")).first()
+        if n[0] == 0 or n[0] == 1:
+            out = now.first()
+            work.drop(now)
+            return unpack(out["data"], kind).copy() if out else None
+        after = work.store(now.groupBy(F.expr(f"node div {FAN}").alias("up")).applyInArrow(lambda t: sum_of(t), rows), "sums")
+        work.drop(now)
+        now = after
+
+
+def gather(segments: DataFrame, work: Work) -> tuple[np.ndarray, np.ndarray]:
+    """Of each subword in all training documents its count and how often each of LEFT kinds of subword stands before it. The result's
+    size is that of the vocabulary."""
+
+    def count(r: dict) -> np.ndarray:
+        total = np.zeros(VOCAB * LEFT, np.int64)
+        for tokens, lengths in tokens_of(r, most=2_000_000):
+            total += np.bincount(tokens.astype(np.int64) * LEFT + kinds_before(tokens, lengths), minlength=VOCAB * LEFT)
+        return total
+
+    total = tree_sum(segments, count, np.int64, work)
+    left = (np.zeros(VOCAB * LEFT) if total is None else total).reshape(VOCAB, LEFT).astype(np.float64)
     return left.sum(1), left
 
 
-def train(segments: DataFrame, rounds: int = ROUNDS) -> Model:
-    model = Model(*gather(segments))
-    sc = segments.sparkSession.sparkContext
-    for i in range(rounds):
-        sent = sc.broadcast(model)
-
-        def fit(batches: Iterator[pa.RecordBatch], i: int = i, sent=sent) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-            for batch in batches:
-                for k in range(batch.num_rows):
-                    windows = windows_of({n: batch.column(n)[k].as_py() for n in batch.schema.names})
-                    if len(windows):
-                        local = Model.__new__(Model)
-                        local.__dict__ |= sent.value.__dict__ | {"p": {k: v.copy() for k, v in sent.value.p.items()}}
-                        local.fit(windows, 0.01 if i == 0 else 0.004)
-                        flat = local.flat()
-                        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat.astype(np.float64) * len(windows)), pa.array(np.full(len(flat), len(windows), np.int64))], names=["at", "x", "n"])
-
-        means = segments.select("held", "n_words", "codes", "pieces", "piece_counts").mapInArrow(fit, "at int, x double, n long").groupBy("at").agg(F.sum("x"), F.sum("n")).collect()
-        if not means:
+def train(segments: DataFrame, work: Work, rates: tuple[float, ...] = RATES, warm: int = WARM) -> Model:
+    model = Model(*gather(segments, work))
+    for i, rate in enumerate(rates):
+        sent = segments.sparkSession.sparkContext.broadcast(model)
+
+        def fit(r: dict, i: int = i, rate: float = rate, sent=sent) -> np.ndarray | None:  # noqa: ANN001
+            local = sent.value.copy()
+            windows, _ = local.fit(*training_stream(r), rate, warm if i == 0 else 1)
+            return np.append(local.flat.astype(np.float64) * windows, windows) if windows else None
+
+        total = tree_sum(segments, fit, np.float64, work)
+        if total is None:
             break
-        flat = model.flat()
-        for at, x, n in means:
-            flat[at] = x / n
-        model.take(flat)
+        model.take(total[:-1] / total[-1])
     return model
 
 
 # Base counts and the scores.
 
 
-def word_counts(segments: DataFrame, out: str) -> DataFrame:
-    """For each segment the counts, over all training documents, of its words: (segment, c array in the order of its words, first:
-    how many of them have a count and are counted here only). A word has a row for each segment that holds it at most."""
-    from pyspark.sql import Window
+def word_counts(segments: DataFrame, work: Work) -> tuple[DataFrame, int]:
+    """For each segment the counts, over all training documents, of its words, (segment, c) with c packed in the order of its words, and the
+    number of different words with a count. A word has a row for each segment that holds it at most."""
+    words = segments.select("segment", F.posexplode(F.arrays_zip("hashes", "counts")).alias("at", "x")).select("segment", "at", F.col("x.hashes").alias("word"), F.col("x.counts").alias("c"))
+    totals = work.store(words.where("c > 0").groupBy("word").agg(F.sum("c").alias("total")), "totals")
+    # both sides are tables as stored, so a word that most segments hold can be split
+    rows = words.select("segment", "at", "word").join(totals, "word", "left").select("segment", "at", F.coalesce("total", F.lit(0)).alias("total"))
+    dealt = rows.repartition("segment").sortWithinPartitions("segment", "at").select("segment", "total")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts = None, []
+        row = lambda: pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([pack(np.concatenate(parts))], pa.binary())], names=["segment", "c"])
+        for batch in batches:
+            own, total = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            cuts = np.flatnonzero(np.diff(own, prepend=own[:1] - 1))
+            for a, b in zip(cuts, np.append(cuts[1:], len(own)), strict=True):
+                if parts and own[a] != now:
+                    yield row()
+                    parts = []
+                now = int(own[a])
+                parts.append(total[a:b])
+        if parts:
+            yield row()
 
-    words = segments.select("segment", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "x")).select("segment", "at", F.col("x.words").alias("word"), F.col("x.counts").alias("c"))
-    same = Window.partitionBy("word")
-    counted = words.withColumn("total", F.sum("c").over(same)).withColumn("first", ((F.min(F.struct("segment", "at")).over(same) == F.struct("segment", "at")) & (F.col("total") > 0)).cast("long"))
-    back = counted.groupBy("segment").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "total"))), lambda x: x["total"]).alias("c"), F.sum("first").alias("first"))
-    back.write.option("compression", "zstd").parquet(out)
-    return segments.sparkSession.read.parquet(out)
+    return work.store(dealt.mapInArrow(write, "segment int, c binary"), "counts"), totals.count()
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score_documents(docs: DataFrame, tokenizer: str = TOKENIZER, segment_words: int = SEGMENT_WORDS) -> DataFrame:
+def score_documents(docs: DataFrame, tokenizer: str = TOKENIZER, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
     """Base and model scores of docs(doc_id, text), both learned from all rows that are not held out."""
     spark = docs.sparkSession
-    segments = store_segments(docs, scratch(spark, "segments"), tokenizer, segment_words)
-    counts = word_counts(segments, scratch(spark, "counts"))
+    work = Work(spark)
+    segments = work.store(segments_of(docs, tokenizer, segment_bytes), "segments")
+    counts, distinct = word_counts(segments, work)
     sums = segments.agg(F.sum(F.size(F.filter("held", lambda h: ~h))), F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, b: a + b))).first()
     ends = sums[0] or 0
     everything = ends + (sums[1] or 0)
-    distinct = (counts.agg(F.sum("first")).first()[0] or 0) + (ends > 0)
-    model = spark.sparkContext.broadcast(train(segments))
+    distinct += ends > 0
+    model = spark.sparkContext.broadcast(train(segments, work))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                r = {n: batch.column(n)[i] for n in batch.schema.names}
-                n_words, codes = np.array(r["n_words"].values, np.int64), unpack(r["codes"].as_py(), np.int32)
-                c = np.array(r["c"].values if r["c"].is_valid else [], np.int64)
+                r = {n: batch.column(n)[i].as_py() for n in batch.schema.names}
+                n_words, codes = np.array(r["n_words"], np.int64), unpack(r["codes"], np.int32)
+                c = unpack(r["c"], np.int64) if r["c"] else np.zeros(0, np.int64)
                 logs = np.log10((c + 1) / (everything + (distinct + 1)))
                 cuts = np.concatenate([[0], np.cumsum(n_words)])
                 summed = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[cuts])  # noqa: B023, E731
                 base = summed(logs[codes]) + np.log10((ends + 1) / (everything + (distinct + 1)))
                 scores = []
-                for tokens, lengths in documents(codes, n_words, unpack(r["pieces"].as_py(), np.uint16), unpack(r["piece_counts"].as_py(), np.uint16).astype(np.int64), 50_000):
+                for tokens, lengths in tokens_of(r, None, 50_000):
                     got = model.value.score(tokens, lengths).astype(np.float64)
                     scores.append(np.add.reduceat(got, np.cumsum(lengths) - lengths) / np.log(10))
                 n = len(n_words)
                 known = summed((c > 0)[codes].astype(np.int64)) + (ends > 0)
-                yield pa.RecordBatch.from_arrays([r["doc_ids"].values, r["held"].values, pa.array(n_words + 1), pa.array(known.astype(np.int64)), pa.array(np.full(n, everything, np.int64)), pa.array(base, pa.float64()), pa.array(np.concatenate(scores), pa.float64())], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(r["doc_ids"], pa.int64()), pa.array(r["held"]), pa.array(n_words + 1), pa.array(known.astype(np.int64)), pa.array(np.full(n, everything, np.int64)), pa.array(base, pa.float64()), pa.array(np.concatenate(scores), pa.float64())], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    rows = segments.select("segment", "doc_ids", "held", "n_words", "codes", "pieces", "piece_counts").join(counts.select("segment", "c"), "segment", "left")
+    rows = segments.select("segment", "doc_ids", "held", "n_words", "codes", "pieces", "piece_counts").join(counts, "segment", "left")
     return rows.drop("segment").mapInArrow(score, SCORES)
 
 
