@@ -1,4 +1,7 @@
 import hashlib
+import random
+
+import numpy as np
 
 import pytest
 
@@ -7,32 +10,70 @@ from visigraph.llm import fingerprint as f
 from .edge import LONG, STORY, documents, nothing
 
 
-def walk(text):
-    """The walk over a text, one character at a time."""
+def plain(text):
+    """The fingerprint of a text, one character at a time."""
+    own = [int(x) for x in f.symbols(text)]
+    at, marks = f.cuts(f.symbols(text))
     out = []
-    for c in range(0, len(text), f.CHUNK):
-        chunk = [int(x) for x in f.symbols(text[c : c + f.CHUNK])]
-        at, even, early = 0, [0] * f.SAMPLES, [0] * f.FIRST_SAMPLES
+    for a, b, mark in zip(at, [*at, len(own)][1:], marks):
+        place, digits = a, ""
         for j in range(f.STEPS):
-            s = chunk[at] if at < len(chunk) else 0
-            if j in f.EVEN:
-                even[f.EVEN[j]] = int(f.DIGITS[j][s])
-            if j in f.EARLY:
-                early[f.EARLY[j]] = int(f.DIGITS[j][s])
-            at += int(f.MOVES[j][s])
-        out += (early if c == 0 else []) + even
-    return "".join(f"{d:x}" for d in out)
+            if place == b:
+                break
+            if j in f.EVEN or mark == 0 and j in f.EARLY:
+                digits += f"{int(f.DIGITS[j][own[place]]):x}"
+            place += int(f.MOVES[j][own[place]])
+        out.append(f"{mark:04x}{digits}")
+    return ".".join(out)
 
 
 def test_walk_as_one_character_at_a_time():
-    texts = ["", "a", STORY, STORY * 7, "😀é" * 300, LONG[:3_000]]
-    assert f.fingerprints(texts) == [walk(t) for t in texts]
+    texts = ["", "a", STORY, STORY * 7, "😀é" * 900, LONG[:3_000], "a" * 5_000]
+    assert f.fingerprints(texts) == [plain(t) for t in texts]
+
+
+def prose(seed, n):
+    r = random.Random(seed)
+    words = ["".join(r.choices("etaoinshrdlu", k=r.randrange(2, 9))) for _ in range(900)]
+    return " ".join(r.choices(words, k=n))[:n]
+
+
+def test_chunks_are_bounded_and_realign():
+    for text in (prose(1, 9_000), "a" * 9_000, "ab" * 4_000, LONG):
+        at, marks = f.cuts(f.symbols(text))
+        sizes = [b - a for a, b in zip(at, [*at, len(text)][1:])]
+        assert max(sizes) <= f.LONGEST and min(sizes) >= f.SHORTEST and marks[0] == 0 and 0 not in marks[1:]
+    text = prose(2, 9_000)
+    before, after = ({len(t) - x for x in f.cuts(f.symbols(t))[0]} for t in (text, "something new here " + text))
+    assert len(before & after) >= len(before) - 2
 
 
 def test_likeness():
     a, b, c, d = f.fingerprints([LONG[:6_000], LONG[:3_000] + "x" + LONG[3_000:6_000], "zq" * 3_000, STORY])
     assert f.likeness(a, a) == 1.0 and f.likeness("", "") == 1.0 and f.likeness("", a) == 0.0
-    assert f.likeness(a, b) > 0.55 > f.likeness(a, c) and f.likeness(a, d) < 0.2 and 0 <= f.likeness(b, d) <= 1
+    assert f.likeness(a, b) > 0.9 and f.likeness(a, c) < 0.1 and f.likeness(a, d) < 0.2 and 0 <= f.likeness(b, d) <= 1
+
+
+@pytest.mark.parametrize("inserted", [1, 4, 16, 64])
+@pytest.mark.parametrize("place", [0, 3_000])
+def test_likeness_after_an_insertion(inserted, place):
+    new = prose(99, 200)[:inserted]
+    texts = [prose(s, 6_000) for s in range(20)]
+    near = [f.likeness(*f.fingerprints([t, t[:place] + new + t[place:]])) for t in texts]
+    far = [f.likeness(*f.fingerprints([texts[i], texts[i - 1]])) for i in range(20)]
+    assert min(near) >= (0.8 if inserted <= 16 else 0.7) and np.mean(near) >= 0.85 and max(far) < 0.1
+
+
+def test_classes_after_edits(spark):
+    """Each text has a copy with a heading, one with words replaced, and one that is half of another text."""
+    rows = []
+    for s in range(60):
+        t = prose(s, 4_000)
+        cut = 1_000 + 13 * s
+        rows += [(10 * s, t), (10 * s + 1, f"Heading {s}. " + t), (10 * s + 2, t[:cut] + " other words " + t[cut + 20 :]), (10 * s + 3, t[:2_000] + prose(1_000 + s, 2_000))]
+    got = {r.doc_id: r.class_id for r in f.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    linked = sum(got[10 * s + k] == 10 * s for s in range(60) for k in (1, 2))
+    assert linked >= 0.98 * 120 and all(got[10 * s + 3] == 10 * s + 3 for s in range(60))
 
 
 @pytest.mark.parametrize("shard_rows", [8_192, 4])
@@ -64,7 +105,8 @@ def test_repeated_null_and_single_rows(spark):
     assert f.compare_next(one.union(one).union(one)).count() == 3
 
 
-def test_near_links(spark):
-    rows = [(1, STORY * 5), (2, STORY * 5 + " end"), (3, LONG[:700]), (4, ""), (5, STORY * 5)]
-    got = {(r.doc_id, r.other) for r in f.near_links(spark.createDataFrame(rows, "doc_id long, text string"), 0.7).collect()}
-    assert got == {(2, 1), (5, 1)}
+def test_classes_of_edge_rows(spark):
+    rows = [(1, STORY * 5), (2, STORY * 5 + " end"), (3, LONG[:700]), (4, ""), (5, STORY * 5), (6, None), (None, STORY * 5), (5, STORY * 5)]
+    got = sorted(((r.doc_id or 0), r.class_id) for r in f.near_classes(spark.createDataFrame(rows, "doc_id long, text string"), 0.7).collect())
+    assert got == [(0, 1), (1, 1), (2, 1), (3, 3), (4, 4), (5, 1), (5, 1), (6, 4)]
+    assert f.near_classes(nothing(spark)).count() == 0

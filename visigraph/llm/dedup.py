@@ -18,7 +18,7 @@ number made from the content stands for it; an empty table gives no rows; other
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -225,7 +225,28 @@ def bags_of(wanted: DataFrame, docs: DataFrame) -> DataFrame:
     return texts.mapInArrow(write, "id long, bag binary").dropDuplicates(["id"])  # rows may repeat
 
 
-def star_links(pairs: DataFrame, bag: DataFrame, least: float) -> DataFrame:
+class Multisets:
+    """How packed multisets are compared. Other kinds of data have the same three methods."""
+
+    def __init__(self, least: float = LEAST):
+        self.least = least
+
+    load = staticmethod(elements)
+
+    def near(self, head: np.ndarray, own: np.ndarray) -> bool:
+        if min(len(own), len(head)) < self.least * max(len(own), len(head)):
+            return False
+        place = np.searchsorted(head, own)
+        both = np.count_nonzero(head[np.minimum(place, len(head) - 1)] == own)
+        return bool(similar(len(own), len(head), both, self.least))
+
+    def matrix(self, sets: list[np.ndarray], meets: np.ndarray) -> np.ndarray:
+        """Which of the pairs that meet are near."""
+        size = np.array([len(x) for x in sets])
+        return meets & similar(size[:, None], size, overlaps(sets), self.least)
+
+
+def star_links(pairs: DataFrame, bag: DataFrame, kind: Multisets) -> DataFrame:
     """The links among pairs(a, b, n): b is a head of up to n members. Groups are dealt to cells of about STAR members that each get
     the head's bag, and a task compares a cell in one pass, the head first."""
     dealt = pairs.withColumn("salts", F.ceil(F.col("n") / STAR).cast("int")).withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int"))
@@ -240,15 +261,11 @@ def star_links(pairs: DataFrame, bag: DataFrame, least: float) -> DataFrame:
             for i, top, bag in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 if i == top:
                     if top != at:
-                        at, head = top, elements(bag.as_py())
+                        at, head = top, kind.load(bag.as_py())
                     continue
-                own = elements(bag.as_py())
-                if min(len(own), len(head)) >= least * max(len(own), len(head)):
-                    place = np.searchsorted(head, own)
-                    both = np.count_nonzero(head[np.minimum(place, len(head) - 1)] == own)
-                    if similar(len(own), len(head), both, least):
-                        a.append(i)
-                        b.append(top)
+                if kind.near(head, kind.load(bag.as_py())):
+                    a.append(i)
+                    b.append(top)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return cells.select("id", "b", "bag").mapInArrow(compare, "a long, b long")
@@ -300,7 +317,7 @@ def forest(root: np.ndarray, linked: np.ndarray) -> tuple[pa.Array, pa.Array]:
     return pa.array(roots[more]), pa.array(roots[top[more]])
 
 
-def rest_links(members: DataFrame, roots: DataFrame, bag: DataFrame, least: float, work: Work) -> DataFrame:
+def rest_links(members: DataFrame, roots: DataFrame, bag: DataFrame, kind: Multisets, work: Work) -> DataFrame:
     """The classes (a, b) that the links among all pairs of members(key, id, weight) join that share a key and differ in their root.
 
     The members of a key's largest class meet blocks of the others only, and the others meet block by block."""
@@ -324,10 +341,9 @@ def rest_links(members: DataFrame, roots: DataFrame, bag: DataFrame, least: floa
     def compare(cell: pa.Table) -> pa.Table:
         mixed, lo, hi = (cell.column(n)[0].as_py() for n in ("mixed", "lo", "hi"))
         ids, root, first, own = (cell.column(n).to_numpy() for n in ("id", "root", "first", "own"))
-        sets = [elements(x.as_py()) for x in cell.column("bag")]
-        size = np.array([len(x) for x in sets])
+        sets = [kind.load(x.as_py()) for x in cell.column("bag")]
         meets = (ids[:, None] > ids) & (root[:, None] != root) & ((first[:, None] != first) if mixed else ((own[:, None] != own) | (lo == hi)))
-        return pa.table(list(forest(root, meets & similar(size[:, None], size, overlaps(sets), least))), schema=out)
+        return pa.table(list(forest(root, kind.matrix(sets, meets))), schema=out)
 
     return cells.join(bag, "id").groupBy("key", "mixed", "lo", "hi").applyInArrow(compare, "a long, b long").distinct()
 
@@ -355,17 +371,17 @@ def components(links: DataFrame, work: Work) -> DataFrame:
         links = after
 
 
-def classes(named: DataFrame, docs: DataFrame, least: float, work: Work) -> DataFrame:
-    """(id, root) of the contents that are near another one. named(id, doc_id, same, weight, bands)."""
-    keys = named.select("id", "weight", F.explode("bands").alias("key"))
+def classes(keys: DataFrame, bags: Callable[[DataFrame], DataFrame], kind: Multisets, work: Work) -> DataFrame:
+    """(id, root) of the ids that are near another one. keys(id, key, weight), where weight says how large an id's bag is; bags gives (id, bag)
+    of some ids."""
     heads = work.store(keys.groupBy("key").agg(F.min("id").alias("b"), F.count("*").alias("n")).where("n > 1"), "heads")
     members = work.store(join_small(keys, heads, ["key"], "inner", heads.count(), limit=BROADCAST_IDS).where("id <> b"), "members")
     pairs = work.store(members.groupBy(F.col("id").alias("a"), "b").agg(F.max("n").alias("n")), "pairs")
     active = work.store(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "active")
-    bag = work.store(bags_of(join_small(named, active, ["id"], "left_semi", active.count(), limit=BROADCAST_IDS), docs), "bags")
-    links = work.store(star_links(pairs, bag, least), "stars")
+    bag = work.store(bags(active), "bags")
+    links = work.store(star_links(pairs, bag, kind), "stars")
     roots = components(links, work)
-    rest = work.store(rest_links(members.select("key", "id", "weight"), roots, bag, least, work), "rest")
+    rest = work.store(rest_links(members.select("key", "id", "weight"), roots, bag, kind, work), "rest")
     if rest.limit(1).count():
         stars = roots.select(F.col("id").alias("a"), F.col("root").alias("b"))
         roots = components(stars.union(rest), work)
@@ -380,7 +396,8 @@ def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
     # a stored row's number is its own, so the number of its first row is a content's id
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "same", "row")).alias("r")
     named = work.store(rows.groupBy("content").agg(first, F.first("weight").alias("weight"), F.first("bands").alias("bands")).select("content", F.col("r.row").alias("id"), "r.doc_id", "r.same", "weight", "bands"), "named")
-    roots = classes(named, docs, least, work)
+    bags = lambda active: bags_of(join_small(named, active, ["id"], "left_semi", active.count(), limit=BROADCAST_IDS), docs)
+    roots = classes(named.select("id", "weight", F.explode("bands").alias("key")), bags, Multisets(least), work)
     rooted = named.select("content", "id", "doc_id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     smallest = rooted.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.min("content").alias("c")).withColumn("class_id", F.coalesce("class_id", -1 - F.pmod(F.xxhash64("c"), F.lit(1 << 62)))).drop("c")
     ids = work.store(rooted.select("content", "root").join(work.store(smallest, "smallest"), "root"), "ids")

@@ -1,13 +1,14 @@
 """Operator 8: document fingerprints by a randomised edit embedding.
 
-A text is cut into chunks of CHUNK code points, and a walk goes over each chunk: at step j it stands on one character and
-moves on by a random bit that depends on j and the character only. All texts share those bits, so walks over texts
-a few edits apart meet again soon after each edit, and the characters that they stand on agree at most steps: edit
-distance becomes Hamming distance. A fingerprint holds the characters at sampled steps, hashed to hexadecimal digits
-1 to f; 0 stands behind the end. The first chunk has more samples, for short texts.
+A text is cut where its own characters say so (a hash of the last few), so what lies behind an insertion is cut as before. A walk
+goes over each chunk: at step j it stands on one character and moves on by a random bit that depends on j and the character only. All
+texts share those bits, so walks over chunks a few edits apart meet again soon after each edit, and the characters that
+they stand on agree at most steps: edit distance becomes Hamming distance. A fingerprint lists the chunks; each has a mark of
+four digits, from the characters before it (0000 for the first), and the characters at sampled steps, hashed to digits 1 to f. The
+first chunk has more samples, for short texts.
 
-The likeness of two fingerprints is the share of samples that agree, of those where either has a character, less what
-unrelated texts agree by chance. Bands of samples find candidates; likeness verifies them.
+The likeness of two fingerprints compares chunks of equal marks, the n-th of a mark with the n-th: the share of samples that agree, less
+what unrelated texts agree by chance, weighed by the samples of all chunks of both. Bands of samples find candidates; likeness verifies them.
 
 Defined results: a null text is empty, and an empty text has an empty fingerprint; two empty fingerprints are alike (1.0);
 equal texts have equal fingerprints; rows that repeat a doc_id are ordered by text; a null doc_id comes last; the next
@@ -17,86 +18,149 @@ document of the only one is itself; an empty table gives no rows; other columns
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import range_cuts, small_batches, table
+from . import dedup
+from .common import Work, join_small, range_cuts, small_batches, table
 
-CHUNK = 256
-SAMPLES = 24
-FIRST_SAMPLES = 24
+#: Characters that decide on a cut, one place in so many is cut, and the bounds of a chunk's characters.
+WINDOW = 8
+EVERY = 128
+SHORTEST, LONGEST = 48, 512
 #: Hashed characters of unrelated texts agree so often.
 CHANCE = 0.13
 SHARD_ROWS = 8_192
 SEED = 20_240_101
+#: Samples of a band, the features of a document that bands are made of, and the likeness that links.
 BAND = 8
+FEATURES = 8
+LEAST = 0.8
 
 _random = np.random.default_rng(SEED)
-STEPS = 2 * CHUNK - 16
+STEPS = 2 * LONGEST + 128
 #: By step and symbol: whether the walk moves on, and the digit of a sample. Symbol 0 is the end: no move, digit 0.
 MOVES = _random.integers(0, 2, (STEPS, 256)).astype(np.int32)
 MOVES[:, 0] = 0
 DIGITS = _random.integers(1, 16, (STEPS, 256)).astype(np.uint8)
 DIGITS[:, 0] = 0
-EVEN = {int(s): k for k, s in enumerate(np.linspace(3, STEPS - 1, SAMPLES).astype(int))}
-EARLY = {2 * k: k for k in range(FIRST_SAMPLES)}
+#: Sampled steps of any chunk, and of a first one.
+EVEN = np.arange(3, STEPS, 20)
+EARLY = np.union1d(np.arange(0, 48, 2), EVEN)
 HEX = np.frombuffer(b"0123456789abcdef", np.uint8)
 #: Chunks that walk together.
-LOCKSTEP = 16_384
+LOCKSTEP = 8_192
+U = np.uint32
 
 
 def symbols(text: str) -> np.ndarray:
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    return ((points * np.uint32(2654435761)) >> np.uint32(8)).astype(np.uint32) % np.uint32(255) + np.uint32(1)
-
-
-def walk(chunks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The even and the early samples of chunks, which are rows of CHUNK + 1 symbols, the last of them 0."""
-    n = len(chunks)
-    flat, at = chunks.ravel(), np.arange(n, dtype=np.int32) * np.int32(CHUNK + 1)
-    even, early = np.zeros((n, SAMPLES), np.uint8), np.zeros((n, FIRST_SAMPLES), np.uint8)
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), U)
+    return ((points * U(2654435761)) >> U(8)) % U(255) + U(1)
+
+
+def cuts(own: np.ndarray) -> tuple[list[int], list[int]]:
+    """Where the chunks of a text's symbols begin, and their marks."""
+    n = len(own)
+    if n < 2 * SHORTEST:
+        return ([0], [0]) if n else ([], [])
+    h = np.zeros(n - WINDOW + 1, U)  # of the WINDOW symbols before place WINDOW and on
+    for i in range(WINDOW):
+        h = (h ^ own[i : n - WINDOW + 1 + i]) * U(0x9E3779B1)
+        h ^= h >> U(15)
+    places = np.flatnonzero(h % U(EVERY) == 0)
+    at, marks, found = [0], [0], (places + WINDOW).tolist()
+    k = bisect_left(found, SHORTEST)
+    while True:
+        place = min(found[k] if k < len(found) else n, at[-1] + LONGEST)
+        if n - place < SHORTEST:  # what is left at the end belongs to the last chunk, unless that grows too long
+            if n - at[-1] <= LONGEST:
+                return at, marks
+            place = n - SHORTEST if place > n - SHORTEST else place
+        at.append(place)
+        marks.append(1 + int(h[place - WINDOW] // U(EVERY)) % 0xFFFF)
+        k = bisect_left(found, place + SHORTEST, k)
+
+
+def walk(flat: np.ndarray, begins: np.ndarray, lengths: np.ndarray, firsts: np.ndarray) -> list[bytes]:
+    """The samples of chunks, as digits, without those behind the end. flat: the symbols of all texts, with a 0 behind each chunk."""
+    order = np.argsort(-lengths, kind="stable")
+    at, ends, first = begins[order].astype(np.int32), (begins + lengths)[order], firsts[order]
+    out = np.zeros((len(at), len(EARLY)), np.uint8)
+    column = {int(j): k for k, j in enumerate(EARLY)}
+    even, live = set(EVEN.tolist()), len(at)
     for j in range(STEPS):
-        here = flat[at]
-        if j in EVEN:
-            even[:, EVEN[j]] = DIGITS[j][here]
-        if j in EARLY:
-            early[:, EARLY[j]] = DIGITS[j][here]
-        at += MOVES[j][here]
-    return even, early
+        while live and at[live - 1] >= ends[live - 1]:
+            live -= 1
+        if not live:
+            break
+        here = flat[at[:live]]
+        if j in column:
+            digits = DIGITS[j][here]
+            out[:live, column[j]] = digits if j in even else np.where(first[:live], digits, 0)
+        at[:live] += MOVES[j][here]
+    text = HEX[out]
+    used = out != 0
+    made: list[bytes] = [b""] * len(at)
+    for i, k in enumerate(order.tolist()):
+        made[k] = text[i, used[i]].tobytes()
+    return made
 
 
 def fingerprints(texts: list[str]) -> list[str]:
-    counts = [-(-len(t) // CHUNK) for t in texts]
-    rows = np.zeros((sum(counts), CHUNK + 1), np.uint8)
-    at = 0
-    for t, n in zip(texts, counts, strict=True):
-        padded = np.zeros(n * CHUNK, np.uint8)
-        padded[: len(t)] = symbols(t)
-        rows[at : at + n, :CHUNK] = padded.reshape(n, CHUNK)
-        at += n
-    parts = [walk(rows[i : i + LOCKSTEP]) for i in range(0, len(rows), LOCKSTEP)]
-    even = HEX[np.concatenate([p[0] for p in parts])] if parts else None
-    early = HEX[np.concatenate([p[1] for p in parts])] if parts else None
-    out, at = [], 0
-    for n in counts:
-        out.append((early[at].tobytes() + even[at : at + n].tobytes()).decode() if n else "")
-        at += n
+    own = [symbols(t) for t in texts]
+    found = [cuts(x) for x in own]
+    parts, begins, lengths, marks, total = [], [], [], [], 0
+    for x, (at, mark) in zip(own, found, strict=True):
+        for a, b in zip(at, [*at, len(x)][1:], strict=True):
+            parts += [x[a:b].astype(np.uint8), np.zeros(1, np.uint8)]
+            begins.append(total)
+            lengths.append(b - a)
+            total += b - a + 1
+        marks += mark
+    if not begins:
+        return [""] * len(texts)
+    flat, begins, lengths, marks = np.concatenate(parts), np.array(begins), np.array(lengths), np.array(marks)
+    made = []
+    for i in range(0, len(begins), LOCKSTEP):
+        made += walk(flat, begins[i : i + LOCKSTEP], lengths[i : i + LOCKSTEP], marks[i : i + LOCKSTEP] == 0)
+    chunks = iter(f"{m:04x}{d.decode()}" for m, d in zip(marks.tolist(), made, strict=True))
+    return [".".join(next(chunks) for _ in at) for at, _ in found]
+
+
+def chunks_of(fingerprint: str) -> dict[tuple[str, int], bytes]:
+    """The samples of a fingerprint's chunks by mark and by its number among those of the mark."""
+    out, seen = {}, Counter()
+    for chunk in fingerprint.split(".") if fingerprint else ():
+        mark = chunk[:4]
+        out[mark, seen[mark]] = chunk[4:].encode()
+        seen[mark] += 1
     return out
 
 
-def likeness(a: str, b: str) -> float:
-    """0 to 1. Samples that a shorter fingerprint lacks count as its end."""
-    n = max(len(a), len(b))
-    x, y = (np.frombuffer(s.ljust(n, "0").encode(), np.uint8) for s in (a, b))
-    either = np.count_nonzero((x != 48) | (y != 48))
-    if not either:
+def likeness(a: str | dict, b: str | dict) -> float:
+    """0 to 1, of fingerprints or of their chunks. Samples that a shorter chunk lacks don't agree."""
+    x, y = (chunks_of(s) if isinstance(s, str) else s for s in (a, b))
+    if not x and not y:
         return 1.0
-    share = np.count_nonzero((x == y) & (x != 48)) / either
-    return max(0.0, (share - CHANCE) / (1 - CHANCE))
+    total = alike = 0.0
+    for mark in x.keys() | y.keys():
+        p, q = x.get(mark, b""), y.get(mark, b"")
+        n = max(len(p), len(q))
+        total += n
+        if p == q:
+            alike += n
+        elif p and q:
+            m = min(len(p), len(q))
+            share = np.count_nonzero(np.frombuffer(p, np.uint8, m) == np.frombuffer(q, np.uint8, m)) / n
+            alike += n * max(0.0, (share - CHANCE) / (1 - CHANCE))
+    return alike / total
 
 
 def fingerprint_rows(docs: DataFrame) -> DataFrame:
@@ -111,25 +175,56 @@ def fingerprint_rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(write, "doc_id long, n_chars long, fingerprint string")
 
 
-def near_links(docs: DataFrame, least: float = 0.8, band: int = BAND) -> DataFrame:
-    """(doc_id, other, likeness): links of documents to the smallest doc_id that shares a band of samples with them,
-    verified by the likeness of the fingerprints. Links are stars, so a group of copies has as many links as members."""
-    rows = fingerprint_rows(docs.where("doc_id IS NOT NULL")).where("fingerprint <> ''")
-    prints = rows.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id"))
-    same = rows.join(prints.withColumnRenamed("doc_id", "other"), "fingerprint").where("doc_id <> other").select("doc_id", "other", F.lit(1.0).alias("likeness"))
-    starts = F.sequence(F.lit(1), F.length("fingerprint") - (band - 1), F.lit(band))
-    keys = prints.select("doc_id", F.posexplode(F.transform(starts, lambda i: F.col("fingerprint").substr(i, F.lit(band)))).alias("place", "digits")).where(~F.col("digits").rlike("^0*$"))
-    heads = keys.groupBy("place", "digits").agg(F.min("doc_id").alias("other"), F.count("*").alias("n")).where("n > 1").drop("n")
-    pairs = keys.join(heads, ["place", "digits"]).where("doc_id <> other").select("doc_id", "other").distinct()
-    a, b = prints.select("doc_id", "fingerprint"), prints.select(F.col("doc_id").alias("other"), F.col("fingerprint").alias("_other"))
-
-    @F.pandas_udf("double")
-    def alike(x, y):  # noqa: ANN001, ANN202
-        import pandas as pd
+class Prints:
+    """How fingerprints are compared, for dedup.classes."""
+
+    def __init__(self, least: float = LEAST):
+        self.least = least
+
+    @staticmethod
+    def load(data: bytes) -> dict:
+        return chunks_of(data.decode())
+
+    def near(self, head: dict, own: dict) -> bool:
+        return likeness(head, own) >= self.least
 
-        return pd.Series([likeness(p, q) for p, q in zip(x, y, strict=True)], dtype=float)
+    def matrix(self, prints: list[dict], meets: np.ndarray) -> np.ndarray:
+        out = np.zeros_like(meets)
+        for i, j in zip(*np.nonzero(meets), strict=True):
+            out[i, j] = self.near(prints[i], prints[j])
+        return out
 
-    return same.unionByName(pairs.join(a, "doc_id").join(b, "other").select("doc_id", "other", alike("fingerprint", "_other").alias("likeness")).where(F.col("likeness") >= least))
+
+def bands(fingerprint: str) -> list[int]:
+    """Keys of a fingerprint. Its features are samples of BAND digits with their chunk's mark and place; the FEATURES of smallest
+    hash stand for them all, and any two of them make a key."""
+    chunks = chunks_of(fingerprint)
+    found = {xxhash.xxh3_64_intdigest(f"{mark}:{n}:{i}:".encode() + d[i : i + BAND]) for (mark, n), d in chunks.items() for i in range(0, max(1, len(d) - BAND + 1), BAND)}
+    least = sorted(found)[:FEATURES]
+    pairs = [x + 3 * y & 0x7FFFFFFFFFFFFFFF for k, x in enumerate(least) for y in least[k + 1 :]]
+    return pairs or [x >> 1 for x in least]
+
+
+def near_classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
+    """(doc_id, class_id): documents whose fingerprints are linked, by a likeness of `least` or more, have the class of the smallest
+    doc_id. Equal fingerprints are compared once; texts that share no key are not. A class of null doc_ids only is null."""
+    work = Work(docs.sparkSession)
+    rows = work.store(fingerprint_rows(docs).withColumn("row", F.monotonically_increasing_id()), "prints")
+    prints = work.store(rows.groupBy("fingerprint").agg(F.min("row").alias("id"), F.min("doc_id").alias("doc_id")), "named")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [bands(x) for x in batch.column(1).to_pylist()]
+            n = [len(x) for x in own]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), n)), pa.array([k for x in own for k in x], pa.int64()), pa.array(np.repeat([len(x) for x in batch.column(1).to_pylist()], n).astype(np.int32))], names=["id", "key", "weight"])
+
+    keys = work.store(prints.where("fingerprint <> ''").select("id", "fingerprint").mapInArrow(write, "id long, key long, weight int"), "keys")
+    bag = prints.select("id", F.col("fingerprint").cast("binary").alias("bag"))
+    roots = dedup.classes(keys, lambda active: join_small(bag, active, ["id"], "left_semi", active.count(), limit=dedup.BROADCAST_IDS), Prints(least), work)
+    rooted = prints.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    smallest = work.store(rooted.groupBy("root").agg(F.min("doc_id").alias("class_id")), "smallest")
+    ids = work.store(rooted.select("fingerprint", "root").join(smallest, "root").select("fingerprint", "class_id"), "ids")
+    return rows.select("doc_id", "fingerprint").join(ids, "fingerprint").select("doc_id", "class_id")
 
 
 def edited(text: str, after: str) -> str:
