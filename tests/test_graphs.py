@@ -17,13 +17,37 @@ PULL = "project_id int, source_url string, target_url string, seq int, anchor st
 def test_backlink_diff(spark):
     stored = [(1, "a", "t", "old", True, 5, 1, 1, 1, None), (1, "b", "t", "x", True, 5, 1, 1, 1, None), (1, "c", "t", "x", True, 5, 1, 1, 1, 2), (2, "d", "t", "x", True, 5, 1, 1, 1, None), (1, "e", "t", "x", True, 5, 1, 1, 1, 2)]
     pull = [(1, "a", "t", 1, "new", "true", None, 9, ), (1, "c", "t", 2, "y", None, 7, None), (1, "n", "t", 3, "q", "false", 1, 1), (1, "n", "t", 4, "z", "TRUE", 2, 2), (1, "", "t", 5, "q", None, 1, 1), (1, None, "t", 6, "q", None, 1, 1)]
-    got = {r.source_url: r for r in backlinks.backlink_diff(spark.createDataFrame(stored, RECORD), spark.createDataFrame(pull, PULL), F.lit(9)).collect()}
+    got = {r.source_url: r for r in backlinks.backlink_diff(spark.createDataFrame(stored, RECORD), spark.createDataFrame(pull, PULL), spark.createDataFrame([(1,)], "project_id int"), F.lit(9)).collect()}
     assert {k: r.change for k, r in got.items()} == {"a": "active", "b": "lost", "c": "active", "d": "gone", "e": "gone", "n": "new"}
     assert (got["a"].anchor, got["a"].domain_rank, got["a"].spam_score, got["a"].last_seen) == ("old", 5, 9, 9)
     assert (got["b"].lost_at, got["b"].last_seen, got["c"].lost_at, got["d"].lost_at, got["e"].lost_at) == (9, 1, None, None, 2)
     assert (got["n"].anchor, got["n"].is_follow, got["n"].domain_rank, got["n"].first_seen) == ("z", False, 2, 9)
 
 
+def test_an_empty_pull_loses_all_links(spark):
+    stored = spark.createDataFrame([(1, "a", "t", "x", True, 5, 1, 1, 1, None), (2, "a", "t", "x", True, 5, 1, 1, 1, None)], RECORD)
+    got = {r.project_id: (r.change, r.lost_at) for r in backlinks.backlink_diff(stored, spark.createDataFrame([], PULL), spark.createDataFrame([(1,)], "project_id int"), F.lit(9)).collect()}
+    assert got == {1: ("lost", 9), 2: ("gone", None)}
+
+
+def test_a_clean_audit_removes_issues(spark):
+    issues = spark.createDataFrame([(1, 10, "title"), (2, 20, "h1"), (3, 30, "lang")], "project_id int, page_id int, category string")
+    audited = spark.createDataFrame([(1, 10), (1, 11), (2, 20)], "project_id int, page_id int")
+    fresh = issues.where("project_id = 2")
+    assert {r.project_id for r in upserts.replace_issues(issues, fresh, audited).collect()} == {2, 3}
+    assert {(r.project_id, r.pages_audited, r.issues_found) for r in upserts.audit_summary(audited, fresh).collect()} == {(1, 2, 0), (2, 1, 1)}
+
+
+def test_export_and_report_files(spark, tmp_path):
+    view = spark.createDataFrame([("shoes, red", 10, None, "commercial", "rising")], "keyword string, volume int, difficulty int, intent string, trend string")
+    reports.write_keyword_export(view, f"{tmp_path}/x", single_file=True)
+    [part] = tmp_path.glob("x/part-*")
+    assert part.read_bytes().decode("utf-8-sig").splitlines() == ["Keyword,Volume,Difficulty,Intent,Trend", '"shoes, red",10,"",commercial,rising'] and part.read_bytes().startswith(b"\xef\xbb\xbf")
+    (tmp_path / "r.csv").write_text("Keyword;Search Volume\nred \"shoes\";5\n")
+    [row] = reports.read_report_files(spark, f"{tmp_path}/r.csv").collect()
+    assert (row.Ph, row.Nq) == ('red "shoes"', "5")
+
+
 def test_history_is_repeated_diffs(spark):
     r = random.Random(4)
     pulls = [(p, f"s{s}", "t", n, r.choice([None, 1, 2])) for p in (1, 2) for n in range(1, 6) for s in range(8) if r.random() < 0.5 and n != 3]
@@ -90,6 +114,7 @@ def test_frontier_of_a_long_chain(spark):
     starts = spark.createDataFrame([(1, "p0")], "project_id int, url string")
     assert {r.url: r.depth for r in links.crawl_frontier(edges, starts).collect()} == {f"p{i}": i for i in range(55)}
     assert links.crawl_frontier(edges, starts, 3).count() == 4
+    assert {r.url for r in links.crawl_frontier(edges.union(spark.createDataFrame([(1, "p1", "a")], edges.schema)), starts, max_pages=3).collect()} == {"p0", "p1", "a"}
 
 
 def test_sitemaps(spark):
@@ -99,6 +124,7 @@ def test_sitemaps(spark):
         (f"{o}/u1.xml", f"<urlset><loc> {o}/p1/?x=1 </loc><loc>https://b.example/x</loc><loc>{o}/p2</loc></urlset>", 200), (f"{o}/u2.xml", f"<urlset><loc>{o}/p1</loc><loc>{o}/p3</loc></urlset>", 200), (f"{o}/gone.xml", "<urlset></urlset>", 404),
         (f"{o}/sitemap.xml", f"<urlset><loc>{o}/never</loc></urlset>", 200), ("https://c.example/sitemap.xml", "<urlset><loc>https://c.example/</loc></urlset>", 200),
     ]
+    scratch(spark, "x")
     origins = spark.createDataFrame([(o,), ("https://c.example",), ("https://d.example",)], "origin string")
     got = {}
     for r in reports.extract_sitemap_urls(spark.createDataFrame(rows, "url string, body string, status int"), origins, 3).orderBy("origin", "pos").collect():

@@ -22,6 +22,11 @@ def blank(c: Column) -> Column:
     return stripped(c) == ""
 
 
+def word_count(c: Column) -> Column:
+    """The number of words, without making them."""
+    return F.regexp_count(F.coalesce(c, F.lit("")), F.lit(f"[^{WS[1:]}+"))
+
+
 def words(c: Column) -> Column:
     return F.filter(F.split(F.coalesce(c, F.lit("")), f"{WS}+"), lambda w: w != "")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import blank, rtrim_slash, stripped, words
+from ..functions.text import blank, rtrim_slash, stripped, word_count
 
 TITLE, DESCRIPTION, H1, THIN = (30, 60), (50, 160), (10, 70), 300
 ISSUE = "struct<category:string,rule:string,severity:string,message:string>"
@@ -105,7 +105,7 @@ def lang(p: dict) -> Column:
 
 
 def content(p: dict) -> Column:
-    n = F.size(words(p["custom_content"]))
+    n = word_count(p["custom_content"])
     return issues(F.when(n < THIN, issue("content", "thin", "warning", format_text(f"Page has only %d words (recommended {THIN}+).", n))))
 
 
@@ -316,11 +316,13 @@ def active_pages(pages: DataFrame) -> DataFrame:
     return pages.join(source, "project_id").where(F.col("source") == F.col("active_source")).drop("active_source")
 
 
-def project_cards(pages: DataFrame, found: DataFrame, busy: DataFrame) -> DataFrame:
-    """Per project over the pages of its active source: pages, errors, warnings, total, health, is_fetching. busy(project_id)."""
+def project_cards(pages: DataFrame, found: DataFrame, jobs: DataFrame, tasks: DataFrame) -> DataFrame:
+    """Per project over the pages(..., updated_at) of its active source: pages, errors, warnings, total, last_checked, health, is_fetching. A
+    project is fetching while a job(project_id, status) is queued or running, or an on-page task(project_id, status) is posted."""
+    busy = jobs.where("status IN ('queued', 'running')").select("project_id").union(tasks.where("status = 'posted'").select("project_id"))
     own = active_pages(pages)
     per_page = found.groupBy("page_id").agg(F.count_if(F.col("severity") == "error").alias("e"), F.count_if(F.col("severity") == "warning").alias("w"), F.count("*").alias("t"))
-    by = own.join(per_page, "page_id", "left").groupBy("project_id").agg(F.count("*").alias("pages"), F.coalesce(F.sum("e"), F.lit(0)).alias("errors"), F.coalesce(F.sum("w"), F.lit(0)).alias("warnings"), F.coalesce(F.sum("t"), F.lit(0)).alias("total"))
+    by = own.join(per_page, "page_id", "left").groupBy("project_id").agg(F.count("*").alias("pages"), F.coalesce(F.sum("e"), F.lit(0)).alias("errors"), F.coalesce(F.sum("w"), F.lit(0)).alias("warnings"), F.coalesce(F.sum("t"), F.lit(0)).alias("total"), F.max("updated_at").alias("last_checked"))
     health = F.greatest(100 - 4 * F.col("errors") - F.least("warnings", F.lit(40)), F.lit(0))
     flag = busy.select("project_id").distinct().withColumn("is_fetching", F.lit(True))
     return by.withColumn("health", health).join(flag, "project_id", "left").withColumn("is_fetching", F.coalesce("is_fetching", F.lit(False)))
@@ -344,6 +346,14 @@ def issue_board(pages: DataFrame, found: DataFrame) -> DataFrame:
     return found.join(own, "page_id").withColumn("place", F.row_number().over(order))
 
 
+def board_totals(pages: DataFrame, found: DataFrame, suggestions: DataFrame) -> DataFrame:
+    """Per project over the pages of its active source: pages, issues, errors, warnings, suggestions. suggestions(page_id)."""
+    per_page = found.groupBy("page_id").agg(F.count("*").alias("i"), F.count_if(F.col("severity") == "error").alias("e"), F.count_if(F.col("severity") == "warning").alias("w"))
+    own = active_pages(pages).join(per_page, "page_id", "left").join(suggestions.groupBy("page_id").agg(F.count("*").alias("s")), "page_id", "left")
+    total = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).alias(name)
+    return own.groupBy("project_id").agg(F.count("*").alias("pages"), total("i", "issues"), total("e", "errors"), total("w", "warnings"), total("s", "suggestions"))
+
+
 def page_issue_paging(found: DataFrame, size: int = 10) -> DataFrame:
     """Issues other than of titles with their page of the list, by page."""
     order = Window.partitionBy("page_id").orderBy("category", "rule")

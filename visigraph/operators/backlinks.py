@@ -6,19 +6,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.frames import first_rows, latest_by
-from ..functions.text import bare_domain, to_int, url_domain
+from ..functions.text import to_int, url_domain
 
 KEY = ["project_id", "source_url", "target_url"]
 
 
-def backlink_diff(stored: DataFrame, pull: DataFrame, now: Column) -> DataFrame:
+def backlink_diff(stored: DataFrame, pull: DataFrame, pulled: DataFrame, now: Column) -> DataFrame:
     """The records after a pull, with `change` (new, active, lost, gone).
 
     stored: key, anchor, is_follow, domain_rank, spam_score, first_seen, last_seen, lost_at; pull: key, seq, anchor, nofollow,
-    domain_rank, spam_score, of which the last row of a key counts. Projects without a pull are left as they are."""
+    domain_rank, spam_score, of which the last row of a key counts; pulled: the project_id of each pull that succeeded, empty ones too.
+    Other projects are left as they are."""
     clean = pull.where((F.coalesce("source_url", F.lit("")) != "") & (F.coalesce("target_url", F.lit("")) != ""))
     fresh = clean.groupBy(*KEY).agg(F.max_by(F.struct("anchor", "nofollow", "domain_rank", "spam_score"), "seq").alias("n"))
-    pulled = pull.select("project_id").distinct().withColumn("_pulled", F.lit(True))
+    pulled = pulled.select("project_id").distinct().withColumn("_pulled", F.lit(True))
     old = stored.select(*KEY, F.struct(*(c for c in stored.columns if c not in KEY)).alias("o"))
     both = old.join(fresh, KEY, "full").join(pulled, "project_id", "left")
     was, is_, ran = F.col("o").isNotNull(), F.col("n").isNotNull(), F.coalesce("_pulled", F.lit(False))
@@ -44,12 +45,15 @@ def diff_counts(records: DataFrame) -> DataFrame:
 def backlink_history(pulls: DataFrame, calendar: DataFrame) -> DataFrame:
     """The records after all pulls in one pass: pulls(key, pull_no, domain_rank, ...), calendar(project_id, pull_no) of the pulls that
     succeeded, empty ones too. first and last are those of the links; lost is the first pull after the last one that had it; episodes
-    counts its runs of consecutive pulls."""
+    counts its runs of consecutive pulls. anchor and is_follow are those of the first pull, spam_score is the latest known; they are given where
+    pulls have them."""
     ranked = calendar.select("project_id", "pull_no").distinct().withColumn("k", F.row_number().over(Window.partitionBy("project_id").orderBy("pull_no")))
     following = ranked.withColumn("following", F.lead("pull_no").over(Window.partitionBy("project_id").orderBy("pull_no")))
     rows = pulls.join(following, ["project_id", "pull_no"])
     island = rows.withColumn("_new", (F.col("k") - F.coalesce(F.lag("k").over(Window.partitionBy(*KEY).orderBy("k")), F.lit(-1)) > 1).cast("int"))
-    return island.groupBy(*KEY).agg(F.min("pull_no").alias("first_seen"), F.max("pull_no").alias("last_seen"), F.max_by("following", "pull_no").alias("lost_at"), F.sum("_new").alias("episodes"), F.max_by("domain_rank", F.when(F.col("domain_rank").isNotNull(), F.col("pull_no"))).alias("domain_rank"))
+    known = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("pull_no"))).alias(c)
+    more = [F.min_by(c, "pull_no").alias(c) for c in ("anchor", "is_follow") if c in pulls.columns] + [known(c) for c in ("spam_score",) if c in pulls.columns]
+    return island.groupBy(*KEY).agg(F.min("pull_no").alias("first_seen"), F.max("pull_no").alias("last_seen"), F.max_by("following", "pull_no").alias("lost_at"), F.sum("_new").alias("episodes"), known("domain_rank"), *more)
 
 
 def backlink_tabs(records: DataFrame, limit: int = 200) -> DataFrame:
@@ -120,6 +124,3 @@ def backlink_gap(own: DataFrame, rivals: DataFrame) -> DataFrame:
     has = own.select("project_id", url_domain(F.col("source_url")).alias("domain")).distinct()
     return by.join(has, ["project_id", "domain"], "left_anti").withColumn("place", F.row_number().over(Window.partitionBy("project_id").orderBy(F.desc("rivals"), F.desc("authority"), F.desc("links"), "domain")))
 
-
-def referring_domains(records: DataFrame) -> DataFrame:
-    return records.select("project_id", bare_domain(url_domain(F.col("source_url"))).alias("domain")).groupBy("project_id", "domain").agg(F.count("*").alias("links"))

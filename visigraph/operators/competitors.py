@@ -39,9 +39,16 @@ def site_metrics(sites: DataFrame, metrics: DataFrame, overviews: DataFrame) ->
     return rows.select("project_id", "competitor_id", "domain", F.when(~failed & (keywords != 0), keywords).alias("organic_keywords"), ok("referring_domains").alias("referring_domains"), ok("total_backlinks").alias("total_backlinks"), F.when(errors != "", errors).alias("error"))
 
 
-def latest_comparison(snapshots: DataFrame) -> DataFrame:
-    """The newest snapshot of each project's own site and of each competitor; grouping treats null as a key."""
-    return latest_by(snapshots, ["project_id", "competitor_id"], "fetched_at", "id")
+def latest_comparison(snapshots: DataFrame, competitors: DataFrame | None = None) -> DataFrame:
+    """The newest snapshot of each project's own site and of each competitor; grouping treats null as a key. With
+    competitors(project_id, competitor_id), the active ones: no others, and those that were never fetched with nulls."""
+    last = latest_by(snapshots, ["project_id", "competitor_id"], "fetched_at", "id")
+    if competitors is None:
+        return last
+    own = competitors.select("project_id").union(last.select("project_id")).distinct().withColumn("competitor_id", F.lit(None).cast("long"))
+    sites = own.union(competitors.select("project_id", F.col("competitor_id").cast("long"))).distinct()
+    key = lambda df: df.withColumn("_site", F.coalesce(F.col("competitor_id").cast("string"), F.lit("self")))
+    return key(sites).join(key(last).drop("competitor_id"), ["project_id", "_site"], "left").select(snapshots.columns)
 
 
 METRICS = ("organic_keywords", "referring_domains", "total_backlinks")

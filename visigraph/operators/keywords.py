@@ -83,7 +83,7 @@ INTENT_NOTES = {
 
 
 def worth_it(volume: Column, difficulty: Column, intent: Column, serp: Column | None = None) -> Column:
-    """struct<score, band, factors>. serp: struct<ai_overview, ads, featured_snippet, local_pack>, or null where no page was seen.
+    """struct<score, points, band, factors>; points is the score before it is rounded. serp: struct<ai_overview, ads, featured_snippet, local_pack>, or null where no page was seen.
     Bands look at the score before it is rounded."""
     measured = F.coalesce(volume > 0, F.lit(False))
     demand = F.when(measured, F.least(F.lit(4.0), F.log10(volume.cast("double")) * (4.0 / 6.0))).otherwise(0.0)
@@ -113,7 +113,7 @@ def worth_it(volume: Column, difficulty: Column, intent: Column, serp: Column |
         notes = F.when(serp.isNull(), unseen).when(F.size(found) == 0, clean).otherwise(found)
     score = F.greatest(F.lit(0.0), F.least(F.lit(10.0), demand + fight + use - penalty))
     band = F.when(score >= EASY, "easy").when(score < AVOID, "avoid").otherwise("medium")
-    return F.struct(F.bround(score, 1).alias("score"), band.alias("band"), F.concat(F.array(demand_note, fight_note, use_note), notes).alias("factors"))
+    return F.struct(F.bround(score, 1).alias("score"), score.alias("points"), band.alias("band"), F.concat(F.array(demand_note, fight_note, use_note), notes).alias("factors"))
 
 
 GAP_DAYS, THRESHOLD = 7, 0.10
@@ -160,9 +160,10 @@ def workspace_overview(view: DataFrame) -> DataFrame:
 
 
 def keyword_refresh(snapshots: DataFrame, fetched: DataFrame, now: Column) -> DataFrame:
-    """The snapshots that a refresh appends: fetched rows with status ok, the position carried on from the latest before."""
+    """The snapshots that a refresh appends: fetched rows with status ok, the position carried on from the latest before; trend_points is the
+    text of an array of numbers, null where there are none."""
     prior = latest_by(snapshots.select("tracked_keyword_id", "id", "fetched_at", "position"), ["tracked_keyword_id"], "fetched_at", "id").select("tracked_keyword_id", "position")
-    return fetched.where("status = 'ok'").join(prior, "tracked_keyword_id", "left").select("tracked_keyword_id", now.alias("fetched_at"), "volume", "difficulty", "intent", "position")
+    return fetched.where("status = 'ok'").join(prior, "tracked_keyword_id", "left").select("tracked_keyword_id", now.alias("fetched_at"), "volume", "difficulty", "intent", "position", F.when(F.size("trend_points") > 0, join_points(F.col("trend_points"))).alias("trend_points"), "source")
 
 
 def status_counts(fetched: DataFrame) -> DataFrame:

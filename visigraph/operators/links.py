@@ -66,16 +66,25 @@ def broken_links(links: DataFrame) -> DataFrame:
     return links.where("is_broken").withColumn("_s", F.coalesce("status_code", F.lit(0))).orderBy(F.desc("_s"), "url_from", "url_to").drop("_s")
 
 
-def crawl_frontier(edges: DataFrame, starts: DataFrame, max_depth: int | None = None) -> DataFrame:
+def crawl_frontier(edges: DataFrame, starts: DataFrame, max_depth: int | None = None, max_pages: int | None = None) -> DataFrame:
     """(project_id, url, depth) reachable from starts(project_id, url) over edges(project_id, url_from, url_to), breadth first. Each
-    level joins the last one with the edges and is checkpointed; it ends with an empty level, or at max_depth where that is given."""
+    level joins the last one with the edges and is checkpointed; it ends with an empty level, or at max_depth where that is given. With
+    max_pages a project ends with that many pages; of the level that goes beyond, the first by url stay."""
     edges = edges.select("project_id", F.col("url_from").alias("url"), F.col("url_to").alias("_to")).distinct().checkpoint()
     seen = level = starts.select("project_id", "url", F.lit(0).alias("depth")).distinct().checkpoint()
+    levels = 0
     for depth in count(1) if max_depth is None else range(1, max_depth + 1):
-        level = level.drop("depth").join(edges, ["project_id", "url"]).select("project_id", F.col("_to").alias("url")).distinct().join(seen, ["project_id", "url"], "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
+        level = level.drop("depth").join(edges, ["project_id", "url"]).select("project_id", F.col("_to").alias("url")).distinct().join(seen, ["project_id", "url"], "left_anti").withColumn("depth", F.lit(depth))
+        if max_pages is not None:
+            room = seen.groupBy("project_id").agg((max_pages - F.count("*")).alias("_room")).where("_room > 0")
+            level = first_rows(level.join(room, "project_id"), ["project_id"], [F.col("url")], max_pages).where("_n <= _room").drop("_n", "_room")
+        level = level.checkpoint()
         if level.isEmpty():
             break
-        seen = seen.unionByName(level).checkpoint()
+        # what was seen is written anew only now and then
+        seen, levels = seen.unionByName(level), levels + 1
+        if levels % 16 == 0:
+            seen = seen.checkpoint()
     return seen
 
 

@@ -31,13 +31,20 @@ def upsert_onpage(stored: DataFrame, results: DataFrame, columns: tuple = NORMAL
     return out.select(*keys, *(F.when(F.col("_r").isNotNull(), F.col(f"_r.{c}")).otherwise(F.col(c)).alias(c) if c in own else F.col(c) for c in stored.columns if c not in keys))
 
 
-def replace_issues(stored: DataFrame, fresh: DataFrame, keys: tuple = ("project_id",)) -> DataFrame:
-    """Stored issues without those of the keys that were audited again, and the fresh ones."""
-    return stored.join(fresh.select(*keys).distinct(), list(keys), "left_anti").unionByName(fresh)
+def replace_issues(stored: DataFrame, fresh: DataFrame, audited: DataFrame, keys: tuple = ("project_id",)) -> DataFrame:
+    """Stored issues without those of the keys that were audited again, and the fresh ones. audited holds the keys, of clean pages too."""
+    return stored.join(audited.select(*keys).distinct(), list(keys), "left_anti").unionByName(fresh)
 
 
-def write_issues(fresh: DataFrame, path: str) -> None:
-    fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("project_id").parquet(path)
+def audit_summary(audited: DataFrame, fresh: DataFrame) -> DataFrame:
+    """(project_id, pages_audited, issues_found), with 0 for projects that are clean. audited has a row for each page."""
+    pages, issues = audited.groupBy("project_id").agg(F.count("*").alias("pages_audited")), fresh.groupBy("project_id").agg(F.count("*").alias("issues_found"))
+    return pages.join(issues, "project_id", "left").withColumn("issues_found", F.coalesce("issues_found", F.lit(0)))
+
+
+def crawl_snapshots(results: DataFrame) -> DataFrame:
+    """The rows that a crawl appends to the snapshots: every result(project_id, url, seq, ...), what it found as one struct."""
+    return results.select("project_id", "url", "seq", F.struct(*(c for c in results.columns if c not in ("project_id", "url", "seq"))).alias("data"))
 
 
 def reshape_profiles(flat: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import words as words_of
+from ..functions.text import word_count as words_in
 from ..operators import audit, suggestions, upserts
 from ..sources import html, reports
 from .sql import strip, using, words
@@ -80,7 +80,7 @@ _rule_job("audit_content_thin", "content")
 
 @job("word_count", using("page_facts", f"SELECT page_id, CAST(len({words('custom_content')}) AS BIGINT) AS words FROM page_facts"))
 def word_count(s: SparkSession, d: str) -> DataFrame:
-    return view(s, d, "page_facts").select("page_id", F.size(words_of(F.col("custom_content"))).cast("long").alias("words"))
+    return view(s, d, "page_facts").select("page_id", words_in(F.col("custom_content")).cast("long").alias("words"))
 
 
 @job("page_content_excerpt", using("page_facts", "SELECT page_id, substr(custom_content, 1, 400) AS shown, substr(custom_content, 1, 3000) AS prompt, substr(custom_content, 1, 12000) AS context FROM page_facts"))
@@ -257,11 +257,12 @@ def active_source(s: SparkSession, d: str) -> DataFrame:
     return audit.active_source(view(s, d, "page_facts"))
 
 
-@job("project_cards", using("page_facts jobs", f"""{_FOUND}{_ACTIVE}, c AS (SELECT own.project_id, count(DISTINCT own.page_id) AS pages, count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning') AS warnings, count(severity) AS total FROM own LEFT JOIN found ON found.page_id = own.page_id GROUP BY own.project_id)
-SELECT *, greatest(0, 100 - 4 * errors - least(warnings, 40)) AS health, project_id IN (SELECT project_id FROM jobs WHERE status IN ('queued', 'running')) AS is_fetching FROM c"""))
+@job("project_cards", using("page_facts jobs onpage_tasks", f"""{_FOUND}{_ACTIVE}, c AS (SELECT own.project_id, count(DISTINCT own.page_id) AS pages, count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning') AS warnings, count(severity) AS total FROM own LEFT JOIN found ON found.page_id = own.page_id GROUP BY own.project_id)
+SELECT c.*, (SELECT max(page_id * 7919 % 86400) FROM own WHERE own.project_id = c.project_id) AS last_checked, greatest(0, 100 - 4 * errors - least(warnings, 40)) AS health,
+       project_id IN (SELECT project_id FROM jobs WHERE status IN ('queued', 'running')) OR project_id IN (SELECT project_id FROM onpage_tasks WHERE status = 'posted') AS is_fetching FROM c"""))
 def project_cards(s: SparkSession, d: str) -> DataFrame:
     p = facts(s, d)
-    return audit.project_cards(p, audit.run_audit(p), view(s, d, "jobs").where("status IN ('queued', 'running')"))
+    return audit.project_cards(p.withColumn("updated_at", F.col("page_id") * 7919 % 86400), audit.run_audit(p), view(s, d, "jobs"), view(s, d, "onpage_tasks"))
 
 
 _KNOWN = ", ".join(f"('{c}')" for c in audit.KNOWN_CATEGORIES)
@@ -366,10 +367,46 @@ def upsert_onpage_pages(s: SparkSession, d: str) -> DataFrame:
     return upserts.upsert_onpage(stored.drop("page_id"), fresh)
 
 
-@job("replace_project_issues", using("page_facts", f"{_FOUND} SELECT {ISSUES} FROM found WHERE project_id % 2 = 0 OR category = 'title'"))
+_AUDITED = ", audited AS (SELECT * FROM page_facts WHERE project_id % 2 = 0), fresh AS (SELECT * FROM found WHERE project_id % 4 = 0)"
+
+
+def reaudited(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(issues, fresh ones, audited pages): projects of even number are audited again, and those that 4 doesn't divide turn out clean."""
+    p = facts(s, d)
+    found = audit.run_audit(p)
+    return found, found.where("project_id % 4 = 0"), p.where("project_id % 2 = 0")
+
+
+@job("replace_project_issues", using("page_facts", f"{_FOUND}{_AUDITED} SELECT {ISSUES} FROM found WHERE category = 'title' AND project_id NOT IN (SELECT project_id FROM audited WHERE project_id IS NOT NULL) UNION ALL SELECT {ISSUES} FROM fresh"))
 def replace_project_issues(s: SparkSession, d: str) -> DataFrame:
-    found = audit.run_audit(facts(s, d))
-    return upserts.replace_issues(found.where("category = 'title'"), found.where("project_id % 2 = 0"))
+    found, fresh, audited = reaudited(s, d)
+    return upserts.replace_issues(found.where("category = 'title'"), fresh, audited)
+
+
+@job("audit_summary", using("page_facts", f"{_FOUND}{_AUDITED} SELECT project_id, count(*) AS pages_audited, coalesce((SELECT count(*) FROM fresh WHERE fresh.project_id = audited.project_id), 0) AS issues_found FROM audited GROUP BY project_id"))
+def audit_summary(s: SparkSession, d: str) -> DataFrame:
+    _, fresh, audited = reaudited(s, d)
+    return upserts.audit_summary(audited, fresh)
+
+
+@job("replace_page_issues", using("page_facts", f"{_FOUND} SELECT {ISSUES} FROM found WHERE page_id % 2 = 1 OR category = 'title'"))
+def replace_page_issues(s: SparkSession, d: str) -> DataFrame:
+    """An on-page upsert replaces the issues of its own pages only."""
+    p = facts(s, d)
+    found = audit.run_audit(p)
+    return upserts.replace_issues(found, found.where("page_id % 2 = 0 AND category = 'title'"), p.where("page_id % 2 = 0"), ("page_id",))
+
+
+@job("crawl_snapshots", using("page_facts", "SELECT project_id, 'https://x/' || (page_id % 300) AS url, page_id AS seq, title, error FROM page_facts"))
+def crawl_snapshots(s: SparkSession, d: str) -> DataFrame:
+    rows = view(s, d, "page_facts").withColumn("url", F.concat(F.lit("https://x/"), (F.col("page_id") % 300).cast("string"))).select("project_id", "url", "title", "error", F.col("page_id").alias("seq"))
+    return upserts.crawl_snapshots(rows).select("project_id", "url", "seq", "data.title", "data.error")
+
+
+@job("issue_board_totals", using("page_facts", f"{_FOUND}{_ACTIVE}, i AS (SELECT own.project_id, severity FROM found JOIN own ON found.page_id = own.page_id) SELECT project_id, count(*) AS pages, (SELECT count(*) FROM i WHERE i.project_id = own.project_id) AS issues, (SELECT count(*) FROM i WHERE i.project_id = own.project_id AND severity = 'error') AS errors, (SELECT count(*) FROM i WHERE i.project_id = own.project_id AND severity = 'warning') AS warnings, (SELECT count(*) FROM own o WHERE o.project_id = own.project_id AND o.page_id % 3 = 0) AS suggestions FROM own GROUP BY project_id"))
+def issue_board_totals(s: SparkSession, d: str) -> DataFrame:
+    p = facts(s, d)
+    return audit.board_totals(p, audit.run_audit(p), p.where("page_id % 3 = 0").select("page_id"))
 
 
 @job("suggestion_context", using("page_facts", f"""{_FOUND}, i AS (SELECT project_id, page_id, category, message FROM found WHERE category = 'title')

@@ -87,30 +87,37 @@ def starts(rows: DataFrame) -> DataFrame:
 
 
 _REACH = f"""WITH RECURSIVE page_links AS ({SQL["page_links"]}), onpage_tasks AS ({SQL["onpage_tasks"]}){_TASK}, e AS (SELECT DISTINCT project_id, url_from, target FROM c WHERE direction = 'internal'), home AS (SELECT project_id, min(url_from) AS url FROM e GROUP BY project_id),
-reach(project_id, url, depth) AS (SELECT project_id, url, 0 FROM home UNION SELECT e.project_id, e.target, r.depth + 1 FROM reach r JOIN e ON e.project_id = r.project_id AND e.url_from = r.url WHERE r.depth < 50)"""
+reach(project_id, url, depth) USING KEY (project_id, url) AS (SELECT project_id, url, 0 FROM home UNION SELECT e.project_id, e.target, min(r.depth) + 1 FROM reach r JOIN e ON e.project_id = r.project_id AND e.url_from = r.url
+ WHERE NOT EXISTS (SELECT 1 FROM recurring.reach s WHERE s.project_id = e.project_id AND s.url = e.target) GROUP BY e.project_id, e.target)"""
 
 
-@job("crawl_frontier", f"{_REACH} SELECT project_id, url, min(depth) AS depth FROM reach GROUP BY project_id, url")
+@job("crawl_frontier", f"{_REACH} SELECT project_id, url, depth FROM reach")
 def crawl_frontier(s: SparkSession, d: str) -> DataFrame:
     scratch(s, "frontier")
     rows = edges(s, d)
     return links.crawl_frontier(rows, starts(rows))
 
 
-@job("plan_crawl_urls")
+@job("plan_crawl_urls", f"""{_REACH}, sm AS (SELECT DISTINCT project_id, target AS url, CAST(regexp_extract(target, '([0-9]+)$', 1) AS INT) AS pos FROM e WHERE project_id % 2 = 0),
+r AS (SELECT * FROM sm UNION ALL SELECT project_id, url, depth AS pos FROM reach WHERE project_id NOT IN (SELECT project_id FROM sm)),
+o AS (SELECT project_id, url, -1 AS pos FROM home UNION ALL SELECT * FROM r WHERE (project_id, url) NOT IN (SELECT (project_id, url) FROM home)),
+p AS (SELECT project_id, url, min(pos) AS pos FROM o GROUP BY project_id, url), n AS (SELECT project_id, CAST(row_number() OVER (PARTITION BY project_id ORDER BY pos, url) AS INT) AS place, url FROM p) SELECT * FROM n WHERE place <= 100""")
 def plan_crawl_urls(s: SparkSession, d: str) -> DataFrame:
+    """The sitemap of every other project lists its targets by the number at their end."""
     scratch(s, "frontier")
     rows = edges(s, d)
     found = links.crawl_frontier(rows, starts(rows))
-    sitemap = rows.where("project_id % 2 = 0").select("project_id", F.col("url_to").alias("url")).distinct().withColumn("pos", F.xxhash64("url"))
+    sitemap = rows.where("project_id % 2 = 0").select("project_id", F.col("url_to").alias("url")).distinct().withColumn("pos", F.regexp_extract("url", "([0-9]+)$", 1).cast("int"))
     return links.plan_crawl(starts(rows), sitemap, found, 100)
 
 
-@job("extract_sitemap_urls", """WITH p AS (SELECT page_id, page_id % 20 AS site, 'https://site' || (page_id % 20) || '.example' AS origin FROM pages), n AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY page_id) AS pos FROM p)
+@job("extract_sitemap_urls", """WITH p AS (SELECT page_id, page_id // 1000 AS site, 'https://site' || (page_id // 1000) || '.example' AS origin FROM pages), n AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY page_id) AS pos FROM p)
 SELECT origin, CAST(pos AS INT) AS pos, origin || '/p/' || page_id AS url FROM n WHERE pos <= 100""")
 def extract_sitemap_urls(s: SparkSession, d: str) -> DataFrame:
-    """Each site's robots.txt names an index, which names a list of its pages, with repeats, queries and foreign URLs."""
-    origin = F.concat(F.lit("https://site"), (F.col("page_id") % 20).cast("string"), F.lit(".example"))
+    """Each site of up to a thousand pages has a robots.txt that names an index, which names a list of its pages, with repeats, queries and
+    foreign URLs."""
+    scratch(s, "sitemaps")
+    origin = F.concat(F.lit("https://site"), F.expr("page_id div 1000").cast("string"), F.lit(".example"))
     p = s.read.parquet(f"{d}/pages.parquet").select("page_id", origin.alias("origin"))
     loc = F.concat(F.lit("<url><loc>\n"), "origin", F.lit("/p/"), F.col("page_id").cast("string"), F.lit("/?a=1&amp;b=2</loc></url><url><loc>https://other.example/</loc></url>"))
     lists = p.groupBy("origin").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", loc.alias("x")))), lambda r: r["x"]), "").alias("x"))
@@ -130,36 +137,48 @@ def calendar(pulls: DataFrame) -> DataFrame:
 
 
 _HISTORY = """, years AS (SELECT DISTINCT pull_no FROM backlink_pulls), r AS (SELECT *, dense_rank() OVER (ORDER BY pull_no) AS k FROM years), x AS (SELECT b.*, k, k - lag(k, 1, -1) OVER (PARTITION BY project_id, source_url, target_url ORDER BY k) > 1 AS new FROM backlink_pulls b JOIN r USING (pull_no)),
-h AS (SELECT project_id, source_url, target_url, min(pull_no) AS first_seen, max(pull_no) AS last_seen, (SELECT min(pull_no) FROM years WHERE pull_no > max(x.pull_no)) AS lost_at, count(*) FILTER (new) AS episodes, arg_max(domain_rank, pull_no) AS domain_rank FROM x GROUP BY ALL)"""
+h AS (SELECT project_id, source_url, target_url, min(pull_no) AS first_seen, max(pull_no) AS last_seen, (SELECT min(pull_no) FROM years WHERE pull_no > max(x.pull_no)) AS lost_at, count(*) FILTER (new) AS episodes, arg_max(domain_rank, pull_no) AS domain_rank, 'a' || min(pull_no) AS anchor, min(pull_no) % 2 = 1 AS is_follow, max(pull_no) FILTER (pull_no % 2 = 1) - 1990 AS spam_score FROM x GROUP BY project_id, source_url, target_url)"""
 
 
-@job("backlink_history", using("backlink_pulls", f"{_HISTORY} SELECT * FROM h"))
+@job("backlink_history", using("backlink_pulls", f"{_HISTORY} SELECT project_id, source_url, target_url, first_seen, last_seen, lost_at, episodes, domain_rank, anchor, is_follow, CAST(spam_score AS INT) AS spam_score FROM h"))
 def backlink_history(s: SparkSession, d: str) -> DataFrame:
-    pulls = view(s, d, "backlink_pulls")
+    pulls = detailed(view(s, d, "backlink_pulls"))
     return backlinks.backlink_history(pulls, calendar(pulls))
 
 
+def detailed(pulls: DataFrame) -> DataFrame:
+    """Pulls with an anchor and flag that change over the pulls, and a spam score that is known every other time."""
+    odd = F.pmod("pull_no", F.lit(2)) == 1
+    return pulls.withColumns({"anchor": F.concat(F.lit("a"), F.col("pull_no").cast("string")), "is_follow": odd, "spam_score": F.when(odd, F.col("pull_no") - 1990)})
+
+
 def stored_before(pulls: DataFrame, year: int) -> DataFrame:
     earlier = pulls.where(F.col("pull_no") < year)
     h = backlinks.backlink_history(earlier, calendar(earlier))
-    return h.select(*backlinks.KEY, F.lit("a").alias("anchor"), F.lit(True).alias("is_follow"), "domain_rank", F.lit(None).cast("int").alias("spam_score"), "first_seen", "last_seen", "lost_at")
+    return h.select(*backlinks.KEY, "anchor", "is_follow", "domain_rank", "spam_score", "first_seen", "last_seen", "lost_at")
 
 
 def diffed(s: SparkSession, d: str) -> DataFrame:
-    pulls = view(s, d, "backlink_pulls")
-    pull = pulls.where("pull_no = 1997").select(*backlinks.KEY, F.lit(0).alias("seq"), F.lit("a").alias("anchor"), F.lit("false").alias("nofollow"), "domain_rank", F.lit(None).cast("int").alias("spam_score"))
-    return backlinks.backlink_diff(stored_before(pulls, 1997), pull, F.lit(1997))
+    """The last pull against all before it; it succeeded for every project, also those that it has no links of."""
+    pulls = detailed(view(s, d, "backlink_pulls"))
+    last = pulls.agg(F.max("pull_no")).first()[0] or 0
+    pull = pulls.where(F.col("pull_no") == last).select(*backlinks.KEY, F.lit(0).alias("seq"), "anchor", (~F.col("is_follow")).cast("string").alias("nofollow"), "domain_rank", "spam_score")
+    return backlinks.backlink_diff(stored_before(pulls, last), pull, pulls.select("project_id"), F.lit(last))
 
 
-_DIFF = """, old AS (SELECT DISTINCT project_id, source_url, target_url, max(pull_no) AS last FROM backlink_pulls WHERE pull_no < 1997 GROUP BY ALL), ran AS (SELECT DISTINCT project_id FROM backlink_pulls WHERE pull_no = 1997), prev AS (SELECT max(pull_no) AS y FROM backlink_pulls WHERE pull_no < 1997),
-f AS (SELECT project_id, source_url, target_url FROM backlink_pulls WHERE pull_no = 1997),
-d AS (SELECT project_id, source_url, target_url, CASE WHEN o.last IS NULL THEN 'new' WHEN f.project_id IS NOT NULL THEN 'active' WHEN o.last = (SELECT y FROM prev) AND project_id IN (SELECT project_id FROM ran) THEN 'lost' ELSE 'gone' END AS change FROM (SELECT project_id, source_url, target_url, last FROM old) o FULL JOIN (SELECT *, project_id AS p FROM f) f USING (project_id, source_url, target_url))"""
-_DIFF = _DIFF.replace("f.project_id IS NOT NULL", "f.p IS NOT NULL")
+_DIFF = """, prev AS (SELECT max(pull_no) AS y FROM backlink_pulls), rows AS (SELECT b.*, pull_no % 2 = 1 AS odd FROM backlink_pulls b),
+old AS (SELECT project_id, source_url, target_url, min(pull_no) AS first, max(pull_no) AS last, arg_max(domain_rank, pull_no) AS rank, max(pull_no) FILTER (odd) - 1990 AS spam FROM rows WHERE pull_no < (SELECT y FROM prev) GROUP BY project_id, source_url, target_url),
+f AS (SELECT project_id, source_url, target_url, pull_no, domain_rank, CASE WHEN odd THEN pull_no - 1990 END AS spam FROM rows WHERE pull_no = (SELECT y FROM prev)),
+next AS (SELECT o.last, (SELECT min(pull_no) FROM backlink_pulls WHERE pull_no > o.last) AS gone FROM (SELECT DISTINCT last FROM old) o),
+d AS (SELECT project_id, source_url, target_url, 'a' || coalesce(o.first, y) AS anchor, coalesce(o.first, y) % 2 = 1 AS is_follow, coalesce(f.domain_rank, o.rank) AS domain_rank, CAST(coalesce(f.spam, o.spam) AS INT) AS spam_score,
+ CAST(coalesce(o.first, y) AS INT) AS first_seen, CAST(CASE WHEN f.pull_no IS NOT NULL THEN y ELSE o.last END AS INT) AS last_seen, CASE WHEN f.pull_no IS NULL THEN next.gone END AS lost_at,
+ CASE WHEN o.last IS NULL THEN 'new' WHEN f.pull_no IS NOT NULL THEN 'active' WHEN next.gone = y THEN 'lost' ELSE 'gone' END AS change
+ FROM (SELECT * FROM old) o FULL JOIN f USING (project_id, source_url, target_url) LEFT JOIN next ON next.last = o.last CROSS JOIN prev)"""
 
 
-@job("backlink_diff", using("backlink_pulls", f"{_DIFF} SELECT project_id, source_url, target_url, change FROM d"))
+@job("backlink_diff", using("backlink_pulls", f"{_DIFF} SELECT * FROM d"))
 def backlink_diff(s: SparkSession, d: str) -> DataFrame:
-    return diffed(s, d).select(*backlinks.KEY, "change")
+    return diffed(s, d)
 
 
 @job("backlink_diff_counts", using("backlink_pulls", f"{_DIFF} SELECT project_id, count(*) FILTER (change = 'new') AS new, count(*) FILTER (change = 'lost') AS lost, count(*) FILTER (change = 'active') AS still_active FROM d GROUP BY project_id"))
@@ -173,7 +192,8 @@ def _tab(name: str, keep: str, order: str) -> str:
 
 @job("backlink_tabs", using("backlink_pulls", f"{_HISTORY}, h2 AS (SELECT *, max(first_seen) OVER (PARTITION BY project_id) AS newest FROM h), t AS ({_tab('active', 'lost_at IS NULL', 'last_seen DESC,')} UNION ALL {_tab('lost', 'lost_at IS NOT NULL', 'lost_at DESC,')} UNION ALL {_tab('new', 'first_seen = newest', '')}) SELECT * FROM t WHERE place <= 200"))
 def backlink_tabs(s: SparkSession, d: str) -> DataFrame:
-    return backlinks.backlink_tabs(backlink_history(s, d)).select("project_id", "tab", "place", "source_url", "target_url")
+    scratch(s, "history")
+    return backlinks.backlink_tabs(backlink_history(s, d).checkpoint()).select("project_id", "tab", "place", "source_url", "target_url")
 
 
 @job("latest_backlink_overview", using("competitor_snapshots", ", l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY fetched_at DESC, id) AS rn FROM competitor_snapshots) WHERE rn = 1), p AS (SELECT DISTINCT o_custkey % 30 AS project_id FROM orders) SELECT p.project_id, id, total_backlinks, id IS NULL AS no_snapshot_yet FROM p LEFT JOIN l USING (project_id)"))

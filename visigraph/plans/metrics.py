@@ -100,16 +100,8 @@ def worth_it_score(s: SparkSession, d: str) -> DataFrame:
     i = F.col("id")
     seen = F.struct((i % 3 == 0).alias("ai_overview"), (i % 7).cast("int").alias("ads"), (i % 5 == 0).alias("featured_snippet"), (i % 4 == 0).alias("local_pack"))
     w = keywords.worth_it(F.col("volume"), F.col("difficulty"), F.col("intent"), F.when(i % 6 != 5, seen))
-    rows = kw(s, d).select("id", w.alias("w"), _points(seen).alias("p"))
-    return rows.select("id", "w.band", F.expr("CAST(floor(p * 1000 + 0.5) AS BIGINT) div 10").alias("points"), F.concat_ws("|", F.slice("w.factors", 1, 2)).alias("notes"))
-
-
-def _points(seen):  # noqa: ANN001, ANN202
-    """The unrounded score, by plain arithmetic."""
-    penalty = F.when(F.col("id") % 6 == 5, 0.0).otherwise(F.when(seen["ai_overview"], 1.2).otherwise(0.0) + F.when(seen["ads"] > 0, F.least(F.lit(0.8), 0.2 * seen["ads"])).otherwise(0.0) + F.when(seen["featured_snippet"], 0.3).otherwise(0.0) + F.when(seen["local_pack"], 0.2).otherwise(0.0))
-    use = F.when(F.col("intent") == "transactional", 2.0).when(F.col("intent") == "commercial", 1.7).when(F.col("intent") == "informational", 1.1).when(F.col("intent") == "navigational", 0.5).otherwise(1.0)
-    demand = F.when(F.col("volume") > 0, F.least(F.lit(4.0), F.log10("volume") * (4.0 / 6.0))).otherwise(0.0)
-    return F.least(F.lit(10.0), F.greatest(F.lit(0.0), demand + F.coalesce(4.0 * (1 - F.col("difficulty") / 100.0), F.lit(2.0)) + use - penalty))
+    rows = kw(s, d).select("id", w.alias("w"))
+    return rows.select("id", "w.band", F.expr("CAST(floor(w.points * 1000 + 0.5) AS BIGINT) div 10").alias("points"), F.concat_ws("|", F.slice("w.factors", 1, 2)).alias("notes"))
 
 
 _TREND = """, r AS (SELECT *, max(fetched_at) OVER (PARTITION BY tracked_keyword_id) AS newest FROM kw_snapshots),
@@ -169,10 +161,10 @@ _STATUS = "list_element(['ok', 'no_data', 'error', 'ok'], CAST(abs(tracked_keywo
 
 def fetched(s: SparkSession, d: str) -> DataFrame:
     k = F.abs("tracked_keyword_id")
-    return tracked(s, d).select("*", F.get(F.array(*map(F.lit, ("ok", "no_data", "error", "ok"))), (k % 4).cast("int")).alias("status"), (k * 3).alias("volume"), (k % 100).cast("int").alias("difficulty"), F.lit("commercial").alias("intent"))
+    return tracked(s, d).select("*", F.get(F.array(*map(F.lit, ("ok", "no_data", "error", "ok"))), (k % 4).cast("int")).alias("status"), (k * 3).alias("volume"), (k % 100).cast("int").alias("difficulty"), F.lit("commercial").alias("intent"), F.when(k % 3 == 1, F.array(F.lit(1.0), (k % 7) / 2)).when(k % 3 == 2, F.array().cast("array<double>")).alias("trend_points"), F.lit("p1").alias("source"))
 
 
-@job("keyword_refresh_append", using("kw_snapshots", f"{_TREND}{_TRACKED} SELECT t.tracked_keyword_id, abs(t.tracked_keyword_id) * 3 AS volume, CAST(abs(t.tracked_keyword_id) % 100 AS INT) AS difficulty, 'commercial' AS intent, l.position FROM tracked t LEFT JOIN l USING (tracked_keyword_id) WHERE {_STATUS.replace('tracked_keyword_id', 't.tracked_keyword_id')} = 'ok'"))
+@job("keyword_refresh_append", using("kw_snapshots", f"{_TREND}{_TRACKED} SELECT t.tracked_keyword_id, abs(t.tracked_keyword_id) * 3 AS volume, CAST(abs(t.tracked_keyword_id) % 100 AS INT) AS difficulty, 'commercial' AS intent, l.position, CASE WHEN abs(t.tracked_keyword_id) % 3 = 1 THEN '1,' || CASE WHEN abs(t.tracked_keyword_id) % 7 % 2 = 0 THEN CAST(abs(t.tracked_keyword_id) % 7 // 2 AS VARCHAR) ELSE CAST(abs(t.tracked_keyword_id) % 7 // 2 AS VARCHAR) || '.5' END END AS trend_points, 'p1' AS source FROM tracked t LEFT JOIN l USING (tracked_keyword_id) WHERE {_STATUS.replace('tracked_keyword_id', 't.tracked_keyword_id')} = 'ok'"))
 def keyword_refresh_append(s: SparkSession, d: str) -> DataFrame:
     return keywords.keyword_refresh(kw(s, d), fetched(s, d), F.lit("2026-07-14 12:00:00").cast("timestamp")).drop("fetched_at")
 
@@ -337,9 +329,13 @@ def site_metrics_snapshot(s: SparkSession, d: str) -> DataFrame:
 _LATEST = ", l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY project_id, competitor_id ORDER BY fetched_at DESC, id) AS rn FROM competitor_snapshots) WHERE rn = 1)"
 
 
-@job("latest_comparison", using("competitor_snapshots", f"{_LATEST} SELECT project_id, competitor_id, id, organic_keywords, referring_domains, total_backlinks FROM l"))
+@job("latest_comparison", using("competitor_snapshots", f"""{_LATEST}, c AS (SELECT project_id, competitor_id FROM competitor_snapshots WHERE (project_id + competitor_id) % 4 <> 0 UNION SELECT project_id, 7 FROM competitor_snapshots UNION SELECT project_id, NULL FROM competitor_snapshots)
+SELECT c.project_id, CAST(c.competitor_id AS BIGINT) AS competitor_id, id, organic_keywords, referring_domains, total_backlinks FROM c LEFT JOIN l ON c.project_id = l.project_id AND c.competitor_id IS NOT DISTINCT FROM l.competitor_id"""))
 def latest_comparison(s: SparkSession, d: str) -> DataFrame:
-    return competitors.latest_comparison(view(s, d, "competitor_snapshots")).drop("fetched_at")
+    """One competitor in four was deleted since, and number 7 was never fetched."""
+    rows = view(s, d, "competitor_snapshots")
+    active = rows.where("(project_id + competitor_id) % 4 <> 0").select("project_id", "competitor_id").union(rows.select("project_id", F.lit(7).cast("long")))
+    return competitors.latest_comparison(rows, active).drop("fetched_at")
 
 
 @job("comparison_matrix", using("competitor_snapshots", f"""{_LATEST}, u AS (SELECT project_id, coalesce(CAST(competitor_id AS VARCHAR), 'self') AS site, 'organic_keywords' AS metric, CAST(organic_keywords AS BIGINT) AS v FROM l UNION ALL SELECT project_id, coalesce(CAST(competitor_id AS VARCHAR), 'self'), 'referring_domains', referring_domains FROM l UNION ALL SELECT project_id, coalesce(CAST(competitor_id AS VARCHAR), 'self'), 'total_backlinks', total_backlinks FROM l)
@@ -359,7 +355,11 @@ def keyword_gap(s: SparkSession, d: str) -> DataFrame:
     return competitors.keyword_gap(kw(s, d).select(F.col("workspace_id").alias("project_id"), F.col("tracked_keyword_id").alias("keyword"), (i % 3 == 0).alias("is_client"), "position", F.when(i % 4 != 0, (1 + (i * 7) % 40).cast("int")).alias("prior_position")))
 
 
-@job("serp_overlap_clusters")
+@job("serp_overlap_clusters", using("serp_items", """, u AS (SELECT DISTINCT keyword_id, regexp_replace(lower(domain), '^www\\.', '') AS url FROM serp_items WHERE item_type = 'organic' AND domain IS NOT NULL),
+s AS (SELECT keyword_id, list(url ORDER BY url) AS urls FROM u GROUP BY keyword_id), g AS (SELECT urls, min(keyword_id) AS id, len(urls) AS n FROM s GROUP BY urls), x AS (SELECT id, n, unnest(urls) AS url FROM g),
+p AS (SELECT a.id AS a, b.id AS b FROM x a JOIN x b ON a.url = b.url AND a.id <> b.id GROUP BY a.id, b.id HAVING count(*) >= 0.4 * (any_value(a.n) + any_value(b.n) - count(*)) - 1e-9),
+cc(id, root) USING KEY (id) AS (SELECT id, id FROM g UNION SELECT p.b, min(c.root) FROM cc c JOIN p ON c.id = p.a JOIN recurring.cc r ON r.id = p.b WHERE c.root < r.root GROUP BY p.b)
+SELECT k.keyword_id, coalesce(cc.root, k.keyword_id) AS cluster FROM (SELECT DISTINCT keyword_id FROM serp_items) k LEFT JOIN s USING (keyword_id) LEFT JOIN g USING (urls) LEFT JOIN cc ON cc.id = g.id""").replace("WITH ", "WITH RECURSIVE ", 1))
 def serp_overlap_clusters(s: SparkSession, d: str) -> DataFrame:
     scratch(s, "clusters")
     return competitors.serp_overlap_clusters(view(s, d, "serp_items"), 0.4)
@@ -405,7 +405,19 @@ def decision_log(s: SparkSession, d: str) -> DataFrame:
     return s.read.parquet(f"{d}/events.parquet").select(F.col("user_id").cast("long").alias("issue_id"), (e % 3).alias("suggestion_id"), "ts", e.alias("seq"), F.get(actions, ((e * 7 + F.col("user_id")) % 5).cast("int")).alias("action"), F.when(e % 4 != 0, F.col("event_type")).alias("content"))
 
 
-@job("suggestion_lifecycle")
+#: One row an event: the statuses and contents of an issue's three suggestions, and how many events of each were applied and refused.
+_LIFECYCLE = """WITH RECURSIVE e AS (SELECT user_id AS issue_id, CAST(event_id % 3 AS INT) + 1 AS k, list_element(['accept', 'deploy', 'edit', 'reject', 'rollback'], CAST((event_id * 7 + user_id) % 5 + 1 AS INT)) AS action,
+ CASE WHEN event_id % 4 <> 0 THEN event_type END AS content, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+r(issue_id, n, st, ct, ap, re) AS (SELECT DISTINCT issue_id, CAST(0 AS BIGINT), ['pending', 'pending', 'pending'], CAST([NULL, NULL, NULL] AS VARCHAR[]), [0, 0, 0], [0, 0, 0] FROM e UNION ALL
+ SELECT issue_id, n, CASE WHEN ok THEN list_transform(st, lambda x, i: CASE WHEN i = k THEN CASE action WHEN 'accept' THEN 'accepted' WHEN 'reject' THEN 'rejected' WHEN 'edit' THEN 'edited' WHEN 'deploy' THEN 'deployed' ELSE 'accepted' END WHEN action = 'deploy' AND x = 'deployed' THEN 'accepted' ELSE x END) ELSE st END,
+  CASE WHEN ok AND action = 'edit' THEN list_transform(ct, lambda x, i: CASE WHEN i = k THEN trim(content) ELSE x END) ELSE ct END,
+  list_transform(ap, lambda x, i: CASE WHEN i = k AND ok THEN x + 1 ELSE x END), list_transform(re, lambda x, i: CASE WHEN i = k AND NOT ok THEN x + 1 ELSE x END)
+ FROM (SELECT e.*, r.st, r.ct, r.ap, r.re, CASE action WHEN 'deploy' THEN r.st[k] IN ('accepted', 'edited') WHEN 'rollback' THEN r.st[k] = 'deployed' WHEN 'edit' THEN r.st[k] <> 'deployed' AND coalesce(trim(content), '') <> '' ELSE r.st[k] <> 'deployed' END AS ok FROM r JOIN e ON e.issue_id = r.issue_id AND e.n = r.n + 1)),
+l AS (SELECT * FROM r WHERE n = (SELECT max(n) FROM e WHERE e.issue_id = r.issue_id)), o AS (SELECT issue_id, unnest([1, 2, 3]) AS k, st, ct, ap, re FROM l)
+SELECT issue_id, CAST(k - 1 AS BIGINT) AS suggestion_id, st[k] AS status, ct[k] AS content, CAST(ap[k] AS INT) AS applied, CAST(re[k] AS INT) AS refused FROM o WHERE ap[k] + re[k] > 0"""
+
+
+@job("suggestion_lifecycle", _LIFECYCLE)
 def suggestion_lifecycle(s: SparkSession, d: str) -> DataFrame:
     return suggestions.suggestion_lifecycle(decision_log(s, d))
 

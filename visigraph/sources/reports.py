@@ -69,6 +69,7 @@ def read_backlink_json(rows: DataFrame) -> DataFrame:
     return items.select("project_id", "seq", F.col("i.url_from").alias("source_url"), F.col("i.url_to").alias("target_url"), "i.anchor", (~F.coalesce("i.dofollow", F.lit(False))).cast("string").alias("nofollow"), F.col("i.domain_from_rank").alias("domain_rank"), F.col("i.backlink_spam_score").alias("spam_score"), "i.first_seen")
 
 
+#: Where sitemaps are looked for, in this order.
 COMMON_PATHS = ("sitemap.xml", "sitemap_index.xml", "sitemap-index.xml", "wp-sitemap.xml", "sitemap1.xml", "post-sitemap.xml", "page-sitemap.xml")
 DEEPEST = 4
 
@@ -80,22 +81,24 @@ def _order(path: Column, pos: Column) -> Column:
 def extract_sitemap_urls(bodies: DataFrame, origins: DataFrame, max_pages: int = 100) -> DataFrame:
     """(origin, pos, url) from fetched bodies(url, body, status) for origins(origin): sitemaps that robots.txt names, then common paths; the first that
     yields any URL of the origin counts. Indexes are followed to a depth of 4 by joins; URLs lose query and end slashes, repeats and
-    other origins are left out."""
+    other origins are left out. Each level is checkpointed, so the session needs a folder for that."""
     ok = bodies.where("status = 200 AND body <> ''").dropDuplicates(["url"])
     robots = origins.join(ok, ok.url == F.concat("origin", F.lit("/robots.txt"))).select("origin", F.posexplode(F.split("body", r"\r\n|\n|\r")).alias("pos", "line"))
     named = robots.select("origin", "pos", F.regexp_extract("line", r"^(?i:Sitemap):\s*(.+)$", 1).alias("url")).where("url <> ''").withColumn("url", strip(F.col("url")))
     common = origins.select("origin", F.posexplode(F.array(*map(F.lit, COMMON_PATHS))).alias("pos", "p")).select("origin", (F.col("pos") + 1_000_000).alias("pos"), F.concat("origin", F.lit("/"), "p").alias("url"))
     candidates = named.unionByName(common).groupBy("origin", "url").agg(F.min("pos").alias("candidate"))
     locs = F.transform(F.regexp_extract_all("body", F.lit(r"(?s)<loc>(.*?)</loc>"), F.lit(1)), lambda x: F.regexp_replace(strip(x), "&amp;", "&"))
-    parsed = ok.select("url", F.contains("body", F.lit("<sitemapindex")).alias("index"), (F.contains("body", F.lit("<urlset")) | F.contains("body", F.lit("<url>"))).alias("list"), locs.alias("locs"))
-    level = candidates.select("origin", "candidate", "url", F.lit("").alias("path"))
+    parsed = ok.select("url", F.contains("body", F.lit("<sitemapindex")).alias("index"), (F.contains("body", F.lit("<urlset")) | F.contains("body", F.lit("<url>"))).alias("list"), locs.alias("locs")).where("index OR list").checkpoint()
+    level = candidates.select("origin", "candidate", "url", F.lit("").alias("path")).checkpoint()
     visited, found = level.select("origin", "candidate", "url"), None
     for _ in range(DEEPEST + 1):
-        read = level.join(parsed, "url").select("origin", "candidate", "path", "index", "list", F.posexplode("locs").alias("pos", "loc"))
+        read = level.join(parsed, "url").select("origin", "candidate", "path", "index", "list", F.posexplode("locs").alias("pos", "loc")).checkpoint()
         urls = read.where("list AND NOT index").select("origin", "candidate", _order(F.col("path"), F.col("pos")).alias("path"), F.col("loc").alias("url"))
         found = urls if found is None else found.unionByName(urls)
         below = read.where("index").select("origin", "candidate", F.col("loc").alias("url"), _order(F.col("path"), F.col("pos")).alias("path"))
-        level = below.join(visited, ["origin", "candidate", "url"], "left_anti").groupBy("origin", "candidate", "url").agg(F.min("path").alias("path"))
+        level = below.join(visited, ["origin", "candidate", "url"], "left_anti").groupBy("origin", "candidate", "url").agg(F.min("path").alias("path")).checkpoint()
+        if level.isEmpty():
+            break
         visited = visited.unionByName(level.select("origin", "candidate", "url"))
     clean = found.withColumn("url", rtrim_slash(F.regexp_replace("url", r"\?.*$", "")))
     own = clean.where(F.regexp_extract("url", r"^[^:/?#]+://[^/?#]*", 0) == F.col("origin")).groupBy("origin", "candidate", "url").agg(F.min("path").alias("path"))
