@@ -1,8 +1,11 @@
 import random
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from visigraph.llm import decontaminate as d
+from visigraph.llm.common import Work
 
 from .edge import STORY, documents, nothing
 
@@ -18,7 +21,7 @@ def test_edge_rows_as_sql(spark, same_as_sql):
     same_as_sql(d.op5_decontaminate, d.SQL, documents=documents(spark, [(20, "x a b a b a b a b a b a b a b y"), (21, STORY * 50)], repeat=False), benchmark=items)
 
 
-def test_brute_force_and_small_segments_and_blocks(spark, tmp_path):
+def test_brute_force_and_small_segments_and_blocks(spark):
     r = random.Random(5)
     words = ["alpha", "beta", "gamma", "d", "é"]
     texts = {i: " ".join(r.choices(words, k=r.randint(0, 120))) for i in range(150)}
@@ -27,19 +30,22 @@ def test_brute_force_and_small_segments_and_blocks(spark, tmp_path):
     bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
     want = d.brute_force(texts, items)
     for size, block in ((1_000_000, 8 << 20), (300, 200)):
-        queries = d.blocks(bench, block)
-        index = d.build_index(docs, queries, f"{tmp_path}/{size}", size)
-        got = d.search(index, queries).withColumn("sha", F.sha2(F.array_join("items", ","), 256)).collect()
+        queries = list(d.blocks(bench, block))
+        index = d.build_index(docs, Work(spark), size)
+        reports = [d.search(index, q) for q in queries]
+        got = (reports[0] if len(reports) == 1 else d.merged(reduce(DataFrame.unionByName, reports))).withColumn("sha", F.sha2(F.array_join("items", ","), 256)).collect()
         assert {x.doc_id: (x.n_words, x.n_hit, len(x["items"]), x.sha, x.n_hit > 0) for x in got} == want
         assert len(queries) == 1 if block > 1_000 else len(queries) > 1
         assert all(sum(s.end - s.start for s in x.spans) == x.n_hit for x in got)
+    got = {x.doc_id: (x.n_words, x.n_hit, len(x["items"])) for x in d.decontaminate(docs, bench, block_bytes=300).collect()}
+    assert got == {i: w[:3] for i, w in want.items()}
 
 
-def test_proximity_allows_words_between(spark, tmp_path):
+def test_proximity_allows_words_between(spark):
     docs = spark.createDataFrame([(1, "red green blue"), (2, "red x green y blue"), (3, "red x x x x green blue"), (4, "blue green red")], "doc_id long, text string")
-    queries = d.blocks(spark.createDataFrame([(9, "red green blue")], "item_id long, text string"))
-    index = d.build_index(docs, queries, f"{tmp_path}/i")
-    found = lambda slack: {r.doc_id for r in d.search(index, queries, slack).where("n_hit > 0").collect()}
+    [query] = d.blocks(spark.createDataFrame([(9, "red green blue")], "item_id long, text string"))
+    index = d.build_index(docs, Work(spark))
+    found = lambda slack: {r.doc_id for r in d.search(index, query, slack).where("n_hit > 0").collect()}
     assert found(0) == {1} and found(2) == {1, 2} and found(4) == {1, 2, 3, 4}
 
 

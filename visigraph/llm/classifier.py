@@ -172,23 +172,24 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, trai
     picked = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("_quality"))
     picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)  # the bound of the broadcast side
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("_bytes")).where(F.octet_length("_bytes") <= train_bytes)
-    got = rows.join(F.broadcast(picked), "doc_id").select("doc_id", "_bytes", "_quality").limit(2 * train_rows).collect()
-    got.sort(key=lambda r: (r[0], r[1]))
+    # of rows that repeat a doc_id the smallest text, so there are no more than train_rows
+    got = rows.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "_quality").agg(F.min("_bytes").alias("_bytes")).select("doc_id", "_bytes", "_quality").collect()
+    got.sort(key=lambda r: r[0])
     return Network().fit([bytes(r[1]) for r in got], np.array([r[2] for r in got]))
 
 
-def score_rows(docs: DataFrame, network: Network) -> DataFrame:
-    """docs with score: the probability that label 1 holds."""
+def score_rows(docs: DataFrame, network: Network, name: str = "score") -> DataFrame:
+    """docs with a column of that name: the probability that label 1 holds."""
     small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(network)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = batch.column(batch.schema.get_field_index("text"))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sent.value.score(*text_bytes(text)), pa.float64())], names=[*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sent.value.score(*text_bytes(text)), pa.float64())], names=[*batch.schema.names, name])
 
-    rows = docs.drop("score")
-    return rows.mapInArrow(write, StructType([*rows.schema.fields, StructField("score", DoubleType())]))
+    rows = docs.drop(name)
+    return rows.mapInArrow(write, StructType([*rows.schema.fields, StructField(name, DoubleType())]))
 
 
 def op4_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,12 +1,13 @@
 """Operator 5: benchmark decontamination over a distributed positional inverted index.
 
-Documents are dealt to segments of whole documents; a segment stores, for each term, the sorted places of the term in
-it. Only terms that the benchmark uses are stored, which is exact, as a window matches only where all of its words
-are. Windows are looked up in each segment from the rarest of their terms on: each list is shifted by the term's offset in the
-window, and what is left after intersecting all of them is where the window begins. With a slack, terms may
-stand up to so many words from their offset (proximity); 0 asks for the exact phrase.
+Documents are dealt to segments of whole documents; a segment stores, for each of its terms, the sorted places of the term in
+it. The index knows nothing of a benchmark, so it serves any. Windows are looked up in each segment from the rarest of their terms on: each list is
+shifted by the term's offset in the window, and what is left after intersecting all of them is where the window begins. All
+windows of a block take a step together. With a slack, terms may stand up to so many words from their offset (proximity); 0 asks
+for the exact phrase.
 
-The benchmark goes to the executors in blocks of BLOCK_BYTES of text, one in memory at a time, so its size is not bounded.
+A benchmark of more than BLOCK_BYTES of text is taken in blocks: one at a time is sent out and looked up, its hits are stored, and
+then the hits of all blocks are merged by document. So neither the driver nor a task holds more than a block.
 
 Defined results: null or empty text has no words and no hits; an item without words has no windows; items that repeat an
 item_id are one item; a null item_id is reported as "null"; documents that repeat a doc_id are judged one by
@@ -17,15 +18,16 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTES, join_small, scratch, shared_dir, small_batches, table, words_of
+from .common import WORD_BYTES, Work, join_small, shared_dir, small_batches, table, words_of
 
 WINDOW = 10
 SEGMENT_WORDS = 1_000_000
@@ -34,9 +36,9 @@ MOST_SLACK = 50
 #: Places between documents of a segment, so that no window reaches over.
 GAP = WINDOW + MOST_SLACK + 1
 
-SEGMENT = pa.schema([("doc_ids", pa.list_(pa.int64())), ("n_words", pa.list_(pa.int64())), ("terms", pa.list_(pa.binary())), ("df", pa.list_(pa.int32())), ("size", pa.int64()), ("postings", pa.binary())])
-INDEX = "doc_ids array<long>, n_words array<long>, terms array<binary>, df array<int>, size long, postings binary"
-REPORT = "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>"
+SEGMENT = pa.schema([("segment", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("n_words", pa.list_(pa.int64())), ("terms", pa.list_(pa.binary())), ("df", pa.list_(pa.int32())), ("size", pa.int64()), ("postings", pa.binary())])
+INDEX = "segment string, doc_ids array<long>, n_words array<long>, terms array<binary>, df array<int>, size long, postings binary"
+REPORT = "segment string, at int, doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>"
 
 
 class Windows:
@@ -59,15 +61,13 @@ class Windows:
         self.rows = np.array(rows, np.int64).reshape(-1, window)
 
 
-def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> list[Broadcast]:
-    sc = benchmark.sparkSession.sparkContext
+def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[Broadcast]:
+    """The benchmark's windows, a block after the other."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).distinct()
-    n = -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes)
-    out = []
+    n = max(1, -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes))
     for i in range(n):
         part = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i)
-        out.append(sc.broadcast(Windows([tuple(r) for r in part.collect()])))
-    return out
+        yield benchmark.sparkSession.sparkContext.broadcast(Windows([tuple(r) for r in part.collect()]))
 
 
 def pack(places: np.ndarray) -> bytes:
@@ -78,29 +78,29 @@ def unpack(data: bytes, n: int) -> np.ndarray:
     return np.frombuffer(pa.decompress(data, 4 * n, codec="zstd", asbytes=True), np.int32)
 
 
-def segment(ids: list, texts: pa.Array, queries: list[Broadcast]) -> dict:
+def segment(name: str, ids: list, texts: pa.Array) -> dict:
     words, counts = words_of(texts, WORD_BYTES)
     counts = np.asarray(counts, np.int64)
-    wanted = np.zeros(len(words), bool)
-    for q in queries:
-        wanted |= np.asarray(pc.is_in(words, value_set=q.value.terms))
     starts = np.cumsum(counts + GAP) - counts - GAP
     place = np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(len(words))
-    kept = words.filter(pa.array(wanted)).dictionary_encode()
-    codes, place = np.asarray(kept.indices, np.int64), place[wanted]
+    coded = words.dictionary_encode()
+    codes = np.asarray(coded.indices, np.int64)
     order = np.argsort(codes, kind="stable")
-    return {"doc_ids": ids, "n_words": counts, "terms": kept.dictionary, "df": np.bincount(codes, minlength=len(kept.dictionary)).astype(np.int32), "size": int((counts + GAP).sum()), "postings": pack(place[order])}
+    return {"segment": name, "doc_ids": ids, "n_words": counts, "terms": coded.dictionary, "df": np.bincount(codes, minlength=len(coded.dictionary)).astype(np.int32), "size": int((counts + GAP).sum()), "postings": pack(place[order])}
 
 
-def build_index(docs: DataFrame, queries: list[Broadcast], out: str, segment_words: int = SEGMENT_WORDS) -> DataFrame:
-    """Stores the index of docs(doc_id, text) at `out`, a row for each segment."""
+def build_index(docs: DataFrame, work: Work, segment_words: int = SEGMENT_WORDS) -> DataFrame:
+    """The stored index of docs(doc_id, text), a row for each segment."""
     small_batches(docs.sparkSession)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import uuid
+
         ids, texts, size = [], [], 0
 
         def row() -> pa.RecordBatch:
-            s = segment(ids, pa.concat_arrays(texts), queries)
+            # the name only has to be unique: all that depends on it comes from the stored row
+            s = segment(uuid.uuid4().hex, ids, pa.concat_arrays(texts))
             return pa.RecordBatch.from_arrays([pa.array([s[f.name]], f.type) if f.name != "terms" else pa.ListArray.from_arrays(pa.array([0, len(s["terms"])], pa.int32()), s["terms"].cast(pa.binary())) for f in SEGMENT], schema=SEGMENT)
 
         for batch in batches:
@@ -119,71 +119,102 @@ def build_index(docs: DataFrame, queries: list[Broadcast], out: str, segment_wor
         if ids:
             yield row()
 
-    docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(build, INDEX).write.parquet(out)
-    return docs.sparkSession.read.parquet(out)
-
-
-def find(rows: np.ndarray, lists: list[np.ndarray], slack: int) -> np.ndarray:
-    """Where one window begins: rows are the segment's term numbers, without those behind its end."""
-    order = sorted(range(len(rows)), key=lambda i: (len(lists[rows[i]]), i))
-    begins = lists[rows[order[0]]] - order[0]
-    for i in order[1:]:
-        own = lists[rows[i]]
-        low = np.searchsorted(own, begins + (i - slack))
-        begins = begins[(low < len(own)) & (own[np.minimum(low, len(own) - 1)] <= begins + (i + slack))]
-        if not len(begins):
-            break
-    return begins
-
-
-def match(row: dict, queries: list[Broadcast], slack: int = 0) -> list[dict]:
+    return work.store(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(build, INDEX), "postings")
+
+
+def find(rows: np.ndarray, df: np.ndarray, places: np.ndarray, size: int, slack: int) -> tuple[np.ndarray, np.ndarray]:
+    """(window, begin) of the windows' hits. rows: the segment's term numbers, -2 behind a window's end; places: of all terms, one after the other."""
+    first = np.cumsum(df) - df
+    keys = np.repeat(np.arange(len(df)), df) * size + places  # rising, so that a search for a term and a place meets the term's own list
+    order = np.argsort(np.where(rows >= 0, df[np.maximum(rows, 0)], np.iinfo(np.int64).max), axis=1, kind="stable")
+    ranked = np.take_along_axis(rows, order, axis=1)
+    rarest = ranked[:, 0]
+    n = df[rarest]
+    window = np.repeat(np.arange(len(rows)), n)
+    begin = places[np.repeat(first[rarest] - (np.cumsum(n) - n), n) + np.arange(n.sum())].astype(np.int64) - order[window, 0]
+    for i in range(1, rows.shape[1]):
+        term = ranked[window, i]
+        wanted = begin + order[window, i]
+        # places before the first and behind the last are no places of the term
+        low = np.searchsorted(keys, term * size + np.maximum(wanted - slack, 0))
+        met = (low < len(keys)) & (wanted + slack >= 0)
+        met &= keys[np.minimum(low, len(keys) - 1)] <= term * size + np.minimum(wanted + slack, size - 1)
+        keep = met | (term < 0)
+        window, begin = window[keep], begin[keep]
+    return window, begin
+
+
+def match(row: dict, w: Windows, slack: int = 0) -> list[dict]:
     n_words = np.array(row["n_words"], np.int64)
     starts = np.cumsum(n_words + GAP) - n_words - GAP
     df = np.array(row["df"], np.int64)
-    lists = np.split(unpack(row["postings"], int(df.sum())), np.cumsum(df)[:-1]) if len(df) else []
-    terms = pa.array(row["terms"], pa.large_binary())
     change = np.zeros(row["size"] + 1 + MOST_SLACK + WINDOW, np.int32)
-    items: list[set] = [set() for _ in n_words]
-    for q in queries:
-        w = q.value
-        own = np.asarray(pc.fill_null(pc.index_in(w.terms, value_set=terms), -1), np.int64)
-        local = np.where(w.rows >= 0, own[w.rows], -2) if len(own) else w.rows
-        for i in np.flatnonzero((local != -1).all(axis=1)) if len(terms) else ():
-            rows = local[i][local[i] >= 0]
-            begins = find(rows, lists, slack)
-            if len(begins):
-                begins = np.maximum(begins, 0)
-                np.add.at(change, begins, 1)
-                np.add.at(change, begins + len(rows), -1)
-                for d in np.unique(np.searchsorted(starts, begins + min(slack, len(rows) - 1), "right") - 1):
-                    items[d].add(w.names[w.item[i]])
+    found: dict[int, list] = {}
+    own = np.asarray(pc.fill_null(pc.index_in(w.terms, value_set=pa.array(row["terms"], pa.large_binary())), -1), np.int64) if len(df) else np.full(len(w.terms), -1)
+    local = np.where(w.rows >= 0, own[w.rows], -2) if len(own) else w.rows
+    live = np.flatnonzero((local != -1).all(axis=1))
+    if len(live) and len(df):
+        window, begin = find(local[live], df, unpack(row["postings"], int(df.sum())), row["size"], slack)
+        window, begin = live[window], np.maximum(begin, 0)
+        length = (w.rows[window] >= 0).sum(axis=1)
+        np.add.at(change, begin, 1)
+        np.add.at(change, begin + length, -1)
+        docs = np.searchsorted(starts, begin + np.minimum(slack, length - 1), "right") - 1
+        for d, i in np.unique(np.column_stack([docs, w.item[window]]), axis=0).tolist():
+            found.setdefault(d, []).append(w.names[i])
     hit = np.cumsum(change) > 0
     out = []
     for d, (doc, n, at) in enumerate(zip(row["doc_ids"], n_words, starts, strict=True)):
-        own = hit[at : at + n].astype(np.int8) if items[d] else ()
-        edges = np.flatnonzero(np.diff(own, prepend=0, append=0)) if items[d] else []
-        out.append({"doc_id": doc, "n_words": int(n), "n_hit": int(np.sum(own)) if items[d] else 0, "items": sorted(items[d]), "spans": [{"start": int(a), "end": int(b)} for a, b in zip(edges[::2], edges[1::2], strict=True)]})
+        own = hit[at : at + n].astype(np.int8) if d in found else ()
+        edges = np.flatnonzero(np.diff(own, prepend=0, append=0)) if d in found else []
+        out.append({"segment": row["segment"], "at": d, "doc_id": doc, "n_words": int(n), "n_hit": int(np.sum(own)) if d in found else 0, "items": sorted(found.get(d, ())), "spans": [{"start": int(a), "end": int(b)} for a, b in zip(edges[::2], edges[1::2], strict=True)]})
     return out
 
 
-def search(index: DataFrame, queries: list[Broadcast], slack: int = 0) -> DataFrame:
+def search(index: DataFrame, query: Broadcast, slack: int = 0) -> DataFrame:
     """For each document its words, hit words, the items found and the hit spans in words."""
     if not 0 <= slack <= MOST_SLACK:
         raise ValueError(f"slack is 0 to {MOST_SLACK}")
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
+        kind = pa.schema([("segment", pa.string()), ("at", pa.int32()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
         for batch in batches:
             for i in range(batch.num_rows):
-                yield pa.RecordBatch.from_pylist(match({n: batch.column(n)[i].values if n == "terms" else batch.column(n)[i].as_py() for n in batch.schema.names}, queries, slack), kind)
+                yield pa.RecordBatch.from_pylist(match({n: batch.column(n)[i].values if n == "terms" else batch.column(n)[i].as_py() for n in batch.schema.names}, query.value, slack), kind)
 
     return index.mapInArrow(look, REPORT)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, slack: int = 0) -> DataFrame:
+def merged(reports: DataFrame) -> DataFrame:
+    """The report on all blocks from those on each: items and spans together, spans that meet as one."""
+    by = reports.groupBy("segment", "at").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("all"))
+    empty = F.array().cast("array<struct<start:int,end:int>>")
+
+    def join(done: Column, x: Column) -> Column:
+        last = F.element_at(done, -1)
+        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))
+        return F.when(F.size(done) == 0, F.array(x)).when(x["start"] > last["end"], F.array_append(done, x)).otherwise(F.array_append(F.slice(done, 1, F.size(done) - 1), longer))
+
+    spans = F.aggregate("all", empty, join)
+    return by.withColumn("spans", spans).withColumn("n_hit", F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])).drop("all")
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, slack: int = 0, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The report on docs(doc_id, text) against benchmark(item_id, text)."""
-    queries = blocks(benchmark)
-    return search(build_index(docs, queries, scratch(docs.sparkSession, "postings")), queries, slack)
+    work = Work(docs.sparkSession)
+    index = build_index(docs, work)
+    before, reports = None, []
+    for query in blocks(benchmark, block_bytes):
+        if before is not None:
+            reports.append(work.store(search(index, before, slack), "hits"))
+            before.destroy()
+        before = query
+    if not reports:
+        return search(index, before, slack)
+    reports.append(work.store(search(index, before, slack), "hits"))
+    before.destroy()
+    work.drop(index)
+    return merged(reduce(DataFrame.unionByName, reports))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, slack: int = 0) -> DataFrame:
