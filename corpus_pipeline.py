@@ -1,57 +1,9 @@
-"""From raw documents to a training mix, in stages that each read what the one before has written.
+"""From raw documents to a training mix: the stages of visigraph.llm.pipeline, applied to the table documents.
 
-Each stage takes (spark, docs, sf_dir) and works on all its docs; all but the last return the columns of documents. SQL can't
-express the classifier and the near-duplicates, so ORACLE_SQL is None and the stages are tested against brute force.
+SQL can't express the classifier and the near-duplicates, so ORACLE_SQL is None and the stages are tested against brute force.
 """
 
-from __future__ import annotations
+from visigraph.llm.pipeline import STAGES, run
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from visigraph.llm import classifier, decontaminate, dedup, mix, pii
-from visigraph.llm.common import scratch, table
-
-
-def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score reaches the classifier's threshold; it learns from the labelled ones that are not held out."""
-    network = classifier.train(docs, table(spark, sf_dir, "labels"))
-    return classifier.score_rows(docs, network).where(F.col("score") >= classifier.THRESHOLD).select(docs.columns)
-
-
-def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates."""
-    return dedup.keep_one(docs).select(docs.columns)
-
-
-def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a window of the benchmark."""
-    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark")).select(docs.columns)
-
-
-def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data and the terms that disclose it become labels; n_chars follows."""
-    return pii.sanitise(pii.find(docs)).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
-
-
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each copy of a document that the mix takes, with what the mix decided."""
-    return mix.emit(mix.mix(docs))
-
-
-STAGES = [
-    ("quality", keep_quality),
-    ("near_duplicates", drop_near_duplicates),
-    ("decontaminate", drop_benchmark),
-    ("pii", sanitise),
-    ("mix", mix_sources),
-]
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
 ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(out := scratch(spark, f"stage-{name}"))
-        docs = spark.read.parquet(out)
-    return docs
