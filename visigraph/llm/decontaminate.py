@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import WORD_BYTES, Work, join_small, shared_dir, small_batches, table, words_of
 
 WINDOW = 10
-SEGMENT_WORDS = 1_000_000
+SEGMENT_WORDS = 500_000
 BLOCK_BYTES = 8 << 20
 MOST_SLACK = 50
 #: Places between documents of a segment, so that no window reaches over.
