@@ -42,3 +42,15 @@ def test_exact_join_removes_false_positives(spark, monkeypatch):
     tight = urls.judge(some, urls.rules_of(spark), urls.repeated(some))
     columns = ["page_id", "rule", "verdict"]
     assert sorted(map(str, loose.select(columns).collect())) == sorted(map(str, tight.select(columns).collect()))
+
+
+def test_a_filter_that_stays_a_table(spark, monkeypatch):
+    some = pages(spark, enumerate(URLS))
+    columns = ["page_id", "rule", "verdict"]
+    small = sorted(map(str, urls.judge(some, urls.rules_of(spark), urls.repeated(some)).select(columns).collect()))
+    monkeypatch.setattr(urls, "FILTER_BYTES", 0)
+    monkeypatch.setattr(urls, "passes", None)
+    assert sorted(map(str, urls.judge(some, urls.rules_of(spark), urls.repeated(some)).select(columns).collect())) == small
+    keys = spark.range(20_000).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"))
+    others = spark.range(20_000).select(F.concat(F.lit("o"), F.col("id").cast("string")).alias("key"))
+    assert urls.possible(keys, keys, 20_000).count() == 20_000 and urls.possible(others, keys, 20_000).count() < 400

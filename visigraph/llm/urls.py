@@ -2,9 +2,9 @@
 
 Two lists are looked up alike. Rules (host, path, verdict) fit a host and its subdomains where the path starts with the
 rule's: a url is probed with those suffixes of its host and starts of its path whose lengths occur among the rules. Listed
-urls are probed by their canonical form. The filter is built by Spark, one row of eight words for each block,
-and goes to the executors while it stays under FILTER_BYTES; a longer list keeps that size and just passes more
-false positives on to the join, so the verdicts are the same at any size.
+urls are probed by their canonical form. The filter is built by Spark, one row of eight words for each block, and grows with the list. It
+goes to the executors while it stays under FILTER_BYTES; beyond that it stays a table, and distinct keys are joined with
+their blocks, so the share of false positives and the verdicts are the same at any size.
 
 The longest rule wins (host and path together, then the text); where none fits, a url whose canonical form is listed
 gets the list's verdict, and the rest the default.
@@ -57,21 +57,24 @@ def canonical(host: Column, path: Column) -> Column:
 
 
 def blocks_of(keys: int) -> int:
-    return max(1, min(FILTER_BYTES // (8 * WORDS), -(-keys * BITS_PER_KEY // (64 * WORDS))))
+    return max(1, -(-keys * BITS_PER_KEY // (64 * WORDS)))
 
 
 def _bit(h: Column, i: int) -> Column:
     return F.pmod(F.shiftrightunsigned(h, 6 * i), F.lit(64)).cast("int")
 
 
-def build(keys: DataFrame, n: int) -> np.ndarray:
-    """The filter of keys(key), n of them: an array of blocks by eight words. Only the filter comes to the driver."""
-    blocks = blocks_of(n)
-    h = F.xxhash64("key")
-    bits = keys.select(F.pmod(h, F.lit(blocks)).cast("int").alias("block"), F.xxhash64("key", F.lit(1)).alias("h"))
+def filter_rows(keys: DataFrame, n: int) -> DataFrame:
+    """The filter of keys(key), n of them: (block, w0 to w7) of the blocks that have bits."""
+    bits = keys.select(F.pmod(F.xxhash64("key"), F.lit(blocks_of(n))).alias("block"), F.xxhash64("key", F.lit(1)).alias("h"))
     words = [F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), _bit(F.col("h"), i))).alias(f"w{i}") for i in range(WORDS)]
-    out = np.zeros((blocks, WORDS), np.uint64)
-    for row in bits.groupBy("block").agg(*words).collect():
+    return bits.groupBy("block").agg(*words)
+
+
+def build(keys: DataFrame, n: int) -> np.ndarray:
+    """The filter as an array of blocks by eight words."""
+    out = np.zeros((blocks_of(n), WORDS), np.uint64)
+    for row in filter_rows(keys, n).collect():
         out[row[0]] = np.array(row[1:], np.int64).view(np.uint64)
     return out
 
@@ -93,35 +96,43 @@ def passes(key: Column, filter_: np.ndarray, spark: SparkSession) -> Column:
     return test(F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int"), F.xxhash64(key, F.lit(1)))
 
 
+def possible(probes: DataFrame, keys: DataFrame, n: int) -> DataFrame:
+    """The rows of probes(key, ...) whose key may be among keys(key), n of them."""
+    if blocks_of(n) * 8 * WORDS <= FILTER_BYTES:
+        return probes.where(passes(F.col("key"), build(keys, n), probes.sparkSession))
+    h = F.xxhash64("key", F.lit(1))
+    own = probes.select("key").distinct().withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks_of(n)))).join(filter_rows(keys, n), "block")
+    set_ = [F.call_function("shiftrightunsigned", F.col(f"w{i}"), _bit(h, i)).bitwiseAND(F.lit(1)) == 1 for i in range(WORDS)]
+    return probes.join(own.where(reduce(Column.__and__, set_)).select("key"), "key", "left_semi")
+
+
 def rule_hits(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """(host, path, rule, verdict) of the longest rule of each host and path that has one. urls(host, path); rules(host, path, verdict)."""
-    spark = urls.sparkSession
     rules = rules.where("host IS NOT NULL AND path IS NOT NULL AND verdict IS NOT NULL").groupBy("host", "path").agg(F.min("verdict").alias("verdict"))
     rules = rules.select(F.concat("host", F.lit("\n"), "path").alias("key"), F.concat("host", "path").alias("rule"), "verdict", F.size(F.split("host", r"\.")).alias("labels"), F.length("path").alias("starts"))
     shape = rules.agg(F.collect_set("labels"), F.collect_set("starts"), F.count("*")).first()
     if not shape[2]:
         return urls.select("host", "path", F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("verdict")).limit(0)
-    bloom = build(rules, shape[2])
     own = urls.select("host", "path").where("host <> ''").distinct()
     parts = F.split("host", r"\.")
     suffixes = F.array_compact(F.array(*[F.when(F.size(parts) >= n, F.array_join(F.slice(parts, -n, n), ".")) for n in sorted(shape[0])]))
     starts = F.array_compact(F.array(*[F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in sorted(shape[1])]))
     probes = own.withColumn("_start", F.explode(starts)).withColumn("_suffix", F.explode(suffixes)).withColumn("key", F.concat("_suffix", F.lit("\n"), "_start"))
-    hits = join_small(probes.where(passes(F.col("key"), bloom, spark)), rules.select("key", "rule", "verdict"), ["key"], "inner", shape[2])
+    salt = F.pmod(F.xxhash64("host", "path"), F.lit(32)).cast("int")  # all urls of a wide rule's host have its key
+    hits = join_small(possible(probes, rules, shape[2]), rules.select("key", "rule", "verdict"), ["key"], "inner", shape[2], salt)
     best = F.max(F.struct(F.length("rule").alias("n"), "rule", "verdict")).alias("_best")
     return hits.groupBy("host", "path").agg(best).select("host", "path", "_best.rule", "_best.verdict")
 
 
 def judge(urls: DataFrame, rules: DataFrame, listed: DataFrame, listed_verdict: str = "block", default: str = "allow") -> DataFrame:
     """urls(url, ...) with host, path, rule and verdict. rules(host, path, verdict); listed(key): canonical urls."""
-    spark = urls.sparkSession
     urls = urls.drop("host", "path", "rule", "verdict", "_op9_canonical", "_op9_listed").withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
     keys = listed.select("key").where("key IS NOT NULL").distinct()
     n = keys.count()
     known = urls.withColumn("_op9_canonical", canonical(F.col("host"), F.col("path")))
     # only what the filter lets through is joined; the exact join decides
-    possible = known.where((F.col("host") != "") & passes(F.col("_op9_canonical"), build(keys, n), spark)).select(F.col("_op9_canonical").alias("key")).distinct()
-    exact = join_small(possible, keys, ["key"], "left_semi", n).select(F.col("key").alias("_op9_canonical"), F.lit(True).alias("_op9_listed"))
+    maybe = possible(known.where("host <> ''").select(F.col("_op9_canonical").alias("key")), keys, n).distinct()
+    exact = join_small(maybe, keys, ["key"], "left_semi", n).select(F.col("key").alias("_op9_canonical"), F.lit(True).alias("_op9_listed"))
     ruled = rule_hits(urls, rules)
     verdict = F.coalesce("verdict", F.when(F.col("_op9_listed"), listed_verdict), F.lit(default))
     out = known.join(ruled, ["host", "path"], "left").join(exact, "_op9_canonical", "left")
