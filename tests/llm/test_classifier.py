@@ -50,3 +50,27 @@ def test_edge_rows(spark):
     net = c.Network().fit([b"a", b"b"], np.array([0, 1]))
     assert all(0 <= r.score <= 1 for r in c.score_rows(docs, net).collect())
     assert c.score_rows(nothing(spark), net).count() == 0
+
+
+def plain(net, data):
+    """The score of a text, one chunk, filter and byte at a time."""
+    marked = [b + 256 * any(i - lag >= 3 and data[i - 3 : i + 1] == data[i - lag - 3 : i - lag + 1] for lag in c.LAGS) if i >= 3 else b for i, b in enumerate(data)]
+    size = max(2, -(-len(data) // c.HALF)) * c.HALF
+    marked += [c.PAD] * (size - len(data))
+    filters = np.concatenate([net.p["A"], net.p["B"]]).astype(np.float64)
+    best = np.full(c.FILTERS, -np.inf)
+    for at in range(0, size - c.HALF, c.HALF):
+        x = [v for s in marked[at : at + 2 * c.HALF] for v in net.p["E"][s].astype(np.float64)]
+        for f in range(c.FILTERS):
+            best[f] = max(best[f], sum(a * b for a, b in zip(x, filters[:, f])))
+    hidden = [max(0.0, sum(np.tanh(best + net.p["c"]) * net.p["H"][:, k]) + net.p["h"][k]) for k in range(c.HIDDEN)]
+    return 1 / (1 + np.exp(-(sum(h * o for h, o in zip(hidden, net.p["o"])) + net.p["b"][0])))
+
+
+def test_scores_by_brute_force(monkeypatch):
+    texts, labels = toy(80)
+    net = c.Network().fit([t.encode() for t in texts], np.array(labels))
+    monkeypatch.setattr(c, "PIECE", 60)
+    some = [b"", b"a", b"12345678", texts[3].encode(), texts[50].encode() * 3, "ünï ".encode() * 40, LONG[:900].encode()]
+    got = net.score(np.frombuffer(b"".join(some), np.uint8), np.cumsum([0, *map(len, some)]))
+    assert got == pytest.approx([plain(net, list(x)) for x in some], abs=1e-4)
