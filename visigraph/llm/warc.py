@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 from .common import BROADCAST_ROWS, range_cuts, scratch, table
 
 REVISIT_FROM = 1_000
-ROLL_BYTES = 64 << 20
+#: Compressed bytes at which a file rolls, so that a shard has several files.
+ROLL_BYTES = 4 << 20
 #: Payload bytes that a shard is planned for.
 SHARD_BYTES = 32 << 20
 DATE = "2024-01-01T00:00:00Z"
