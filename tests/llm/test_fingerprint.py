@@ -110,3 +110,14 @@ def test_classes_of_edge_rows(spark):
     got = sorted(((r.doc_id or 0), r.class_id) for r in f.near_classes(spark.createDataFrame(rows, "doc_id long, text string"), 0.7).collect())
     assert got == [(0, 1), (1, 1), (2, 1), (3, 3), (4, 4), (5, 1), (5, 1), (6, 4)]
     assert f.near_classes(nothing(spark)).count() == 0
+
+
+def test_query_has_the_classes(spark):
+    """class_id of the query's rows is that of near_classes, for copies, edits, nulls, repeated rows and texts that stand alone."""
+    docs = documents(spark, [(100 + i, prose(i // 3, 3_000) + " the end" * (i % 3)) for i in range(30)])
+    got = sorted((str(r.doc_id), str(r.class_id), r.fingerprint) for r in f.linked_next(docs).collect())
+    alone = sorted((str(r.doc_id), str(r.class_id)) for r in f.near_classes(docs).collect())
+    assert [x[:2] for x in got] == alone and len(got) == docs.count()
+    classes = dict(x[:2] for x in got)
+    assert all(classes[str(100 + i)] == str(100 + i - i % 3) for i in range(30)) and classes["10"] == "10"
+    assert f.linked_next(nothing(spark)).count() == 0

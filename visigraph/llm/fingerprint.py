@@ -205,26 +205,44 @@ def bands(fingerprint: str) -> list[int]:
     return pairs or [x >> 1 for x in least]
 
 
-def near_classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
-    """(doc_id, class_id): documents whose fingerprints are linked, by a likeness of `least` or more, have the class of the smallest
-    doc_id. Equal fingerprints are compared once; texts that share no key are not. A class of null doc_ids only is null."""
-    work = Work(docs.sparkSession)
-    rows = work.store(fingerprint_rows(docs).withColumn("row", F.monotonically_increasing_id()), "prints")
-    prints = work.store(rows.groupBy("fingerprint").agg(F.min("row").alias("id"), F.min("doc_id").alias("doc_id")), "named")
+def class_ids(rows: DataFrame, least: float, work: Work) -> DataFrame:
+    """(fingerprint, class_id, several) of rows(row, doc_id, fingerprint), a stored table whose rows are numbered: documents of fingerprints that
+    are linked have the class of the smallest doc_id, and `several` says whether a class has more than one row. Equal fingerprints are compared
+    once. What the job stores on its way goes."""
+    held = set(work.paths)
+    prints = work.store(rows.groupBy("fingerprint").agg(F.min("row").alias("id"), F.min("doc_id").alias("doc_id"), F.count("*").alias("n")), "named")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [bands(x) for x in batch.column(1).to_pylist()]
+            prints = batch.column(1).to_pylist()
+            own = [bands(x) for x in prints]
             n = [len(x) for x in own]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), n)), pa.array([k for x in own for k in x], pa.int64()), pa.array(np.repeat([len(x) for x in batch.column(1).to_pylist()], n).astype(np.int32))], names=["id", "key", "weight"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), n)), pa.array([k for x in own for k in x], pa.int64()), pa.array(np.repeat([len(x) for x in prints], n).astype(np.int32))], names=["id", "key", "weight"])
 
     keys = work.store(prints.where("fingerprint <> ''").select("id", "fingerprint").mapInArrow(write, "id long, key long, weight int"), "keys")
     bag = prints.select("id", F.col("fingerprint").cast("binary").alias("bag"))
     roots = dedup.classes(keys, lambda active: join_small(bag, active, ["id"], "left_semi", active.count(), limit=dedup.BROADCAST_IDS), Prints(least), work)
     rooted = prints.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    smallest = work.store(rooted.groupBy("root").agg(F.min("doc_id").alias("class_id")), "smallest")
-    ids = work.store(rooted.select("fingerprint", "root").join(smallest, "root").select("fingerprint", "class_id"), "ids")
-    return rows.select("doc_id", "fingerprint").join(ids, "fingerprint").select("doc_id", "class_id")
+    smallest = work.store(rooted.groupBy("root").agg(F.min("doc_id").alias("class_id"), (F.sum("n") > 1).alias("several")), "smallest")
+    ids = work.store(rooted.select("fingerprint", "root").join(smallest, "root").select("fingerprint", "class_id", "several"), "ids")
+    work.drop(*(t for k, (t, _) in [*work.paths.items()] if k not in held and t is not ids))
+    return ids
+
+
+def with_classes(rows: DataFrame, least: float, work: Work) -> DataFrame:
+    """rows, as class_ids takes them, with class_id instead of row. Only rows of classes of several meet the table of classes, by a digest."""
+    key = F.md5("fingerprint").alias("_op8_key")
+    ids = work.store(class_ids(rows, least, work).where("several").select(key, "class_id", F.lit(True).alias("_op8_several")), "several")
+    joined = join_small(rows.withColumn("_op8_key", F.md5("fingerprint")), ids, ["_op8_key"], "left", ids.count(), salt=F.pmod(F.xxhash64("row"), F.lit(32)).cast("int"))
+    return joined.withColumn("class_id", F.when(F.col("_op8_several"), F.col("class_id")).otherwise(F.col("doc_id"))).drop("_op8_key", "_op8_several", "row")
+
+
+def near_classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
+    """(doc_id, class_id): documents whose fingerprints are linked, by a likeness of `least` or more, have the class of the smallest
+    doc_id. Equal fingerprints are compared once; texts that share no key are not. A class of null doc_ids only is null."""
+    work = Work(docs.sparkSession)
+    rows = work.store(fingerprint_rows(docs).withColumn("row", F.monotonically_increasing_id()), "prints")
+    return with_classes(rows, least, work).select("doc_id", "class_id")
 
 
 def edited(text: str, after: str) -> str:
@@ -302,5 +320,12 @@ def compare_next(docs: DataFrame) -> DataFrame:
     return dealt.mapInArrow(write, OUT)
 
 
+def linked_next(docs: DataFrame, least: float = LEAST) -> DataFrame:
+    """compare_next with the class_id of near_classes; texts are walked over once, and their shuffle is gone before classes are made."""
+    work = Work(docs.sparkSession)
+    rows = work.store(compare_next(docs).withColumn("row", F.monotonically_increasing_id()), "compared")
+    return with_classes(rows, least, work)
+
+
 def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compare_next(table(spark, sf_dir, "documents"))
+    return linked_next(table(spark, sf_dir, "documents"))
