@@ -48,6 +48,28 @@ def test_terms_that_disclose(spark, same_as_sql):
     assert "term:" in rows[100] and rows[300] == "term:0:7" and rows[200] == ""
 
 
+def test_terms_of_what_identifiers_share(spark, same_as_sql):
+    """Identifiers that stand in one text each: a name beside a user name, a firm beside a domain, a network, an exchange and an issuer are found."""
+    near = [("Zorblax", "zed.{}@mail{}.de"), ("Quintel", "user{0}{0}x@quintel{1}.example"), ("Serverhall", "10.20.30.{}"), ("Frontdesk", "+1 (386) 555-37{:02d}"), ("Goldbank", "4111 11{:02d} 0000")]
+    rows = [(100 + 10 * k + i, f"note {i} of {term} about the matter {what.format(10 + i, i if k == 0 else '')} as ever") for k, (term, what) in enumerate(near) for i in range(4)]
+    rows += [(200 + i, f"plain text {i} about the matter of note as ever") for i in range(80)]
+    rows += [(300, "zorblax and quintel, a serverhall, the frontdesk"), (301, "hapaxword 192.168.77.1 stands once")]
+    spans = {r.doc_id: r.spans for r in same_as_sql(pii.op7_pii, pii.SQL, documents=documents(spark, rows)).collect()}
+    assert spans[300] == "term:0:7,term:12:19,term:23:33,term:39:48"
+    assert spans[301] == "ip:10:22" and all(spans[200 + i] == "" for i in range(80))
+
+
+def test_doubt_by_hand(spark):
+    """Copies of one text are one piece of evidence; two texts without a counterexample leave a bit; the entity of most documents discloses nothing."""
+    rows = [(i, "Zorblax at 10.0.0.1") for i in range(9)] + [(20 + i, f"Quintel at 10.9.9.9 nr{i}") for i in range(2)] + [(40 + i, f"text {i}") for i in range(60)]
+    found = {(r.term, r.entity): r for r in pii.disclosing_terms(pii.found_rows(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert set(found) == {("quintel", "10.9.9.9"), ("quintel", "10.9.9.")}
+    r = found["quintel", "10.9.9.9"]
+    assert (r.n_et, r.m, r.n_e, r.n_t, r.doubt) == (2, 2, 2, 2, 1.0)
+    footer = spark.createDataFrame([(i, f"Imprint of text {i}, a@b.de") for i in range(30)], "doc_id long, text string")
+    assert pii.disclosing_terms(pii.found_rows(footer)).count() == 0
+
+
 def test_sanitise(spark):
     docs = spark.createDataFrame([(1, "write to a@b.de or 4111 1111 1111 1111, 😀 1.2.3.4!"), (2, None), (3, "clean")], "doc_id long, text string")
     found = pii.find(docs)

@@ -1,12 +1,14 @@
 """Operator 7: personal data, in DataFrame functions only.
 
 Identifiers (email, ip, card, phone) are found by pattern and test. Around them, information theory decides which terms give
-them away: over the corpus, a term t that stands within CONTEXT characters of an entity e in n_et documents, while e is in n_e, t
-in n_t and N documents are there, has pointwise mutual information log2(N n_et / (n_e n_t)). Where that reaches DISCLOSED of
-the entity's own information log2(N / n_e), in SUPPORT different texts or more, reading t is as good as reading e, so t is
-replaced everywhere. Spans become a general label in `sanitise`, or are removed.
-
-Defined results: null text is empty and without spans; counts of documents are counts of rows, so rows that repeat count again, but SUPPORT
+them away. An identifier is rare, so what its neighbours reveal is estimated for the identifier and for what it shares with others
+(`entities`): an address's user name and domain, an ip's network, a card's issuer, a phone's exchange. Over the corpus, a term t that stands
+within CONTEXT characters of an entity e in n_et documents of m different texts, while e is in n_e, t in n_t and N documents are there, leaves
+-log2(p) bits of doubt about e, where p = n_et / n_t * m / (m + PRIOR) is the share of t's documents that point to e, shrunk by what few
+texts can prove. Where at most DOUBT bits are left, and at least DISCLOSED of e's own information log2(N / n_e) is given, reading t is as good as
+reading e, so t is replaced everywhere. Both bounds mean the same at any N. Spans become a general label in `sanitise`, or are removed.
+
+Defined results: null text is empty and without spans; counts of documents are counts of rows, so rows that repeat count again, but m
 counts different texts; a term inside an identifier is no span of its own; an empty table gives no rows; added columns replace
 others of the same name.
 """
@@ -16,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, join_small, shared_dir, table
+from .common import BROADCAST_ROWS, Work, ascii_lower, join_small, shared_dir, table
 
 #: Possessive forms, which find the same matches without going back; a run that failed at its start is not tried again from inside.
 _USER = r"[A-Za-z0-9._%+-]"
@@ -33,8 +35,11 @@ PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]"
 
 CONTEXT = 120
-SUPPORT = 3
-DISCLOSED = 0.9
+#: Bits of doubt that a disclosing term may leave, the least share of an entity's information that it gives, and the texts without
+#: the entity that each term is credited with before any is seen.
+DOUBT = 1.0
+DISCLOSED = 0.5
+PRIOR = 2
 SHORTEST = 3
 
 
@@ -105,36 +110,57 @@ def found_rows(docs: DataFrame) -> DataFrame:
     return docs.drop("base", "spans", "_op7_h").withColumn("base", base_spans(text)).withColumn("_op7_h", F.xxhash64(text))
 
 
-def disclosing_terms(docs: DataFrame, support: int = SUPPORT, disclosed: float = DISCLOSED, reach: int = CONTEXT) -> DataFrame:
-    """(term, entity, n_et, n_e, n_t, pmi, information) of the terms that reveal an entity. docs: as found_rows gives them.
-
-    Only entities and pairs in `support` different texts go on, so what is gathered follows mentions, not documents times terms."""
-    total = docs.count()
-    with_any = docs.where(F.size("base") > 0).select("_op7_h", "text", "base")
-    mentions = F.array_distinct(F.transform("base", lambda s: ascii_lower(s["found"])))
-    entities = with_any.select("_op7_h", F.explode(mentions).alias("entity")).groupBy("_op7_h", "entity").agg(F.count("*").alias("rows")).groupBy("entity").agg(F.sum("rows").alias("n_e"), F.count("*").alias("texts")).where(F.col("texts") >= support).drop("texts")
-    near = F.array_distinct(F.flatten(F.transform("base", lambda s: F.transform(context_terms(F.col("text"), s), lambda t: F.struct(ascii_lower(s["found"]).alias("entity"), t.alias("term"))))))
-    pairs = with_any.select("_op7_h", F.explode(near).alias("x")).select("_op7_h", "x.entity", "x.term").groupBy("_op7_h", "entity", "term").agg(F.count("*").alias("rows"))
-    pairs = pairs.join(entities, "entity").groupBy("entity", "term").agg(F.sum("rows").alias("n_et"), F.count("*").alias("texts"), F.first("n_e").alias("n_e")).where(F.col("texts") >= support).drop("texts").checkpoint()
+def entities(span: Column) -> Column:
+    """The identifier of a span, in lower case, and what it shares with others of its kind."""
+    found = ascii_lower(span["found"])
+    digits = F.regexp_replace(found, "[^0-9]", "")
+    user, domain = F.regexp_replace(F.substring_index(found, "@", 1), "[0-9._%+-]+$", ""), F.substring_index(found, "@", -1)
+    shared = {
+        "email": F.filter(F.array(F.concat(user, F.lit("@")), F.concat(F.lit("@"), domain)), lambda e: e != "@"),
+        "ip": F.array(F.regexp_replace(found, "[0-9]+$", "")),
+        "card": F.array(F.concat(F.lit("card "), F.substring(digits, 1, 6))),
+        "phone": F.array(F.concat(F.lit("+"), F.substring(digits, F.lit(1), F.length(digits) - 4))),
+    }
+    return F.concat(F.array(found), *(F.when(span["kind"] == KINDS.index(kind), own).otherwise(F.array().cast("array<string>")) for kind, own in shared.items()))
+
+
+def disclosing_terms(docs: DataFrame, doubt: float = DOUBT, disclosed: float = DISCLOSED, prior: int = PRIOR) -> DataFrame:
+    """(term, entity, n_et, m, n_e, n_t, doubt, information) of the terms that reveal an entity. docs: as found_rows gives them.
+
+    What is gathered follows mentions, not documents times terms. Pairs that too few texts hold for any n_t to pass go before terms are counted."""
+    total, work = docs.count(), Work(docs.sparkSession)
+    # the few texts that hold an identifier are stored with their spans, so patterns run once for both counts
+    texts = work.store(docs.where(F.size("base") > 0).select("_op7_h", "text", "base"), "mentions")
+    own = F.array_distinct(F.flatten(F.transform("base", entities)))
+    held = texts.select(F.explode(own).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
+    near = F.flatten(F.transform("base", lambda s: F.flatten(F.transform(context_terms(F.col("text"), s), lambda t: F.transform(entities(s), lambda e: F.struct(e.alias("entity"), t.alias("term")))))))
+    pairs = texts.select("_op7_h", F.explode(F.array_distinct(near)).alias("x")).groupBy("_op7_h", "x.entity", "x.term").agg(F.count("*").alias("rows"))
+    pairs = pairs.groupBy("entity", "term").agg(F.sum("rows").alias("n_et"), F.count("*").alias("m")).where(-F.log2(F.col("m") / (F.col("m") + prior)) <= doubt)
+    pairs = pairs.join(held, "entity").checkpoint()
+    work.drop(texts)
     terms = pairs.select("term").distinct().checkpoint()
     n = terms.count()
     spread = docs.select(F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
-    counts = join_small(spread, terms, ["term"], "left_semi", n).groupBy("term").agg(F.count("*").alias("n_t"))
-    scored = pairs.join(counts, "term").withColumn("pmi", F.log2(F.col("n_et") * float(total) / (F.col("n_e").cast("double") * F.col("n_t")))).withColumn("information", F.log2(total / F.col("n_e").cast("double")))
-    return scored.where((F.col("information") > 0) & (F.col("pmi") >= disclosed * F.col("information")))
+    # beyond the broadcast bound words are counted first: each task sends a word once, so a frequent one is no hot key
+    wanted = spread.join(F.broadcast(terms), "term", "left_semi") if n <= BROADCAST_ROWS else spread
+    counts = wanted.groupBy("term").agg(F.count("*").alias("n_t"))
+    left = -F.log2(F.col("n_et") * F.col("m") / (F.col("n_t") * (F.col("m") + prior)))
+    scored = pairs.join(counts, "term").withColumn("doubt", left).withColumn("information", F.log2(total / F.col("n_e").cast("double")))
+    return scored.where((F.col("doubt") <= doubt) & (F.col("doubt") <= (1 - disclosed) * F.col("information")))
 
 
-def find(docs: DataFrame, support: int = SUPPORT, disclosed: float = DISCLOSED) -> DataFrame:
+def find(docs: DataFrame, doubt: float = DOUBT, disclosed: float = DISCLOSED, prior: int = PRIOR) -> DataFrame:
     """docs with base and spans (base and the terms that disclose), both array<struct<start, kind, end, found>> by start and kind."""
     shared_dir(docs.sparkSession)
     rows = found_rows(docs)
-    terms = disclosing_terms(rows, support, disclosed).select("term").distinct().checkpoint()
+    terms = disclosing_terms(rows, doubt, disclosed, prior).select("term").distinct().checkpoint()
     n = terms.count()
     if not n:
         return rows.drop("_op7_h").withColumn("spans", F.col("base"))
     # documents are joined by a hash of their text; a chance hit only adds terms that the text may hold
-    holders = join_small(rows.select("_op7_h", F.explode(F.array_distinct(words(F.col("text")))).alias("term")), terms, ["term"], "inner", n).groupBy("_op7_h").agg(F.array_sort(F.collect_set("term")).alias("_op7_terms")).checkpoint()
-    rows = join_small(rows, holders, ["_op7_h"], "left", holders.count()).drop("_op7_h")
+    spread = rows.select("_op7_h", F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
+    holders = join_small(spread, terms, ["term"], "inner", n, salt=F.pmod("_op7_h", F.lit(32)).cast("int")).groupBy("_op7_h").agg(F.array_sort(F.collect_set("term")).alias("_op7_terms")).checkpoint()
+    rows = join_small(rows, holders, ["_op7_h"], "left", holders.count(), salt=F.pmod(F.monotonically_increasing_id(), F.lit(32)).cast("int")).drop("_op7_h")
     pattern = F.concat(F.lit(f"(?<!{WORD})(?:"), F.array_join("_op7_terms", "|"), F.lit(f")(?!{WORD})"))
     more = F.filter(matches(ascii_lower(F.col("text")), pattern, "term"), lambda t: ~F.exists("base", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
     return rows.withColumn("_op7_more", F.when(F.col("_op7_terms").isNotNull(), more).otherwise(F.array().cast(NONE))).withColumn("spans", F.array_sort(F.concat("base", "_op7_more"))).drop("_op7_terms", "_op7_more")
@@ -188,24 +214,27 @@ WITH d AS (
     SELECT row_number() OVER () AS row_id, doc_id, coalesce(text, '') AS text, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents
 ), b AS ({" UNION ALL ".join(map(_base_sql, PATTERNS))}
 ), c AS (
-    SELECT b.row_id, d.text, translate(found, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS entity, start,
+    SELECT b.row_id, d.text, unnest([e] || CASE kind
+               WHEN 0 THEN [u || '@' FOR u IN [regexp_replace(split_part(e, '@', 1), '[0-9._%+-]+$', '')] IF u <> ''] || ['@' || split_part(e, '@', 2)]
+               WHEN 1 THEN [regexp_replace(e, '[0-9]+$', '')] WHEN 2 THEN ['card ' || substr(n, 1, 6)] ELSE ['+' || substr(n, 1, length(n) - 4)] END) AS entity, start,
            substr(d.low, CAST(greatest(start + 1 - {CONTEXT}, 1) AS INT), CAST(least(start, {CONTEXT}) AS INT)) AS l, substr(d.low, CAST(stop + 1 AS INT), {CONTEXT}) AS r
-    FROM b JOIN d ON b.row_id = d.row_id
+    FROM (SELECT *, translate(found, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS e, regexp_replace(found, '[^0-9]', '', 'g') AS n FROM b) AS b JOIN d ON b.row_id = d.row_id
 ), near AS (
     SELECT DISTINCT row_id, text, entity, unnest(list_concat({_SQL_WORDS.format("CASE WHEN start > " + str(CONTEXT) + " THEN regexp_replace(l, '^" + _SQL_WORD + "+', '') ELSE l END")},
         {_SQL_WORDS.format("CASE WHEN length(r) = " + str(CONTEXT) + " THEN regexp_replace(r, '" + _SQL_WORD + "+$', '') ELSE r END")})) AS term FROM c
 ), e AS (
-    SELECT entity, count(DISTINCT row_id) AS n_e FROM c GROUP BY entity HAVING count(DISTINCT text) >= {SUPPORT}
+    SELECT entity, count(DISTINCT row_id) AS n_e FROM c GROUP BY entity
 ), p AS (
-    SELECT near.entity, term, count(*) AS n_et, any_value(n_e) AS n_e FROM near JOIN e ON near.entity = e.entity
-    WHERE length(term) >= {SHORTEST} AND regexp_matches(term, '[^0-9]') GROUP BY near.entity, term HAVING count(DISTINCT text) >= {SUPPORT}
+    SELECT near.entity, term, count(*) AS n_et, count(DISTINCT text) AS m, any_value(n_e) AS n_e FROM near JOIN e ON near.entity = e.entity
+    WHERE length(term) >= {SHORTEST} AND regexp_matches(term, '[^0-9]') GROUP BY near.entity, term HAVING -log2(m / (m + {PRIOR})) <= {DOUBT}
 ), w AS (
     SELECT DISTINCT row_id, unnest({_SQL_WORDS.format("text")}) AS term FROM d
 ), t AS (
     SELECT term, count(*) AS n_t FROM w WHERE term IN (SELECT term FROM p) GROUP BY term
 ), flagged AS (
-    SELECT DISTINCT term FROM p JOIN t USING (term), (SELECT CAST(count(*) AS DOUBLE) AS n FROM d)
-    WHERE log2(n / n_e) > 0 AND log2(n_et * n / (CAST(n_e AS DOUBLE) * n_t)) >= {DISCLOSED} * log2(n / n_e)
+    SELECT DISTINCT term FROM (SELECT term, -log2(CAST(n_et * m AS DOUBLE) / (n_t * (m + {PRIOR}))) AS doubt, log2(n / CAST(n_e AS DOUBLE)) AS information
+        FROM p JOIN t USING (term), (SELECT CAST(count(*) AS DOUBLE) AS n FROM d))
+    WHERE doubt <= {DOUBT} AND doubt <= {1 - DISCLOSED} * information
 ), own AS (
     SELECT d.row_id, unnest({_SQL_WORDS.format("text")}) AS found, unnest(regexp_split_to_array(low, '{_SQL_WORD}+')[1 : len({_SQL_WORDS.format("text")})]) AS gap, unnest(range(len({_SQL_WORDS.format("text")}))) AS i
     FROM d WHERE row_id IN (SELECT row_id FROM w WHERE term IN (SELECT term FROM flagged))
