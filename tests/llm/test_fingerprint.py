@@ -121,3 +121,13 @@ def test_query_has_the_classes(spark):
     classes = dict(x[:2] for x in got)
     assert all(classes[str(100 + i)] == str(100 + i - i % 3) for i in range(30)) and classes["10"] == "10"
     assert f.linked_next(nothing(spark)).count() == 0
+
+
+def test_all_pairs_as_one_by_one():
+    """The bound before likeness loses no pair: copies, edits, cut texts, shared passages, empty and short ones."""
+    texts = [*(prose(s, 2_500) for s in range(6)), *(prose(s, 2_500)[40 * k : 2_500 - 90 * k] for s in range(3) for k in (1, 2, 3)), *(prose(s, 1_500) + prose(90, 1_000) for s in range(6)), "", "a", "ab", STORY, STORY + "!"]
+    prints = [f.chunks_of(x) for x in f.fingerprints(texts)]
+    meets = np.triu(np.ones((len(texts), len(texts)), bool), 1)
+    for least in (0.3, 0.6, 0.8, 1.0):
+        want = np.array([[i < j and f.likeness(x, y) >= least for j, y in enumerate(prints)] for i, x in enumerate(prints)])
+        assert (f.Prints(least).matrix(prints, meets) == want).all()

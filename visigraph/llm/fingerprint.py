@@ -55,6 +55,8 @@ DIGITS[:, 0] = 0
 EVEN = np.arange(3, STEPS, 20)
 EARLY = np.union1d(np.arange(0, 48, 2), EVEN)
 HEX = np.frombuffer(b"0123456789abcdef", np.uint8)
+#: Marks that are looked at together when many fingerprints are compared.
+COLUMNS = 4_096
 #: Chunks that walk together.
 LOCKSTEP = 8_192
 U = np.uint32
@@ -189,6 +191,20 @@ class Prints:
         return likeness(head, own) >= self.least
 
     def matrix(self, prints: list[dict], meets: np.ndarray) -> np.ndarray:
+        """Which pairs are near. No more samples agree than chunks of equal marks have in common, so most pairs that share a passage only
+        are settled by matrix products; likeness decides on the rest."""
+        held = Counter(mark for x in prints for mark in x)
+        column = {mark: k for k, mark in enumerate(m for m, n in held.items() if n > 1)}
+        rows, columns, sizes = (np.array(x, np.int64) for x in ([i for i, x in enumerate(prints) for m in x if m in column], [column[m] for x in prints for m in x if m in column], [len(d) for x in prints for m, d in x.items() if m in column]))
+        both = np.zeros(meets.shape, np.float32)
+        for low in range(0, len(column), COLUMNS):
+            at = (columns >= low) & (columns < low + COLUMNS)
+            size = np.zeros((len(prints), min(COLUMNS, len(column) - low)), np.float32)
+            size[rows[at], columns[at] - low] = sizes[at]
+            both += size @ (size > 0).astype(np.float32).T
+        both = np.minimum(both, both.T)
+        whole = np.array([sum(map(len, x.values())) for x in prints], np.float32)
+        meets = meets & (both >= self.least * (whole[:, None] + whole - both) * (1 - 1e-5))
         out = np.zeros_like(meets)
         for i, j in zip(*np.nonzero(meets), strict=True):
             out[i, j] = self.near(prints[i], prints[j])
