@@ -57,13 +57,13 @@ class Work:
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, {}
 
-    def store(self, df: DataFrame, name: str, partitions: int | None = None) -> DataFrame:
+    def store(self, df: DataFrame, name: str, partitions: int | None = None, codec: str = "snappy") -> DataFrame:
         """df, written and read again. Spark drops its shuffle files as soon as it is written."""
         path, cleanup = scratch(self.spark, name), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
         before = self.spark.conf.get(cleanup, "false")
         self.spark.conf.set(cleanup, "true")
         try:
-            (df.select("*") if partitions is None else df.coalesce(partitions)).write.parquet(path)
+            (df.select("*") if partitions is None else df.coalesce(partitions)).write.parquet(path, compression=codec)
         finally:
             self.spark.conf.set(cleanup, before)
         out = self.spark.read.schema(df.schema).parquet(path)

@@ -43,6 +43,8 @@ SEED = 20_240_101
 BAND = 8
 FEATURES = 8
 LEAST = 0.8
+#: Fingerprints are digits of four bits, which only an entropy coder stores in less than a byte.
+CODEC = "zstd"
 
 _random = np.random.default_rng(SEED)
 STEPS = 2 * LONGEST + 128
@@ -226,7 +228,7 @@ def class_ids(rows: DataFrame, least: float, work: Work) -> DataFrame:
     are linked have the class of the smallest doc_id, and `several` says whether a class has more than one row. Equal fingerprints are compared
     once. What the job stores on its way goes."""
     held = set(work.paths)
-    prints = work.store(rows.groupBy("fingerprint").agg(F.min("row").alias("id"), F.min("doc_id").alias("doc_id"), F.count("*").alias("n")), "named")
+    prints = work.store(rows.groupBy("fingerprint").agg(F.min("row").alias("id"), F.min("doc_id").alias("doc_id"), F.count("*").alias("n")), "named", codec=CODEC)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -235,7 +237,7 @@ def class_ids(rows: DataFrame, least: float, work: Work) -> DataFrame:
             n = [len(x) for x in own]
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), n)), pa.array([k for x in own for k in x], pa.int64()), pa.array(np.repeat([len(x) for x in prints], n).astype(np.int32))], names=["id", "key", "weight"])
 
-    keys = work.store(prints.where("fingerprint <> ''").select("id", "fingerprint").mapInArrow(write, "id long, key long, weight int"), "keys")
+    keys = work.store(prints.where("fingerprint <> ''").select("id", "fingerprint").mapInArrow(write, "id long, key long, weight int"), "keys", codec=CODEC)
     bag = prints.select("id", F.col("fingerprint").cast("binary").alias("bag"))
     roots = dedup.classes(keys, lambda active: join_small(bag, active, ["id"], "left_semi", active.count(), limit=dedup.BROADCAST_IDS), Prints(least), work)
     rooted = prints.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
@@ -257,7 +259,7 @@ def near_classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """(doc_id, class_id): documents whose fingerprints are linked, by a likeness of `least` or more, have the class of the smallest
     doc_id. Equal fingerprints are compared once; texts that share no key are not. A class of null doc_ids only is null."""
     work = Work(docs.sparkSession)
-    rows = work.store(fingerprint_rows(docs).withColumn("row", F.monotonically_increasing_id()), "prints")
+    rows = work.store(fingerprint_rows(docs).withColumn("row", F.monotonically_increasing_id()), "prints", codec=CODEC)
     return with_classes(rows, least, work).select("doc_id", "class_id")
 
 
@@ -339,7 +341,7 @@ def compare_next(docs: DataFrame) -> DataFrame:
 def linked_next(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """compare_next with the class_id of near_classes; texts are walked over once, and their shuffle is gone before classes are made."""
     work = Work(docs.sparkSession)
-    rows = work.store(compare_next(docs).withColumn("row", F.monotonically_increasing_id()), "compared")
+    rows = work.store(compare_next(docs).withColumn("row", F.monotonically_increasing_id()), "compared", codec=CODEC)
     return with_classes(rows, least, work)
 
 
