@@ -5,6 +5,7 @@ import numpy as np
 
 import pytest
 
+from visigraph.llm import dedup
 from visigraph.llm import fingerprint as f
 
 from .edge import LONG, STORY, documents, nothing
@@ -131,3 +132,25 @@ def test_all_pairs_as_one_by_one():
     for least in (0.3, 0.6, 0.8, 1.0):
         want = np.array([[i < j and f.likeness(x, y) >= least for j, y in enumerate(prints)] for i, x in enumerate(prints)])
         assert (f.Prints(least).matrix(prints, meets) == want).all()
+
+
+def test_a_passage_that_many_share_loses_no_link(spark, monkeypatch):
+    """Keys above a block are split by rare chunks: the classes are those of comparing all pairs, and no key stays above a block for the passage alone."""
+    passage = prose(99, 1_200)
+    texts = {i: prose(i // 2, 1_500) + passage + (" and more" if i % 2 else "") for i in range(80)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    monkeypatch.setattr(dedup, "BLOCK_ROWS", 6)
+    seen = []
+    finer = dedup.finer
+
+    def watched(classed, *rest):  # noqa: ANN001, ANN002, ANN202
+        out = finer(classed, *rest)
+        seen.append([max(r["count"] for r in x.groupBy("key").count().collect()) for x in (classed, out)])
+        return out
+
+    monkeypatch.setattr(dedup, "finer", watched)
+    got = {r.doc_id: r.class_id for r in f.near_classes(docs).collect()}
+    prints = dict(zip(texts, map(f.chunks_of, f.fingerprints([*texts.values()])), strict=True))
+    root = {i: min(j for j in texts if j == i or f.likeness(prints[i], prints[j]) >= f.LEAST) for i in texts}
+    assert got == root == {i: i - i % 2 for i in texts}
+    assert seen and seen[0][0] > 6 and seen[0][1] < seen[0][0] / 2

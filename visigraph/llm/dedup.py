@@ -22,7 +22,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import BATCH_ROWS, WORD_BYTES, Work, join_small, mixed, shared_dir, small_batches, table, words_of
@@ -226,7 +226,10 @@ def bags_of(wanted: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 class Multisets:
-    """How packed multisets are compared. Other kinds of data have the same three methods."""
+    """How packed multisets are compared. Other kinds of data have the same three methods; `parts`, where they have it, gives the (token, size)
+    of what two bags can share, for `finer`."""
+
+    parts = None
 
     def __init__(self, least: float = LEAST):
         self.least = least
@@ -317,11 +320,43 @@ def forest(root: np.ndarray, linked: np.ndarray) -> tuple[pa.Array, pa.Array]:
     return pa.array(roots[more]), pa.array(roots[top[more]])
 
 
+def finer(classed: DataFrame, bag: DataFrame, kind: Multisets, work: Work) -> DataFrame:
+    """classed(key, id, weight, root), with each key of several classes and more than a block of members split into keys of members that
+    share a rare token too, so that a passage that many texts share makes no large group.
+
+    No near pair is lost: what one bag has and the other lacks is at most 1 - least of its size. So with tokens in one order for all, the rarest
+    first, the first token that both share has no more than that before it in either bag, and each bag goes to the keys of such tokens."""
+    several = F.min("root") < F.max("root")
+    wide = work.store(classed.groupBy("key").agg(F.count("*").alias("n"), several.alias("several")).where((F.col("n") > BLOCK_ROWS) & F.col("several")).select("key"), "wide")
+    found = wide.count()
+    if not found:
+        return classed
+    inside = work.store(join_small(classed, wide, ["key"], "left_semi", found), "inside")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [kind.parts(kind.load(x.as_py())) for x in batch.column(1)]
+            n = [len(x) for x in own]
+            flat = np.array([x for parts in own for x in parts], np.int64).reshape(-1, 2)
+            whole = np.repeat(np.array([sum(size for _, size in parts) for parts in own], np.int64), n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), n)), pa.array(flat[:, 0]), pa.array(flat[:, 1]), pa.array(whole)], names=["id", "token", "size", "whole"])
+
+    tokens = work.store(inside.select("id").distinct().join(bag, "id").select("id", "bag").mapInArrow(write, "id long, token long, size long, whole long"), "tokens")
+    held = work.store(tokens.groupBy("token").agg(F.count("*").alias("n")), "held")
+    ranked = join_small(tokens, held, ["token"], "inner", held.count(), salt=F.pmod(F.xxhash64("id"), F.lit(32)).cast("int"))
+    before = F.sum("size").over(Window.partitionBy("id").orderBy("n", "token").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")
+    first = ranked.withColumn("before", before).where(F.col("before") <= (1 - kind.least) * F.col("whole") + 1e-6)
+    split = work.store(inside.join(first.select("id", "token"), "id").withColumn("key", F.xxhash64("key", "token")).drop("token"), "finer")
+    return join_small(classed, wide, ["key"], "left_anti", found).unionByName(split)
+
+
 def rest_links(members: DataFrame, roots: DataFrame, bag: DataFrame, kind: Multisets, work: Work) -> DataFrame:
     """The classes (a, b) that the links among all pairs of members(key, id, weight) join that share a key and differ in their root.
 
     The members of a key's largest class meet blocks of the others only, and the others meet block by block."""
-    classed = members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    classed = members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")).select("key", "id", "weight", "root")
+    if kind.parts:
+        classed = finer(classed, bag, kind, work)
     by = classed.groupBy("key", "root").agg(F.count("*").alias("m"), F.sum("weight").alias("w")).groupBy("key").agg(F.max(F.struct("m", "w", "root")).alias("x"), F.sum("m").alias("n"), F.sum("w").alias("w")).where("x.m < n")
     blocks = lambda rows, weight: F.ceil(F.greatest(rows / BLOCK_ROWS, weight * (WIDTH / BLOCK_BYTES))).cast("int")
     split = work.store(by.select("key", F.col("x.root").alias("top"), blocks(F.col("x.m"), F.col("x.w")).alias("kd"), blocks(F.col("n") - F.col("x.m"), F.col("w") - F.col("x.w")).alias("ko")), "split")

@@ -189,6 +189,10 @@ class Prints:
     def load(data: bytes) -> dict:
         return chunks_of(data.decode())
 
+    @staticmethod
+    def parts(x: dict) -> list[tuple[int, int]]:
+        return [(int(mark, 16) << 32 | n, len(d)) for (mark, n), d in x.items()]
+
     def near(self, head: dict, own: dict) -> bool:
         return likeness(head, own) >= self.least
 
