@@ -4,8 +4,9 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from visigraph.functions import graph
 from visigraph.functions.text import content_hash, normalize_content, normalize_domain, split_list
-from visigraph.operators import backlinks, competitors, links, suggestions, upserts
+from visigraph.operators import backlinks, clusters, competitors, links, suggestions, upserts
 from visigraph.plans.scratch import scratch
 from visigraph.sources import html, reports
 from visigraph.streaming.pages import stream_upsert_pages
@@ -209,38 +210,52 @@ def test_competitors(spark):
     ok, bad = competitors.register_competitors(rows, spark.createDataFrame([(1, "c.com")], "project_id int, domain string"))
     assert sorted(map(tuple, ok.collect())) == [(1, "a.com", "a.com"), (1, "b.com", "B")] and {r.seq: r.reason for r in bad.collect()} == {2: "duplicate", 3: "blank", 5: "duplicate"}
     scratch(spark, "x")
-    items = spark.createDataFrame([(k, i, "organic", d) for k, ds in {1: "abcd", 2: "abce", 3: "abef", 9: "xyz"}.items() for i, d in enumerate(ds)], "keyword_id int, pos int, item_type string, domain string")
-    assert {r.keyword_id: r.cluster for r in competitors.serp_overlap_clusters(items, 0.5).collect()} == {1: 1, 2: 1, 3: 1, 9: 9}
+    items = spark.createDataFrame([(k, i, "organic", d) for k, ds in {1: "abcd", 2: "abce", 3: "abef", 9: "xyz"}.items() for i, d in enumerate(ds)], "keyword_id int, pos int, item_type string, url string")
+    assert {r.keyword_id: (r.cluster, r.n_keywords, r.shared_urls) for r in clusters.serp_overlap_clusters(items, 0.5).collect()} == {1: (1, 3, ["a", "b", "c"]), 2: (1, 3, ["a", "b", "c", "e"]), 3: (1, 3, ["a", "b", "e"]), 9: (9, 1, [])}
 
 
 def brute_overlaps(sets, least):
     return {(a, b): len(x & y) for a, x in sets.items() for b, y in sets.items() if a < b and x & y and len(x & y) / len(x | y) >= least}
 
 
-def test_overlaps_of_results_on_many_pages(spark, monkeypatch):
-    """Every result is on more than 200 pages."""
-    import random
-
+@pytest.mark.parametrize(("block", "pages"), [(1_000, 12), (5, 12), (5, 60)])
+def test_overlaps_of_results_on_many_pages(spark, monkeypatch, block, pages):
+    """Results that many keywords have, and keys of more keywords than are compared directly."""
     scratch(spark, "x")
-    r = random.Random(5)
-    sets = {k: {f"d{r.randrange(12)}.example" for _ in range(r.choice([1, 1, 2, 3, 4, 6, 9]))} for k in range(1_000)}
-    assert min(sum(f"d{i}.example" in x for x in sets.values()) for i in range(12)) > 200
-    items = spark.createDataFrame([(k, i, "organic", d) for k, ds in sets.items() for i, d in enumerate(ds)] + [(5_000, 1, "paid", "d1.example")], "keyword_id int, pos int, item_type string, domain string")
-    monkeypatch.setattr(competitors, "BLOCK", 7)
-    for least in (0.15, 0.4, 0.7):
-        want, root = brute_overlaps(sets, least), {k: k for k in [*sets, 5_000]}
-        got = [(row.a, row.b, row.shared) for row in competitors.serp_overlap(items, least).collect()]
+    r = random.Random(pages)
+    sets = {k: {f"d{r.randrange(pages) if r.random() < 0.8 else r.randrange(4)}.example/p" for _ in range(r.choice([1, 1, 2, 3, 4, 6, 9]))} for k in range(600)}
+    items = spark.createDataFrame([(k, i, "organic", d) for k, ds in sets.items() for i, d in enumerate(ds)] + [(5_000, 1, "paid", "d1.example"), (5_001, 1, "organic", None)], "keyword_id int, pos int, item_type string, url string")
+    monkeypatch.setattr(clusters, "BLOCK", block)
+    for least in (0.4, 0.7):
+        want, root = brute_overlaps(sets, least), {k: k for k in [*sets, 5_000, 5_001]}
+        got = [(row.a, row.b, row.shared) for row in clusters.serp_overlap(items, least).collect()]
         assert sorted(got) == sorted((a, b, n) for (a, b), n in want.items())
 
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in want:
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+        mates = {}
+        for k in root:
+            mates.setdefault(find(k), []).append(k)
+        shared = {k: sorted(u for u in sets.get(k, ()) if sum(u in sets.get(m, ()) for m in mates[find(k)]) > 1) for k in root}
+        assert {row.keyword_id: (row.cluster, row.n_keywords, row.shared_urls) for row in clusters.serp_overlap_clusters(items, least).collect()} == {k: (find(k), len(mates[find(k)]), shared[k]) for k in root}
+
 
-    for a, b in want:
-        x, y = find(a), find(b)
-        root[max(x, y)] = min(x, y)
-    assert {row.keyword_id: row.cluster for row in competitors.serp_overlap_clusters(items, 0.7).collect()} == {k: find(k) for k in root}
+def test_result_urls(spark):
+    rows = spark.createDataFrame([("https://WWW.A.example/B/?q=1#x",), ("A.example/B//",), (" http://a.example ",), ("#top",), (None,)], "url string")
+    assert [r[0] for r in rows.select(clusters.result_url(F.col("url"))).collect()] == ["a.example/B/?q=1", "a.example/B", "a.example", "", None]
+
+
+def test_components(spark):
+    scratch(spark, "x")
+    links = [(i, i + 1) for i in range(100, 300)] + [(5, 9), (9, 5), (7, 7), (2**40, 9)] + [(1000, 1000 + i) for i in range(1, 400)]
+    got = {r.id: r.root for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {**{i: 100 for i in range(101, 301)}, 9: 5, 2**40: 5, **{1000 + i: 1000 for i in range(1, 400)}}
 
 
 def test_posts(spark):

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.frames import latest_by
-from ..functions.text import bare_domain, normalize_domain, stripped, to_int
+from ..functions.text import normalize_domain, stripped, to_int
 
 
 def register_competitors(requests: DataFrame, existing: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -68,72 +68,3 @@ def keyword_gap(ranks: DataFrame, margin: int = 10) -> DataFrame:
     by = ranks.groupBy("project_id", "keyword").agg(F.min(F.when(own, F.col("position"))).alias("client"), F.min(F.when(own, F.col("prior_position"))).alias("before"), F.min(F.when(~own, F.col("position"))).alias("best"))
     kind = F.when(F.col("client").isNull() & F.col("before").isNotNull(), "LOST").when(F.col("client").isNull(), "UNTAPPED").when(F.col("client") - F.col("before") >= margin, "LOST").when(F.col("client") - F.col("best") >= margin, "WEAK").when(F.col("best").isNull() | (F.col("client") < F.col("best")), "STRONG").otherwise("SHARED")
     return by.select("project_id", "keyword", "client", "best", kind.alias("class"))
-
-
-#: Most members of a key that one task pairs with each other; the members of a larger key meet block by block.
-BLOCK = 1_000
-
-
-def result_sets(items: DataFrame) -> DataFrame:
-    """(keyword_id, results) of keywords with organic results: their distinct results as numbers, the rarest first."""
-    urls = items.where("item_type = 'organic'").select("keyword_id", bare_domain(F.col("domain")).alias("url")).where("url IS NOT NULL").distinct()
-    numbers = urls.groupBy("url").agg(F.count("*").alias("n")).withColumn("no", F.monotonically_increasing_id()).checkpoint()
-    rows = urls.join(numbers, "url").groupBy("keyword_id").agg(F.array_sort(F.collect_list(F.struct("n", "no"))).alias("r"))
-    return rows.select("keyword_id", F.col("r.no").alias("results"))
-
-
-def meetings(keys: DataFrame, on: list[str]) -> DataFrame:
-    """Each pair a < b of rows of keys(*on, id, results) that share a key, as (*on, a, b, ra, rb). A key of more than BLOCK members is
-    dealt to pairs of blocks, so no task holds all of its pairs."""
-    sizes = keys.groupBy(*on).agg(F.count("*").alias("_n")).where("_n > 1")
-    blocks = F.ceil(F.col("_n") / BLOCK).cast("int")
-    rows = keys.join(sizes, on).withColumn("_own", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("_k", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.select(*on, F.least("_own", "_k").alias("_lo"), F.greatest("_own", "_k").alias("_hi"), "_own", "id", "results")
-    left = rows.select(*on, "_lo", "_hi", F.col("_own").alias("_oa"), F.col("id").alias("a"), F.col("results").alias("ra"))
-    right = rows.select(*on, "_lo", "_hi", F.col("_own").alias("_ob"), F.col("id").alias("b"), F.col("results").alias("rb"))
-    return left.join(right, [*on, "_lo", "_hi"]).where("a < b AND (_oa <> _ob OR _lo = _hi)").select(*on, "a", "b", "ra", "rb")
-
-
-def overlapping(sets: DataFrame, least: float) -> DataFrame:
-    """(a, b, shared, jaccard) of all pairs of sets(id, results) that are similar enough, without a limit on how common a result is.
-
-    Pairs that share two results or more meet at the first two that they share: of n results at least max(2, least n) are shared, so
-    those two are among the first n - max(2, least n) + 2 of both. Pairs that share one are similar enough by their sizes alone,
-    and meet by that result and the size of the smaller."""
-    n = F.size("results")
-    prefix = F.slice("results", 1, n - F.greatest(F.lit(2), F.ceil(n * least - 1e-9).cast("int")) + 2)
-    twos = F.flatten(F.transform(prefix, lambda x, i: F.transform(F.slice(prefix, i + 2, n), lambda y: F.struct(x.alias("u"), y.alias("v")))))
-    keys = sets.where(n > 1).select("id", "results", F.explode(twos).alias("x")).select("x.u", "x.v", "id", "results")
-    common = F.array_intersect("ra", "rb")
-    many = meetings(keys, ["u", "v"]).withColumn("_c", common).where((F.col("_c")[0] == F.col("u")) & (F.col("_c")[1] == F.col("v"))).withColumn("shared", F.size("_c").cast("long"))
-    small = sets.where(n * least <= 1 + 1e-9).select("id", "results", n.alias("n"), F.explode("results").alias("u"))
-    big = small.select("u", F.col("id").alias("_a"), F.col("n").alias("_na"), F.col("results").alias("ra"), F.explode(F.sequence(F.lit(1), "n")).alias("n")).where((F.col("_na") + F.col("n") - 1) * least <= 1 + 1e-9)
-    pairs = big.join(small.withColumnRenamed("results", "rb"), ["u", "n"]).where("_na > n OR _a < id").where(F.size(common) == 1)
-    one = pairs.select(F.least("_a", "id").alias("a"), F.greatest("_a", "id").alias("b"), "ra", "rb", F.lit(1).cast("long").alias("shared"))
-    both = many.select("a", "b", "ra", "rb", "shared").unionByName(one)
-    return both.select("a", "b", "shared", (F.col("shared") / (F.size("ra") + F.size("rb") - F.col("shared"))).alias("jaccard")).where(F.col("jaccard") >= least)
-
-
-def serp_overlap(items: DataFrame, least: float = 0.4) -> DataFrame:
-    """(a, b, shared, jaccard) of keywords whose organic results overlap."""
-    return overlapping(result_sets(items).withColumnRenamed("keyword_id", "id"), least)
-
-
-def serp_overlap_clusters(items: DataFrame, least: float = 0.4) -> DataFrame:
-    """(keyword_id, cluster): the smallest keyword that each reaches over overlaps; labels move until they stay. Keywords of equal
-    results are compared as one."""
-    sets = result_sets(items).checkpoint()
-    same = sets.groupBy("results").agg(F.min("keyword_id").alias("id"))
-    members = sets.join(same, "results").select("keyword_id", "id").checkpoint()
-    links = overlapping(same, least).select("a", "b")
-    both = links.union(links.select("b", "a")).toDF("id", "other").checkpoint()
-    labels = members.select("id").distinct().withColumn("label", F.col("id")).checkpoint()
-    while True:
-        near = both.join(labels.withColumnRenamed("id", "other"), "other").groupBy("id").agg(F.min("label").alias("_n"))
-        moved = labels.join(near, "id", "left").select("id", F.least("label", F.coalesce("_n", "label")).alias("label"))
-        jump = moved.select(F.col("id").alias("label"), F.col("label").alias("_j"))
-        after = moved.join(jump, "label", "left").select("id", F.coalesce("_j", "label").alias("label")).checkpoint()
-        if after.join(labels.withColumnRenamed("label", "_b"), "id").where("label <> _b").isEmpty():
-            found = members.join(after, "id").select("keyword_id", "label")
-            return items.select("keyword_id").distinct().join(found, "keyword_id", "left").select("keyword_id", F.coalesce("label", "keyword_id").alias("cluster"))
-        labels = after

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import content_hash, normalize_domain, split_list
-from ..operators import competitors, keywords, serp, suggestions, upserts
+from ..operators import clusters, competitors, keywords, serp, suggestions, upserts
 from ..sources import reports
 from .scratch import scratch
 from .sql import strip, using, words
@@ -355,14 +355,24 @@ def keyword_gap(s: SparkSession, d: str) -> DataFrame:
     return competitors.keyword_gap(kw(s, d).select(F.col("workspace_id").alias("project_id"), F.col("tracked_keyword_id").alias("keyword"), (i % 3 == 0).alias("is_client"), "position", F.when(i % 4 != 0, (1 + (i * 7) % 40).cast("int")).alias("prior_position")))
 
 
-@job("serp_overlap_clusters", using("serp_items", """, u AS (SELECT DISTINCT keyword_id, regexp_replace(lower(domain), '^www\\.', '') AS url FROM serp_items WHERE item_type = 'organic' AND domain IS NOT NULL),
-s AS (SELECT keyword_id, list(url ORDER BY url) AS urls FROM u GROUP BY keyword_id), g AS (SELECT urls, min(keyword_id) AS id, len(urls) AS n FROM s GROUP BY urls), x AS (SELECT id, n, unnest(urls) AS url FROM g),
+_OVERLAPS = """, u AS (SELECT DISTINCT keyword_id, regexp_replace(regexp_replace(lower(url), '^https://(www\\.)?', ''), '/+$', '') AS url FROM serp_items WHERE item_type = 'organic' AND url IS NOT NULL),
+s AS (SELECT keyword_id, list(url ORDER BY url) AS urls FROM u GROUP BY keyword_id),
+g AS (SELECT urls, min(keyword_id) AS id, len(urls) AS n FROM s GROUP BY urls),
+x AS (SELECT id, n, unnest(urls) AS url FROM g),
 p AS (SELECT a.id AS a, b.id AS b FROM x a JOIN x b ON a.url = b.url AND a.id <> b.id GROUP BY a.id, b.id HAVING count(*) >= 0.4 * (any_value(a.n) + any_value(b.n) - count(*)) - 1e-9),
-cc(id, root) USING KEY (id) AS (SELECT id, id FROM g UNION SELECT p.b, min(c.root) FROM cc c JOIN p ON c.id = p.a JOIN recurring.cc r ON r.id = p.b WHERE c.root < r.root GROUP BY p.b)
-SELECT k.keyword_id, coalesce(cc.root, k.keyword_id) AS cluster FROM (SELECT DISTINCT keyword_id FROM serp_items) k LEFT JOIN s USING (keyword_id) LEFT JOIN g USING (urls) LEFT JOIN cc ON cc.id = g.id""").replace("WITH ", "WITH RECURSIVE ", 1))
+cc(id, root) USING KEY (id) AS (SELECT id, id FROM g UNION SELECT p.b, min(c.root) FROM cc c JOIN p ON c.id = p.a JOIN recurring.cc r ON r.id = p.b WHERE c.root < r.root GROUP BY p.b),
+c AS (SELECT keyword_id, root AS cluster, urls FROM s JOIN g USING (urls) JOIN cc ON cc.id = g.id),
+o AS (SELECT cluster, url FROM (SELECT cluster, unnest(urls) AS url FROM c) GROUP BY cluster, url HAVING count(*) > 1),
+w AS (SELECT keyword_id, string_agg(url, ' ' ORDER BY url) AS shared_urls FROM (SELECT keyword_id, cluster, unnest(urls) AS url FROM c) JOIN o USING (cluster, url) GROUP BY keyword_id),
+m AS (SELECT cluster, count(*) AS n_keywords FROM c GROUP BY cluster)
+SELECT k.keyword_id, coalesce(cluster, k.keyword_id) AS cluster, coalesce(n_keywords, 1) AS n_keywords, coalesce(shared_urls, '') AS shared_urls
+FROM (SELECT DISTINCT keyword_id FROM serp_items) k LEFT JOIN c USING (keyword_id) LEFT JOIN m USING (cluster) LEFT JOIN w USING (keyword_id)"""
+
+
+@job("serp_overlap_clusters", using("serp_items", _OVERLAPS).replace("WITH ", "WITH RECURSIVE ", 1))
 def serp_overlap_clusters(s: SparkSession, d: str) -> DataFrame:
     scratch(s, "clusters")
-    return competitors.serp_overlap_clusters(view(s, d, "serp_items"), 0.4)
+    return clusters.serp_overlap_clusters(view(s, d, "serp_items"), 0.4).withColumn("shared_urls", F.array_join("shared_urls", " "))
 
 
 # Suggestions.

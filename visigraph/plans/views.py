@@ -58,7 +58,8 @@ FROM lineitem""",
     "serp_items": """
 SELECT l_orderkey AS keyword_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey, l_extendedprice, l_shipdate) AS pos,
        CASE WHEN l_returnflag = 'N' AND l_quantity > 40 THEN 'paid' WHEN l_discount > 0.09 THEN 'ai_overview' WHEN l_tax > 0.075 THEN 'featured_snippet' ELSE 'organic' END AS item_type,
-       CASE WHEN l_partkey % 3 = 0 THEN 'WWW.' ELSE '' END || 'd' || CAST(l_suppkey AS STRING) || '.example' AS domain, CAST(l_linenumber AS INT) AS rank_absolute
+       CASE WHEN l_partkey % 3 = 0 THEN 'WWW.' ELSE '' END || 'd' || CAST(l_suppkey AS STRING) || '.example' AS domain, CAST(l_linenumber AS INT) AS rank_absolute,
+       'https://' || CASE WHEN l_partkey % 3 = 0 THEN 'WWW.' ELSE '' END || 'd' || CAST(l_suppkey AS STRING) || '.example/' || CAST(l_partkey % 4 AS STRING) || CASE WHEN l_linenumber % 2 = 0 THEN '/' ELSE '' END AS url
 FROM lineitem""",
     "suggestions": """
 SELECT doc_id AS id, lang AS issue_id, text AS content,
