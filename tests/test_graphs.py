@@ -100,7 +100,7 @@ def test_frontier_and_plan(spark):
     scratch(spark, "x")
     edges = spark.createDataFrame([(1, "h", "a"), (1, "a", "b"), (1, "b", "h"), (1, "z", "y"), (2, "h", "c")], "project_id int, url_from string, url_to string")
     starts = spark.createDataFrame([(1, "h"), (2, "h")], "project_id int, url string")
-    found = links.crawl_frontier(edges, starts)
+    found = links.crawl_frontier(edges, starts, scratch(spark, "g"))
     assert {(r.project_id, r.url, r.depth) for r in found.collect()} == {(1, "h", 0), (1, "a", 1), (1, "b", 2), (2, "h", 0), (2, "c", 1)}
     sitemap = spark.createDataFrame([(1, 0, "h"), (1, 1, "s1"), (1, 2, "s2")], "project_id int, pos int, url string")
     plan = {}
@@ -110,12 +110,40 @@ def test_frontier_and_plan(spark):
 
 
 def test_frontier_of_a_long_chain(spark):
-    scratch(spark, "x")
-    edges = spark.createDataFrame([(1, f"p{i}", f"p{i + 1}") for i in range(54)], "project_id int, url_from string, url_to string")
+    edges = spark.createDataFrame([(1, f"p{i}", f"p{i + 1}") for i in range(12)], "project_id int, url_from string, url_to string")
     starts = spark.createDataFrame([(1, "p0")], "project_id int, url string")
-    assert {r.url: r.depth for r in links.crawl_frontier(edges, starts).collect()} == {f"p{i}": i for i in range(55)}
-    assert links.crawl_frontier(edges, starts, 3).count() == 4
-    assert {r.url for r in links.crawl_frontier(edges.union(spark.createDataFrame([(1, "p1", "a")], edges.schema)), starts, max_pages=3).collect()} == {"p0", "p1", "a"}
+    search = lambda rows, **more: links.crawl_frontier(rows, starts, scratch(spark, "g"), **more)
+    assert {r.url: r.depth for r in search(edges).collect()} == {f"p{i}": i for i in range(13)}
+    assert search(edges, max_depth=3).count() == 4
+    assert {r.url for r in search(edges.union(spark.createDataFrame([(1, "p1", "a")], edges.schema)), max_pages=3).collect()} == {"p0", "p1", "a"}
+
+
+def test_frontier_of_a_hub(spark):
+    """A page of 100,000 links, all of which link back and to a page of their own; more pages than a bitmap holds."""
+    n, url = 100_000, lambda c: F.concat(F.lit(c), F.col("id").cast("string"))
+    ids = spark.range(n)
+    edge = lambda a, b: ids.select(F.lit(1).alias("project_id"), a.alias("url_from"), b.alias("url_to"))
+    edges = edge(F.lit("hub"), url("p")).union(edge(url("p"), F.lit("hub"))).union(edge(url("p"), url("q")))
+    found = links.crawl_frontier(edges, spark.createDataFrame([(1, "hub")], "project_id int, url string"), scratch(spark, "g"))
+    assert {r.depth: r.n for r in found.groupBy("depth").agg(F.countDistinct("url").alias("n")).collect()} == {0: 1, 1: n, 2: n}
+    assert found.count() == 2 * n + 1
+
+
+def test_a_level_does_not_move_the_edges(spark):
+    edges = spark.createDataFrame([(1, f"p{i}", f"p{i * 7 % 500}") for i in range(500)], "project_id int, url_from string, url_to string")
+    starts = spark.createDataFrame([(1, f"p{i}") for i in range(100)], "project_id int, url string")
+    graph = links.Graph(edges, starts, scratch(spark, "g"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = graph.starts.select(F.col("id").alias("src")).join(graph.edges, "src")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        graph.close()
+    scan = plan[plan.index("FileScan") :]
+    assert "SortMergeJoin" in plan and plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in scan
+    # the exchange is on the side of the level
+    assert plan.index("Exchange") < plan.index("FileScan") and "Exchange" not in scan
 
 
 def test_sitemaps(spark):
@@ -149,11 +177,6 @@ def test_html(spark):
     assert {(r.level, r.type) for r in html.jsonld_items(rows).collect()} == {("domain", "Organization"), ("page", "Article")}
 
 
-@pytest.mark.parametrize(("href", "want"), [("#x", None), ("mailto:a@b", None), ("tel:1", None), ("javascript:x", None), ("../a?b#c", "https://s.example/a"), ("/x.PDF", None), ("https://other.example/", None), ("http://s.example/q/", "http://s.example/q"), ("", None), ("//s.example/z/", "https://s.example/z"), ("ftp://s.example/", None), ("http://[bad", None)])
-def test_resolve(href, want):
-    assert html.resolve("https://s.example/d/e", href) == want
-
-
 def test_domains(spark):
     rows = ["example.com", "http://example.com", " https://www.Example.com/a?b#c", "WWW.EXAMPLE.COM/", "  ", None, "example.com.", "a.com?x"]
     got = [r[0] for r in spark.createDataFrame([(x,) for x in rows], "v string").select(normalize_domain(F.col("v"))).collect()]
@@ -258,6 +281,20 @@ def test_components(spark):
     assert got == {**{i: 100 for i in range(101, 301)}, 9: 5, 2**40: 5, **{1000 + i: 1000 for i in range(1, 400)}}
 
 
+def test_relative_references(spark):
+    """The examples of RFC 3986, section 5.4 (normal and abnormal), as far as they lead to a page of the same host, and more."""
+    base = "http://a/b/c/d;p?q"
+    rfc = {"g": "/b/c/g", "./g": "/b/c/g", "g/": "/b/c/g", "/g": "/g", "?y": "/b/c/d;p", "g?y": "/b/c/g", "g#s": "/b/c/g", ";x": "/b/c/;x", "g;x?y#s": "/b/c/g;x", ".": "/b/c", "./": "/b/c", "..": "/b", "../": "/b", "../g": "/b/g", "../..": "", "../../g": "/g",
+           "../../../g": "/g", "../../../../g": "/g", "/./g": "/g", "/../g": "/g", "g.": "/b/c/g.", ".g": "/b/c/.g", "g..": "/b/c/g..", "..g": "/b/c/..g", "./../g": "/b/g", "./g/.": "/b/c/g", "g/./h": "/b/c/g/h", "g/../h": "/b/c/h", "g;x=1/./y": "/b/c/g;x=1/y", "g;x=1/../y": "/b/c/y", "g?y/./x": "/b/c/g", "http:g": "/b/c/g",
+           "http://a/x//": "/x", "//a/y?z": "/y", " \tg\n": "/b/c/g", "x//y": "/b/c/x/y"}
+    none = ["g:h", "//g", "", "#s", None, "mailto:a@b", "TEL:1", "javascript:x()", "https:g", "http://a.b/x", "http:///x", "p.PNG", "q.pdf?x=1", "/r/t.woff2#a"]
+    rows = spark.createDataFrame([(base, h) for h in [*rfc, *none]] + [(None, "/x"), ("http://a", "x"), ("https://A.example/p/", "q")], "url string, href string")
+    got = {(r.url, r.href): r.link for r in rows.select("url", "href", html.page_link(F.col("url"), F.col("href")).alias("link")).collect()}
+    assert {h: got[base, h] for h in rfc} == {h: f"http://a{p}" for h, p in rfc.items()}
+    assert {h: got[base, h] for h in none} == dict.fromkeys(none)
+    assert (got[None, "/x"], got["http://a", "x"], got["https://A.example/p/", "q"]) == (None, "http://a/x", "https://A.example/p/q")
+
+
 def test_posts(spark):
     pages = spark.createDataFrame([(1, 1, "https://s/a/one/"), (2, 1, "https://s/two?x"), (3, 1, "https://s/"), (4, 1, "https://s/three")], "page_id int, project_id int, url string")
     posts = spark.createDataFrame([(1, "posts", "one", 42), (1, "pages", "two", 7), (1, "posts", "two", 8), (1, "posts", "two", 9), (1, "media", "three", 1), (1, "posts", "", 5)], "project_id int, post_type string, slug string, post_id int")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from itertools import count
 
 from pyspark.sql import DataFrame
@@ -66,26 +67,67 @@ def broken_links(links: DataFrame) -> DataFrame:
     return links.where("is_broken").withColumn("_s", F.coalesce("status_code", F.lit(0))).orderBy(F.desc("_s"), "url_from", "url_to").drop("_s")
 
 
-def crawl_frontier(edges: DataFrame, starts: DataFrame, max_depth: int | None = None, max_pages: int | None = None) -> DataFrame:
-    """(project_id, url, depth) reachable from starts(project_id, url) over edges(project_id, url_from, url_to), breadth first. Each
-    level joins the last one with the edges and is checkpointed; it ends with an empty level, or at max_depth where that is given. With
-    max_pages a project ends with that many pages; of the level that goes beyond, the first by url stay."""
-    edges = edges.select("project_id", F.col("url_from").alias("url"), F.col("url_to").alias("_to")).distinct().checkpoint()
-    seen = level = starts.select("project_id", "url", F.lit(0).alias("depth")).distinct().checkpoint()
-    levels = 0
+class Graph:
+    """Edges between numbered pages, stored once in buckets by where they start, so that a level of a search moves itself to them and not them to it."""
+
+    def __init__(self, edges: DataFrame, starts: DataFrame, path: str):
+        """edges(project_id, url_from, url_to) and starts(project_id, url); path is a new folder that all executors share."""
+        spark = edges.sparkSession
+        ends = edges.select("project_id", F.explode(F.array("url_from", "url_to")).alias("url"))
+        self.pages = ends.unionByName(starts.select("project_id", "url")).distinct().withColumn("id", F.monotonically_increasing_id() + 1).checkpoint()
+        self.starts = starts.select("project_id", "url").distinct().join(self.pages, ["project_id", "url"]).select("id").checkpoint()
+        end = lambda c, name: self.pages.select("project_id", F.col("url").alias(c), F.col("id").alias(name))
+        coded = edges.join(end("url_from", "src"), ["project_id", "url_from"]).join(end("url_to", "dst"), ["project_id", "url_to"]).select("src", "dst").distinct()
+        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.table = f"graph_{uuid.uuid4().hex}"
+        coded.repartition(buckets, "src").write.bucketBy(buckets, "src").sortBy("src").option("path", path).saveAsTable(self.table)
+        self.edges = spark.table(self.table)
+
+    def following(self, level: DataFrame) -> DataFrame:
+        """(id) of the pages that links from level(id) lead to."""
+        return level.select(F.col("id").alias("src")).join(self.edges, "src").select(F.col("dst").alias("id")).distinct()
+
+    def close(self) -> None:
+        self.edges.sparkSession.sql(f"DROP TABLE {self.table}")
+
+
+def bits(ids: DataFrame) -> DataFrame:
+    """(part, bits) of ids(id): bitmaps of 32 768 ids each."""
+    return ids.groupBy(F.bitmap_bucket_number("id").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("id")).alias("bits"))
+
+
+def not_in(ids: DataFrame, seen: DataFrame) -> DataFrame:
+    """ids(id) that are in none of the bitmaps seen(part, bits)."""
+    place = F.bitmap_bit_position("id")
+    byte = F.conv(F.hex(F.substring("bits", (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    held = F.getbit(byte, (place % 8).cast("int")) == 1
+    met = ids.withColumn("part", F.bitmap_bucket_number("id")).join(seen, "part", "left")
+    return met.where(F.col("bits").isNull() | ~held).select("id")
+
+
+def crawl_frontier(edges: DataFrame, starts: DataFrame, path: str, max_depth: int | None = None, max_pages: int | None = None) -> DataFrame:
+    """(project_id, url, depth) reachable from starts(project_id, url) over edges(project_id, url_from, url_to), breadth first; path is a new folder for
+    the graph. A level joins the last one with the stored edges, and is checkpointed as numbers; what was seen is kept as bitmaps, a bit a page. It ends with
+    an empty level, or at max_depth where that is given. With max_pages a project ends with that many pages; of the level that goes beyond, the first by url stay."""
+    graph = Graph(edges, starts, path)
+    level, levels = graph.starts, []
+    seen, found = bits(level).checkpoint(), level.withColumn("depth", F.lit(0))
     for depth in count(1) if max_depth is None else range(1, max_depth + 1):
-        level = level.drop("depth").join(edges, ["project_id", "url"]).select("project_id", F.col("_to").alias("url")).distinct().join(seen, ["project_id", "url"], "left_anti").withColumn("depth", F.lit(depth))
+        new = not_in(graph.following(level), seen)
         if max_pages is not None:
-            room = seen.groupBy("project_id").agg((max_pages - F.count("*")).alias("_room")).where("_room > 0")
-            level = first_rows(level.join(room, "project_id"), ["project_id"], [F.col("url")], max_pages).where("_n <= _room").drop("_n", "_room")
-        level = level.checkpoint()
+            taken = found.join(graph.pages, "id").groupBy("project_id").agg((max_pages - F.count("*")).alias("_room")).where("_room > 0")
+            named = new.join(graph.pages, "id").join(taken, "project_id")
+            new = first_rows(named, ["project_id"], [F.col("url")], max_pages).where("_n <= _room").select("id")
+        level = new.checkpoint()
         if level.isEmpty():
             break
-        # what was seen is written anew only now and then
-        seen, levels = seen.unionByName(level), levels + 1
-        if levels % 16 == 0:
-            seen = seen.checkpoint()
-    return seen
+        seen = seen.unionByName(bits(level)).groupBy("part").agg(F.bitmap_or_agg("bits").alias("bits")).checkpoint()
+        found = found.unionByName(level.withColumn("depth", F.lit(depth)))
+        levels.append(depth)
+        if len(levels) % 32 == 0:  # keeps the plan small
+            found = found.checkpoint()
+    graph.close()
+    return found.join(graph.pages, "id").select("project_id", "url", "depth")
 
 
 def plan_crawl(homes: DataFrame, sitemap: DataFrame, found: DataFrame, max_pages: int = 100) -> DataFrame:

@@ -339,9 +339,20 @@ def extract_jsonld(s: SparkSession, d: str) -> DataFrame:
     return html.jsonld_items(html.extract_page_facts(pages)).select("page_id", "level", "type")
 
 
-@job("discover_links")
+#: A page's links in forms by turns: as they are, up from the page's folder, relative to it, by host, with dots, and four that lead to no page of the site.
+_FORMS = """CASE (page_id + n) % 9 WHEN 0 THEN href WHEN 1 THEN '..' || href WHEN 2 THEN substr(href, 2) || '?q=/x' WHEN 3 THEN ' //' || host || href || '/#top'
+ WHEN 4 THEN scheme || '://' || host || '/a/./b/../..' || href WHEN 5 THEN 'https://other.example' || href WHEN 6 THEN href || '.PDF?x' WHEN 7 THEN 'mailto:' || substr(href, 2) ELSE '#' || href END"""
+
+
+@job("discover_links", """WITH a AS (SELECT page_id, url, regexp_extract(url, '^([a-z]+):', 1) AS scheme, regexp_extract(url, '://([^/?#]*)', 1) AS host, regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS path, regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1) AS hrefs FROM pages),
+h AS (SELECT * EXCLUDE (hrefs), unnest(hrefs) AS href, unnest(range(len(hrefs))) AS n FROM a),
+f AS (SELECT *, (page_id + n) % 9 AS form, regexp_replace(path, '[^/]*$', '') AS folder FROM h WHERE href LIKE '/%'),
+t AS (SELECT page_id, url, scheme || '://' || host || regexp_replace(CASE form WHEN 1 THEN regexp_replace(folder, '[^/]*/$', '') || substr(href, 2) WHEN 2 THEN folder || substr(href, 2) ELSE href END, '/+$', '') AS link FROM f WHERE form < 5)
+SELECT DISTINCT * FROM t""")
 def discover_links(s: SparkSession, d: str) -> DataFrame:
-    return html.discover_links(html_facts(s, d))
+    facts = html_facts(s, d).select("page_id", "url", F.posexplode("hrefs").alias("n", "href")).where("href LIKE '/%'")
+    parts = facts.withColumns({"scheme": F.regexp_extract("url", "^([a-z]+):", 1), "host": F.regexp_extract("url", "://([^/?#]*)", 1)})
+    return html.discover_links(parts.select("page_id", "url", F.array(F.expr(_FORMS)).alias("hrefs")))
 
 
 # Upserts of pages.

@@ -93,9 +93,8 @@ reach(project_id, url, depth) USING KEY (project_id, url) AS (SELECT project_id,
 
 @job("crawl_frontier", f"{_REACH} SELECT project_id, url, depth FROM reach")
 def crawl_frontier(s: SparkSession, d: str) -> DataFrame:
-    scratch(s, "frontier")
     rows = edges(s, d)
-    return links.crawl_frontier(rows, starts(rows))
+    return links.crawl_frontier(rows, starts(rows), scratch(s, "frontier"))
 
 
 @job("plan_crawl_urls", f"""{_REACH}, sm AS (SELECT DISTINCT project_id, target AS url, CAST(regexp_extract(target, '([0-9]+)$', 1) AS INT) AS pos FROM e WHERE project_id % 2 = 0),
@@ -104,9 +103,8 @@ o AS (SELECT project_id, url, -1 AS pos FROM home UNION ALL SELECT * FROM r WHER
 p AS (SELECT project_id, url, min(pos) AS pos FROM o GROUP BY project_id, url), n AS (SELECT project_id, CAST(row_number() OVER (PARTITION BY project_id ORDER BY pos, url) AS INT) AS place, url FROM p) SELECT * FROM n WHERE place <= 100""")
 def plan_crawl_urls(s: SparkSession, d: str) -> DataFrame:
     """The sitemap of every other project lists its targets by the number at their end."""
-    scratch(s, "frontier")
     rows = edges(s, d)
-    found = links.crawl_frontier(rows, starts(rows))
+    found = links.crawl_frontier(rows, starts(rows), scratch(s, "frontier"))
     sitemap = rows.where("project_id % 2 = 0").select("project_id", F.col("url_to").alias("url")).distinct().withColumn("pos", F.regexp_extract("url", "([0-9]+)$", 1).cast("int"))
     return links.plan_crawl(starts(rows), sitemap, found, 100)
 
