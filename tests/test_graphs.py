@@ -2,10 +2,11 @@ import random
 from datetime import datetime
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from visigraph.functions import graph
-from visigraph.functions.text import content_hash, normalize_content, normalize_domain, split_list
+from visigraph.functions import frames, graph
+from visigraph.functions.text import casefold, content_hash, normalize_content, normalize_domain, split_list
 from visigraph.operators import backlinks, clusters, competitors, links, suggestions, upserts
 from visigraph.plans.scratch import scratch
 from visigraph.sources import html, reports
@@ -274,6 +275,57 @@ def test_result_urls(spark):
     assert [r[0] for r in rows.select(clusters.result_url(F.col("url"))).collect()] == ["a.example/B/?q=1", "a.example/B", "a.example", "", None]
 
 
+def test_ranks_of_a_large_key(spark):
+    """A key of nearly all rows is ranked in many tasks, with ties of keys, nulls and clashing columns."""
+    scratch(spark, "x")
+    rows = spark.range(20_000).select(F.when(F.col("id") % 50 == 0, F.col("id") % 3).when(F.col("id") % 51 != 0, F.lit(9)).alias("k"), F.pmod(F.xxhash64("id"), F.lit(1000)).alias("v"), F.col("id").alias("_n"))
+    got = frames.ranked(rows, ["k"], [F.desc("v"), F.col("_n")])
+    want = rows.withColumn("place", F.row_number().over(Window.partitionBy("k").orderBy(F.desc("v"), "_n")))
+    assert got.columns == want.columns and got.exceptAll(want).isEmpty() and got.count() == 20_000
+    assert frames.ranked(rows.limit(0), ["k"], [F.col("v")]).collect() == []
+
+
+def test_folding_equals_casefold_for_every_character(spark):
+    points = [i for i in range(1, 0x110000) if not 0xD800 <= i < 0xE000]
+    texts = ["".join(map(chr, points[i : i + 512])) for i in range(0, len(points), 512)] + ["Straße ŉ İ ΐ ﬃ Ǆ", "", "plain ASCII Text"]
+    rows = spark.createDataFrame([(t,) for t in texts] + [(None,)], "t string")
+    got = {r[0]: r[1] for r in rows.select("t", casefold(F.col("t"))).collect()}
+    assert all(got[t] == t.casefold() for t in texts) and got[None] is None
+
+
+def test_lifecycle_equals_replay(spark):
+    """Random logs, of all actions and more, with texts that are blank or null, equal times, and many suggestions of an issue."""
+    r = random.Random(8)
+    log = [(r.randrange(12), r.randrange(4), r.randrange(6), i, r.choice(["accept", "reject", "edit", "deploy", "deploy", "rollback", "nothing"]), r.choice([None, "", " \t ", " new text ", "x"])) for i in range(1_500)]
+    want = {}
+    for issue in range(12):
+        events = sorted((e for e in log if e[0] == issue), key=lambda e: (e[2], e[3]))
+        want |= {(issue, s): x for s, x in replayed([(e[1], e[4], e[5]) for e in events]).items()}
+    r.shuffle(log)
+    rows = spark.createDataFrame(log, "issue_id long, suggestion_id long, ts long, seq long, action string, content string")
+    got = {(x.issue_id, x.suggestion_id): {"status": x.status, "content": x.content, "applied": x.applied, "refused": x.refused} for x in suggestions.suggestion_lifecycle(rows).collect()}
+    assert got == want
+    assert suggestions.suggestion_lifecycle(rows.limit(0)).collect() == []
+
+
+def replayed(events):
+    """Statuses after the events (suggestion_id, action, content) of one issue in order, one event after the other."""
+    state = {}
+    for s, action, content in events:
+        own = state.setdefault(s, {"status": "pending", "content": None, "applied": 0, "refused": 0})
+        deployed, text = own["status"] == "deployed", (content or "").strip()
+        ok = {"deploy": own["status"] in ("accepted", "edited"), "rollback": deployed, "edit": not deployed and text != "", "accept": not deployed, "reject": not deployed}.get(action, False)
+        own["applied" if ok else "refused"] += 1
+        if ok and action == "deploy":
+            for other in state.values():
+                other["status"] = "accepted" if other["status"] == "deployed" else other["status"]
+        if ok:
+            own["status"] = {"accept": "accepted", "reject": "rejected", "edit": "edited", "deploy": "deployed", "rollback": "accepted"}[action]
+        if ok and action == "edit":
+            own["content"] = text
+    return state
+
+
 def test_components(spark):
     scratch(spark, "x")
     links = [(i, i + 1) for i in range(100, 300)] + [(5, 9), (9, 5), (7, 7), (2**40, 9)] + [(1000, 1000 + i) for i in range(1, 400)]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -71,14 +73,32 @@ def rtrim_slash(c: Column) -> Column:
 
 
 def normalize_content(c: Column) -> Column:
-    return F.regexp_replace(stripped(c), f"{WS}+", " ")
+    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), f"{WS}+", " "))
 
 
-def content_hash(c: Column) -> Column:
-    """sha-256 of stripped, single-spaced, case-folded text; folding (ß is ss) has no built-in."""
+def once(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f(c), where f has c in several places and c is costly: an expression that stands in several branches is evaluated in each."""
+    return F.element_at(F.transform(F.array(c), f), 1)
+
+
+#: What Unicode's case folding changes, by Python's own rule; most characters become one, and some (ß, ŉ, ﬃ) several.
+FOLDED = {c: c.casefold() for c in map(chr, (i for i in range(0x110000) if not 0xD800 <= i < 0xE000)) if c.casefold() != c}
+LONGER = {c: f for c, f in FOLDED.items() if len(f) > 1}
+
 
-    @F.pandas_udf("string")
-    def fold(texts):  # noqa: ANN001, ANN202
-        return texts.str.casefold()
+def casefold(c: Column) -> Column:
+    """Text with Unicode's case folding, which has no built-in: lower() keeps ß, and depends on what stands around a sigma."""
+    one = {k: f for k, f in FOLDED.items() if k not in LONGER}
 
-    return F.sha2(fold(normalize_content(c)), 256)
+    def longer(text: Column) -> Column:
+        out = text
+        for k, f in LONGER.items():
+            out = F.replace(out, F.lit(k), F.lit(f))
+        return F.when(text.rlike(f"[{''.join(LONGER)}]"), out).otherwise(text)
+
+    return once(c, lambda x: F.when(x.rlike(r"^[\x00-\x7F]*$"), F.lower(x)).otherwise(once(F.translate(x, "".join(one), "".join(one.values())), longer)))
+
+
+def content_hash(c: Column) -> Column:
+    """sha-256 of stripped, single-spaced, case-folded text."""
+    return F.sha2(casefold(normalize_content(c)), 256)

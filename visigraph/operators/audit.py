@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.frames import ranked
 from ..functions.text import blank, rtrim_slash, stripped, word_count
 
 TITLE, DESCRIPTION, H1, THIN = (30, 60), (50, 160), (10, 70), 300
@@ -342,8 +343,7 @@ def issues_by_category(pages: DataFrame, found: DataFrame) -> DataFrame:
 def issue_board(pages: DataFrame, found: DataFrame) -> DataFrame:
     """Issues of the active source in board order: severity falling as text (warnings first), then page and rule."""
     own = active_pages(pages).select("page_id", "url")
-    order = Window.partitionBy("project_id").orderBy(F.desc("severity"), F.desc("page_id"), "category", "rule")
-    return found.join(own, "page_id").withColumn("place", F.row_number().over(order))
+    return ranked(found.join(own, "page_id"), ["project_id"], [F.desc("severity"), F.desc("page_id"), F.col("category"), F.col("rule")])
 
 
 def board_totals(pages: DataFrame, found: DataFrame, suggestions: DataFrame) -> DataFrame:

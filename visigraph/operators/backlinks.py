@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.frames import first_rows, latest_by
+from ..functions.frames import first_rows, latest_by, ranked
 from ..functions.text import to_int, url_domain
 
 KEY = ["project_id", "source_url", "target_url"]
@@ -122,5 +122,5 @@ def backlink_gap(own: DataFrame, rivals: DataFrame) -> DataFrame:
     linked = rivals.withColumn("domain", url_domain(F.col("source_url"))).groupBy("project_id", "domain", "competitor").agg(F.max("domain_rank").alias("a"), F.count("*").alias("l"))
     by = linked.groupBy("project_id", "domain").agg(F.count("*").alias("rivals"), F.max("a").alias("authority"), F.sum("l").alias("links"))
     has = own.select("project_id", url_domain(F.col("source_url")).alias("domain")).distinct()
-    return by.join(has, ["project_id", "domain"], "left_anti").withColumn("place", F.row_number().over(Window.partitionBy("project_id").orderBy(F.desc("rivals"), F.desc("authority"), F.desc("links"), "domain")))
+    return ranked(by.join(has, ["project_id", "domain"], "left_anti"), ["project_id"], [F.desc("rivals"), F.desc("authority"), F.desc("links"), F.col("domain")])
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.frames import latest_by
+from ..functions.frames import latest_by, ranked
 from ..functions.text import content_hash, strip, stripped
 
 DECIDED = ("accepted", "edited", "deployed")
@@ -47,42 +47,34 @@ def demote_superseded(rows: DataFrame) -> DataFrame:
     return rows.join(newest, "issue_id", "left").withColumn("status", F.when((F.col("status") == "deployed") & (F.col("id") != F.col("_id")), "accepted").otherwise(F.col("status"))).drop("_id")
 
 
-LIFECYCLE = "issue_id long, suggestion_id long, status string, content string, applied int, refused int"
+#: A suggestion before its first event, and the status that each action leads to.
+FRESH = {"status": "pending", "content": None, "applied": 0, "refused": 0}
+LEADS_TO = {"accept": "accepted", "reject": "rejected", "edit": "edited", "deploy": "deployed", "rollback": "accepted"}
+STATE = "struct<status:string,content:string,applied:int,refused:int>"
 
 
-def replay(events: list[tuple]) -> dict:
-    """Statuses after the events (suggestion_id, action, content) of one issue in order."""
-    state: dict = {}
-    for s, action, content in events:
-        own = state.setdefault(s, {"status": "pending", "content": None, "applied": 0, "refused": 0})
-        deployed = own["status"] == "deployed"
-        text = (content or "").strip()
-        ok = {"deploy": own["status"] in ("accepted", "edited"), "rollback": deployed, "edit": not deployed and bool(text), "accept": not deployed, "reject": not deployed}.get(action, False)
-        own["applied" if ok else "refused"] += 1
-        if not ok:
-            continue
-        if action == "deploy":
-            for other in state.values():
-                if other["status"] == "deployed":
-                    other["status"] = "accepted"
-        own["status"] = {"accept": "accepted", "reject": "rejected", "edit": "edited", "deploy": "deployed", "rollback": "accepted"}[action]
-        if action == "edit":
-            own["content"] = text
-    return state
+def after(state: Column, event: Column) -> Column:
+    """The map of suggestions to their state after an event(suggestion_id, action, content). A deployed suggestion takes a rollback only; a deploy
+    takes what is accepted or edited, and sends the deployed one of the issue back."""
+    fresh = F.struct(*(F.lit(v).alias(k) for k, v in FRESH.items())).cast(STATE)
+    key, action, text = event["suggestion_id"], event["action"], stripped(event["content"])
+    own = F.coalesce(F.element_at(state, key), fresh)
+    deployed = own["status"] == "deployed"
+    ok = F.coalesce(F.when(action == "deploy", own["status"].isin("accepted", "edited")).when(action == "rollback", deployed).when(action == "edit", ~deployed & (text != "")).when(action.isin("accept", "reject"), ~deployed), F.lit(False))
+    status = F.when(ok, F.element_at(F.create_map(*(F.lit(x) for pair in LEADS_TO.items() for x in pair)), action)).otherwise(own["status"])
+    new = F.struct(status.alias("status"), F.when(ok & (action == "edit"), text).otherwise(own["content"]).alias("content"), (own["applied"] + ok.cast("int")).alias("applied"), (own["refused"] + (~ok).cast("int")).alias("refused")).cast(STATE)
+    back = lambda x: F.when(ok & (action == "deploy") & (x["status"] == "deployed"), x.withField("status", F.lit("accepted"))).otherwise(x)
+    others = F.transform_values(F.map_filter(state, lambda k, _: k != key), lambda _, x: back(x))
+    return F.map_concat(others, F.create_map(key, new))
 
 
 def suggestion_lifecycle(log: DataFrame) -> DataFrame:
-    """log(issue_id, suggestion_id, ts, seq, action, content) to the final status of each suggestion, and how many events were applied and
-    refused. Deploys change siblings, so an issue's events are replayed together; an issue has few."""
-
-    def run(rows):  # noqa: ANN001, ANN202
-        import pandas as pd
-
-        rows = rows.sort_values(["ts", "seq"], kind="stable")
-        events = [(int(s), a, c if isinstance(c, str) else None) for s, a, c in zip(rows.suggestion_id, rows.action, rows.content, strict=True)]
-        return pd.DataFrame([(rows.issue_id.iloc[0], s, x["status"], x["content"], x["applied"], x["refused"]) for s, x in replay(events).items()], columns=["issue_id", "suggestion_id", "status", "content", "applied", "refused"])
-
-    return log.select("issue_id", "suggestion_id", "ts", "seq", "action", "content").groupBy("issue_id").applyInPandas(run, LIFECYCLE)
+    """log(issue_id, suggestion_id, ts, seq, action, content) to (issue_id, suggestion_id, status, content, applied, refused): the final status of each
+    suggestion, and how many events were applied and refused. Deploys change siblings, so an issue's events are folded in order; an issue has few."""
+    events = F.array_sort(F.collect_list(F.struct("ts", "seq", F.col("suggestion_id").cast("long").alias("suggestion_id"), "action", "content")))
+    none = F.create_map().cast(f"map<bigint,{STATE}>")
+    folded = log.groupBy("issue_id").agg(events.alias("events")).select("issue_id", F.aggregate("events", none, after).alias("state"))
+    return folded.select("issue_id", F.explode("state").alias("suggestion_id", "_s")).select(F.col("issue_id").cast("long").alias("issue_id"), "suggestion_id", "_s.*")
 
 
 #: The page column that a deployed category changes.
@@ -103,7 +95,7 @@ def apply_deploys(pages: DataFrame, revisions: DataFrame) -> DataFrame:
 
 def revision_history(revisions: DataFrame) -> DataFrame:
     """Revisions by project, the newest first, with their place."""
-    return revisions.withColumn("place", F.row_number().over(Window.partitionBy("project_id").orderBy(F.desc("created_at"), F.desc("id"))))
+    return ranked(revisions, ["project_id"], [F.desc("created_at"), F.desc("id")])
 
 
 INTERNAL_TYPES = ("media", "menu-items", "blocks", "templates", "template-parts", "global-styles", "navigation", "font-families")

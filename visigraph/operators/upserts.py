@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.frames import first_rows, ranked
+
 
 def upsert_pages(stored: DataFrame, results: DataFrame) -> DataFrame:
     """The pages after crawl results(project_id, url, seq, ...): the last result of a page replaces all of its columns, and those that it
@@ -63,14 +65,17 @@ def backfill_workspaces(tracked: DataFrame, saved: DataFrame) -> tuple[DataFrame
     return workspaces, key(tracked), key(saved)
 
 
-def job_board(jobs: DataFrame, recent: int = 20) -> tuple[DataFrame, DataFrame]:
-    """(rows, badges): running jobs by newest, queued by oldest, the latest completed and failed; a badge counts running and queued."""
-    from ..functions.frames import first_rows
-
+def job_board(jobs: DataFrame, recent: int = 20) -> DataFrame:
+    """Running jobs by newest, queued by oldest, the latest completed and failed, with board and place."""
     board = F.when(F.col("status").isin("failed", "cancelled"), "failed").otherwise(F.col("status"))
     rows = jobs.withColumn("board", board)
-    queued = first_rows(rows.where("board = 'queued'"), ["project_id", "board"], [F.col("created_at"), F.col("id")], 2_147_483_647, "place")
-    running = first_rows(rows.where("board = 'running'"), ["project_id", "board"], [F.desc("created_at"), F.col("id")], 2_147_483_647, "place")
+    # a queue may be long, so it is ranked by ranges; what runs counts from the newest, what waits from the oldest
+    newest = F.when(F.col("board") == "running", F.unix_micros(F.col("created_at").cast("timestamp")))
+    live = ranked(rows.where("board IN ('queued', 'running')"), ["project_id", "board"], [F.desc(newest), F.col("created_at"), F.col("id")])
     done = first_rows(rows.where("board IN ('completed', 'failed')"), ["project_id", "board"], [F.desc("created_at"), F.col("id")], recent, "place")
-    badges = jobs.groupBy("project_id").agg(F.count_if(F.col("status").isin("running", "queued")).alias("badge"))
-    return running.unionByName(queued).unionByName(done), badges
+    return live.unionByName(done)
+
+
+def job_badges(jobs: DataFrame) -> DataFrame:
+    """(project_id, badge): how many jobs run or wait."""
+    return jobs.groupBy("project_id").agg(F.count_if(F.col("status").isin("running", "queued")).alias("badge"))

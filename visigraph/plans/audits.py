@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import word_count as words_in
 from ..operators import audit, suggestions, upserts
 from ..sources import html, reports
+from .scratch import scratch
 from .sql import strip, using, words
 from .views import pages as as_pages
 from .views import view
@@ -278,6 +279,7 @@ def issues_by_category(s: SparkSession, d: str) -> DataFrame:
 @job("issue_board", using("page_facts", f"""{_FOUND}{_ACTIVE}
 SELECT found.project_id, found.page_id, category, rule, severity, message, url, CAST(row_number() OVER (PARTITION BY found.project_id ORDER BY severity DESC, found.page_id DESC, category, rule) AS INT) AS place FROM found JOIN own ON found.page_id = own.page_id"""))
 def issue_board(s: SparkSession, d: str) -> DataFrame:
+    scratch(s, "ranks")
     p = facts(s, d)
     return audit.issue_board(p, audit.run_audit(p))
 

@@ -240,6 +240,7 @@ def toxic_links(s: SparkSession, d: str) -> DataFrame:
 g AS (SELECT project_id, domain, count(*) AS rivals, max(a) AS authority, CAST(sum(l) AS BIGINT) AS links FROM x WHERE NOT EXISTS (SELECT 1 FROM own WHERE own.project_id = x.project_id AND own.domain = x.domain) GROUP BY ALL) SELECT *, CAST(row_number() OVER (PARTITION BY project_id ORDER BY rivals DESC, authority DESC, links DESC, domain) AS INT) AS place FROM g"""))
 def backlink_gap(s: SparkSession, d: str) -> DataFrame:
     """The years stand for sites: the first for the project's own, the others for rivals."""
+    scratch(s, "ranks")
     pulls = view(s, d, "backlink_pulls")
     return backlinks.backlink_gap(pulls.where("pull_no = 1992"), pulls.where("pull_no > 1992").withColumnRenamed("pull_no", "competitor"))
 
@@ -247,12 +248,13 @@ def backlink_gap(s: SparkSession, d: str) -> DataFrame:
 @job("job_board", using("jobs", """, b AS (SELECT *, CASE WHEN status IN ('failed', 'cancelled') THEN 'failed' ELSE status END AS board FROM jobs), r AS (SELECT *, CASE WHEN board = 'queued' THEN row_number() OVER (PARTITION BY project_id, board ORDER BY created_at, id) ELSE row_number() OVER (PARTITION BY project_id, board ORDER BY created_at DESC, id) END AS place FROM b)
 SELECT project_id, board, CAST(place AS INT) AS place, id FROM r WHERE board IN ('queued', 'running') OR place <= 20"""))
 def job_board(s: SparkSession, d: str) -> DataFrame:
-    return upserts.job_board(view(s, d, "jobs"))[0].select("project_id", "board", "place", "id")
+    scratch(s, "ranks")
+    return upserts.job_board(view(s, d, "jobs")).select("project_id", "board", "place", "id")
 
 
 @job("job_badges", using("jobs", "SELECT project_id, count(*) FILTER (status IN ('running', 'queued')) AS badge FROM jobs GROUP BY project_id"))
 def job_badges(s: SparkSession, d: str) -> DataFrame:
-    return upserts.job_board(view(s, d, "jobs"))[1]
+    return upserts.job_badges(view(s, d, "jobs"))
 
 
 # Streams.

@@ -447,6 +447,7 @@ def apply_deploys_to_pages(s: SparkSession, d: str) -> DataFrame:
 
 @job("revision_history", using("suggestions", "SELECT id, id % 7 AS project_id, CAST(row_number() OVER (PARTITION BY id % 7 ORDER BY created_at_s DESC, id DESC) AS INT) AS place FROM suggestions"))
 def revision_history(s: SparkSession, d: str) -> DataFrame:
+    scratch(s, "ranks")
     return suggestions.revision_history(revisions(s, d)).select("id", "project_id", "place")
 
 
