@@ -1,6 +1,8 @@
 import random
+import time
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,3 +60,27 @@ def test_repeated_null_and_empty(spark):
     left = d.drop_contaminated(documents(spark), benchmark(spark))
     assert left.columns == documents(spark).columns
     assert {r.doc_id for r in left.collect()} == {1, 2, 3, 4, 9, 11, 12, 13, None}
+
+
+def test_repeated_words_take_no_longer():
+    """An item and a document of one word over and over: one distinct window, so as many candidates as places, not their square."""
+    text = " ".join(["x"] * 20_000)
+    windows = d.Windows([("a", text), ("b", text), ("c", "x x y")])
+    assert len(windows.rows) == 2
+    row = d.segment("s", [1], pa.array([text], pa.large_string()))
+    began = time.perf_counter()
+    (got,) = d.match({**row, "terms": row["terms"].cast(pa.binary())}, windows)
+    assert (got["n_words"], got["n_hit"], got["items"]) == (20_000, 20_000, ["a", "b"]) and time.perf_counter() - began < 10
+
+
+def test_runs_of_candidates_give_the_same(monkeypatch):
+    rng = random.Random(3)
+    texts = {i: " ".join(rng.choices("abc", k=rng.randrange(60))) for i in range(60)}
+    items = {f"i{j}": " ".join(rng.choices("abc", k=rng.choice([0, 1, 3, 9, 10, 14, 30]))) for j in range(40)}
+    windows = d.Windows(list(items.items()))
+    row = d.segment("s", list(texts), pa.array(list(texts.values()), pa.large_string()))
+    want = {k: v[:3] for k, v in d.brute_force(texts, items).items()}
+    for run in (d.CANDIDATES, 7):
+        monkeypatch.setattr(d.find, "__defaults__", (run,))
+        got = d.match({**row, "terms": row["terms"].cast(pa.binary())}, windows)
+        assert {r["doc_id"]: (r["n_words"], r["n_hit"], len(r["items"])) for r in got} == want

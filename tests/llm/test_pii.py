@@ -1,4 +1,5 @@
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -86,3 +87,13 @@ def test_empty_and_extra_columns(spark):
     assert pii.find(nothing(spark)).count() == 0
     docs = documents(spark)
     assert pii.sanitise(pii.find(docs)).select(docs.columns).count() == docs.count()
+
+
+def test_a_text_of_many_identifiers(spark):
+    """A log of 5,000 addresses in one text, twice: time follows their number, and all are found."""
+    line = lambda i: f"user{i} logged in from 10.{i // 250}.{i % 250}.7 as person{i}@example{i % 3}.org\n"
+    text = "".join(map(line, range(2_500)))
+    docs = spark.createDataFrame([(1, text), (2, text), (3, "a quiet text")], "doc_id long, text string")
+    began = time.perf_counter()
+    got = {r.doc_id: r.n for r in pii.find(docs).select("doc_id", F.size("base").alias("n")).collect()}
+    assert got == {1: 5_000, 2: 5_000, 3: 0} and time.perf_counter() - began < 120

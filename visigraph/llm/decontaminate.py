@@ -36,29 +36,34 @@ MOST_SLACK = 50
 #: Places between documents of a segment, so that no window reaches over.
 GAP = WINDOW + MOST_SLACK + 1
 
+#: Candidates that a task looks up at once.
+CANDIDATES = 1 << 20
+
 SEGMENT = pa.schema([("segment", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("n_words", pa.list_(pa.int64())), ("terms", pa.list_(pa.binary())), ("df", pa.list_(pa.int32())), ("size", pa.int64()), ("postings", pa.binary())])
 INDEX = "segment string, doc_ids array<long>, n_words array<long>, terms array<binary>, df array<int>, size long, postings binary"
 REPORT = "segment string, at int, doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>"
 
 
 class Windows:
-    """The windows of a block of items: term numbers (-1 behind the end of a short one), lengths and items."""
+    """The distinct windows of a block of items: term numbers (-1 behind the end of a short one), and the items of each, as items[starts[i] : starts[i + 1]]."""
 
     def __init__(self, items: list[tuple[str, str]], window: int = WINDOW):
         words, counts = words_of(pa.array([t for _, t in items], pa.string()), WORD_BYTES)
         coded = words.dictionary_encode()
         self.terms = coded.dictionary
         codes, ends = np.asarray(coded.indices, np.int64), np.cumsum(counts)
-        rows, self.item = [], []
-        names = sorted({i for i, _ in items})
-        number = {x: n for n, x in enumerate(names)}
+        rows, item = [np.zeros((0, window), np.int64)], [np.zeros(0, np.int64)]
+        self.names = sorted({i for i, _ in items})
+        number = {x: n for n, x in enumerate(self.names)}
         for (name, _), n, end in zip(items, counts, ends, strict=True):
             own = codes[end - n : end]
-            for at in range(max(0, n - window) + 1 if n else 0):
-                rows.append(np.pad(own[at : at + window], (0, max(0, window - n)), constant_values=-1))
-                self.item.append(number[name])
-        self.names, self.item = names, np.array(self.item, np.int64)
-        self.rows = np.array(rows, np.int64).reshape(-1, window)
+            if n:
+                # a short item has one window, with nothing behind its end
+                rows.append(np.lib.stride_tricks.sliding_window_view(np.pad(own, (0, max(0, window - n)), constant_values=-1), window))
+                item.append(np.full(len(rows[-1]), number[name]))
+        self.rows, of = np.unique(np.concatenate(rows), axis=0, return_inverse=True)
+        pairs = np.unique(np.column_stack([of.ravel(), np.concatenate(item)]), axis=0)
+        self.items, self.starts = pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(len(self.rows) + 1))
 
 
 def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[Broadcast]:
@@ -122,26 +127,29 @@ def build_index(docs: DataFrame, work: Work, segment_words: int = SEGMENT_WORDS)
     return work.store(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(build, INDEX), "postings")
 
 
-def find(rows: np.ndarray, df: np.ndarray, places: np.ndarray, size: int, slack: int) -> tuple[np.ndarray, np.ndarray]:
-    """(window, begin) of the windows' hits. rows: the segment's term numbers, -2 behind a window's end; places: of all terms, one after the other."""
+def find(rows: np.ndarray, df: np.ndarray, places: np.ndarray, size: int, slack: int, run: int = CANDIDATES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(window, begin) of the windows' hits, of `run` candidates at a time. rows: the segment's term numbers, -2 behind a window's end; places: of all
+    terms, one after the other."""
     first = np.cumsum(df) - df
     keys = np.repeat(np.arange(len(df)), df) * size + places  # rising, so that a search for a term and a place meets the term's own list
     order = np.argsort(np.where(rows >= 0, df[np.maximum(rows, 0)], np.iinfo(np.int64).max), axis=1, kind="stable")
     ranked = np.take_along_axis(rows, order, axis=1)
-    rarest = ranked[:, 0]
-    n = df[rarest]
-    window = np.repeat(np.arange(len(rows)), n)
-    begin = places[np.repeat(first[rarest] - (np.cumsum(n) - n), n) + np.arange(n.sum())].astype(np.int64) - order[window, 0]
-    for i in range(1, rows.shape[1]):
-        term = ranked[window, i]
-        wanted = begin + order[window, i]
-        # places before the first and behind the last are no places of the term
-        low = np.searchsorted(keys, term * size + np.maximum(wanted - slack, 0))
-        met = (low < len(keys)) & (wanted + slack >= 0)
-        met &= keys[np.minimum(low, len(keys) - 1)] <= term * size + np.minimum(wanted + slack, size - 1)
-        keep = met | (term < 0)
-        window, begin = window[keep], begin[keep]
-    return window, begin
+    upto = np.concatenate([[0], np.cumsum(df[ranked[:, 0]])])
+    for at in range(0, int(upto[-1]), run):
+        # candidate number at and on: which window it is of, and which place of the window's rarest term it takes
+        candidate = np.arange(at, min(at + run, int(upto[-1])))
+        window = np.searchsorted(upto, candidate, "right") - 1
+        begin = places[first[ranked[window, 0]] + candidate - upto[window]].astype(np.int64) - order[window, 0]
+        for i in range(1, rows.shape[1]):
+            term = ranked[window, i]
+            wanted = begin + order[window, i]
+            # places before the first and behind the last are no places of the term
+            low = np.searchsorted(keys, term * size + np.maximum(wanted - slack, 0))
+            met = (low < len(keys)) & (wanted + slack >= 0)
+            met &= keys[np.minimum(low, len(keys) - 1)] <= term * size + np.minimum(wanted + slack, size - 1)
+            keep = met | (term < 0)
+            window, begin = window[keep], begin[keep]
+        yield window, begin
 
 
 def match(row: dict, w: Windows, slack: int = 0) -> list[dict]:
@@ -154,14 +162,21 @@ def match(row: dict, w: Windows, slack: int = 0) -> list[dict]:
     local = np.where(w.rows >= 0, own[w.rows], -2) if len(own) else w.rows
     live = np.flatnonzero((local != -1).all(axis=1))
     if len(live) and len(df):
-        window, begin = find(local[live], df, unpack(row["postings"], int(df.sum())), row["size"], slack)
-        window, begin = live[window], np.maximum(begin, 0)
-        length = (w.rows[window] >= 0).sum(axis=1)
-        np.add.at(change, begin, 1)
-        np.add.at(change, begin + length, -1)
-        docs = np.searchsorted(starts, begin + np.minimum(slack, length - 1), "right") - 1
-        for d, i in np.unique(np.column_stack([docs, w.item[window]]), axis=0).tolist():
-            found.setdefault(d, []).append(w.names[i])
+        met = [np.zeros(0, np.int64)]
+        for window, begin in find(local[live], df, unpack(row["postings"], int(df.sum())), row["size"], slack):
+            window, begin = live[window], np.maximum(begin, 0)
+            length = (w.rows[window] >= 0).sum(axis=1)
+            np.add.at(change, begin, 1)
+            np.add.at(change, begin + length, -1)
+            docs = np.searchsorted(starts, begin + np.minimum(slack, length - 1), "right") - 1
+            met.append(np.unique(docs * len(w.rows) + window))
+        # a document and a distinct window once, then the items of the window
+        met = np.unique(np.concatenate(met))
+        docs, window = met // len(w.rows), met % len(w.rows)
+        n = w.starts[window + 1] - w.starts[window]
+        items = w.items[np.repeat(w.starts[window] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        for key in np.unique(np.repeat(docs, n) * len(w.names) + items).tolist():
+            found.setdefault(key // len(w.names), []).append(w.names[key % len(w.names)])
     hit = np.cumsum(change) > 0
     out = []
     for d, (doc, n, at) in enumerate(zip(row["doc_ids"], n_words, starts, strict=True)):

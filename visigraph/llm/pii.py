@@ -97,9 +97,8 @@ def words(text: Column) -> Column:
 
 def context_terms(text: Column, span: Column) -> Column:
     """The terms within CONTEXT characters on both sides of a span; a term that the edge may have cut is left out."""
-    text = ascii_lower(text)
-    left = F.substring(text, F.greatest(span["start"] + 1 - CONTEXT, F.lit(1)), F.least(span["start"], F.lit(CONTEXT)))
-    right = F.substring(text, span["end"] + 1, F.lit(CONTEXT))
+    left = ascii_lower(F.substring(text, F.greatest(span["start"] + 1 - CONTEXT, F.lit(1)), F.least(span["start"], F.lit(CONTEXT))))
+    right = ascii_lower(F.substring(text, span["end"] + 1, F.lit(CONTEXT)))
     left = F.when(span["start"] > CONTEXT, F.regexp_replace(left, f"^{WORD}+", "")).otherwise(left)
     right = F.when(F.length(right) == CONTEXT, F.regexp_replace(right, f"{WORD}+$", "")).otherwise(right)
     return F.filter(F.array_distinct(F.concat(words(left), words(right))), lambda w: (F.length(w) >= SHORTEST) & w.rlike("[^0-9]"))
@@ -130,13 +129,16 @@ def disclosing_terms(docs: DataFrame, doubt: float = DOUBT, disclosed: float = D
     What is gathered follows mentions, not documents times terms. Pairs that too few texts hold for any n_t to pass go before terms are counted."""
     total, work = docs.count(), Work(docs.sparkSession)
     # the few texts that hold an identifier are stored with their spans, so patterns run once for both counts
-    texts = work.store(docs.where(F.size("base") > 0).select("_op7_h", "text", "base"), "mentions")
-    own = F.array_distinct(F.flatten(F.transform("base", entities)))
-    held = texts.select(F.explode(own).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
-    near = F.flatten(F.transform("base", lambda s: F.flatten(F.transform(context_terms(F.col("text"), s), lambda t: F.transform(entities(s), lambda e: F.struct(e.alias("entity"), t.alias("term")))))))
-    pairs = texts.select("_op7_h", F.explode(F.array_distinct(near)).alias("x")).groupBy("_op7_h", "x.entity", "x.term").agg(F.count("*").alias("rows"))
+    texts = work.store(docs.where(F.size("base") > 0).select(F.monotonically_increasing_id().alias("_op7_row"), "_op7_h", "text", "base"), "mentions")
+    mentions = texts.select("_op7_row", F.explode("base").alias("s")).select("_op7_row", F.explode(entities(F.col("s"))).alias("entity")).distinct()
+    held = mentions.groupBy("entity").agg(F.count("*").alias("n_e"))
+    # a row for each mention and what is about it, so that no text with many identifiers becomes one large array; pairs repeat within a text
+    around = texts.select("_op7_row", "_op7_h", "text", F.explode("base").alias("s")).select("_op7_row", "_op7_h", F.explode(entities(F.col("s"))).alias("entity"), context_terms(F.col("text"), F.col("s")).alias("terms"))
+    near = around.select("_op7_row", "_op7_h", "entity", F.explode("terms").alias("term")).distinct()
+    pairs = near.groupBy("_op7_h", "entity", "term").agg(F.count("*").alias("rows"))
     pairs = pairs.groupBy("entity", "term").agg(F.sum("rows").alias("n_et"), F.count("*").alias("m")).where(-F.log2(F.col("m") / (F.col("m") + prior)) <= doubt)
-    pairs = pairs.join(held, "entity").checkpoint()
+    # stored, so that a join may split the rows of a common domain
+    pairs = work.store(pairs, "pairs").join(work.store(held, "held"), "entity").checkpoint()
     work.drop(texts)
     terms = pairs.select("term").distinct().checkpoint()
     n = terms.count()
