@@ -102,3 +102,9 @@ def test_suggested_queries(spark):
     for r in serp.suggested_queries(spark.createDataFrame(rows, "project_id int, services array<string>, locations array<string>, audiences array<string>")).orderBy("project_id", "pos").collect():
         got.setdefault(r.project_id, []).append(r["query"])
     assert got == {1: ["best SEO in Paris", "best SEO in Rome", "SEO for shops", "best PPC in Paris", "best PPC in Rome"], 2: ["best SEO"]}
+
+
+def test_saved_keywords_stay(spark):
+    saved = spark.createDataFrame([(1, "a", 5)], "workspace_id int, keyword string, volume int")
+    asked = spark.createDataFrame([(1, " A ", 1, 9), (1, "B", 3, 7), (1, "b ", 2, None), (2, "a", 4, 8), (1, "  ", 5, 1), (1, None, 6, 1)], "workspace_id int, keyword string, seq int, volume int")
+    assert {(r.workspace_id, r.keyword): r.volume for r in keywords.save_keywords(saved, asked).collect()} == {(1, "a"): 5, (1, "b"): None, (2, "a"): 8}

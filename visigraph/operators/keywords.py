@@ -72,6 +72,7 @@ def resolve_location(rows: DataFrame) -> DataFrame:
 
 
 EASY, AVOID = 7.5, 4.0
+#: What an intent is worth, and how it is explained.
 INTENT_VALUE = {"transactional": 1.0, "commercial": 0.85, "local": 1.0, "informational": 0.55, "navigational": 0.25}
 INTENT_NOTES = {
     "transactional": "Transactional intent — searcher is ready to act",
@@ -183,6 +184,15 @@ def dedupe_tracked(requests: DataFrame) -> DataFrame:
     return rows.groupBy("workspace_id", "keyword").agg(F.max_by("location", "seq").alias("location"), F.min("seq").alias("first_seq"))
 
 
+def save_keywords(saved: DataFrame, requests: DataFrame) -> DataFrame:
+    """The saved keywords after requests(workspace_id, keyword, seq, ...): of a keyword, stripped and in lower case, what is saved already stays, else the
+    first request holds. saved has the columns of requests but seq."""
+    columns = [c for c in saved.columns if c not in ("workspace_id", "keyword")]
+    rows = requests.withColumn("keyword", F.lower(strip(F.col("keyword")))).where("keyword <> ''")
+    first = rows.groupBy("workspace_id", "keyword").agg(F.min_by(F.struct(*columns), "seq").alias("_r")).select("workspace_id", "keyword", "_r.*")
+    return saved.unionByName(first.join(saved.select("workspace_id", "keyword"), ["workspace_id", "keyword"], "left_anti"))
+
+
 #: The words that make a keyword one of a mode.
 PREPOSITIONS = ("for", "with", "without", "near", "to", "in", "on", "at", "under", "before", "after")
 COMPARISONS = ("vs", "versus", "or", "best", "top", "alternative", "alternatives", "cheapest", "review", "reviews")

@@ -181,6 +181,17 @@ def rank_check_append(s: SparkSession, d: str) -> DataFrame:
     return keywords.rank_check(kw(s, d), ranks, F.lit("2026-07-14 12:00:00").cast("timestamp")).drop("fetched_at", "trend_points")
 
 
+@job("save_keywords", using("keywords", f""", r AS (SELECT workspace_id, lower({strip("'  K' || (keyword_id % 300) || ' '")}) AS keyword, keyword_id AS seq, difficulty FROM keywords),
+old AS (SELECT workspace_id, keyword, min(seq) AS seq FROM r WHERE seq % 3 = 0 GROUP BY ALL), new AS (SELECT workspace_id, keyword, min(seq) AS seq FROM r WHERE seq % 3 <> 0 GROUP BY ALL)
+SELECT workspace_id, keyword, r.difficulty FROM (SELECT * FROM old UNION ALL SELECT * FROM new n WHERE NOT EXISTS (SELECT 1 FROM old WHERE old.workspace_id = n.workspace_id AND old.keyword = n.keyword)) JOIN r USING (workspace_id, keyword, seq)"""))
+def save_keywords(s: SparkSession, d: str) -> DataFrame:
+    """A third of the requests comes first and is saved; the others follow."""
+    name = F.concat(F.lit("  K"), (F.col("keyword_id") % 300).cast("string"), F.lit(" "))
+    rows = view(s, d, "keywords").select("workspace_id", name.alias("keyword"), F.col("keyword_id").alias("seq"), "difficulty")
+    none = rows.drop("seq").limit(0)
+    return keywords.save_keywords(keywords.save_keywords(none, rows.where("seq % 3 = 0")), rows.where("seq % 3 <> 0"))
+
+
 @job("dedupe_tracked_keywords", using("keywords", f", r AS (SELECT workspace_id, lower({strip('keyword')}) AS keyword, keyword_id AS seq, CASE WHEN keyword_id % 2 = 0 THEN 'US' ELSE 'GB' END AS location FROM keywords) SELECT workspace_id, keyword, arg_max(location, seq) AS location, min(seq) AS first_seq FROM r GROUP BY workspace_id, keyword"))
 def dedupe_tracked_keywords(s: SparkSession, d: str) -> DataFrame:
     rows = view(s, d, "keywords").select("workspace_id", F.concat(F.lit("  "), F.upper("keyword"), F.lit("\n")).alias("keyword"), F.when(F.col("keyword_id") % 2 == 0, "US").otherwise("GB").alias("location"), F.col("keyword_id").alias("seq"))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..operators.upserts import upsert_pages
@@ -29,7 +28,3 @@ def stream_upsert_pages(spark: SparkSession, source: str, schema: StructType, ta
     query = stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return state(1 << 62)
-
-
-def with_sequence(pages: DataFrame, order: str) -> DataFrame:
-    return pages.withColumn("seq", F.col(order).cast("long"))
