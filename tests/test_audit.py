@@ -118,3 +118,9 @@ def test_time_ago(spark):
     rows = spark.createDataFrame([(59,), (60,), (3_599,), (3_600,), (86_399,), (86_400,)], "s int")
     got = [r[0] for r in rows.select(audit.time_ago(F.timestamp_seconds(F.unix_timestamp(now) - F.col("s")), now)).collect()]
     assert got == ["just now", "1m ago", "59m ago", "1h ago", "23h ago", "1d ago"]
+
+
+def test_project_provider(spark):
+    pages = spark.createDataFrame([(1, "semrush"), (1, "dataforseo"), (2, "semrush"), (3, "crawler"), (4, "crawler"), (5, None)], "project_id int, source string")
+    projects = spark.createDataFrame([(1, "semrush"), (2, "dataforseo"), (3, "semrush"), (4, "manual"), (5, None), (6, "dataforseo")], "project_id int, project_type string")
+    assert {r.project_id: r.provider for r in audit.project_provider(pages, projects).collect()} == {1: "dataforseo", 2: "semrush", 3: "semrush", 4: "dataforseo", 5: "dataforseo", 6: "dataforseo"}

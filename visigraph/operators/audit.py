@@ -312,6 +312,18 @@ def active_source(pages: DataFrame, projects: DataFrame | None = None) -> DataFr
     return projects.join(by, "project_id", "left").select("project_id", F.coalesce("active_source", own, F.lit("manual")).alias("active_source"))
 
 
+#: The providers of page audits, the preferred one first.
+PROVIDERS = ("dataforseo", "semrush")
+
+
+def project_provider(pages: DataFrame, projects: DataFrame) -> DataFrame:
+    """(project_id, provider) of projects(project_id, project_type): the preferred provider that the project has pages of, whatever its type says; without
+    such pages its type, if that is a provider, else the preferred one. Pages of a crawler don't count."""
+    has = pages.where(F.col("source").isin(*PROVIDERS)).groupBy("project_id").agg(F.min_by("source", F.array_position(F.array(*map(F.lit, PROVIDERS)), F.col("source"))).alias("_has"))
+    own = F.when(F.col("project_type").isin(*PROVIDERS), F.col("project_type"))
+    return projects.join(has, "project_id", "left").select("project_id", F.coalesce("_has", own, F.lit(PROVIDERS[0])).alias("provider"))
+
+
 def active_pages(pages: DataFrame) -> DataFrame:
     source = active_source(pages)
     return pages.join(source, "project_id").where(F.col("source") == F.col("active_source")).drop("active_source")

@@ -253,6 +253,17 @@ def current_value_display(s: SparkSession, d: str) -> DataFrame:
 _ACTIVE = ", active AS (SELECT project_id, coalesce(max(CASE WHEN source = 'dataforseo' THEN source END), max(CASE WHEN source = 'semrush' THEN source END), max(CASE WHEN source = 'crawler' THEN source END), 'manual') AS active_source FROM page_facts GROUP BY project_id), own AS (SELECT f.* FROM page_facts f JOIN active a ON f.project_id = a.project_id AND f.source = a.active_source)"
 
 
+@job("project_provider", using("page_facts", """, n AS (SELECT project_id, count(*) FILTER (source = 'dataforseo' AND project_id % 3 = 0) AS d, count(*) FILTER (source = 'semrush' AND project_id % 3 < 2) AS s FROM page_facts GROUP BY project_id)
+SELECT project_id, CASE WHEN d > 0 THEN 'dataforseo' WHEN s > 0 THEN 'semrush' WHEN project_id % 4 < 2 THEN 'semrush' ELSE 'dataforseo' END AS provider FROM n"""))
+def project_provider(s: SparkSession, d: str) -> DataFrame:
+    """Pages of either provider are taken from two thirds of the projects each; types are a provider for three projects of four."""
+    p = view(s, d, "page_facts").select("project_id", "source")
+    rest = F.col("project_id") % 3
+    kept = p.where((F.col("source") == "crawler") | ((F.col("source") == "dataforseo") & (rest == 0)) | ((F.col("source") == "semrush") & (rest < 2)))
+    kind = F.when(F.col("project_id") % 4 < 2, "semrush").when(F.col("project_id") % 4 == 2, "dataforseo").otherwise("manual")
+    return audit.project_provider(kept, p.select("project_id").distinct().withColumn("project_type", kind))
+
+
 @job("active_source", using("page_facts", f"{_ACTIVE} SELECT * FROM active"))
 def active_source(s: SparkSession, d: str) -> DataFrame:
     return audit.active_source(view(s, d, "page_facts"))
