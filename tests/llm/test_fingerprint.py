@@ -154,3 +154,31 @@ def test_a_passage_that_many_share_loses_no_link(spark, monkeypatch):
     root = {i: min(j for j in texts if j == i or f.likeness(prints[i], prints[j]) >= f.LEAST) for i in texts}
     assert got == root == {i: i - i % 2 for i in texts}
     assert seen and seen[0][0] > 6 and seen[0][1] < seen[0][0] / 2
+
+
+@pytest.mark.parametrize("n", [1_000, 6_000])
+@pytest.mark.parametrize("share", [0.005, 0.01])
+def test_bands_find_texts_with_spread_edits(n, share):
+    r, met = random.Random(n), 0
+    for seed in range(100):
+        text = list(prose(seed, n))
+        other = text.copy()
+        for i in r.sample(range(n), round(n * share)):
+            other[i] = r.choice("abcdefgh")
+        a, b = f.bands(f.fingerprints(["".join(text), "".join(other)])).tolist()
+        met += bool(set(a) & set(b))
+    assert met >= 95
+
+
+def test_bands_sample_places_not_digits(monkeypatch):
+    """A fingerprint's keys don't depend on what it is in a batch with, nor on how many bands are made at a time; digits at places not sampled don't matter."""
+    prints = [*f.fingerprints([STORY, LONG, "a", "ab" * 40, prose(5, 9_000), STORY])]
+    together = f.bands(prints)
+    assert together.shape == (6, f.BANDS) and (together[0] == together[5]).all() and (together >= 0).all()
+    assert all((f.bands([x])[0] == own).all() for x, own in zip(prints, together))
+    monkeypatch.setattr(f, "CELLS", 100)
+    assert (f.bands(prints) == together).all()
+    # in one chunk of 40 samples each band sees 8: about a fifth of the bands changes with one digit
+    chunk = "0000" + "5" * 40
+    kept = [(f.bands([chunk])[0] == f.bands([chunk[: 4 + k] + "6" + chunk[5 + k :]])[0]).sum() for k in range(40)]
+    assert sum(kept) == 40 * f.BANDS - 8 * f.BANDS

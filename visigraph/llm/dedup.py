@@ -321,8 +321,8 @@ def forest(root: np.ndarray, linked: np.ndarray) -> tuple[pa.Array, pa.Array]:
 
 
 def finer(classed: DataFrame, bag: DataFrame, kind: Multisets, work: Work) -> DataFrame:
-    """classed(key, id, weight, root), with each key of several classes and more than a block of members split into keys of members that
-    share a rare token too, so that a passage that many texts share makes no large group.
+    """classed(key, id, weight, root), where rare tokens take the place of all keys of several classes and more than a block of members, so that a
+    passage that many texts share makes no large group. A member has a row for each rare token, in however many such keys it was.
 
     No near pair is lost: what one bag has and the other lacks is at most 1 - least of its size. So with tokens in one order for all, the rarest
     first, the first token that both share has no more than that before it in either bag, and each bag goes to the keys of such tokens."""
@@ -331,7 +331,7 @@ def finer(classed: DataFrame, bag: DataFrame, kind: Multisets, work: Work) -> Da
     found = wide.count()
     if not found:
         return classed
-    inside = work.store(join_small(classed, wide, ["key"], "left_semi", found), "inside")
+    inside = work.store(join_small(classed, wide, ["key"], "left_semi", found).select("id", "weight", "root").distinct(), "inside")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -341,12 +341,12 @@ def finer(classed: DataFrame, bag: DataFrame, kind: Multisets, work: Work) -> Da
             whole = np.repeat(np.array([sum(size for _, size in parts) for parts in own], np.int64), n)
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), n)), pa.array(flat[:, 0]), pa.array(flat[:, 1]), pa.array(whole)], names=["id", "token", "size", "whole"])
 
-    tokens = work.store(inside.select("id").distinct().join(bag, "id").select("id", "bag").mapInArrow(write, "id long, token long, size long, whole long"), "tokens")
+    tokens = work.store(inside.join(bag, "id").select("id", "bag").mapInArrow(write, "id long, token long, size long, whole long"), "tokens")
     held = work.store(tokens.groupBy("token").agg(F.count("*").alias("n")), "held")
     ranked = join_small(tokens, held, ["token"], "inner", held.count(), salt=F.pmod(F.xxhash64("id"), F.lit(32)).cast("int"))
     before = F.sum("size").over(Window.partitionBy("id").orderBy("n", "token").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")
     first = ranked.withColumn("before", before).where(F.col("before") <= (1 - kind.least) * F.col("whole") + 1e-6)
-    split = work.store(inside.join(first.select("id", "token"), "id").withColumn("key", F.xxhash64("key", "token")).drop("token"), "finer")
+    split = work.store(inside.join(first.select("id", F.xxhash64("token").alias("key")), "id").select("key", "id", "weight", "root"), "finer")
     return join_small(classed, wide, ["key"], "left_anti", found).unionByName(split)
 
 

@@ -8,7 +8,8 @@ four digits, from the characters before it (0000 for the first), and the charact
 first chunk has more samples, for short texts.
 
 The likeness of two fingerprints compares chunks of equal marks, the n-th of a mark with the n-th: the share of samples that agree, less
-what unrelated texts agree by chance, weighed by the samples of all chunks of both. Bands of samples find candidates; likeness verifies them.
+what unrelated texts agree by chance, weighed by the samples of all chunks of both. Each band samples places of the embedded text, the digits there
+are its key, and equal keys find candidates; likeness verifies them.
 
 Defined results: a null text is empty, and an empty text has an empty fingerprint; two empty fingerprints are alike (1.0);
 equal texts have equal fingerprints; rows that repeat a doc_id are ordered by text; a null doc_id comes last; the next
@@ -24,12 +25,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import dedup
-from .common import Work, join_small, range_cuts, small_batches, table
+from .common import Work, join_small, mixed, range_cuts, small_batches, table
 
 #: Characters that decide on a cut, one place in so many is cut, and the bounds of a chunk's characters.
 WINDOW = 8
@@ -39,9 +39,9 @@ SHORTEST, LONGEST = 48, 512
 CHANCE = 0.13
 SHARD_ROWS = 8_192
 SEED = 20_240_101
-#: Samples of a band, the features of a document that bands are made of, and the likeness that links.
-BAND = 8
-FEATURES = 8
+#: Bands, the places that each of a band's two chunks is sampled at, and the likeness that links.
+BANDS = 24
+DRAWN = 4
 LEAST = 0.8
 #: Fingerprints are digits of four bits, which only an entropy coder stores in less than a byte.
 CODEC = "zstd"
@@ -56,9 +56,28 @@ DIGITS[:, 0] = 0
 #: Sampled steps of any chunk, and of a first one.
 EVEN = np.arange(3, STEPS, 20)
 EARLY = np.union1d(np.arange(0, 48, 2), EVEN)
+#: By band and chunk: what is added to chunks' hashes, and by a chunk's samples the places to look at.
+DRAWS = _random.integers(1, 1 << 63, 2 * BANDS).astype(np.uint64)
+
+
+def _places() -> np.ndarray:
+    """The first places of a random order that a chunk of so many samples has, so that a sample more or less seldom changes them. The two chunks of a band
+    take other places, as they may be the same."""
+    out = np.zeros((2 * BANDS, len(EARLY) + 1, DRAWN), np.int64)
+    for band in range(BANDS):
+        order = _random.permutation(len(EARLY))
+        for n in range(1, len(EARLY) + 1):
+            held = np.resize(order[order < n], 2 * DRAWN)
+            out[2 * band, n], out[2 * band + 1, n] = held[:DRAWN], held[DRAWN:]
+    return out
+
+
+PLACES = _places()
 HEX = np.frombuffer(b"0123456789abcdef", np.uint8)
 #: Marks that are looked at together when many fingerprints are compared.
 COLUMNS = 4_096
+#: Fingerprints whose bands are made together, and chunks times bands that are looked at together.
+BANDED, CELLS = 256, 1 << 20
 #: Chunks that walk together.
 LOCKSTEP = 8_192
 U = np.uint32
@@ -217,14 +236,31 @@ class Prints:
         return out
 
 
-def bands(fingerprint: str) -> list[int]:
-    """Keys of a fingerprint. Its features are samples of BAND digits with their chunk's mark and place; the FEATURES of smallest
-    hash stand for them all, and any two of them make a key."""
-    chunks = chunks_of(fingerprint)
-    found = {xxhash.xxh3_64_intdigest(f"{mark}:{n}:{i}:".encode() + d[i : i + BAND]) for (mark, n), d in chunks.items() for i in range(0, max(1, len(d) - BAND + 1), BAND)}
-    least = sorted(found)[:FEATURES]
-    pairs = [x + 3 * y & 0x7FFFFFFFFFFFFFFF for k, x in enumerate(least) for y in least[k + 1 :]]
-    return pairs or [x >> 1 for x in least]
+def bands(prints: list[str]) -> np.ndarray:
+    """The keys of fingerprints that have chunks, BANDS each. A band samples two chunks, by a hash of mark and number only, and some places in each:
+    what is sampled depends on no digit, so the digits there are bits of the embedded text at places that all texts share."""
+    chunks = [chunks_of(x) for x in prints]
+    sizes = np.array([len(x) for x in chunks])
+    begins = np.cumsum(sizes) - sizes
+    label = np.array([int(mark, 16) << 32 | n for x in chunks for mark, n in x], np.uint64)
+    size = np.array([len(d) for x in chunks for d in x.values()])
+    starts = np.cumsum(size) - size
+    digits = np.frombuffer(b"".join(d for x in chunks for d in x.values()), np.uint8)
+    keys = np.zeros((len(prints), 2 * BANDS), np.uint64)
+    step = max(1, CELLS // len(label))
+    for low in range(0, 2 * BANDS, step):
+        draws = np.arange(low, min(low + step, 2 * BANDS))
+        h = mixed(label[:, None] ^ DRAWS[draws])
+        least = np.repeat(np.minimum.reduceat(h, begins), sizes, axis=0)
+        pick = np.maximum.reduceat(np.where(h == least, np.arange(len(label))[:, None], -1), begins)
+        sampled = digits[starts[pick][..., None] + PLACES[draws, size[pick]]].astype(np.uint64)
+        # first chunks have no mark of their own, so they give one digit more
+        sampled[label[pick] != 0, -1] = 0
+        key = label[pick]
+        for k in range(DRAWN):
+            key = mixed(key * np.uint64(5) + sampled[..., k])
+        keys[:, draws] = key
+    return (mixed(keys[:, ::2] + np.uint64(3) * keys[:, 1::2] + np.arange(BANDS, dtype=np.uint64)) >> np.uint64(1)).view(np.int64)
 
 
 def class_ids(rows: DataFrame, least: float, work: Work) -> DataFrame:
@@ -236,10 +272,10 @@ def class_ids(rows: DataFrame, least: float, work: Work) -> DataFrame:
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = batch.column(1).to_pylist()
-            own = [bands(x) for x in prints]
-            n = [len(x) for x in own]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), n)), pa.array([k for x in own for k in x], pa.int64()), pa.array(np.repeat([len(x) for x in prints], n).astype(np.int32))], names=["id", "key", "weight"])
+            for at in range(0, batch.num_rows, BANDED):
+                part = batch.slice(at, BANDED)
+                prints = part.column(1).to_pylist()
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), BANDS)), pa.array(bands(prints).ravel()), pa.array(np.repeat([len(x) for x in prints], BANDS).astype(np.int32))], names=["id", "key", "weight"])
 
     keys = work.store(prints.where("fingerprint <> ''").select("id", "fingerprint").mapInArrow(write, "id long, key long, weight int"), "keys", codec=CODEC)
     bag = prints.select("id", F.col("fingerprint").cast("binary").alias("bag"))
