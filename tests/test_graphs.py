@@ -10,6 +10,7 @@ from visigraph.functions.text import casefold, content_hash, normalize_content,
 from visigraph.operators import backlinks, clusters, competitors, links, suggestions, upserts
 from visigraph.plans.scratch import scratch
 from visigraph.sources import html, reports
+from visigraph.streaming import pages as stream
 from visigraph.streaming.pages import stream_upsert_pages
 
 RECORD = "project_id int, source_url string, target_url string, anchor string, is_follow boolean, domain_rank int, spam_score int, first_seen int, last_seen int, lost_at int"
@@ -69,6 +70,21 @@ def test_history_is_repeated_diffs(spark):
     assert got == state
 
 
+def test_history_folds_from_any_parts(spark):
+    r = random.Random(11)
+    pulls = [(p, r.choice(["s", None]) if s == 0 else f"s{s}", "t", n, r.choice([None, 1, 2]), f"a{n}", bool(n % 2), r.choice([None, n])) for p in (1, 2, 3) for n in range(1, 9) for s in range(7) if r.random() < 0.5 and n != 3 and (p, n) != (2, 6) and (p < 3 or n > 4)]
+    df = spark.createDataFrame(pulls, "project_id int, source_url string, target_url string, pull_no int, domain_rank int, anchor string, is_follow boolean, spam_score int").dropDuplicates(["project_id", "source_url", "pull_no"]).cache()
+    days = spark.createDataFrame([(p, n) for p in (1, 2, 3) for n in range(1, 9) if p < 3 or n > 4], "project_id int, pull_no int")
+    want = sorted(map(str, backlinks.backlink_history(df, days).collect()))
+    for cuts in ([4], [1, 2, 3], sorted(r.sample(range(1, 8), 2))):
+        history = None
+        for low, high in zip([0, *cuts], [*cuts, 8]):
+            part = f"pull_no > {low} AND pull_no <= {high}"
+            later = backlinks.backlink_history(df.where(part), days.where(part))
+            history = later if history is None else backlinks.fold_history(history, later, days.where(part))
+        assert sorted(map(str, history.collect())) == want
+
+
 def test_anchors_and_toxic_links(spark):
     rows = [(1, "https://a.xyz/1", "t", a, 3) for a in ("Brand shoes", "buy shoes", "click here", "https://x.com", "x.com", None, "odd")]
     df = spark.createDataFrame(rows, "project_id int, source_url string, target_url string, anchor string, domain_rank int")
@@ -222,13 +238,37 @@ def test_stream_gives_the_state_of_one_upsert(spark, tmp_path):
     rows = spark.createDataFrame([(1, f"u{i % 5}", f"t{i}", i) for i in range(20)], "project_id int, url string, title string, seq long")
     for i in range(4):
         rows.where(f"seq DIV 5 = {i}").coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
-    out = lambda: stream_upsert_pages(spark, f"{tmp_path}/in/*", rows.schema, f"{tmp_path}/pages", f"{tmp_path}/ck")
-    want = upserts.upsert_pages(rows.limit(0).drop("seq"), rows).collect()
-    assert sorted(map(str, out().collect())) == sorted(map(str, want))
+    out = lambda ck="ck": stream_upsert_pages(spark, f"{tmp_path}/in/*", rows.schema, f"{tmp_path}/pages", f"{tmp_path}/{ck}")
+    want = sorted(map(str, upserts.upsert_pages(rows.limit(0).drop("seq"), rows).collect()))
+    assert sorted(map(str, out().collect())) == want
+    # every batch once more, as after a lost checkpoint, and a result that comes late
+    assert sorted(map(str, out("other").collect())) == want
+    spark.createDataFrame([(1, "u0", "old", 3), (1, None, "no url", None)], rows.schema).coalesce(1).write.parquet(f"{tmp_path}/in/8")
+    assert {r.url: r.title for r in out().collect()} == {**{f"u{i}": f"t{15 + i}" for i in range(5)}, None: "no url"}
     spark.createDataFrame([(1, "u0", "late", 99)], rows.schema).coalesce(1).write.parquet(f"{tmp_path}/in/9")
     assert {r.url: r.title for r in out().collect()}["u0"] == "late"
 
 
+def test_stream_writes_what_a_batch_holds(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stream, "FAN", 4)
+    schema = spark.createDataFrame([], "project_id int, url string, title string, seq long").schema
+    pages = stream.Pages(spark, str(tmp_path / "p"), schema)
+    size = lambda: {p.parent.name: 0 for p in tmp_path.glob("p/*/_SUCCESS")} | {n: sum(f.stat().st_size for f in tmp_path.glob(f"p/{n}/*.parquet")) for n in {p.parent.name for p in tmp_path.glob("p/*/_SUCCESS")}}
+    pages.add(spark.range(20_000).selectExpr("1 project_id", "concat('u', id) url", "uuid() title", "id seq"), 0)
+    before = size()
+    pages.add(spark.createDataFrame([(1, "u7", "new", 1_000_000)], schema), 1)
+    after = size()
+    assert after["l0-0"] == before["l0-0"] > 100 * after["l0-1"] and len(after) == 2
+    for n in range(2, 18):
+        pages.add(spark.createDataFrame([(1, f"u{n}", f"n{n}", 1_000_000 + n)], schema), n)
+    assert pages.parts() == [(0, 16), (0, 17), (2, 15)] and pages.read().count() == 20_000
+    # a merge that ended before it removed its parts, and a part that was never finished
+    pages.add(spark.createDataFrame([(1, "u3", "stale", 5)], schema), 3)
+    (tmp_path / "p/l0-99").mkdir()
+    got = {r.url: r.title for r in pages.read().where("title LIKE 'n%' OR title = 'stale'").collect()}
+    assert got == {"u7": "n7", **{f"u{n}": f"n{n}" for n in range(2, 18)}}
+
+
 def test_competitors(spark):
     rows = spark.createDataFrame([(1, "https://A.com/x", None, 1), (1, "a.com", "n", 2), (1, " ", None, 3), (1, "b.com", " B ", 4), (1, "c.com", None, 5)], "project_id int, value string, display_name string, seq int")
     ok, bad = competitors.register_competitors(rows, spark.createDataFrame([(1, "c.com")], "project_id int, domain string"))

@@ -56,6 +56,20 @@ def backlink_history(pulls: DataFrame, calendar: DataFrame) -> DataFrame:
     return island.groupBy(*KEY).agg(F.min("pull_no").alias("first_seen"), F.max("pull_no").alias("last_seen"), F.max_by("following", "pull_no").alias("lost_at"), F.sum("_new").alias("episodes"), known("domain_rank"), *more)
 
 
+def fold_history(history: DataFrame, later: DataFrame, calendar: DataFrame) -> DataFrame:
+    """The history of all pulls from that of the earlier ones and that of later ones, both as backlink_history gives them; old pulls aren't read again.
+    calendar(project_id, pull_no) is that of the later pulls, all of which follow the earlier ones of their project. Folding part after part gives
+    what one pass over all pulls gives. A link is still open where lost_at is null: a run goes on if the link is in the first of the later pulls."""
+    begins = calendar.groupBy("project_id").agg(F.min("pull_no").alias("_begin"))
+    parts = history.withColumn("_part", F.lit(0)).unionByName(later.withColumn("_part", F.lit(1))).join(begins, "project_id", "left")
+    old, new = F.col("_part") == 0, F.col("_part") == 1
+    goes_on = F.bool_or(old & F.col("lost_at").isNull()) & F.bool_or(new & (F.col("first_seen") == F.col("_begin")))
+    lost = F.when(F.max("_part") == 1, F.max(F.when(new, F.col("lost_at")))).otherwise(F.coalesce(F.max(F.when(old, F.col("lost_at"))), F.max("_begin")))
+    known = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("_part"))).alias(c)
+    more = [F.min_by(c, "_part").alias(c) for c in ("anchor", "is_follow") if c in history.columns] + [known(c) for c in ("spam_score",) if c in history.columns]
+    return parts.groupBy(*KEY).agg(F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), lost.alias("lost_at"), (F.sum("episodes") - F.when(goes_on, 1).otherwise(0)).alias("episodes"), known("domain_rank"), *more)
+
+
 def backlink_tabs(records: DataFrame, limit: int = 200) -> DataFrame:
     """(project_id, tab, place, ...): active by last_seen, lost by lost_at, new (of the project's latest first_seen) by source."""
     newest = records.groupBy("project_id").agg(F.max("first_seen").alias("_newest"))

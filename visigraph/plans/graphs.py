@@ -144,6 +144,18 @@ def backlink_history(s: SparkSession, d: str) -> DataFrame:
     return backlinks.backlink_history(pulls, calendar(pulls))
 
 
+@job("backlink_history_folded", using("backlink_pulls", f"{_HISTORY} SELECT project_id, source_url, target_url, first_seen, last_seen, lost_at, episodes, domain_rank, anchor, is_follow, CAST(spam_score AS INT) AS spam_score FROM h"))
+def backlink_history_folded(s: SparkSession, d: str) -> DataFrame:
+    """The same rows from three parts: the pulls up to 1993, those up to 1996 and the rest, each folded into the history before it."""
+    pulls = detailed(view(s, d, "backlink_pulls"))
+    days = calendar(pulls)
+    history = None
+    for part in ("pull_no <= 1993", "pull_no > 1993 AND pull_no <= 1996", "pull_no > 1996"):
+        later = backlinks.backlink_history(pulls.where(part), days.where(part))
+        history = later if history is None else backlinks.fold_history(history, later, days.where(part))
+    return history
+
+
 def detailed(pulls: DataFrame) -> DataFrame:
     """Pulls with an anchor and flag that change over the pulls, and a spam score that is known every other time."""
     odd = F.pmod("pull_no", F.lit(2)) == 1
