@@ -3,6 +3,7 @@
 import pytest
 
 from visigraph.operators import audit
+from visigraph.sources.html import parse
 
 PAGE = (
     "project_id int, page_id int, url string, error string, title string, meta_description string, h1 array<string>, h2 array<string>, heading_structure array<struct<tag:string,text:string>>, "
@@ -124,3 +125,24 @@ def test_project_provider(spark):
     pages = spark.createDataFrame([(1, "semrush"), (1, "dataforseo"), (2, "semrush"), (3, "crawler"), (4, "crawler"), (5, None)], "project_id int, source string")
     projects = spark.createDataFrame([(1, "semrush"), (2, "dataforseo"), (3, "semrush"), (4, "manual"), (5, None), (6, "dataforseo")], "project_id int, project_type string")
     assert {r.project_id: r.provider for r in audit.project_provider(pages, projects).collect()} == {1: "dataforseo", 2: "semrush", 3: "semrush", 4: "dataforseo", 5: "dataforseo", 6: "dataforseo"}
+
+
+@pytest.mark.parametrize(
+    "page, content, headings",
+    [
+        ("", None, []),
+        (" <title>t</title> <meta name=x>", None, []),
+        ("plain text", "plain text", []),
+        ("<title>t</title><p>one<p>two", "one two", []),
+        ("<html><head><title>t</title><div>in</div></head>rest", "in rest", []),
+        ("before<body class=x>inside</body>after</html>end", "before inside after end", []),
+        ("<body><p>a<main>b</p>c</main>d", "b c", []),
+        ("<h1>One<h2>Two</h2>three", "One Two three", [("h1", "One"), ("h2", "Two")]),
+        ("<ul><li><h3>a<li>b<ul><li>c</ul></ul>", "a b c", [("h3", "a")]),
+        ("<table><tr><td><h4>x<td>y<tr><td>z</table>", "x y z", [("h4", "x")]),
+        ("<script>var a</script><style>b{}</style><article>only</article>", "only", []),
+    ],
+)
+def test_elements_that_a_page_leaves_out(page, content, headings):
+    facts = parse(page)
+    assert facts["custom_content"] == content and [(h["tag"], h["text"]) for h in facts["heading_structure"]] == headings
