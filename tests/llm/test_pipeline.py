@@ -1,7 +1,7 @@
 import corpus_pipeline
 from visigraph.llm import decontaminate, dedup
 
-from .edge import STORY, nothing
+from .edge import STORY, documents, nothing
 
 
 def test_stages_take_effect_in_turn(spark, tmp_path):
@@ -37,3 +37,22 @@ def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_take_nulls_repeats_and_clashing_columns(spark, tmp_path):
+    docs = documents(spark)
+    spark.createDataFrame([(4, 1, 0), (5, 1, 0), (9, 1, 0), (12, 0, 0), (13, 0, 0), (None, 1, 0), (8, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, STORY), (2, None), (None, ""), (1, STORY)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = sorted(map(str, docs.collect()))
+    seen = {name: stage(spark, docs, str(tmp_path)) for name, stage in corpus_pipeline.STAGES}
+    got = {name: out.collect() for name, out in seen.items()}
+    for name in ("quality", "near_duplicates", "decontaminate", "pii"):
+        assert seen[name].columns == docs.columns
+    for name in ("quality", "near_duplicates", "decontaminate"):
+        assert set(map(str, got[name])) <= set(rows)
+    ids = lambda name: sorted((r.doc_id is None, r.doc_id or 0) for r in got[name])
+    assert not {r.doc_id for r in got["near_duplicates"]} & {6, 7, 13} and ids("near_duplicates").count((False, 5)) == 1
+    assert not {r.doc_id for r in got["decontaminate"]} & {5, 6, 7} and {1, 2, 3, 4, 9, 10, 11, 12, 13} <= {r.doc_id for r in got["decontaminate"]}
+    assert len(got["pii"]) == len(rows) and {(r.base, r.spans, r.score) for r in got["pii"]} == {("b", "x", 0.1)}
+    clean = {r.doc_id: r for r in got["pii"]}
+    assert clean[9].text.count("[") == 4 and clean[1].text is None and clean[9].n_chars == len(clean[9].text)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BATCH_ROWS, WORD_BYTES, Work, join_small, mixed, shared_dir, small_batches, table, words_of
+from .common import BATCH_ROWS, WORD_BYTES, Work, join_small, mixed, shared_dir, small_batches, table, text_slices, words_of
 
 SHINGLE = 5
 LEAST = 0.8
@@ -226,16 +226,18 @@ def bags_of(wanted: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 class Multisets:
-    """How packed multisets are compared. Other kinds of data have the same three methods; `parts`, where they have it, gives the (token, size)
-    of what two bags can share, for `finer`."""
-
-    parts = None
+    """How packed multisets are compared. Other kinds of data have the same four methods; `parts` gives the (token, size) of what two bags can
+    share, for `finer`, and near pairs share at least `least` of the size of both together."""
 
     def __init__(self, least: float = LEAST):
         self.least = least
 
     load = staticmethod(elements)
 
+    @staticmethod
+    def parts(x: np.ndarray) -> np.ndarray:
+        return np.column_stack([x.astype(np.int64), np.ones(len(x), np.int64)])
+
     def near(self, head: np.ndarray, own: np.ndarray) -> bool:
         if min(len(own), len(head)) < self.least * max(len(own), len(head)):
             return False
@@ -321,49 +323,59 @@ def forest(root: np.ndarray, linked: np.ndarray) -> tuple[pa.Array, pa.Array]:
 
 
 def finer(classed: DataFrame, bag: DataFrame, kind: Multisets, work: Work) -> DataFrame:
-    """classed(key, id, weight, root), where rare tokens take the place of all keys of several classes and more than a block of members, so that a
-    passage that many texts share makes no large group. A member has a row for each rare token, in however many such keys it was.
-
-    No near pair is lost: what one bag has and the other lacks is at most 1 - least of its size. So with tokens in one order for all, the rarest
-    first, the first token that both share has no more than that before it in either bag, and each bag goes to the keys of such tokens."""
+    """classed(key, id, weight, root) with a column small, where rare tokens take the place of all keys of several classes and more than a block of
+    members, so that a passage that many texts share makes no large group. A member has a row for each rare token, in however many such keys it was.
+
+    No near pair is lost. Of the size of both together, near bags share at least `least`, so the smaller of two lacks at most
+    (1 - least) / (1 + least) of its own size, and the larger at most 1 - least. With tokens in one order for all, the rarest first, a bag has no
+    more than what the other lacks before the first token that both share. So each bag goes to the keys of its first 1 - least, and is small in
+    those that it would reach as the smaller of two: of a near pair, one at least is small in the key of the first common token. Texts of a family that
+    is not near have more than that of their own, so what they all share is a key without small members, and drops out."""
     several = F.min("root") < F.max("root")
     wide = work.store(classed.groupBy("key").agg(F.count("*").alias("n"), several.alias("several")).where((F.col("n") > BLOCK_ROWS) & F.col("several")).select("key"), "wide")
     found = wide.count()
     if not found:
-        return classed
+        return classed.withColumn("small", F.lit(True))
     inside = work.store(join_small(classed, wide, ["key"], "left_semi", found).select("id", "weight", "root").distinct(), "inside")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = [kind.parts(kind.load(x.as_py())) for x in batch.column(1)]
+        for batch in (p for b in batches for p in text_slices(b, 1)):
+            own = [np.asarray(kind.parts(kind.load(x.as_py())), np.int64).reshape(-1, 2) for x in batch.column(1)]
             n = [len(x) for x in own]
-            flat = np.array([x for parts in own for x in parts], np.int64).reshape(-1, 2)
-            whole = np.repeat(np.array([sum(size for _, size in parts) for parts in own], np.int64), n)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), n)), pa.array(flat[:, 0]), pa.array(flat[:, 1]), pa.array(whole)], names=["id", "token", "size", "whole"])
+            flat, whole = np.concatenate([np.empty((0, 2), np.int64), *own]), np.array([x[:, 1].sum() for x in own], np.int64)
+            columns = [np.repeat(batch.column(0).to_numpy(), n), flat[:, 0], flat[:, 1], np.repeat(whole, n)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["id", "token", "size", "whole"])
 
     tokens = work.store(inside.join(bag, "id").select("id", "bag").mapInArrow(write, "id long, token long, size long, whole long"), "tokens")
     held = work.store(tokens.groupBy("token").agg(F.count("*").alias("n")), "held")
     ranked = join_small(tokens, held, ["token"], "inner", held.count(), salt=F.pmod(F.xxhash64("id"), F.lit(32)).cast("int"))
     before = F.sum("size").over(Window.partitionBy("id").orderBy("n", "token").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")
-    first = ranked.withColumn("before", before).where(F.col("before") <= (1 - kind.least) * F.col("whole") + 1e-6)
-    split = work.store(inside.join(first.select("id", F.xxhash64("token").alias("key")), "id").select("key", "id", "weight", "root"), "finer")
-    return join_small(classed, wide, ["key"], "left_anti", found).unionByName(split)
+    upto = lambda share: F.col("before") <= share * F.col("whole") + 1e-6
+    first = ranked.withColumn("before", before).where(upto(1 - kind.least) & (F.col("n") > 1))
+    keyed = first.select("id", F.xxhash64("token").alias("key"), upto((1 - kind.least) / (1 + kind.least)).alias("small"))
+    split = work.store(inside.join(keyed, "id").select("key", "id", "weight", "root", "small"), "finer")
+    work.drop(tokens, held)
+    return join_small(classed, wide, ["key"], "left_anti", found).withColumn("small", F.lit(True)).unionByName(split)
 
 
 def rest_links(members: DataFrame, roots: DataFrame, bag: DataFrame, kind: Multisets, work: Work) -> DataFrame:
     """The classes (a, b) that the links among all pairs of members(key, id, weight) join that share a key and differ in their root.
 
-    The members of a key's largest class meet blocks of the others only, and the others meet block by block."""
+    The members of a key that need not meet each other, those of its largest class or those that are not small, meet blocks of the others
+    only, and the others meet block by block."""
     classed = members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")).select("key", "id", "weight", "root")
-    if kind.parts:
-        classed = finer(classed, bag, kind, work)
-    by = classed.groupBy("key", "root").agg(F.count("*").alias("m"), F.sum("weight").alias("w")).groupBy("key").agg(F.max(F.struct("m", "w", "root")).alias("x"), F.sum("m").alias("n"), F.sum("w").alias("w")).where("x.m < n")
+    classed = finer(classed, bag, kind, work)
+    large = F.when(F.col("small"), 0).otherwise(1)
+    by = classed.groupBy("key", "root").agg(F.count("*").alias("m"), F.sum("weight").alias("w"), F.sum(large).alias("lm"), F.sum(large * F.col("weight")).alias("lw"))
+    by = by.groupBy("key").agg(F.max(F.struct("m", "w", "root")).alias("x"), *(F.sum(c).alias(c) for c in ("m", "w", "lm", "lw"))).where("x.m < m AND lm < m")
+    by = by.withColumn("by_size", F.col("lm") > F.col("x.m"))
+    alone, heavy = (F.when(F.col("by_size"), F.col(a)).otherwise(F.col(b)) for a, b in (("lm", "x.m"), ("lw", "x.w")))
     blocks = lambda rows, weight: F.ceil(F.greatest(rows / BLOCK_ROWS, weight * (WIDTH / BLOCK_BYTES))).cast("int")
-    split = work.store(by.select("key", F.col("x.root").alias("top"), blocks(F.col("x.m"), F.col("x.w")).alias("kd"), blocks(F.col("n") - F.col("x.m"), F.col("w") - F.col("x.w")).alias("ko")), "split")
+    split = work.store(by.select("key", F.col("x.root").alias("top"), "by_size", blocks(alone, heavy).alias("kd"), blocks(F.col("m") - alone, F.col("w") - heavy).alias("ko")), "split")
     found = split.count()
     if not found:
         return split.select(F.col("top").alias("a"), F.col("top").alias("b"))
-    rows = join_small(classed, split, ["key"], "inner", found).withColumn("first", F.col("root") == F.col("top"))
+    rows = join_small(classed, split, ["key"], "inner", found).withColumn("first", F.when(F.col("by_size"), ~F.col("small")).otherwise(F.col("root") == F.col("top")))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.when(F.col("first"), F.col("kd")).otherwise(F.col("ko"))).cast("int"))
     upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
     cell = lambda mixed, lo, hi: F.struct(F.lit(mixed).alias("mixed"), lo.alias("lo"), hi.alias("hi"))
