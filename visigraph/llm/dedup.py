@@ -227,7 +227,10 @@ def bags_of(wanted: DataFrame, docs: DataFrame) -> DataFrame:
 
 class Multisets:
     """How packed multisets are compared. Other kinds of data have the same four methods; `parts` gives the (token, size) of what two bags can
-    share, for `finer`, and near pairs share at least `least` of the size of both together."""
+    share, for `finer`, and near pairs share at least `least` of the size of both together. `rest` is how many members a key has at most outside its
+    largest class without being split: up to a block of them makes no more than a copy of each other member, less than many parts do."""
+
+    rest = BLOCK_ROWS
 
     def __init__(self, least: float = LEAST):
         self.least = least
@@ -323,16 +326,16 @@ def forest(root: np.ndarray, linked: np.ndarray) -> tuple[pa.Array, pa.Array]:
 
 
 def finer(classed: DataFrame, bag: DataFrame, kind: Multisets, work: Work) -> DataFrame:
-    """classed(key, id, weight, root) with a column small, where rare tokens take the place of all keys of several classes and more than a block of
-    members, so that a passage that many texts share makes no large group. A member has a row for each rare token, in however many such keys it was.
+    """classed(key, id, weight, root) with a column small, where rare tokens take the place of all keys of more than a block of members and more than kind.rest
+    outside the largest class, so that a passage that many texts share makes no large group. A member has a row for each rare token, in however many such keys it was.
 
     No near pair is lost. Of the size of both together, near bags share at least `least`, so the smaller of two lacks at most
     (1 - least) / (1 + least) of its own size, and the larger at most 1 - least. With tokens in one order for all, the rarest first, a bag has no
     more than what the other lacks before the first token that both share. So each bag goes to the keys of its first 1 - least, and is small in
     those that it would reach as the smaller of two: of a near pair, one at least is small in the key of the first common token. Texts of a family that
-    is not near have more than that of their own, so what they all share is a key without small members, and drops out."""
-    several = F.min("root") < F.max("root")
-    wide = work.store(classed.groupBy("key").agg(F.count("*").alias("n"), several.alias("several")).where((F.col("n") > BLOCK_ROWS) & F.col("several")).select("key"), "wide")
+    is not near have more than that of their own, so what they all share is a key without small members. Such keys, and those of one class, drop out."""
+    sizes = classed.groupBy("key", "root").agg(F.count("*").alias("m")).groupBy("key").agg(F.sum("m").alias("n"), F.max("m").alias("m"))
+    wide = work.store(sizes.where((F.col("n") > BLOCK_ROWS) & (F.col("n") - F.col("m") > kind.rest)).select("key"), "wide")
     found = wide.count()
     if not found:
         return classed.withColumn("small", F.lit(True))
@@ -343,18 +346,21 @@ def finer(classed: DataFrame, bag: DataFrame, kind: Multisets, work: Work) -> Da
             own = [np.asarray(kind.parts(kind.load(x.as_py())), np.int64).reshape(-1, 2) for x in batch.column(1)]
             n = [len(x) for x in own]
             flat, whole = np.concatenate([np.empty((0, 2), np.int64), *own]), np.array([x[:, 1].sum() for x in own], np.int64)
-            columns = [np.repeat(batch.column(0).to_numpy(), n), flat[:, 0], flat[:, 1], np.repeat(whole, n)]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["id", "token", "size", "whole"])
+            columns = [*(np.repeat(batch.column(i).to_numpy(), n) for i in (0, 2, 3)), flat[:, 0], flat[:, 1], np.repeat(whole, n)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["id", "weight", "root", "token", "size", "whole"])
 
-    tokens = work.store(inside.join(bag, "id").select("id", "bag").mapInArrow(write, "id long, token long, size long, whole long"), "tokens")
+    bagged = inside.join(bag, "id").select("id", "bag", F.col("weight").cast("long"), "root")
+    tokens = work.store(bagged.mapInArrow(write, "id long, weight long, root long, token long, size long, whole long"), "tokens")
     held = work.store(tokens.groupBy("token").agg(F.count("*").alias("n")), "held")
     ranked = join_small(tokens, held, ["token"], "inner", held.count(), salt=F.pmod(F.xxhash64("id"), F.lit(32)).cast("int"))
     before = F.sum("size").over(Window.partitionBy("id").orderBy("n", "token").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")
     upto = lambda share: F.col("before") <= share * F.col("whole") + 1e-6
     first = ranked.withColumn("before", before).where(upto(1 - kind.least) & (F.col("n") > 1))
-    keyed = first.select("id", F.xxhash64("token").alias("key"), upto((1 - kind.least) / (1 + kind.least)).alias("small"))
-    split = work.store(inside.join(keyed, "id").select("key", "id", "weight", "root", "small"), "finer")
-    work.drop(tokens, held)
+    small = upto((1 - kind.least) / (1 + kind.least)).alias("small")
+    rare = work.store(first.select(F.xxhash64("token").alias("key"), "id", "weight", "root", small), "rare")
+    meet = work.store(rare.groupBy("key").agg(F.max("small").alias("small"), (F.min("root") < F.max("root")).alias("several")).where("small AND several").select("key"), "meet")
+    split = work.store(join_small(rare, meet, ["key"], "left_semi", meet.count(), limit=BROADCAST_IDS), "finer")
+    work.drop(tokens, held, rare, meet)
     return join_small(classed, wide, ["key"], "left_anti", found).withColumn("small", F.lit(True)).unionByName(split)
 
 

@@ -199,7 +199,9 @@ def fingerprint_rows(docs: DataFrame) -> DataFrame:
 
 
 class Prints:
-    """How fingerprints are compared, for dedup.classes."""
+    """How fingerprints are compared, for dedup.classes. They have few parts, so large keys are split for any member of another class."""
+
+    rest = 0
 
     def __init__(self, least: float = LEAST):
         self.least = least
