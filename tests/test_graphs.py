@@ -5,10 +5,13 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tests.conftest import rows_of
 from visigraph.functions import frames, graph
 from visigraph.functions.text import casefold, content_hash, normalize_content, normalize_domain, split_list
 from visigraph.operators import backlinks, clusters, competitors, links, suggestions, upserts
+from visigraph.plans import graphs
 from visigraph.plans.scratch import scratch
+from visigraph.plans.views import view
 from visigraph.sources import html, reports
 from visigraph.streaming import pages as stream
 from visigraph.streaming.pages import stream_upsert_pages
@@ -391,3 +394,19 @@ def test_posts(spark):
     pages = spark.createDataFrame([(1, 1, "https://s/a/one/"), (2, 1, "https://s/two?x"), (3, 1, "https://s/"), (4, 1, "https://s/three")], "page_id int, project_id int, url string")
     posts = spark.createDataFrame([(1, "posts", "one", 42), (1, "pages", "two", 7), (1, "posts", "two", 8), (1, "posts", "two", 9), (1, "media", "three", 1), (1, "posts", "", 5)], "project_id int, post_type string, slug string, post_id int")
     assert {r.page_id: (r.status, r.post_id, r.post_type) for r in suggestions.resolve_posts(pages, posts).collect()} == {1: ("ok", 42, "posts"), 2: ("ok", 7, "pages"), 3: ("no_data", None, None), 4: ("no_data", None, None)}
+
+
+def test_stream_upsert_pages_has_a_file_from_each_task(spark, tmp_path, monkeypatch):
+    docs = spark.range(400).selectExpr("id AS doc_id", "concat('s', id % 3) AS source", "concat('text of a page ', id) AS text", "'en' AS lang").repartition(4)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    seen = {}
+
+    def run(s, source, schema, target, checkpoint, files_per_batch=1):
+        seen.update(files=s.read.schema(schema).parquet(source).inputFiles(), batch=files_per_batch)
+        return stream_upsert_pages(s, source, schema, target, checkpoint, files_per_batch)
+
+    monkeypatch.setattr(graphs, "stream_upsert_pages", run)
+    got = rows_of(graphs.stream_upsert_pages_(spark, str(tmp_path)))
+    assert len(seen["files"]) > 4 and seen["batch"] == -(-len(seen["files"]) // 4)
+    want = view(spark, str(tmp_path), "page_facts").selectExpr("project_id", "'https://x/' || (page_id % 300) AS url", "coalesce(title, chr(0)) AS title", "page_id AS seq")
+    assert got == rows_of(stream.last_results(want).drop("seq"))

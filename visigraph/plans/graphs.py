@@ -274,13 +274,15 @@ def job_badges(s: SparkSession, d: str) -> DataFrame:
 
 @job("stream_upsert_pages", using("page_facts", ", r AS (SELECT project_id, 'https://x/' || (page_id % 300) AS url, title, page_id FROM page_facts) SELECT project_id, url, arg_max(coalesce(title, chr(0)), page_id) AS title FROM r GROUP BY ALL"))
 def stream_upsert_pages_(s: SparkSession, d: str) -> DataFrame:
-    """The pages in four files, the later ones with later results, through the stream; the state after it is that of one upsert."""
+    """The pages in four folders, the later ones with later results, through the stream in about as many batches; the state after it is that of one upsert.
+    A folder has a file from each task that reads the pages, so none takes a quarter of them."""
     url = F.concat(F.lit("https://x/"), (F.col("page_id") % 300).cast("string"))
     rows = view(s, d, "page_facts").select("project_id", url.alias("url"), F.coalesce("title", F.lit("\0")).alias("title"), F.col("page_id").alias("seq"))
     out = scratch(s, "stream")
     for i, part in enumerate(_quarters(rows)):
-        part.coalesce(1).write.parquet(f"{out}/in/{i}")
-    return stream_upsert_pages(s, f"{out}/in/*", rows.schema, f"{out}/pages", f"{out}/checkpoint", 1)
+        part.write.parquet(f"{out}/in/{i}")
+    files = len(s.read.schema(rows.schema).parquet(f"{out}/in/*").inputFiles())
+    return stream_upsert_pages(s, f"{out}/in/*", rows.schema, f"{out}/pages", f"{out}/checkpoint", max(1, -(-files // 4)))
 
 
 def _quarters(rows: DataFrame) -> list[DataFrame]:
