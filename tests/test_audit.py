@@ -1,7 +1,9 @@
 """Each rule at its bounds, and what null, blank and odd values do."""
 
 import pytest
+from pyspark.sql import functions as F
 
+from visigraph.functions.text import word_count
 from visigraph.operators import audit
 from visigraph.sources.html import parse
 
@@ -146,3 +148,17 @@ def test_project_provider(spark):
 def test_elements_that_a_page_leaves_out(page, content, headings):
     facts = parse(page)
     assert facts["custom_content"] == content and [(h["tag"], h["text"]) for h in facts["heading_structure"]] == headings
+
+
+def test_the_audit_counts_words_once(spark):
+    pages = spark.createDataFrame([(1, 1, "a b")], "project_id int, page_id long, custom_content string").withColumn("error", F.lit(None).cast("string"))
+    found = audit.apply_rules(pages, [audit.content])
+    assert [r.message for r in found.collect()] == ["Page has only 2 words (recommended 300+)."]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
+
+
+def test_words_by_the_white_space_between_them(spark):
+    texts = ["", " ", "a", " a", "a ", " a　\x1c b\n", "\r\n", "a\n\n", "​a ﻿b", "\U0001f600 \U0001f600", "a\x85b\xa0c", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", word_count(F.col("t")).alias("n")).collect()
+    assert [r.n for r in rows] == [0, 0, 1, 1, 1, 2, 0, 1, 2, 2, 3, 0]
