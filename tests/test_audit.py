@@ -1,10 +1,12 @@
 """Each rule at its bounds, and what null, blank and odd values do."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from visigraph.functions.text import word_count
 from visigraph.operators import audit
+from visigraph.sources import html
 from visigraph.sources.html import parse
 
 PAGE = (
@@ -162,3 +164,27 @@ def test_words_by_the_white_space_between_them(spark):
     texts = ["", " ", "a", " a", "a ", " a　\x1c b\n", "\r\n", "a\n\n", "​a ﻿b", "\U0001f600 \U0001f600", "a\x85b\xa0c", None]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", word_count(F.col("t")).alias("n")).collect()
     assert [r.n for r in rows] == [0, 0, 1, 1, 1, 2, 0, 1, 2, 2, 3, 0]
+
+
+def test_report_totals_deal_the_reports_by_project(spark):
+    reports = spark.createDataFrame([(1, 3, 4, None), (1, 101, 2, None), (1, 106, 9, "down"), (2, 999, 1, None), (2, 3, None, None)], "project_id int, issue_id int, total int, error string")
+    totals = audit.report_totals(reports)
+    # both aggregates follow the one exchange by project
+    plan = totals._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(project_id") == 1 and plan.index("REPARTITION_BY_COL") > plan.rindex("Aggregate")
+    assert sorted((r.project_id, r.total, r.critical, r.warnings, r.error) for r in totals.collect()) == [(1, 6, 4, 2, "down"), (2, 0, 0, 0, None)]
+
+
+def test_page_facts_are_held_for_some_pages_at_once(spark):
+    class Pages:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            return run
+
+    n = 2 * html.STEP + 1
+    pages = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array(["u"] * n), pa.array([None, *(f"<title>{i}</title>" for i in range(1, n))])], names=["page_id", "url", "html"])
+    out = list(html.extract_page_facts(Pages())(iter([pages])))
+    assert [b.num_rows for b in out] == [html.STEP, html.STEP, 1]
+    assert pa.Table.from_batches(out).select(["page_id", "title"]).to_pylist() == [{"page_id": i, "title": str(i) if i else None} for i in range(n)]
