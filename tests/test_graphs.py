@@ -410,3 +410,10 @@ def test_stream_upsert_pages_has_a_file_from_each_task(spark, tmp_path, monkeypa
     assert len(seen["files"]) > 4 and seen["batch"] == -(-len(seen["files"]) // 4)
     want = view(spark, str(tmp_path), "page_facts").selectExpr("project_id", "'https://x/' || (page_id % 300) AS url", "coalesce(title, chr(0)) AS title", "page_id AS seq")
     assert got == rows_of(stream.last_results(want).drop("seq"))
+
+
+def test_pulls_that_are_dealt_by_project_stay_where_they_are(spark, tmp_path):
+    rows = spark.range(300).selectExpr("id % 7 AS l_suppkey", "id AS l_partkey", "id % 3 AS l_linenumber", "make_date(1992 + int(id % 5), 1, 1) AS l_shipdate")
+    rows.write.parquet(f"{tmp_path}/lineitem.parquet")
+    plan = graphs.backlink_history(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(l_suppkey" in plan and "source_url#" not in "".join(x for x in plan.splitlines() if "Exchange hash" in x)

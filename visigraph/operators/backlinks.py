@@ -47,9 +47,10 @@ def backlink_history(pulls: DataFrame, calendar: DataFrame) -> DataFrame:
     succeeded, empty ones too. first and last are those of the links; lost is the first pull after the last one that had it; episodes
     counts its runs of consecutive pulls. anchor and is_follow are those of the first pull, spam_score is the latest known; they are given where
     pulls have them."""
-    ranked = calendar.select("project_id", "pull_no").distinct().withColumn("k", F.row_number().over(Window.partitionBy("project_id").orderBy("pull_no")))
-    following = ranked.withColumn("following", F.lead("pull_no").over(Window.partitionBy("project_id").orderBy("pull_no")))
-    rows = pulls.join(following, ["project_id", "pull_no"])
+    # a project has few pulls, so they are joined as one list, by project alone: pulls that are dealt by project stay where they are
+    days = calendar.where("pull_no IS NOT NULL").groupBy("project_id").agg(F.array_sort(F.collect_set("pull_no")).alias("_days"))
+    dated = pulls.join(days, "project_id").withColumn("k", F.array_position("_days", F.col("pull_no"))).where("k > 0")
+    rows = dated.withColumn("following", F.get("_days", F.col("k").cast("int"))).drop("_days")
     island = rows.withColumn("_new", (F.col("k") - F.coalesce(F.lag("k").over(Window.partitionBy(*KEY).orderBy("k")), F.lit(-1)) > 1).cast("int"))
     known = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("pull_no"))).alias(c)
     more = [F.min_by(c, "pull_no").alias(c) for c in ("anchor", "is_follow") if c in pulls.columns] + [known(c) for c in ("spam_score",) if c in pulls.columns]

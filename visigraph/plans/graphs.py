@@ -128,6 +128,11 @@ def extract_sitemap_urls(s: SparkSession, d: str) -> DataFrame:
 # Backlinks.
 
 
+def pulls_by_project(s: SparkSession, d: str) -> DataFrame:
+    """The pulls of a project lie in one task, so that they are made distinct, ordered and combined there, without a further exchange of their texts."""
+    return detailed(view(s, d, "backlink_pulls", "l_suppkey"))
+
+
 def calendar(pulls: DataFrame) -> DataFrame:
     """Every pull of every project, those without links too; there are few pulls."""
     numbers = sorted(r[0] for r in pulls.select("pull_no").distinct().collect())
@@ -140,14 +145,14 @@ h AS (SELECT project_id, source_url, target_url, min(pull_no) AS first_seen, max
 
 @job("backlink_history", using("backlink_pulls", f"{_HISTORY} SELECT project_id, source_url, target_url, first_seen, last_seen, lost_at, episodes, domain_rank, anchor, is_follow, CAST(spam_score AS INT) AS spam_score FROM h"))
 def backlink_history(s: SparkSession, d: str) -> DataFrame:
-    pulls = detailed(view(s, d, "backlink_pulls"))
+    pulls = pulls_by_project(s, d)
     return backlinks.backlink_history(pulls, calendar(pulls))
 
 
 @job("backlink_history_folded", using("backlink_pulls", f"{_HISTORY} SELECT project_id, source_url, target_url, first_seen, last_seen, lost_at, episodes, domain_rank, anchor, is_follow, CAST(spam_score AS INT) AS spam_score FROM h"))
 def backlink_history_folded(s: SparkSession, d: str) -> DataFrame:
     """The same rows from three parts: the pulls up to 1993, those up to 1996 and the rest, each folded into the history before it."""
-    pulls = detailed(view(s, d, "backlink_pulls"))
+    pulls = pulls_by_project(s, d)
     days = calendar(pulls)
     history = None
     for part in ("pull_no <= 1993", "pull_no > 1993 AND pull_no <= 1996", "pull_no > 1996"):
