@@ -313,6 +313,24 @@ def test_overlaps_of_results_on_many_pages(spark, monkeypatch, block, pages):
         assert {row.keyword_id: (row.cluster, row.n_keywords, row.shared_urls) for row in clusters.serp_overlap_clusters(items, least).collect()} == {k: (find(k), len(mates[find(k)]), shared[k]) for k in root}
 
 
+def test_overlaps_rewrite_a_url_once_and_keep_shared_keys_only(spark):
+    """Rows of items are joined to numbers of their URLs as given, and keys of one keyword go before anything is joined to them."""
+    scratch(spark, "x")
+    rows = [(k, i, "organic", u) for k in range(40) for i, u in enumerate(["https://www.A.example/x/", "a.example/x", "a.example/x", f"b{k}.example", f"c{k}.example"])]
+    odd = [(50, 1, "organic", "#top"), (51, 1, None, "a.example/x"), (52, 1, "paid", "a.example/x"), (None, 1, "organic", "a.example/x"), (53, 1, "organic", "a.example/x"), (54, 1, "organic", "https://A.example/x#y")]
+    items = spark.createDataFrame(rows + odd, "keyword_id int, pos int, item_type string, url string")
+    numbers = clusters.numbered(items)
+    assert numbers.count() == 84 and numbers.where("no IS NOT NULL").select("no").distinct().count() == 81
+    sets = clusters.result_sets(items, numbers)
+    assert "regexp" not in sets._jdf.queryExecution().toString() and {r.keyword_id: len(r.results) for r in sets.collect()} == {**dict.fromkeys(range(40), 3), 50: 0, 51: 0, 52: 0, None: 1, 53: 1, 54: 1}
+    ids = sets.where("size(results) > 0 AND keyword_id < 40").select(F.col("keyword_id").alias("id"), F.size("results").alias("n"), "results").withColumn("at", F.lit(0))
+    first = clusters.longer(ids, 0, 0.4)
+    assert clusters.met(clusters.longer(first, 1, 0.1), 2).count() == 0
+    assert {(r.b is not None, r.n_b) for r in clusters.met(clusters.longer(ids, 0, 0.1), 1).collect()} == {(True, 3)}
+    got = {r.keyword_id: (r.cluster, r.n_keywords, r.shared_urls) for r in clusters.serp_overlap_clusters(items, 0.4).collect()}
+    assert got == {**{k: (k, 1, []) for k in [*range(40), 50, 51, 52]}, None: (None, 1, []), 53: (53, 3, ["a.example/x"]), 54: (53, 3, ["a.example/x"])}
+
+
 def test_result_urls(spark):
     rows = spark.createDataFrame([("https://WWW.A.example/B/?q=1#x",), ("A.example/B//",), (" http://a.example ",), ("#top",), (None,)], "url string")
     assert [r[0] for r in rows.select(clusters.result_url(F.col("url"))).collect()] == ["a.example/B/?q=1", "a.example/B", "a.example", "", None]

@@ -31,16 +31,24 @@ def result_url(c: Column) -> Column:
     return F.concat(bare_domain(part("([^/?# \\t\\r\\n]*)")), F.rtrim(F.rtrim(part("[^/?# \\t\\r\\n]*([^#]*)")), F.lit("/")))
 
 
-def organic_urls(items: DataFrame) -> DataFrame:
-    """(keyword_id, url), each once; a keyword without organic results has no row."""
-    return items.where("item_type = 'organic'").select("keyword_id", result_url(F.col("url")).alias("url")).where("url <> ''").distinct()
+#: An item that may have a URL to compare.
+ORGANIC = "coalesce(item_type = 'organic' AND url IS NOT NULL, false)"
 
 
-def result_sets(urls: DataFrame) -> DataFrame:
-    """(keyword_id, results): the keyword's results as numbers, the rarest first."""
-    numbers = urls.groupBy("url").agg(F.count("*").alias("n")).withColumn("no", F.monotonically_increasing_id()).checkpoint()
-    rows = urls.join(numbers, "url").groupBy("keyword_id").agg(F.array_sort(F.collect_list(F.struct("n", "no"))).alias("r"))
-    return rows.select("keyword_id", F.col("r.no").alias("results"))
+def numbered(items: DataFrame) -> DataFrame:
+    """(raw, url, no), stored: each organic URL as it is given, as it is compared, and the number of the latter, the rarest first.
+    A URL is rewritten once, however many items have it; url and no are null where nothing is left of it."""
+    urls = items.where(ORGANIC).groupBy(F.col("url").alias("raw")).agg(F.count("*").alias("n")).withColumn("url", result_url(F.col("raw"))).checkpoint()
+    counts = urls.where("url <> ''").groupBy("url").agg(F.sum("n").alias("n"))
+    numbers = counts.orderBy("n").select("url", F.monotonically_increasing_id().alias("no"))
+    return urls.select("raw", "url").join(numbers, "url", "left").select("raw", F.when(F.col("no").isNotNull(), F.col("url")).alias("url"), "no").checkpoint()
+
+
+def result_sets(items: DataFrame, numbers: DataFrame) -> DataFrame:
+    """(keyword_id, results): the keyword's different results as numbers, the rarest first; none where it has no organic result."""
+    found = items.where(ORGANIC).select("keyword_id", F.col("url").alias("raw")).join(numbers.select("raw", "no"), "raw").select("keyword_id", "no")
+    rows = found.unionByName(items.where(f"NOT {ORGANIC}").select("keyword_id", F.lit(None).cast("long").alias("no")))
+    return rows.groupBy("keyword_id").agg(F.sort_array(F.collect_set("no")).alias("results"))
 
 
 def least_shared(n: Column, least: float) -> Column:
@@ -66,12 +74,19 @@ def jaccard(a: str, b: str) -> Column:
     return shared / (F.size(a) + F.size(b) - shared)
 
 
-def stars(rows: DataFrame, sets: DataFrame, length: int, least: float) -> DataFrame:
-    """Links (a, b) of the keywords of each key with a smallest one."""
-    heads = rows.groupBy(*names(length)).agg(F.min_by("id", "n").alias("b"), F.count("*").alias("_m")).where("_m > 1").drop("_m")
-    met = rows.join(heads, names(length)).where("id <> b").select("id", "b", "results").distinct()
+def met(rows: DataFrame, length: int) -> DataFrame:
+    """Of rows(k1, .., id, n, at), those whose key has further ids, with b, a smallest id of the key, and its size n_b. Most keys have one
+    id, so what follows reads few of the rows."""
+    heads = rows.groupBy(*names(length)).agg(F.min_by("id", "n").alias("b"), F.min("n").alias("n_b"), F.count("*").alias("_m")).where("_m > 1").drop("_m")
+    return rows.select(*names(length), "id", "n", "at").join(heads, names(length))
+
+
+def stars(shared: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) of the ids of shared, rows of `met`, with the smallest one of their key."""
+    pairs = shared.where("id <> b").where(F.col("n_b") >= F.col("n") * least - NEAR).select("id", "b").distinct()
     other = sets.select(F.col("id").alias("b"), F.col("results").alias("_other"))
-    return met.join(other, "b").where(jaccard("results", "_other") >= least - NEAR).select(F.col("id").alias("a"), "b")
+    both = pairs.join(sets.select("id", "results"), "id").join(other, "b")
+    return both.where(jaccard("results", "_other") >= least - NEAR).select(F.col("id").alias("a"), "b")
 
 
 def close_pairs(rows: DataFrame, length: int, least: float, apart: bool) -> DataFrame:
@@ -94,22 +109,22 @@ def linked(sets: DataFrame, least: float) -> DataFrame:
     first = longer(sets.withColumn("at", F.lit(0)), 0, least)
     # one common result is enough between small sets only
     small = first.where(F.col("n") * least <= 1 + NEAR)
-    rows, length = longer(first, 1, least).checkpoint(), 2
-    roots = components(stars(small, sets, 1, least).unionByName(stars(rows, sets, 2, least))).checkpoint()
+    rows, length = met(longer(first, 1, least), 2).checkpoint(), 2
+    roots = components(stars(met(small, 1), sets, least).unionByName(stars(rows, sets, least))).checkpoint()
     while True:
         on = names(length)
-        rooted = rows.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+        rooted = rows.drop("b", "n_b").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
         mixed = rooted.groupBy(*on).agg(F.count("*").alias("m"), (F.min("root") < F.max("root")).alias("mixed")).where("mixed").drop("mixed")
-        rooted = rooted.join(mixed, on).checkpoint()
+        rooted = rooted.join(mixed, on).join(sets.select("id", "results"), "id").checkpoint()
         if rooted.isEmpty():
             return roots
         more = close_pairs(rooted.where(F.col("m") <= BLOCK), length, least, apart=True).select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct()
         wide = rooted.where(F.col("m") > BLOCK)
         ended = wide.isEmpty()
         if not ended:
-            rows = longer(wide, length, least).checkpoint()
+            rows = met(longer(wide, length, least), length + 1).checkpoint()
             length += 1
-            more = more.unionByName(stars(rows, sets, length, least))
+            more = more.unionByName(stars(rows, sets, least))
         roots = components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(more)).checkpoint()
         if ended:
             return roots
@@ -117,7 +132,7 @@ def linked(sets: DataFrame, least: float) -> DataFrame:
 
 def serp_overlap(items: DataFrame, least: float = 0.4) -> DataFrame:
     """(a, b, shared, jaccard) of all keywords whose organic results overlap so far; a pair that shares the results of several keys is compared at the first."""
-    sets = result_sets(organic_urls(items)).select(F.col("keyword_id").alias("id"), F.size("results").alias("n"), "results").checkpoint()
+    sets = result_sets(items, numbered(items)).where("size(results) > 0").select(F.col("keyword_id").alias("id"), F.size("results").alias("n"), "results").checkpoint()
     first = longer(sets.withColumn("at", F.lit(0)), 0, least)
     common = F.array_intersect("r_a", "r_b")
     one = close_pairs(first.where(F.col("n") * least <= 1 + NEAR), 1, least, apart=False).where(F.size(common) == 1)
@@ -130,15 +145,21 @@ def serp_overlap_clusters(items: DataFrame, least: float = 0.4) -> DataFrame:
     """(keyword_id, cluster, n_keywords, shared_urls) of items(keyword_id, item_type, url): cluster is the smallest keyword that each reaches over
     overlaps of `least` or more, n_keywords its size, and shared_urls lists the keyword's results that another keyword of the cluster has too. Keywords of
     equal results are compared as one; those without organic results are alone."""
-    urls = organic_urls(items).checkpoint()
-    sets = result_sets(urls).checkpoint()
-    same = sets.groupBy("results").agg(F.min("keyword_id").alias("id"))
-    members = sets.join(same, "results").select("keyword_id", "id").checkpoint()
-    roots = linked(same.select("id", F.size("results").alias("n"), "results").checkpoint(), least)
-    found = members.join(roots, "id", "left").select("keyword_id", F.coalesce("root", "id").alias("cluster")).checkpoint()
-    own = urls.join(found, "keyword_id")
-    shared = own.groupBy("cluster", "url").agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    reasons = own.join(shared, ["cluster", "url"]).groupBy("keyword_id").agg(F.array_sort(F.collect_list("url")).alias("shared_urls"))
-    sizes = found.groupBy("cluster").agg(F.count("*").alias("n_keywords"))
-    rows = items.select("keyword_id").distinct().join(found, "keyword_id", "left").join(sizes, "cluster", "left").join(reasons, "keyword_id", "left")
-    return rows.select("keyword_id", F.coalesce("cluster", "keyword_id").alias("cluster"), F.coalesce("n_keywords", F.lit(1)).alias("n_keywords"), F.coalesce("shared_urls", F.array().cast("array<string>")).alias("shared_urls"))
+    numbers = numbered(items)
+    # the hash stands first, as numbers sort faster than arrays
+    sets = result_sets(items, numbers).withColumn("h", F.xxhash64("results")).checkpoint()
+    organic = F.size("results") > 0
+    same = sets.where(organic).groupBy("h", "results").agg(F.min("keyword_id").alias("id"), F.count("*").alias("held")).withColumn("n", F.size("results")).checkpoint()
+    roots = linked(same.select("id", "n", "results"), least)
+    found = same.join(roots, "id", "left").withColumn("cluster", F.coalesce("root", "id")).drop("root").checkpoint()
+    sizes = found.groupBy("cluster").agg(F.sum("held").alias("n_keywords")).where("n_keywords > 1")
+    many = found.join(sizes, "cluster").select("cluster", "n_keywords", "h", "results", "held").checkpoint()
+    own = many.select("cluster", "h", "results", "held", F.explode("results").alias("no"))
+    shared = own.groupBy("cluster", "no").agg(F.sum("held").alias("_n")).where("_n > 1").drop("_n").join(numbers.where("no IS NOT NULL").select("no", "url").distinct(), "no")
+    reasons = own.join(shared, ["cluster", "no"]).groupBy("h", "results").agg(F.array_sort(F.collect_list("url")).alias("shared_urls"))
+    topics = many.drop("held").join(reasons, ["h", "results"]).select("h", "results", "cluster", "n_keywords", "shared_urls")
+    nothing = F.array().cast("array<string>")
+    known = F.col("keyword_id").isNotNull()
+    joined = sets.where(organic).join(topics, ["h", "results"], "left").select("keyword_id", *(F.when(known, F.col(c)).alias(c) for c in ("cluster", "n_keywords", "shared_urls")))
+    alone = sets.where(~organic).select("keyword_id", F.col("keyword_id").alias("cluster"), F.lit(1).cast("long").alias("n_keywords"), nothing.alias("shared_urls"))
+    return joined.select("keyword_id", F.coalesce("cluster", "keyword_id").alias("cluster"), F.coalesce("n_keywords", F.lit(1)).alias("n_keywords"), F.coalesce("shared_urls", nothing).alias("shared_urls")).unionByName(alone)
