@@ -313,6 +313,30 @@ def test_overlaps_of_results_on_many_pages(spark, monkeypatch, block, pages):
         assert {row.keyword_id: (row.cluster, row.n_keywords, row.shared_urls) for row in clusters.serp_overlap_clusters(items, least).collect()} == {k: (find(k), len(mates[find(k)]), shared[k]) for k in root}
 
 
+def test_components_lay_ids_with_one_link_aside(spark):
+    """Paths, stars, single links and random links; and roots follow what they are joined to."""
+    from visigraph.functions.graph import components, moved
+
+    scratch(spark, "x")
+    r = random.Random(4)
+    links = [(i, i + 1) for i in range(60)] + [(100, 101 + i) for i in range(30)] + [(200, 201), (205, 204), (204, 205), (210, 210)] + [(300 + r.randrange(90), 300 + r.randrange(90)) for _ in range(70)]
+    root = {x: x for link in links for x in link}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    got = components(spark.createDataFrame(links, "a long, b long")).collect()
+    assert len(got) == len({x.id for x in got}) and {x.id: x.root for x in got} == {x: find(x) for x in root if find(x) != x}
+    assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+    rows = spark.createDataFrame([(5, 3), (6, 4)], "id long, root long")
+    assert sorted(map(tuple, moved(rows, spark.createDataFrame([(3, 1)], "id long, root long")).collect())) == [(5, 1), (6, 4)]
+
+
 def test_overlaps_rewrite_a_url_once_and_keep_shared_keys_only(spark):
     """Rows of items are joined to numbers of their URLs as given, and keys of one keyword go before anything is joined to them."""
     scratch(spark, "x")

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.graph import components
+from ..functions.graph import components, moved
 from ..functions.text import bare_domain
 
 #: Most keywords of a key that are compared with each other.
@@ -45,8 +45,9 @@ def numbered(items: DataFrame) -> DataFrame:
 
 
 def result_sets(items: DataFrame, numbers: DataFrame) -> DataFrame:
-    """(keyword_id, results): the keyword's different results as numbers, the rarest first; none where it has no organic result."""
-    found = items.where(ORGANIC).select("keyword_id", F.col("url").alias("raw")).join(numbers.select("raw", "no"), "raw").select("keyword_id", "no")
+    """(keyword_id, results): the keyword's different results as numbers, the rarest first; none where it has no organic result. A task
+    hashes the numbers that are dealt to it, so the items need no sort by URL."""
+    found = items.where(ORGANIC).select("keyword_id", F.col("url").alias("raw")).join(numbers.select("raw", "no").hint("shuffle_hash"), "raw").select("keyword_id", "no")
     rows = found.unionByName(items.where(f"NOT {ORGANIC}").select("keyword_id", F.lit(None).cast("long").alias("no")))
     return rows.groupBy("keyword_id").agg(F.sort_array(F.collect_set("no")).alias("results"))
 
@@ -78,7 +79,7 @@ def met(rows: DataFrame, length: int) -> DataFrame:
     """Of rows(k1, .., id, n, at), those whose key has further ids, with b, a smallest id of the key, and its size n_b. Most keys have one
     id, so what follows reads few of the rows."""
     heads = rows.groupBy(*names(length)).agg(F.min_by("id", "n").alias("b"), F.min("n").alias("n_b"), F.count("*").alias("_m")).where("_m > 1").drop("_m")
-    return rows.select(*names(length), "id", "n", "at").join(heads, names(length))
+    return rows.select(*names(length), "id", "n", "at").join(heads.hint("shuffle_hash"), names(length))
 
 
 def stars(shared: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -124,8 +125,12 @@ def linked(sets: DataFrame, least: float) -> DataFrame:
         if not ended:
             rows = met(longer(wide, length, least), length + 1).checkpoint()
             length += 1
-            more = more.unionByName(stars(rows, sets, least))
-        roots = components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(more)).checkpoint()
+            ids = stars(rows, sets, least)
+            tops = moved(moved(ids.select(F.col("a").alias("id"), F.col("b").alias("root")), roots).select(F.col("root").alias("id"), F.col("id").alias("root")), roots)
+            more = more.unionByName(tops.select(F.col("id").alias("a"), F.col("root").alias("b")).distinct())
+        # links between roots only: what they join moves with them
+        tops = components(more)
+        roots = moved(roots, tops).union(tops).checkpoint()
         if ended:
             return roots
 
@@ -153,11 +158,11 @@ def serp_overlap_clusters(items: DataFrame, least: float = 0.4) -> DataFrame:
     roots = linked(same.select("id", "n", "results"), least)
     found = same.join(roots, "id", "left").withColumn("cluster", F.coalesce("root", "id")).drop("root").checkpoint()
     sizes = found.groupBy("cluster").agg(F.sum("held").alias("n_keywords")).where("n_keywords > 1")
-    many = found.join(sizes, "cluster").select("cluster", "n_keywords", "h", "results", "held").checkpoint()
-    own = many.select("cluster", "h", "results", "held", F.explode("results").alias("no"))
+    many = found.join(sizes, "cluster").select("cluster", "n_keywords", "id", "h", "results", "held").checkpoint()
+    own = many.select("cluster", "id", "held", F.explode("results").alias("no"))
     shared = own.groupBy("cluster", "no").agg(F.sum("held").alias("_n")).where("_n > 1").drop("_n").join(numbers.where("no IS NOT NULL").select("no", "url").distinct(), "no")
-    reasons = own.join(shared, ["cluster", "no"]).groupBy("h", "results").agg(F.array_sort(F.collect_list("url")).alias("shared_urls"))
-    topics = many.drop("held").join(reasons, ["h", "results"]).select("h", "results", "cluster", "n_keywords", "shared_urls")
+    reasons = own.join(shared, ["cluster", "no"]).groupBy("id").agg(F.array_sort(F.collect_list("url")).alias("shared_urls"))
+    topics = many.drop("held").join(reasons, "id").select("h", "results", "cluster", "n_keywords", "shared_urls")
     nothing = F.array().cast("array<string>")
     known = F.col("keyword_id").isNotNull()
     joined = sets.where(organic).join(topics, ["h", "results"], "left").select("keyword_id", *(F.when(known, F.col(c)).alias(c) for c in ("cluster", "n_keywords", "shared_urls")))
