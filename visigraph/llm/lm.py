@@ -22,6 +22,7 @@ empty table gives no rows; other columns are not read.
 from __future__ import annotations
 
 import base64
+import math
 import os
 from collections.abc import Callable, Iterator
 
@@ -41,6 +42,8 @@ SEGMENT_BYTES = 12 << 20
 WARM = 16
 #: Learning rates of the two rounds.
 RATES = (0.01, 0.004)
+#: Segments whose words, all of them, are as many as those of a part of the word counts.
+PART = 4
 #: Rows of the tree's nodes.
 FAN = 32
 #: Subwords of the tokenizer, then the end token; START and BEFORE only occur as inputs.
@@ -60,7 +63,7 @@ SCALE = DIM**-0.5
 #: Counts within a class that a kind of subword before needs to outweigh those of all kinds.
 PRIOR = 200.0
 
-SEGMENTS = "segment int, doc_ids array<long>, held array<boolean>, n_words array<long>, codes binary, hashes array<long>, counts array<int>, pieces binary, piece_counts binary"
+SEGMENTS = "segment int, doc_ids array<long>, held array<boolean>, n_words array<long>, codes binary, hashes binary, counts binary, trained long, pieces binary, piece_counts binary"
 
 
 # Subwords.
@@ -143,13 +146,20 @@ def segment_row(segment: int, ids: list, held: list, texts: pa.Array, subwords:
     words, n_words = words_of(texts, SPACE_BYTES)
     n_words, held = np.asarray(n_words, np.int64), np.array(held, bool)
     coded = words.dictionary_encode()
-    codes, distinct = np.asarray(coded.indices, np.int32), coded.dictionary.to_pylist()
+    codes, distinct = np.asarray(coded.indices, np.int32), listed(coded.dictionary)
     if b"\xff" in words.buffers()[2].to_pybytes():
         distinct = [w.replace(b"\xff", b"\0") for w in distinct]
-    trained = np.repeat(~held, n_words)
+    trained = np.bincount(codes[np.repeat(~held, n_words)], minlength=len(distinct)).astype(np.int32)
     pieces, counts = subwords.encode(distinct)
-    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), np.uint64, len(distinct)).view(np.int64)
-    return {"segment": segment, "doc_ids": ids, "held": held, "n_words": n_words, "codes": pack(codes), "hashes": hashes, "counts": np.bincount(codes[trained], minlength=len(distinct)).astype(np.int32), "pieces": pack(pieces), "piece_counts": pack(counts.astype(np.uint16))}
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), np.uint64, len(distinct))
+    return {"segment": segment, "doc_ids": ids, "held": held, "n_words": n_words, "codes": pack(codes), "hashes": pack(hashes), "counts": pack(trained), "trained": int(trained.sum()), "pieces": pack(pieces), "piece_counts": pack(counts.astype(np.uint16))}
+
+
+def listed(words: pa.LargeBinaryArray) -> list[bytes]:
+    """The words, which hold no space, as Python objects: all at once, not one by one."""
+    offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    return np.insert(data, offsets[1:-1] - offsets[0], 0x20).tobytes().split(b" ") if len(words) else []
 
 
 def tokens_of(r: dict, held: bool | None = False, most: int = 200_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -188,7 +198,7 @@ def documents(codes: np.ndarray, n_words: np.ndarray, pieces: np.ndarray, counts
 
 def segments_of(docs: DataFrame, tokenizer: str, segment_bytes: int) -> DataFrame:
     small_batches(docs.sparkSession)
-    kind = pa.schema([("segment", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("n_words", pa.list_(pa.int64())), ("codes", pa.binary()), ("hashes", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("pieces", pa.binary()), ("piece_counts", pa.binary())])
+    kind = pa.schema([("segment", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("n_words", pa.list_(pa.int64())), ("codes", pa.binary()), ("hashes", pa.binary()), ("counts", pa.binary()), ("trained", pa.int64()), ("pieces", pa.binary()), ("piece_counts", pa.binary())])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         subwords, now = Subwords(tokenizer), None
@@ -223,8 +233,10 @@ def segments_of(docs: DataFrame, tokenizer: str, segment_bytes: int) -> DataFram
 # The model.
 
 
-def softmax_parts(x: np.ndarray) -> np.ndarray:
-    return np.exp(np.clip(x, -20, 20))
+def abreast(x: np.ndarray, f: np.ufunc, row: np.ndarray) -> None:
+    """f(x, row) for each row of x, in place. A row repeated until it is long spares numpy a short loop for each."""
+    many = math.gcd(len(x), NEW)
+    f(x.reshape(len(x) // many, -1), np.tile(row, many), out=x.reshape(len(x) // many, -1))
 
 
 class Model:
@@ -270,99 +282,109 @@ class Model:
         p = self.p
         inputs, begins, at = streams(tokens, lengths)
         rows = self.row_of[inputs]
-        keys, values = p["E"] @ p["K"], np.concatenate([p["E"] @ p["V"], np.ones((len(p["E"]), 1), np.float32)], axis=1)
-        queries, direct = p["E"] @ p["Q"] * SCALE, p["E"] @ p["H"][DIM:] + p["h"]
+        queries, direct = p["E"] @ (p["Q"] @ p["K"].T * SCALE), p["E"] @ p["H"][DIM:] + p["h"]
+        mixed = p["V"] @ p["H"][:DIM]
         target = np.zeros(len(inputs), np.int32)
         target[at] = self.class_of[tokens]
         out = np.empty(len(inputs), np.float32)
         bias = p["R"]
         last = len(inputs) // NEW
-        ones = np.ones((CLASSES, 1), np.float32) * self.has[:, None]
+        nought, spots = np.zeros(HIDDEN, np.float32), np.arange(0, BATCH * NEW * CLASSES, CLASSES)
+        every, ones = np.ones((WIDE, 1), np.float32), np.ones((CLASSES, 1), np.float32) * self.has[:, None]
         for s in range(1, last, BATCH):
             e = min(last, s + BATCH)
             own = rows[(s - 1) * NEW : e * NEW]
-            k, v = keys.take(own, axis=0), values.take(own, axis=0)
+            x = p["E"].take(own, axis=0)
             n = e - s
-            wide = lambda x: np.lib.stride_tricks.as_strided(x, (n, WIDE, x.shape[1]), (NEW * x.strides[0], *x.strides))  # noqa: B023, E731
-            a = queries.take(own[NEW:], axis=0).reshape(n, NEW, DIM) @ wide(k).transpose(0, 2, 1)
+            seen = np.lib.stride_tricks.as_strided(x, (n, WIDE, DIM), (NEW * x.strides[0], *x.strides))
+            a = queries.take(own[NEW:], axis=0).reshape(n, NEW, DIM) @ seen.swapaxes(1, 2)
             a += bias
             np.clip(a, -20, 20, out=a)
             np.exp(a, out=a)
             a *= self.mask
-            c = (a @ wide(v)).reshape(n * NEW, DIM + 1)
-            hidden = (c[:, :DIM] / c[:, DIM:]) @ p["H"][:DIM]
+            c = (a @ seen).reshape(n * NEW, DIM)
+            c /= a.reshape(n * NEW, WIDE) @ every
+            hidden = c @ mixed
             hidden += direct.take(own[NEW:], axis=0)
-            np.maximum(hidden, 0, out=hidden)
+            abreast(hidden, np.maximum, nought)
             logits = hidden @ p["O"]
-            logits += p["o"]
+            abreast(logits, np.add, p["o"])
             np.clip(logits, -20, 20, out=logits)
-            picked = logits[np.arange(n * NEW), target[s * NEW : e * NEW]]
+            picked = logits.ravel().take(spots[: n * NEW] + target[s * NEW : e * NEW])
             np.exp(logits, out=logits)
             out[s * NEW : e * NEW] = picked - np.log((logits @ ones)[:, 0])
         return out[at] + self.log_in[tokens, kinds_before(tokens, lengths)]
 
     def loss(self, inputs: np.ndarray, targets: np.ndarray) -> tuple[float, dict]:
         """Mean loss over the classes of runs of windows, and its gradient. inputs: (runs, windows + 1, NEW), as neighbouring windows
-        share a row; targets: (runs, windows, NEW), or NONE."""
+        share a row; targets: (runs, windows, NEW), or NONE. Q with K, and V with the part of H that reads it, are multiplied before
+        any token is, so attention meets the embeddings themselves; it is divided by its sum only after that."""
         p = self.p
         runs, n = targets.shape[:2]
-        rows = self.row_of[inputs]
+        rows = self.row_of.take(inputs.ravel())
         wanted = targets.ravel()
         live = (wanted != NONE).astype(np.float32)
-        target = self.class_of[np.where(wanted == NONE, 0, wanted)]
-        every, one = np.arange(len(wanted)), np.ones((1, len(wanted)), np.float32)
-        x = p["E"].take(rows.ravel(), axis=0)
-        sides, asked = np.concatenate([p["K"], p["V"]], axis=1), p["Q"] * SCALE
-        both = (x @ sides).reshape(runs, (n + 1) * NEW, 2 * DIM)
-        xq = x.reshape(runs, n + 1, NEW * DIM)[:, 1:].reshape(-1, DIM)
-        wide = lambda t: np.lib.stride_tricks.as_strided(t, (runs, n, WIDE, DIM), (t.strides[0], NEW * t.strides[1], *t.strides[1:]))
-        k, v = wide(both[:, :, :DIM]), wide(both[:, :, DIM:])
-        q = (xq @ asked).reshape(runs, n, NEW, DIM)
-        a = q @ k.swapaxes(2, 3)
+        spot = np.arange(0, len(wanted) * CLASSES, CLASSES) + self.class_of.take(wanted, mode="clip")
+        one = np.ones((1, len(wanted)), np.float32)
+        upper, lower = p["H"][:DIM], p["H"][DIM:]
+        asked, into = p["Q"] @ p["K"].T * SCALE, np.concatenate([p["V"] @ upper, lower])
+        x = p["E"].take(rows, axis=0).reshape(runs, n + 1, NEW, DIM)
+        z = np.empty((len(wanted), 2 * DIM), x.dtype)  # what attention gives, then the input itself
+        c, own = z[:, :DIM], z[:, DIM:]
+        own.reshape(runs, n, NEW, DIM)[:] = x[:, 1:]
+        seen = np.lib.stride_tricks.as_strided(x, (runs, n, WIDE, DIM), x.strides)
+        across = seen.swapaxes(2, 3)
+        both = np.empty((runs, n, 2 * NEW, DIM), x.dtype)  # queries, then the gradient of what attention gives
+        both[:, :, :NEW] = (own @ asked).reshape(runs, n, NEW, DIM)
+        weights = np.empty((runs, n, 2 * NEW, WIDE), x.dtype)  # the gradient of attention, then attention
+        a = both[:, :, :NEW] @ across
         a += p["R"]
         np.clip(a, -20, 20, out=a)
         np.exp(a, out=a)
-        a *= self.mask
-        a /= (a.reshape(-1, WIDE) @ np.ones((WIDE, 1), np.float32)).reshape(runs, n, NEW, 1)
-        z = np.concatenate([(a @ v).reshape(-1, DIM), xq], axis=1)
-        hidden = z @ p["H"]
-        hidden += p["h"]
-        np.maximum(hidden, 0, out=hidden)
+        a = np.multiply(a, self.mask, out=weights[:, :, NEW:])
+        over = 1 / (a @ np.ones((WIDE, 1), np.float32)).reshape(-1, 1)
+        np.multiply((a @ seen).reshape(-1, DIM), over, out=c)
+        hidden = z @ into
+        abreast(hidden, np.add, p["h"])
+        abreast(hidden, np.maximum, np.zeros_like(p["h"]))
         d = hidden @ p["O"]
-        d += p["o"]
+        abreast(d, np.add, p["o"])
         np.clip(d, -20, 20, out=d)
         np.exp(d, out=d)
-        d *= self.has
+        if not self.has.all():
+            d *= self.has
         total = max(1.0, float(live.sum()))
         sums = (d @ np.ones((CLASSES, 1), np.float32))[:, 0]
-        loss = -float((np.log(d[every, target] / sums) * live).sum()) / total
+        loss = -float((np.log(d.ravel().take(spot) / sums) * live).sum()) / total
         d *= (live / (total * sums))[:, None]
-        d[every, target] -= live / total
+        d.ravel()[spot] -= live / total
         g = {"O": hidden.T @ d, "o": (one @ d)[0]}
         dh = d @ p["O"].T
         dh *= hidden > 0
-        g["H"], g["h"] = z.T @ dh, (one @ dh)[0]
-        dz = dh @ p["H"].T
-        dc = dz.reshape(runs, n, NEW, 2 * DIM)[..., :DIM]
-        ds = dc @ v.swapaxes(2, 3)
-        dv = a.swapaxes(2, 3) @ dc
-        ds -= np.einsum("rnij,rnij->rni", ds, a)[..., None]
+        g["h"] = (one @ dh)[0]
+        dz = dh @ into.T
+        dc = dz[:, :DIM] * over
+        both[:, :, NEW:] = dc.reshape(runs, n, NEW, DIM)
+        ds = (both[:, :, NEW:] @ across).reshape(-1, WIDE)
+        dc *= c
+        ds -= dc @ np.ones((DIM, 1), np.float32)
+        ds = ds.reshape(runs, n, NEW, WIDE)
         ds *= a
+        weights[:, :, :NEW] = ds
         g["R"] = (one[:, : runs * n] @ ds.reshape(runs * n, -1)).reshape(NEW, WIDE)
-        dq = (ds @ k).reshape(-1, DIM)
-        dk = ds.swapaxes(2, 3) @ q
-        folded = np.empty((2, runs, n + 1, NEW, DIM), dz.dtype)  # a row of inputs is in two windows
-        for part, own in ((dk, folded[0]), (dv, folded[1])):
-            own[:, 0], own[:, -1] = part[:, 0, :NEW], part[:, -1, NEW:]
-            np.add(part[:, 1:, :NEW], part[:, :-1, NEW:], out=own[:, 1:-1])
-        dk, dv = folded.reshape(2, -1, DIM)
-        g["Q"], g["K"], g["V"] = xq.T @ dq * SCALE, x.T @ dk, x.T @ dv
-        dx = dk @ p["K"].T
-        dx += dv @ p["V"].T
-        dx = dx.reshape(runs, n + 1, NEW, DIM)
-        dx[:, 1:] += (dz[:, DIM:] + dq @ asked.T).reshape(runs, n, NEW, DIM)
-        flat, key = dx.reshape(-1, DIM), rows.ravel()
-        g["E"] = np.stack([np.bincount(key, flat[:, i], len(p["E"])) for i in range(DIM)], axis=1)
+        dq = (ds @ seen).reshape(-1, DIM)
+        part = weights.swapaxes(2, 3) @ both
+        dx = np.empty_like(x)  # a row of inputs is in two windows
+        dx[:, 0], dx[:, -1] = part[:, 0, :NEW], part[:, -1, NEW:]
+        np.add(part[:, 1:, :NEW], part[:, :-1, NEW:], out=dx[:, 1:-1])
+        direct = dq @ asked.T
+        direct += dz[:, DIM:]
+        dx[:, 1:] += direct.reshape(runs, n, NEW, DIM)
+        asking, mixing = own.T @ dq * SCALE, z.T @ dh
+        g["Q"], g["K"], g["V"] = asking @ p["K"], asking.T @ p["Q"], mixing[:DIM] @ upper.T
+        g["H"] = np.concatenate([p["V"].T @ mixing[:DIM], mixing[DIM:]])
+        cells = np.arange(len(p["E"]) * DIM).reshape(-1, DIM).take(rows, axis=0)
+        g["E"] = np.bincount(cells.ravel(), dx.ravel(), p["E"].size).reshape(-1, DIM)
         return loss, g
 
     def fit(self, inputs: np.ndarray, targets: np.ndarray, rate: float, every: int = 1, seed: int = 3) -> tuple[int, float]:
@@ -373,16 +395,22 @@ class Model:
         rng = np.random.default_rng(seed)
         order = rng.permutation(n)[: -(-n // every)]
         size = int(np.clip(len(order) // 200, 1, RUNS))
-        first, second = np.zeros_like(self.flat), np.zeros_like(self.flat)
+        first, second, flat, step = (np.zeros_like(self.flat) for _ in range(4))
         losses, steps = [], -(-len(order) // size)
         for t in range(1, steps + 1):
             at = order[(t - 1) * size : t * size, None] * RUN + np.arange(RUN + 1)
             loss, g = self.loss(inputs[at], targets[at[:, 1:]])
             losses.append(loss)
-            flat = np.concatenate([g[k].ravel() for k in self.shapes]).astype(np.float32)
-            first += 0.1 * (flat - first)
-            second += 0.01 * (flat * flat - second)
-            self.flat -= (rate * (1 - 0.8 * t / steps) / (1 - 0.9**t)) * first / (np.sqrt(second / (1 - 0.99**t)) + 1e-7)
+            np.concatenate([g[k].ravel() for k in self.shapes], out=flat, casting="same_kind")
+            first *= 0.9
+            first += np.multiply(flat, 0.1, out=step)
+            second *= 0.99
+            second += np.multiply(np.multiply(flat, flat, out=flat), 0.01, out=flat)
+            np.sqrt(np.multiply(second, 1 / (1 - 0.99**t), out=step), out=step)
+            step += 1e-7
+            np.divide(first, step, out=step)
+            step *= rate * (1 - 0.8 * t / steps) / (1 - 0.9**t)
+            self.flat -= step
         return len(order) * RUN, float(np.mean(losses[-20:])) if losses else 0.0
 
 
@@ -476,30 +504,40 @@ def train(segments: DataFrame, work: Work, rates: tuple[float, ...] = RATES, war
 
 
 def word_counts(segments: DataFrame, work: Work) -> tuple[DataFrame, int]:
-    """For each segment the counts, over all training documents, of its words, (segment, c) with c packed in the order of its words, and the
-    number of different words with a count. A word has a row for each segment that holds it at most."""
-    words = segments.select("segment", F.posexplode(F.arrays_zip("hashes", "counts")).alias("at", "x")).select("segment", "at", F.col("x.hashes").alias("word"), F.col("x.counts").alias("c"))
-    totals = work.store(words.where("c > 0").groupBy("word").agg(F.sum("c").alias("total")), "totals")
-    # both sides are tables as stored, so a word that most segments hold can be split
-    rows = words.select("segment", "at", "word").join(totals, "word", "left").select("segment", "at", F.coalesce("total", F.lit(0)).alias("total"))
-    dealt = rows.repartition("segment").sortWithinPartitions("segment", "at").select("segment", "total")
+    """For each segment the counts, over all training documents, of its words, (segment, c) with c packed in the order of their hashes, and
+    the number of different words with a count. Segments send their words, each once, as blocks to parts of the range of hashes; a part adds up
+    what all segments have, and sends each of them its blocks of totals."""
+    parts = -(-segments.count() // PART) or 1
+    kind = pa.schema([("segment", pa.int32()), ("part", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary())])
 
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, parts = None, []
-        row = lambda: pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([pack(np.concatenate(parts))], pa.binary())], names=["segment", "c"])
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own, total = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            cuts = np.flatnonzero(np.diff(own, prepend=own[:1] - 1))
-            for a, b in zip(cuts, np.append(cuts[1:], len(own)), strict=True):
-                if parts and own[a] != now:
-                    yield row()
-                    parts = []
-                now = int(own[a])
-                parts.append(total[a:b])
-        if parts:
-            yield row()
-
-    return work.store(dealt.mapInArrow(write, "segment int, c binary"), "counts"), totals.count()
+            for i in range(batch.num_rows):
+                hashes, counts = unpack(batch.column(1)[i].as_py(), np.uint64), unpack(batch.column(2)[i].as_py(), np.int32)
+                order = np.argsort(hashes)
+                hashes, counts = hashes[order], counts[order]
+                cuts = np.searchsorted(hashes, np.array([(p << 64) // parts for p in range(parts)], np.uint64)).tolist()
+                for part, (a, b) in enumerate(zip(cuts, [*cuts[1:], len(hashes)], strict=True)):
+                    if a < b:
+                        yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((batch.column(0)[i].as_py(), part, pack(hashes[a:b]), pack(counts[a:b])), kind, strict=True)], schema=kind)
+
+    def add(blocks: pa.Table) -> pa.Table:
+        hashes, counts = ([unpack(x.as_py(), k) for x in blocks.column(name)] for name, k in (("hashes", np.uint64), ("counts", np.int32)))
+        words, at = np.unique(np.concatenate(hashes), return_inverse=True)
+        total = np.bincount(at, np.concatenate(counts), len(words)).astype(np.int64)
+        cuts = np.cumsum([len(x) for x in hashes])
+        c = [pack(total[x]) for x in np.split(at, cuts[:-1])]
+        known = np.zeros(len(c), np.int64)
+        known[0] = (total > 0).sum()
+        return pa.table([blocks.column("segment"), blocks.column("part"), pa.array(c, pa.binary()), pa.array(known)], names=["segment", "part", "c", "known"])
+
+    def join(blocks: pa.Table) -> pa.Table:
+        c = [unpack(blocks.column("c")[int(i)].as_py(), np.int64) for i in np.argsort(blocks.column("part").to_numpy())]
+        return pa.table([blocks.column("segment")[:1], pa.array([pack(np.concatenate(c))], pa.binary())], names=["segment", "c"])
+
+    blocks = segments.select("segment", "hashes", "counts").mapInArrow(split, "segment int, part int, hashes binary, counts binary")
+    totals = work.store(blocks.groupBy("part").applyInArrow(lambda t: add(t), "segment int, part int, c binary, known long"), "totals")
+    return work.store(totals.groupBy("segment").applyInArrow(lambda t: join(t), "segment int, c binary"), "counts"), totals.agg(F.sum("known")).first()[0] or 0
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -511,7 +549,7 @@ def score_documents(docs: DataFrame, tokenizer: str = TOKENIZER, segment_bytes:
     work = Work(spark)
     segments = work.store(segments_of(docs, tokenizer, segment_bytes), "segments")
     counts, distinct = word_counts(segments, work)
-    sums = segments.agg(F.sum(F.size(F.filter("held", lambda h: ~h))), F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, b: a + b))).first()
+    sums = segments.agg(F.sum(F.size(F.filter("held", lambda h: ~h))), F.sum("trained")).first()
     ends = sums[0] or 0
     everything = ends + (sums[1] or 0)
     distinct += ends > 0
@@ -522,7 +560,9 @@ def score_documents(docs: DataFrame, tokenizer: str = TOKENIZER, segment_bytes:
             for i in range(batch.num_rows):
                 r = {n: batch.column(n)[i].as_py() for n in batch.schema.names}
                 n_words, codes = np.array(r["n_words"], np.int64), unpack(r["codes"], np.int32)
-                c = unpack(r["c"], np.int64) if r["c"] else np.zeros(0, np.int64)
+                c = np.zeros(len(hashes := unpack(r["hashes"], np.uint64)), np.int64)
+                if len(c):
+                    c[np.argsort(hashes)] = unpack(r["c"], np.int64)
                 logs = np.log10((c + 1) / (everything + (distinct + 1)))
                 cuts = np.concatenate([[0], np.cumsum(n_words)])
                 summed = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[cuts])  # noqa: B023, E731
@@ -535,7 +575,7 @@ def score_documents(docs: DataFrame, tokenizer: str = TOKENIZER, segment_bytes:
                 known = summed((c > 0)[codes].astype(np.int64)) + (ends > 0)
                 yield pa.RecordBatch.from_arrays([pa.array(r["doc_ids"], pa.int64()), pa.array(r["held"]), pa.array(n_words + 1), pa.array(known.astype(np.int64)), pa.array(np.full(n, everything, np.int64)), pa.array(base, pa.float64()), pa.array(np.concatenate(scores), pa.float64())], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    rows = segments.select("segment", "doc_ids", "held", "n_words", "codes", "pieces", "piece_counts").join(counts, "segment", "left")
+    rows = segments.select("segment", "doc_ids", "held", "n_words", "codes", "hashes", "pieces", "piece_counts").join(counts, "segment", "left")
     return rows.drop("segment").mapInArrow(score, SCORES)
 
 
