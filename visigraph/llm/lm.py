@@ -260,6 +260,7 @@ class Model:
         self.p["o"] = share - share.mean()
         self.shapes = {k: v.shape for k, v in self.p.items()}
         self.take(np.concatenate([v.ravel() for v in self.p.values()]))
+        self.cells = np.arange(self.p["E"].size).reshape(-1, DIM)
         ahead = np.arange(WIDE)[None] > NEW + np.arange(NEW)[:, None]
         self.mask = np.where(ahead, 0, 1).astype(np.float32)
 
@@ -341,8 +342,9 @@ class Model:
         a += p["R"]
         np.clip(a, -20, 20, out=a)
         np.exp(a, out=a)
-        a = np.multiply(a, self.mask, out=weights[:, :, NEW:])
-        over = 1 / (a @ np.ones((WIDE, 1), np.float32)).reshape(-1, 1)
+        a *= self.mask
+        weights[:, :, NEW:] = a
+        over = 1 / (a.reshape(-1, WIDE) @ np.ones((WIDE, 1), np.float32))
         np.multiply((a @ seen).reshape(-1, DIM), over, out=c)
         hidden = z @ into
         abreast(hidden, np.add, p["h"])
@@ -383,8 +385,7 @@ class Model:
         asking, mixing = own.T @ dq * SCALE, z.T @ dh
         g["Q"], g["K"], g["V"] = asking @ p["K"], asking.T @ p["Q"], mixing[:DIM] @ upper.T
         g["H"] = np.concatenate([p["V"].T @ mixing[:DIM], mixing[DIM:]])
-        cells = np.arange(len(p["E"]) * DIM).reshape(-1, DIM).take(rows, axis=0)
-        g["E"] = np.bincount(cells.ravel(), dx.ravel(), p["E"].size).reshape(-1, DIM)
+        g["E"] = np.bincount(self.cells.take(rows, axis=0).ravel(), dx.ravel(), p["E"].size).reshape(-1, DIM)
         return loss, g
 
     def fit(self, inputs: np.ndarray, targets: np.ndarray, rate: float, every: int = 1, seed: int = 3) -> tuple[int, float]:
