@@ -164,7 +164,7 @@ def test_base_columns_by_brute_force(spark, segment_bytes):
 
 def test_word_counts_go_in_blocks(spark, monkeypatch):
     """No table has a row for a word: segments send a block to each part of the hashes and get one from it."""
-    docs = documents(spark, [(100 + i, f"word{i % 5} Word{i % 3} only{i} the \x00nul {i}") for i in range(30)], repeat=False)
+    docs = spark.createDataFrame([(100 + i, f"word{i % 5} Word{i % 3} only{i} more{i} other{i} the \x00nul {i}") for i in range(30)], "doc_id long, text string")
     stored, plain = {}, lm.Work.store
 
     def store(work, df, name, *more):
@@ -175,7 +175,7 @@ def test_word_counts_go_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(lm.Work, "store", store)
     got = lm.score_documents(docs, segment_bytes=100).collect()
     segments = stored["segments"]
-    assert segments > 3 * lm.PART and stored["counts"] <= segments and stored["totals"] <= segments * -(-segments // lm.PART)
+    assert segments > 2 * lm.PART and stored["counts"] <= segments and stored["totals"] <= segments * -(-segments // lm.PART) < 80  # words
     want = base({r.doc_id: r.text for r in docs.collect()})
     assert len(got) == len(want) and all((r.held_out, r.n_tokens, r.n_known, r.train_tokens) == want[r.doc_id][:4] and r.base_score == pytest.approx(want[r.doc_id][4], rel=1e-9) for r in got)
 
