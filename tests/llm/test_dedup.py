@@ -4,8 +4,10 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql.classic.dataframe import DataFrame
 
 from visigraph.llm import dedup
+from visigraph.llm.common import join_small
 
 from .edge import documents, nothing
 
@@ -145,6 +147,23 @@ def test_components_of_a_long_path(spark):
     assert dedup.components(links.limit(0), Work(spark)).count() == 0
 
 
+def test_many_ids_are_never_broadcast(spark, monkeypatch):
+    """Tables of more than 100,000 ids, which a counter stands for here, are shuffled, and no other join is left to Spark's own limit."""
+    joins, plain = [], DataFrame.join
+
+    def join(self, other, *how):
+        joins.append(plain(self, other, *how))
+        return joins[-1]
+
+    monkeypatch.setattr(DataFrame, "join", join)
+    monkeypatch.setattr(dedup, "join_small", lambda big, small, on, how, rows, **more: join_small(big, small, on, how, rows + 100_001, **more))
+    texts = corpus()
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    assert {r.doc_id: r.class_id for r in dedup.near_duplicates(docs).collect()} == dedup.brute_force(texts)
+    hints = [x._jdf.queryExecution().optimizedPlan().toString() for x in joins]
+    assert len(hints) > 10 and all("strategy=merge" in x and "strategy=broadcast" not in x for x in hints)
+
+
 def test_bags_give_the_overlap_of_multisets():
     r = random.Random(5)
     texts = [" ".join(r.choices("abcde", k=r.randrange(5, 90))) for _ in range(40)] + ["x y z", "a " * 300]

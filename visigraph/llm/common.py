@@ -95,15 +95,20 @@ def ascii_lower(c: Column | str) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str, rows: int, salt: Column | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Join with a side of `rows` counted rows: broadcast up to `limit`, else shuffled; with `salt`
-    (an int column of big, 0 to 31) each key of big is spread over 32 tasks then."""
-    if rows <= limit:
+def shuffled(rows: DataFrame) -> DataFrame:
+    """A side of a join that Spark never broadcasts: files of some MB may hold a million ids, which take a hundred MB and more of the driver."""
+    return rows.hint("merge")
+
+
+def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str, rows: int, salt: Column | None = None) -> DataFrame:
+    """Join with a side of `rows` counted rows: broadcast up to BROADCAST_ROWS, else shuffled, whatever the size of its files lets Spark
+    choose; with `salt` (an int column of big, 0 to 31) each key of big is spread over 32 tasks then."""
+    if rows <= BROADCAST_ROWS:
         return big.join(F.broadcast(small), on, how)
     if salt is None:
-        return big.join(small, on, how)
+        return big.join(shuffled(small), on, how)
     spread = small.withColumn("_op_salt", F.explode(F.sequence(F.lit(0), F.lit(31))))
-    return big.withColumn("_op_salt", salt).join(spread, [*on, "_op_salt"], how).drop("_op_salt")
+    return big.withColumn("_op_salt", salt).join(shuffled(spread), [*on, "_op_salt"], how).drop("_op_salt")
 
 
 # Words of an Arrow string array without a Python loop over texts.

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BATCH_ROWS, WORD_BYTES, Work, join_small, mixed, shared_dir, small_batches, table, text_slices, words_of
+from .common import BATCH_ROWS, WORD_BYTES, Work, join_small, mixed, shared_dir, shuffled, small_batches, table, text_slices, words_of
 
 SHINGLE = 5
 LEAST = 0.8
@@ -36,8 +36,6 @@ BANDS = REGISTERS // BAND
 STAR = 128
 BLOCK_BYTES = 2 << 20
 BLOCK_ROWS = 512
-#: Most ids of a side that is broadcast: a million of them are 16 MB.
-BROADCAST_IDS = 1_000_000
 #: A time limit of (log(registers) + SLACK) / weight leaves registers empty in about exp(-SLACK) of the texts.
 SLACK = 3.0
 U = np.uint64
@@ -259,7 +257,7 @@ def star_links(pairs: DataFrame, bag: DataFrame, kind: Multisets) -> DataFrame:
     the head's bag, and a task compares a cell in one pass, the head first."""
     dealt = pairs.withColumn("salts", F.ceil(F.col("n") / STAR).cast("int")).withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int"))
     heads = dealt.select("b", "salts", "salt").distinct().withColumn("id", F.col("b"))
-    rows = heads.unionByName(dealt.select("b", "salts", "salt", F.col("a").alias("id"))).join(bag, "id")
+    rows = heads.unionByName(dealt.select("b", "salts", "salt", F.col("a").alias("id"))).join(shuffled(bag), "id")
     cells = rows.repartition("b", "salts", "salt").sortWithinPartitions("b", "salts", "salt", F.col("id") != F.col("b"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -349,7 +347,7 @@ def finer(classed: DataFrame, bag: DataFrame, kind: Multisets, work: Work) -> Da
             columns = [*(np.repeat(batch.column(i).to_numpy(), n) for i in (0, 2, 3)), flat[:, 0], flat[:, 1], np.repeat(whole, n)]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["id", "weight", "root", "token", "size", "whole"])
 
-    bagged = inside.join(bag, "id").select("id", "bag", F.col("weight").cast("long"), "root")
+    bagged = inside.join(shuffled(bag), "id").select("id", "bag", F.col("weight").cast("long"), "root")
     tokens = work.store(bagged.mapInArrow(write, "id long, weight long, root long, token long, size long, whole long"), "tokens")
     held = work.store(tokens.groupBy("token").agg(F.count("*").alias("n")), "held")
     ranked = join_small(tokens, held, ["token"], "inner", held.count(), salt=F.pmod(F.xxhash64("id"), F.lit(32)).cast("int"))
@@ -359,7 +357,7 @@ def finer(classed: DataFrame, bag: DataFrame, kind: Multisets, work: Work) -> Da
     small = upto((1 - kind.least) / (1 + kind.least)).alias("small")
     rare = work.store(first.select(F.xxhash64("token").alias("key"), "id", "weight", "root", small), "rare")
     meet = work.store(rare.groupBy("key").agg(F.max("small").alias("small"), (F.min("root") < F.max("root")).alias("several")).where("small AND several").select("key"), "meet")
-    split = work.store(join_small(rare, meet, ["key"], "left_semi", meet.count(), limit=BROADCAST_IDS), "finer")
+    split = work.store(join_small(rare, meet, ["key"], "left_semi", meet.count()), "finer")
     work.drop(tokens, held, rare, meet)
     return join_small(classed, wide, ["key"], "left_anti", found).withColumn("small", F.lit(True)).unionByName(split)
 
@@ -369,7 +367,7 @@ def rest_links(members: DataFrame, roots: DataFrame, bag: DataFrame, kind: Multi
 
     The members of a key that need not meet each other, those of its largest class or those that are not small, meet blocks of the others
     only, and the others meet block by block."""
-    classed = members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")).select("key", "id", "weight", "root")
+    classed = members.join(shuffled(roots), "id", "left").withColumn("root", F.coalesce("root", "id")).select("key", "id", "weight", "root")
     classed = finer(classed, bag, kind, work)
     large = F.when(F.col("small"), 0).otherwise(1)
     by = classed.groupBy("key", "root").agg(F.count("*").alias("m"), F.sum("weight").alias("w"), F.sum(large).alias("lm"), F.sum(large * F.col("weight")).alias("lw"))
@@ -398,7 +396,7 @@ def rest_links(members: DataFrame, roots: DataFrame, bag: DataFrame, kind: Multi
         meets = (ids[:, None] > ids) & (root[:, None] != root) & ((first[:, None] != first) if mixed else ((own[:, None] != own) | (lo == hi)))
         return pa.table(list(forest(root, kind.matrix(sets, meets))), schema=out)
 
-    return cells.join(bag, "id").groupBy("key", "mixed", "lo", "hi").applyInArrow(compare, "a long, b long").distinct()
+    return cells.join(shuffled(bag), "id").groupBy("key", "mixed", "lo", "hi").applyInArrow(compare, "a long, b long").distinct()
 
 
 def components(links: DataFrame, work: Work) -> DataFrame:
@@ -416,9 +414,9 @@ def components(links: DataFrame, work: Work) -> DataFrame:
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # stored, so that a join may split the rows of a hot end
         least = work.store(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        large = both.join(shuffled(least), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         own = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(own, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(own.select("a", F.col("m").alias("b")))
+        small = large.join(shuffled(own), "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(own.select("a", F.col("m").alias("b")))
         after = work.store(small.distinct(), "links")
         work.drop(links, least)
         links = after
@@ -428,7 +426,7 @@ def classes(keys: DataFrame, bags: Callable[[DataFrame], DataFrame], kind: Multi
     """(id, root) of the ids that are near another one. keys(id, key, weight), where weight says how large an id's bag is; bags gives (id, bag)
     of some ids."""
     heads = work.store(keys.groupBy("key").agg(F.min("id").alias("b"), F.count("*").alias("n")).where("n > 1"), "heads")
-    members = work.store(join_small(keys, heads, ["key"], "inner", heads.count(), limit=BROADCAST_IDS).where("id <> b"), "members")
+    members = work.store(join_small(keys, heads, ["key"], "inner", heads.count()).where("id <> b"), "members")
     pairs = work.store(members.groupBy(F.col("id").alias("a"), "b").agg(F.max("n").alias("n")), "pairs")
     active = work.store(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "active")
     bag = work.store(bags(active), "bags")
@@ -449,12 +447,12 @@ def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
     # a stored row's number is its own, so the number of its first row is a content's id
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "same", "row")).alias("r")
     named = work.store(rows.groupBy("content").agg(first, F.first("weight").alias("weight"), F.first("bands").alias("bands")).select("content", F.col("r.row").alias("id"), "r.doc_id", "r.same", "weight", "bands"), "named")
-    bags = lambda active: bags_of(join_small(named, active, ["id"], "left_semi", active.count(), limit=BROADCAST_IDS), docs)
+    bags = lambda active: bags_of(join_small(named, active, ["id"], "left_semi", active.count()), docs)
     roots = classes(named.select("id", "weight", F.explode("bands").alias("key")), bags, Multisets(least), work)
-    rooted = named.select("content", "id", "doc_id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    rooted = named.select("content", "id", "doc_id").join(shuffled(roots), "id", "left").withColumn("root", F.coalesce("root", "id"))
     smallest = rooted.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.min("content").alias("c")).withColumn("class_id", F.coalesce("class_id", -1 - F.pmod(F.xxhash64("c"), F.lit(1 << 62)))).drop("c")
-    ids = work.store(rooted.select("content", "root").join(work.store(smallest, "smallest"), "root"), "ids")
-    out = work.store(rows.select("doc_id", "same", "content").join(ids, "content"), "classes")
+    ids = work.store(rooted.select("content", "root").join(shuffled(work.store(smallest, "smallest")), "root"), "ids")
+    out = work.store(rows.select("doc_id", "same", "content").join(shuffled(ids), "content"), "classes")
     work.drop(*(t for t, _ in [*work.paths.values()] if t is not out))
     return out
 

@@ -281,7 +281,7 @@ def class_ids(rows: DataFrame, least: float, work: Work) -> DataFrame:
 
     keys = work.store(prints.where("fingerprint <> ''").select("id", "fingerprint").mapInArrow(write, "id long, key long, weight int"), "keys", codec=CODEC)
     bag = prints.select("id", F.col("fingerprint").cast("binary").alias("bag"))
-    roots = dedup.classes(keys, lambda active: join_small(bag, active, ["id"], "left_semi", active.count(), limit=dedup.BROADCAST_IDS), Prints(least), work)
+    roots = dedup.classes(keys, lambda active: join_small(bag, active, ["id"], "left_semi", active.count()), Prints(least), work)
     rooted = prints.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     smallest = work.store(rooted.groupBy("root").agg(F.min("doc_id").alias("class_id"), (F.sum("n") > 1).alias("several")), "smallest")
     ids = work.store(rooted.select("fingerprint", "root").join(smallest, "root").select("fingerprint", "class_id", "several"), "ids")
