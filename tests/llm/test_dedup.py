@@ -147,8 +147,9 @@ def test_components_of_a_long_path(spark):
     assert dedup.components(links.limit(0), Work(spark)).count() == 0
 
 
-def test_many_ids_are_never_broadcast(spark, monkeypatch):
-    """Tables of more than 100,000 ids, which a counter stands for here, are shuffled, and no other join is left to Spark's own limit."""
+@pytest.fixture
+def plans(monkeypatch):
+    """The plans of all joins, where each counted table is held to have more than 100,000 rows."""
     joins, plain = [], DataFrame.join
 
     def join(self, other, *how):
@@ -157,11 +158,24 @@ def test_many_ids_are_never_broadcast(spark, monkeypatch):
 
     monkeypatch.setattr(DataFrame, "join", join)
     monkeypatch.setattr(dedup, "join_small", lambda big, small, on, how, rows, **more: join_small(big, small, on, how, rows + 100_001, **more))
+    return lambda: [x._jdf.queryExecution().optimizedPlan().toString() for x in joins]
+
+
+def test_many_ids_are_never_broadcast(spark, plans):
+    """They are shuffled, and no other join is left to Spark's own limit."""
     texts = corpus()
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
     assert {r.doc_id: r.class_id for r in dedup.near_duplicates(docs).collect()} == dedup.brute_force(texts)
-    hints = [x._jdf.queryExecution().optimizedPlan().toString() for x in joins]
-    assert len(hints) > 10 and all("strategy=merge" in x and "strategy=broadcast" not in x for x in hints)
+    assert len(plans()) > 10 and all("strategy=merge" in x and "strategy=broadcast" not in x for x in plans())
+
+
+def test_many_rows_that_go_are_never_broadcast(spark, plans, monkeypatch):
+    rows = [(i, "one two three four five six", i // 5) for i in range(10)]
+    classes = spark.createDataFrame(rows, "doc_id long, text string, root long").selectExpr("doc_id", "md5(text) AS same", "root")
+    monkeypatch.setattr(dedup, "near_duplicates", lambda docs, least: classes)
+    kept = dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string, other long"))
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 5]
+    assert len(plans()) == 2 and all("strategy=merge" in x and "strategy=broadcast" not in x for x in plans())
 
 
 def test_bags_give_the_overlap_of_multisets():

@@ -463,7 +463,7 @@ def keep_one(docs: DataFrame, least: float = LEAST) -> DataFrame:
     rows = near_duplicates(docs, least).select(row_key().alias("_op6_row"), "doc_id", "same", "root")
     first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "same")).alias("r"))
     first = work.store(first.select("root", row_key("r.doc_id", "r.same").alias("_op6_kept")), "kept")
-    out = work.store(rows.join(first, "root").where("_op6_row <> _op6_kept").select("_op6_row").distinct(), "dropped")
+    out = work.store(rows.join(shuffled(first), "root").where("_op6_row <> _op6_kept").select("_op6_row").distinct(), "dropped")
     own = {"_op6_row": row_key("doc_id", "_op6_same")}
     keyed = docs.withColumn("_op6_same", F.md5(F.coalesce("text", F.lit("")))).withColumns(own)
     kept = join_small(keyed, out, ["_op6_row"], "left_anti", out.count()).drop("_op6_row", "_op6_same")
