@@ -175,6 +175,21 @@ def test_report_totals_deal_the_reports_by_project(spark):
     assert sorted((r.project_id, r.total, r.critical, r.warnings, r.error) for r in totals.collect()) == [(1, 6, 4, 2, "down"), (2, 0, 0, 0, None)]
 
 
+def test_report_totals_name_the_first_error_of_the_map(spark):
+    reports = spark.createDataFrame([(1, 15, 1, "a"), (1, 106, 1, "b"), (1, 101, 1, ""), (1, 7, 5, None), (1, 3, 2, None), (1, 102, 1, None), (2, 6, 1, ""), (3, 7, None, None)], "project_id int, issue_id int, total int, error string")
+    got = {r.project_id: (r.error, r.by_category) for r in audit.report_totals(reports).collect()}
+    assert got == {1: ("b", {"content": 5, "title": 3}), 2: ("", {}), 3: (None, {"content": 0})}
+
+
+def test_the_report_query_returns_counts_by_category(spark, same_as_sql):
+    from visigraph.plans import registry
+
+    name = "issues_from_report_map"
+    got = same_as_sql(registry.QUERIES[name], registry.ORACLE_SQL[name], customer=spark.createDataFrame([(i,) for i in range(1, 40)], "c_custkey long"))
+    # counts are the remainders of 1 + number by 7: of the titles 3, 6, 101 and 102 4 + 0 + 4 + 5
+    assert {r.project_id: r.by_category for r in got.collect()}[1] == "content=1,h1=6,image_alt=6,meta_description=4,title=13"
+
+
 def test_page_facts_are_held_for_some_pages_at_once(spark):
     class Pages:
         def select(self, *_):
