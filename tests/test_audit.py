@@ -190,6 +190,14 @@ def test_the_report_query_returns_counts_by_category(spark, same_as_sql):
     assert {r.project_id: r.by_category for r in got.collect()}[1] == "content=1,h1=6,image_alt=6,meta_description=4,title=13"
 
 
+@pytest.mark.parametrize("text, want", [("a &amp; b&amp", "a & b&amp"), ("&lt;&lt&gt", "<&lt&gt"), ("R&D;&ampx;&#39;&#39", "R&D;&ampx;''"), ("say &quot;x&quot;", 'say "x"'), ("é&eacute;", "éé")])
+def test_named_references_need_their_semicolon(text, want):
+    page = f"""<html lang="{text.replace('"', "")}"><title>{text}</title><h1>{text}</h1><a href="/?x=1&copy=2&amp;y&ampz">l</a><script type="application/ld+json">{{"@type": "A", "u": "?a&amp;b&copy=1"}}</script>"""
+    facts = parse(page)
+    assert (facts["title"], facts["h1"], facts["lang"], facts["hrefs"]) == (want, [want], want, ["/?x=1&copy=2&y&ampz"])
+    assert "?a&amp;b&copy=1" in facts["page_schemas"][0]
+
+
 def test_page_facts_are_held_for_some_pages_at_once(spark):
     class Pages:
         def select(self, *_):
